@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, pivot_search, sentencepiece_codec, warc
+from . import language_id, pivot_search, sentencepiece_codec, suffix_dedup, warc
 from .common import table
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.fit(table(spark, sf_dir, "documents"))
     return language_id.identify_pages(table(spark, sf_dir, "pages"), model)
@@ -29,6 +33,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op7_language_id": op7_language_id,
     "op8_warc": op8_warc,
     "op9_exact_topk": op9_exact_topk,
