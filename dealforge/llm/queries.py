@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, pivot_search, sentencepiece_codec, suffix_dedup, warc
+from . import debruijn_dedup, language_id, pivot_search, sentencepiece_codec, suffix_dedup, warc
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.fit(table(spark, sf_dir, "documents"))
     return language_id.identify_pages(table(spark, sf_dir, "pages"), model)
@@ -34,6 +38,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_language_id": op7_language_id,
     "op8_warc": op8_warc,
     "op9_exact_topk": op9_exact_topk,
