@@ -32,32 +32,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .windows import covered, mix, pair, ranges, segments
+from .words import SPACE, WordArrays, parts
 
 GRAM = 8
 NO_ID = np.iinfo(np.int64).max
-_STEP = np.uint64(0xD6E8FEB86659FD93)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-class Words:
-    """The words of some texts, as places in one byte array and as 64-bit ids."""
+class Words(WordArrays):
+    """The words of some texts with the ids of their grams and edges."""
 
     def __init__(self, texts: list[bytes], k: int) -> None:
-        self.data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-        inside = ~_SPACE[self.data]
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).view(np.int8)))
-        self.start, self.end = edge[::2], edge[1::2]
-        text_end = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
-        self.text_of = np.searchsorted(text_end, self.start, side="right")
-        self.counts = np.bincount(self.text_of, minlength=len(texts)).astype(np.int64)
-        self.last = np.cumsum(self.counts)
-        self.first = self.last - self.counts
-        at = np.flatnonzero(inside)
-        size = self.end - self.start
-        place = (at - np.repeat(self.start, size)).astype(np.uint64)
-        ids = np.add.reduceat(mix(self.data[at].astype(np.uint64) + np.uint64(1) + place * _STEP), np.cumsum(size) - size) if len(size) else np.empty(0, np.uint64)
-        self.ids = mix(ids)
+        super().__init__(texts)
         ids8 = pair(pair(pair(self.ids, 1), 2), 4)
         self.grams, ids, depth = ids8, ids8, 8
         while depth * 2 <= k:
@@ -82,20 +67,9 @@ def _unpack(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at >> 32, at & 0xFFFFFFFF
 
 
-#: Texts that a task looks at together, in bytes; a longer text is looked at alone.
-PART_BYTES = 4 << 20
-
-
-def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        size = np.cumsum(b["body"].str.len().to_numpy()) // PART_BYTES
-        for _, part in b.groupby(size, sort=False):
-            yield part
-
-
 def _pieces(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in _parts(batches):
+        for b in parts(batches):
             w = Words(b["body"].tolist(), k)
             if not len(w.edges):
                 continue
@@ -114,7 +88,7 @@ def _pieces(k: int):
 
 def _edges(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in _parts(batches):
+        for b in parts(batches):
             w = Words(b["body"].tolist(), k)
             got = [np.unique(ranges(*_unpack(np.asarray(x, np.int64)))) for x in b["pieces"]]
             t = np.repeat(np.arange(len(b)), list(map(len, got)))
@@ -171,7 +145,7 @@ def _kept(b: pd.DataFrame, k: int) -> Iterator[tuple[int, int, bytes, np.ndarray
     kept = np.flatnonzero(~gone)
     # each kept word with a space after it, copied as one take from the joined bytes
     at = ranges(w.start[kept], (w.end - w.start + 1)[kept])
-    out = np.where(_SPACE[w.data[at]], np.uint8(32), w.data[at])
+    out = np.where(SPACE[w.data[at]], np.uint8(32), w.data[at])
     cut = np.concatenate([[0], np.cumsum(n_bytes)])
     for i, n in enumerate(w.counts):
         a, z = w.first[i], w.last[i]
@@ -182,7 +156,7 @@ def digests(docs: DataFrame, *, k: int = 50) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in _parts(batches):
+        for b in parts(batches):
             rows = [(n, m, hashlib.sha256(x).hexdigest()) for n, m, x, _ in _kept(b, k)]
             out = pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256"])
             out.insert(0, "doc_id", b["doc_id"].to_numpy())
@@ -195,7 +169,7 @@ def deduplicate(docs: DataFrame, *, k: int = 50) -> DataFrame:
     """Per document: doc_id, kept (its words joined by spaces), spans (first and end word removed)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in _parts(batches):
+        for b in parts(batches):
             rows = []
             for _, _, x, gone in _kept(b, k):
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))).reshape(-1, 2)

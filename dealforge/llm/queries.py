@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import debruijn_dedup, language_id, pivot_search, sentencepiece_codec, suffix_dedup, warc
+from . import debruijn_dedup, kneser_ney, language_id, pivot_search, sentencepiece_codec, suffix_dedup, warc
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.held_out_scores(table(spark, sf_dir, "documents"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn_dedup.digests(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_language_id": op7_language_id,
     "op8_warc": op8_warc,
