@@ -29,7 +29,7 @@ N_PIVOTS = 32
 #: Rows packed into one block, of candidates and of queries.
 CANDIDATE_BLOCK, QUERY_BLOCK = 8192, 1024
 #: Candidates evaluated between two looks at the stopping bound.
-STEP = 256
+STEP = 512
 
 
 def usable(vectors: DataFrame, scale: float = 64.0) -> DataFrame:
@@ -63,35 +63,58 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(d2, 0))
 
 
-def _merge(best: tuple[np.ndarray, np.ndarray], ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    ids, scores = np.concatenate([best[0], ids]), np.concatenate([best[1], scores])
-    order = np.lexsort((ids, -scores))[:k]
-    return ids[order], scores[order]
-
-
-def _search(q: dict, c: dict, k: int) -> pd.DataFrame:
-    """Best k of one candidate block for every query of one query block."""
-    slack = 1e-6 * (1 + c["sq"].max() + q["sq"].max())
-    out = []
-    by_pivot = np.ascontiguousarray(c["far"].T)
-    for i, me in enumerate(q["ids"]):
-        bound = np.abs(by_pivot[0] - q["far"][i, 0])
-        for p in range(1, len(by_pivot)):
-            np.maximum(bound, np.abs(by_pivot[p] - q["far"][i, p]), out=bound)
-        upper = (c["sq"] + q["sq"][i] - bound**2) / 2 + slack
-        floor = q["seed"][i]
-        left = np.flatnonzero((upper >= floor) & (c["ids"] != me))
-        left = left[np.argsort(-upper[left], kind="stable")]
-        best = (np.empty(0, np.int64), np.empty(0))
-        for at in range(0, len(left), STEP):
-            take = left[at : at + STEP]
-            if upper[take[0]] < floor:
-                break
-            best = _merge(best, c["ids"][take], c["v"][take] @ q["v"][i], k)
-            if len(best[1]) == k:
-                floor = max(floor, best[1][-1])
-        out.append(pd.DataFrame({"query_id": me, "vec_id": best[0], "score": np.rint(best[1]).astype(np.int64)}))
-    return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["query_id", "vec_id", "score"])
+def _best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best rows of each query, ties to the smaller id."""
+    order = np.lexsort((ids, -scores, query))
+    query, ids, scores = query[order], ids[order], scores[order]
+    first = np.searchsorted(query, query)
+    take = np.arange(len(query)) - first < k
+    return query[take], ids[take], scores[take]
+
+
+def _bounds(q: dict, c: dict) -> np.ndarray:
+    """Upper bounds of all inner products, a row a query."""
+    out = np.zeros((len(q["ids"]), len(c["ids"])), np.float32)
+    c_far, q_far = c["far"].T.astype(np.float32), q["far"].astype(np.float32)
+    gap = np.empty_like(out)
+    for p in range(len(c_far)):
+        np.subtract(c_far[p][None, :], q_far[:, p][:, None], out=gap)
+        np.abs(gap, out=gap)
+        np.maximum(out, gap, out=out)
+    np.multiply(out, out, out=out)
+    np.subtract((c["sq"][None, :] + q["sq"][:, None]).astype(np.float32), out, out=out)
+    # the bounds are single floats: the slack covers their rounding many times over
+    return out / 2 + np.float32(1e-5 * (1 + c["sq"].max() + q["sq"].max()))
+
+
+def _search(q: dict, c: dict, k: int, exact32: bool) -> pd.DataFrame:
+    """Best k of one candidate block for every query of one query block.
+
+    Candidates come in the order of their greatest bound, ``STEP`` at a time.
+    A query leaves when no later bound of its own reaches its floor.
+    """
+    upper = _bounds(q, c)
+    order = np.argsort(-upper.max(0), kind="stable")
+    upper, ids = upper[:, order], c["ids"][order]
+    kind = np.float32 if exact32 else np.float64
+    c_v, q_v = c["v"][order].astype(kind), q["v"].astype(kind)
+    steps = np.arange(0, len(ids), STEP)
+    later = np.maximum.accumulate(np.maximum.reduceat(upper, steps, axis=1)[:, ::-1], axis=1)[:, ::-1]
+    floor = q["seed"].copy()
+    best = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    for i, at in enumerate(steps):
+        live = np.flatnonzero(later[:, i] >= floor)
+        if not len(live):
+            break
+        scores = q_v[live] @ c_v[at : at + STEP].T
+        row, col = np.nonzero((scores >= floor[live][:, None]) & (upper[live, at : at + STEP] >= floor[live][:, None]))
+        who, what, score = live[row], ids[at + col], scores[row, col].astype(float)
+        other = what != q["ids"][who]
+        best = _best(np.concatenate([best[0], who[other]]), np.concatenate([best[1], what[other]]), np.concatenate([best[2], score[other]]), k)
+        n = np.bincount(best[0], minlength=len(floor))
+        full = np.flatnonzero(n >= k)
+        floor[full] = np.maximum(floor[full], best[2][np.cumsum(n)[full] - 1])
+    return pd.DataFrame({"query_id": q["ids"][best[0]], "vec_id": best[1], "score": np.rint(best[2]).astype(np.int64)})
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, *, n_pivots: int = N_PIVOTS) -> DataFrame:
@@ -106,7 +129,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, *, n_pivots: int =
     n, n_q, dim, most = vectors.agg(F.count("*"), F.count(F.when(is_query, 1)), F.max(F.size("v")), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
     if not n_q:
         return empty
-    if (most or 0) >= 2.0**53:
+    # partial sums stay below the largest square norm, so whole numbers stay exact
+    if most >= 2.0**53:
         raise ValueError("components are too large for exact scores")
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).toPandas()
     s_ids, s_v = sample["vec_id"].to_numpy(), _matrix(sample["v"], dim)
@@ -140,7 +164,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, *, n_pivots: int =
                 for ids, v, far in ((r.q_ids, r.q_v, r.q_far), (r.ids, r.v, r.far)):
                     v = read(v, (-1, dim))
                     side.append({"ids": np.frombuffer(ids, np.int64), "v": v, "far": read(far, (len(v), -1)), "sq": (v**2).sum(1)})
-                yield _search(side[0] | {"seed": np.frombuffer(r.q_seed)}, side[1], k)
+                yield _search(side[0] | {"seed": np.frombuffer(r.q_seed)}, side[1], k, most < 2.0**24)
 
     pairs = asks.join(cands.hint("merge"), "block").repartition(int(min(n_c * n_b, 4096)), "block", F.xxhash64("q_ids"))
     hits = pairs.mapInPandas(search, "query_id long, vec_id long, score long")
