@@ -11,8 +11,8 @@ stands. Joins then compact the graph:
    the edges of those paths' sources are dealt out one by one, and equal
    edges are joined again.
 
-A repeated piece counts only if its length and a second checksum equal those
-at its source's coordinates; else its edges are compared one by one.
+A repeated piece counts only if its length equals that at its source's
+coordinates; else its edges are compared one by one.
 
 Grouping is by content ids with partial sums, and each join is between many
 rows and one row a content, so Spark can split a hot content by rows. Null
@@ -31,7 +31,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .windows import covered, mix, pair, ranges, segments
+from .common import cut
+from .windows import covered, mix, pair, ranges, segments, sliding_min
 from .words import SPACE, WordArrays, parts
 
 GRAM = 8
@@ -74,14 +75,9 @@ def _pieces(k: int):
             if not len(w.edges):
                 continue
             n = len(w.edges)
-            first, size, h, s = segments(w.grams, w.edges, k - GRAM + 1, w.text_of[:n], w.edge_valid(k))
-            # the second checksum is of the words themselves, taken by place
-            ends = first + size + k - 1
-            place = np.concatenate([[np.uint64(0)], np.cumsum(w.ids * (2 * np.arange(len(w.ids), dtype=np.uint64) + np.uint64(1)), dtype=np.uint64)])
-            plain = np.concatenate([[np.uint64(0)], np.cumsum(w.ids, dtype=np.uint64)])
-            check = (place[ends] - place[first]) - (plain[ends] - plain[first]) * np.uint64(2) * first.astype(np.uint64)
+            first, size, h, s = segments(sliding_min(w.grams, k - GRAM + 1)[:n], w.edges, w.text_of[:n], w.edge_valid(k))
             t = w.text_of[first]
-            yield pd.DataFrame({"key": b["key"].to_numpy()[t], "row": b["row"].to_numpy()[t], "h": _signed(mix(h)), "s": _signed(s), "v": _signed(check), "at": _pack(first - w.first[t], size)})
+            yield pd.DataFrame({"key": b["key"].to_numpy()[t], "row": b["row"].to_numpy()[t], "h": _signed(mix(h)), "s": _signed(s), "at": _pack(first - w.first[t], size)})
 
     return run
 
@@ -106,24 +102,33 @@ def rows_of(docs: DataFrame) -> DataFrame:
 
 
 def repeated_edges(rows: DataFrame, k: int = 50) -> DataFrame:
-    """key, row, gone: packed (first edge, number of edges) of the edges that also start in a smaller document."""
+    """key, row, gone: packed (first edge, number of edges) of the edges that also start in a smaller document.
+
+    ``rows`` keeps all its columns wherever it is joined, so that its texts
+    are shuffled once and that exchange is used again.
+    """
     if k < 2 * GRAM:
         raise ValueError(f"k must be {2 * GRAM} at least")
-    texts = rows.select("key", "row", "body")
-    pieces = texts.mapInPandas(_pieces(k), "key long, row long, h long, s long, v long, at long")
-    paths = pieces.groupBy("h", "s").agg(F.min(F.struct("key", "at", "v")).alias("source"), F.max("key").alias("last"))
-    branch = paths.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    paths = paths.join(branch.hint("merge"), "h", "left").select("h", "s", "source", F.col("kinds").isNotNull().alias("branches"), (F.col("last") > F.col("source.key")).alias("repeats"))
-    known = pieces.join(paths.filter("branches OR repeats").hint("merge"), ["h", "s"])
-    same = (F.col("v") == F.col("source.v")) & (F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)) == F.col("source.at").bitwiseAND(F.lit(0xFFFFFFFF)))
+    pieces = rows.select("key", "row", "body").mapInPandas(_pieces(k), "key long, row long, h long, s long, at long")
+    # a row a gram: is there one path or are there several, and where is the first source?
+    grams = pieces.groupBy("h").agg(F.min("s").alias("s0"), F.max("s").alias("s1"), F.min(F.struct("key", "at")).alias("source"), F.max("key").alias("last"))
+    grams = cut(grams.filter("s0 < s1 OR source.key < last").select("h", "s0", "s1", "source"))
+    known = pieces.join(grams.hint("merge"), "h")
+    size = lambda at: at.bitwiseAND(F.lit(0xFFFFFFFF))
+    unlike = (F.col("s0") != F.col("s1")) | ((F.col("s") == F.col("s0")) & (size(F.col("at")) != size(F.col("source.at"))))
+    known = known.select("h", "s", "key", "row", "at", "source", unlike.alias("branches"))
+    single = known.filter(~F.col("branches") & (F.col("key") > F.col("source.key")))
+    forked = known.filter("branches").select("h", "s", "key", "row", "at")
+    paths = forked.groupBy("h", "s").agg(F.min(F.struct("key", "at")).alias("source"))
+    forked = forked.join(paths.hint("merge"), ["h", "s"])
+    same = size(F.col("at")) == size(F.col("source.at"))
     later = F.col("key") > F.col("source.key")
-    known = known.select("key", "row", "at", (later & same).alias("whole"), ((~later & F.col("branches")) | ~same).alias("open"))
-    whole = known.filter("whole").select("key", "row", "at")
-    opened = known.filter("open").groupBy("key", "row").agg(F.collect_set("at").alias("pieces"))
-    edges = texts.join(opened.hint("merge"), ["key", "row"]).mapInPandas(_edges(k), "key long, row long, e long, at long")
+    whole = single.select("key", "row", "at").union(forked.filter(later & same).select("key", "row", "at"))
+    opened = forked.filter(~(later & same)).groupBy("key", "row").agg(F.collect_set("at").alias("pieces"))
+    edges = rows.join(opened.hint("merge"), ["key", "row"]).mapInPandas(_edges(k), "key long, row long, e long, at long")
     first = edges.groupBy("e").agg(F.min("key").alias("source"), F.max("key").alias("last")).filter("last > source").select("e", "source")
-    single = edges.join(first.hint("merge"), "e").filter("key > source").select("key", "row", "at")
-    return whole.union(single).groupBy("key", "row").agg(F.collect_set("at").alias("gone"))
+    repeats = edges.join(first.hint("merge"), "e").filter("key > source").select("key", "row", "at")
+    return whole.union(repeats).groupBy("key", "row").agg(F.collect_set("at").alias("gone"))
 
 
 def _removed(b: pd.DataFrame, w: Words, k: int) -> np.ndarray:
@@ -134,7 +139,7 @@ def _removed(b: pd.DataFrame, w: Words, k: int) -> np.ndarray:
 
 def _with_gone(docs: DataFrame, k: int) -> DataFrame:
     rows = rows_of(docs)
-    return rows.join(repeated_edges(rows, k).hint("merge"), ["key", "row"], "left").select("doc_id", "body", "gone")
+    return rows.join(repeated_edges(rows, k).hint("merge"), ["key", "row"], "left")
 
 
 def _kept(b: pd.DataFrame, k: int) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
