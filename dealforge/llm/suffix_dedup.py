@@ -35,11 +35,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .windows import bytes8, covered, mix, pair, ranges, segments
+from .blobs import answer, gather, layout, rows
+from .windows import covered, mix, ranges, scan_bytes, segments
 
 GRAM = 24
 #: Bytes of text in a batch, and bytes of text whose ids meet in one bucket group.
-BATCH_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
+BATCH_BYTES, BUCKET_BYTES = 2 << 20, 16 << 20
 #: Differing segments of one gram that a batch lists; with more it says only that the gram is hot, and its windows are compared.
 LISTED = 64
 NO_ID = np.iinfo(np.int64).max
@@ -47,14 +48,6 @@ _HOT = np.iinfo(np.int64).min
 _LOW = np.uint64(0xFFFFFFFF)
 
 
-def window_ids(gram8: np.ndarray, length: int) -> np.ndarray:
-    """Bucket ids of depth ``length`` by doubling from depth 8."""
-    ids, depth = gram8, 8
-    while depth * 2 <= length:
-        ids, depth = pair(ids, depth), depth * 2
-    return pair(ids, length - depth) if depth < length else ids
-
-
 class Batch:
     """The documents of one batch, and what the rounds have told about them."""
 
@@ -65,21 +58,17 @@ class Batch:
         self.data = np.frombuffer(b"".join(texts), np.uint8)
         self.ends = np.cumsum(self.sizes)
         self.n_buckets, self.length = np.uint64(n_buckets), length
+        self.asked = told is not None
         self.told = {} if told is None else {k: g.sort_values("bucket")["status"].tolist() for k, g in told.groupby("round")}
 
-    @cached_property
-    def windows(self) -> np.ndarray:
-        self.gram8 = mix(bytes8(self.data))
-        return window_ids(self.gram8, self.length)
-
     @cached_property
     def parts(self) -> tuple:
         """first, n, key, s, doc of each segment; the key holds bucket and gram."""
-        w = self.windows
-        doc = np.repeat(np.arange(len(self.ids)), self.sizes)
-        valid = np.arange(len(w)) + self.length <= self.ends[doc[: len(w)]]
-        gram = pair(pair(self.gram8, 8), 8)
-        first, n, h, s = segments(gram, w, self.length - GRAM + 1, doc, valid)
+        # before anything was told only the grams count
+        low, self.windows = scan_bytes(self.data, self.length, GRAM, want_windows=self.asked)
+        doc = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.sizes)[: len(low)]
+        valid = np.arange(len(low)) + self.length <= np.repeat(self.ends, self.sizes)[: len(low)]
+        first, n, h, s = segments(low, self.windows, doc, valid)
         h = mix(h)  # a least value is small; spread it again
         return first, n, ((h >> np.uint64(32)) % self.n_buckets << np.uint64(32)) | (h & _LOW), s, self.ids[doc[first]]
 
@@ -144,26 +133,6 @@ def _planes(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (ids & 0xFFFFFFFF).astype(np.uint32), (ids >> 32).astype(np.int32)
 
 
-def _rows(batch: int, bucket: np.ndarray, **blobs: np.ndarray) -> pd.DataFrame:
-    """One row for each bucket, entries being sorted by it."""
-    at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])[: len(bucket)])
-    to = np.append(at[1:], len(bucket)) if len(at) else at
-    out = {"batch": batch, "bucket": bucket[at].astype(np.int64)}
-    return pd.DataFrame(out | {k: [v[a:b].tobytes() for a, b in zip(at, to, strict=True)] for k, v in blobs.items()})
-
-
-def _gather(df: pd.DataFrame, **kinds: type) -> tuple:
-    """All entries of a bucket group, and the entries of each row."""
-    cols = [np.concatenate([np.frombuffer(x, k) for x in df[c]]) for c, k in kinds.items()]
-    first = next(iter(kinds))
-    sizes = [len(x) // np.dtype(kinds[first]).itemsize for x in df[first]]
-    return *cols, np.cumsum(sizes)[:-1]
-
-
-def _answer(df: pd.DataFrame, k: int, status: np.ndarray, splits: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"batch": df["batch"], "round": np.int32(k), "bucket": df["bucket"], "status": [x.astype(np.int8).tobytes() for x in np.split(status, splits)]})
-
-
 def _same(*cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order by the columns (the first counts most), and group numbers in that order."""
     order = np.lexsort(cols[::-1])
@@ -176,9 +145,9 @@ def _same(*cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _round1(df: pd.DataFrame) -> pd.DataFrame:
-    low, splits = _gather(df, low=np.uint32)
+    low, splits = gather(df, low=np.uint32)
     _, inverse, n = np.unique(low, return_inverse=True, return_counts=True)
-    return _answer(df, 1, n[inverse] > 1, splits)
+    return answer(df, 1, n[inverse] > 1, splits)
 
 
 def _ids(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -187,7 +156,7 @@ def _ids(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 def _round2(df: pd.DataFrame) -> pd.DataFrame:
     """0: known here alone; 1: also in a smaller document; 2: compare the windows."""
-    low, s, lo, hi, splits = _gather(df, low=np.uint32, s=np.uint64, d_lo=np.uint32, d_hi=np.int32)
+    low, s, lo, hi, splits = gather(df, low=np.uint32, s=np.uint64, d_lo=np.uint32, d_hi=np.int32)
     d = _ids(lo, hi)
     order, group = _same(low, s)
     least = np.full(group[-1] + 1, NO_ID)
@@ -201,18 +170,18 @@ def _round2(df: pd.DataFrame) -> pd.DataFrame:
     status[order] = np.where(d[order] > least[group], 1, 0)
     status[(status == 0) & (kinds[at] > 1)] = 2
     status[hot[at]] = 2
-    return _answer(df, 2, status, splits)
+    return answer(df, 2, status, splits)
 
 
 def _round3(df: pd.DataFrame) -> pd.DataFrame:
-    w, lo, hi, splits = _gather(df, w=np.uint64, d_lo=np.uint32, d_hi=np.int32)
+    w, lo, hi, splits = gather(df, w=np.uint64, d_lo=np.uint32, d_hi=np.int32)
     d = _ids(lo, hi)
     order, group = _same(w)
     least = np.full(group[-1] + 1, NO_ID)
     np.minimum.at(least, group, d[order])
     status = np.zeros(len(d), np.int8)
     status[order] = d[order] > least[group]
-    return _answer(df, 3, status, splits)
+    return answer(df, 3, status, splits)
 
 
 def repeated_bytes(docs: DataFrame, finish: Callable[[Batch, np.ndarray, pd.DataFrame], pd.DataFrame], schema: str, *, length: int = 50) -> DataFrame:
@@ -223,15 +192,14 @@ def repeated_bytes(docs: DataFrame, finish: Callable[[Batch, np.ndarray, pd.Data
     body = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("key"), body.alias("body"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    least = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_batches, n_buckets = max(least, -(-total // BATCH_BYTES)), max(least, -(-total // BUCKET_BYTES))
+    n_batches, n_buckets = layout(spark, total, BATCH_BYTES, BUCKET_BYTES)
     # The text is part of the hash: many rows with one doc_id don't meet in one batch.
     by_batch = base.withColumn("batch", F.pmod(F.xxhash64("key", "body"), F.lit(n_batches))).groupBy("batch")
     told = "batch long, round int, bucket long, status binary"
 
     def send1(df: pd.DataFrame) -> pd.DataFrame:
         u = Batch(df, None, n_buckets, length).grams[0]
-        return _rows(df["batch"].iloc[0], u >> np.uint64(32), low=(u & _LOW).astype(np.uint32))
+        return rows(df["batch"].iloc[0], u >> np.uint64(32), low=(u & _LOW).astype(np.uint32))
 
     def send2(df: pd.DataFrame, so_far: pd.DataFrame) -> pd.DataFrame:
         if not len(df):
@@ -239,14 +207,14 @@ def repeated_bytes(docs: DataFrame, finish: Callable[[Batch, np.ndarray, pd.Data
         r = Batch(df, so_far, n_buckets, length).repeated
         t = r["sent"]
         lo, hi = _planes(np.where(r["hot"], _HOT, r["d"])[t])
-        return _rows(df["batch"].iloc[0], r["key"][t] >> np.uint64(32), low=(r["key"][t] & _LOW).astype(np.uint32), s=np.where(r["hot"], np.uint64(0), r["s"])[t], d_lo=lo, d_hi=hi)
+        return rows(df["batch"].iloc[0], r["key"][t] >> np.uint64(32), low=(r["key"][t] & _LOW).astype(np.uint32), s=np.where(r["hot"], np.uint64(0), r["s"])[t], d_lo=lo, d_hi=hi)
 
     def send3(df: pd.DataFrame, so_far: pd.DataFrame) -> pd.DataFrame:
         if not len(df):
             return pd.DataFrame({"batch": [], "bucket": [], "w": [], "d_lo": [], "d_hi": []})
         o = Batch(df, so_far, n_buckets, length).open
         lo, hi = _planes(o["d"])
-        return _rows(df["batch"].iloc[0], o["bucket"], w=o["w"], d_lo=lo, d_hi=hi)
+        return rows(df["batch"].iloc[0], o["bucket"], w=o["w"], d_lo=lo, d_hi=hi)
 
     names = [x.split()[0] for x in schema.split(",")]
 

@@ -48,14 +48,49 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(out[: len(out) - (w - have)], out[w - have :]) if have < w else out
 
 
-def segments(gram: np.ndarray, window: np.ndarray, per: int, doc_of: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+#: Positions that ``scan_bytes`` looks at together, so that what it makes stays in the processor's cache.
+_BLOCK = 1 << 14
+
+
+def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A quicker, weaker ``pair`` for ids that are joined again later."""
+    out = a * _A
+    out ^= b * _B
+    out ^= out >> np.uint64(32)
+    return out
+
+
+def scan_bytes(data: np.ndarray, length: int, gram: int, *, want_windows: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """The least gram id of each window of ``length`` bytes, and the windows' ids.
+
+    Ids of depth 8 are the bytes themselves; each next depth joins ids with
+    those of later offsets: 16, 24 (the grams), 32, and ``length``.
+    """
+    n = max(0, len(data) - length + 1)
+    low = np.empty(n, np.uint64)
+    ids = np.empty(n, np.uint64) if want_windows else None
+    for a in range(0, n, _BLOCK):
+        b = min(n, a + _BLOCK)
+        d8 = bytes8(data[a : b + length - 1])
+        d16 = _join(d8[:-8], d8[8:])
+        d24 = mix(_join(d16[: len(d8) - gram + 8], d8[gram - 8 :]))
+        low[a:b] = sliding_min(d24, length - gram + 1)
+        if ids is not None:
+            d32 = _join(d16[:-16], d16[16:])
+            step = depth = 32
+            while depth < length:
+                step = min(depth, length - depth)
+                d32, depth = _join(d32[:-step], d32[step:]), depth + step
+            ids[a:b] = mix(d32[: b - a])
+    return low, ids
+
+
+def segments(low: np.ndarray, window: np.ndarray | None, doc_of: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """first window, number of windows, h (smallest gram) and s (windows' sum) of each segment.
 
-    gram: id from each position; per: grams in a window; window: id of each
-    window; valid: whether a window lies within one document.
+    low: the least gram of each window; window: its id (None: s is left
+    out); valid: whether a window lies within one document.
     """
-    n = len(window)
-    low = sliding_min(gram, per)[:n]
     at = np.flatnonzero(valid)
     if not len(at):
         e = np.empty(0, np.uint64)
@@ -64,7 +99,7 @@ def segments(gram: np.ndarray, window: np.ndarray, per: int, doc_of: np.ndarray,
     new = np.concatenate([[True], (low[1:] != low[:-1]) | (docs[1:] != docs[:-1])])
     starts = np.flatnonzero(new)
     size = np.diff(np.concatenate([starts, [len(at)]]))
-    s = np.add.reduceat(mix(window[at] ^ _A), starts)
+    s = np.add.reduceat(mix(window[at] ^ _A), starts) if window is not None else None
     return at[starts], size, low[starts], s
 
 
