@@ -270,3 +270,10 @@ def linked_components(docs: DataFrame, *, n: int = 3, threshold: Fraction = Frac
     reached = cut(components(links).select("id", "component"))
     out = named.join(reached.hint("merge"), "id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, *, n: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
+    """``docs`` without those that reach a smaller doc_id by links. All rows of a kept doc_id stay, and rows with a null doc_id."""
+    linked = linked_components(docs, n=n, threshold=threshold)
+    gone = linked.filter("component_id < doc_id").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).distinct()
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)

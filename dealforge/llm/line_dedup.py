@@ -161,3 +161,16 @@ ORACLE = f"""
     SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY ln) FILTER (NOT dup AND NOT near), '') AS text,
            count(*) AS n_lines, count(*) FILTER (dup) AS n_equal, count(*) FILTER (near) AS n_near
     FROM g GROUP BY doc_id"""
+
+
+def keep_new_lines(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` with the kept lines as text and their length as n_chars, without documents of which no word is left.
+
+    Documents that had no words before stay as they are.
+    """
+    kept = deduplicate(docs.withColumn("_ld_had", F.col("text").rlike(r"[^\x20\x09-\x0D]")), min_words=min_words, counts=False)
+    kept = kept.filter(F.col("text").isNull() | ~F.col("_ld_had") | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    n = [F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns]
+    return kept.select(*n)
+
+

@@ -21,6 +21,7 @@ from pathlib import Path
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MARK = "▁"
 _CHUNKS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -89,7 +90,7 @@ def encode(docs: DataFrame, model_path: str, *, keep: tuple[str, ...] = ("doc_id
     fixed size of about half a megabyte.
     """
     model = Path(model_path).read_bytes()
-    schema = docs.select(*keep).schema.add(ids, "array<int>")
+    schema = docs.select(*keep).schema.add(ids, T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = ChunkCodec(model)
@@ -136,3 +137,10 @@ def roundtrip_digests(docs: DataFrame, model_path: str) -> DataFrame:
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, schema)
+
+
+def encode_and_decode(docs: DataFrame, model_path: str, *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns, n_tokens, token_ids (end id last) and text, which is decoded from the ids."""
+    encoded = encode(docs, model_path, keep=keep)
+    both = decode(encoded, model_path, keep=(*keep, "token_ids"))
+    return both.withColumn("n_tokens", F.size("token_ids").cast("long"))
