@@ -1,4 +1,465 @@
 """Registered queries over the test tables, and their DuckDB oracles."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import clean, names, score
+from ..functions.keys import dedup_hash
+from ..functions.text import about_acquisitions, html_text, text_gate
+from ..operators import dedup, extract, feed, match, upsert
+from ..params import ACQUISITION_STEMS, DISPLAY_NAMES, FeedFilter, GENERIC_OPERATORS, KEY_SUFFIXES, LARGE_STATES, NAME_SUFFIXES
+from ..sources import chow, feeds, mail, registry
+from ..streaming import poll
+from .domain import AS_OF, SQL, Domain
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None, *, domain: bool = True):
+    def add(f: Callable[[Domain], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Domain(spark, sf_dir))
+        if oracle is not None:
+            ORACLES[f.__name__] = (SQL if domain else "") + oracle
+        return f
+
+    return add
+
+
+def text_lists(df: DataFrame) -> DataFrame:
+    """Lists as text, times as text, so that both engines write values alike."""
+    for c, kind in df.dtypes:
+        if kind == "array<string>":
+            df = df.withColumn(c, F.array_join(c, "|"))
+        elif kind.startswith("timestamp"):
+            df = df.withColumn(c, F.col(c).cast("string"))
+    return df
+
+
+_CARDS = "id, acquiring_entity, seller_entity, array_to_string(states, '|') AS states, facility_count, deal_value_m, acquisition_date, NULL::DOUBLE AS financing_amount_m, NULL::VARCHAR AS lender, array_to_string(operator_names, '|') AS operator_names, array_to_string(facility_names, '|') AS facility_names, created_at::VARCHAR AS created_at, source_url, source_title, source_type, source_name"
+_ALSO = "CASE WHEN acquiring_entity IS NULL OR states IS NULL OR acquisition_date IS NULL THEN 0 ELSE count(*) FILTER (stage <> 'dismissed') OVER (PARTITION BY acquiring_entity, states, acquisition_date) - (stage <> 'dismissed')::INTEGER END"
+
+
+def _page_sql(where: str, limit: int = 20, offset: int = 0) -> str:
+    return f"""SELECT {_CARDS}, array_to_string(ccns, '|') AS ccns, n::BIGINT AS also_reported_count FROM (SELECT *, {_ALSO} AS n FROM full_deals) d LEFT JOIN ccns ON ccns.deal_id = d.id
+        WHERE stage <> 'dismissed' AND {where} ORDER BY coalesce(acquisition_date, created_at::DATE) DESC, created_at DESC, id LIMIT {limit} OFFSET {offset}"""
+
+
+def _page(d: Domain, f: FeedFilter) -> DataFrame:
+    return text_lists(feed.feed_page(d.deals, d.articles, d.sources, d.matches, f))
+
+
+@query(_page_sql("true"))
+def feed_page(d):
+    return _page(d, FeedFilter())
+
+
+@query(_page_sql("list_contains(states, 'NATION_7')", 100, 20))
+def feed_filter_state(d):
+    return _page(d, FeedFilter(state="nation_7", limit=100, offset=20))
+
+
+@query(_page_sql("acquisition_date >= DATE '1996-03-01' AND acquisition_date <= DATE '1996-06-30'", 100))
+def feed_filter_dates(d):
+    return _page(d, FeedFilter(date_from="1996-03-01", date_to="1996-06-30", limit=100))
+
+
+@query(_page_sql("source_type = 'edgar'", 100))
+def feed_filter_source(d):
+    return _page(d, FeedFilter(source_type="edgar", limit=100))
+
+
+@query(_page_sql("(acquiring_entity ILIKE '%#00000001%' OR seller_entity ILIKE '%#00000001%' OR len(list_filter(operator_names, lambda o: o ILIKE '%#00000001%')) > 0)", 100))
+def feed_search(d):
+    return _page(d, FeedFilter(search="#00000001", limit=100))
+
+
+@query("SELECT count(DISTINCT id) AS total FROM full_deals WHERE stage <> 'dismissed' AND source_type = 'rss'")
+def feed_total(d):
+    return feed.feed_total(d.deals, d.articles, d.sources, FeedFilter(source_type="rss"))
+
+
+@query(f"SELECT id, ({_ALSO})::BIGINT AS also_reported_count FROM (SELECT * REPLACE (date_trunc('year', acquisition_date)::DATE AS acquisition_date, ['US'] AS states) FROM deals)")
+def also_reported(d):
+    # coarser keys, so that equal ones exist
+    rows = d.deals.withColumn("states", F.array(F.lit("US"))).withColumn("acquisition_date", F.trunc("acquisition_date", "year"))
+    return feed.also_reported(rows).select("id", "also_reported_count")
+
+
+@query("""SELECT d.id, d.stage, d.source_url, d.published_at::VARCHAR AS published_at, m.cms_matches FROM full_deals d LEFT JOIN (SELECT deal_id, string_agg(ccn || ':' || match_score || ':' || coalesce(ownership_start_date::VARCHAR, ''), '|'
+    ORDER BY -match_score, ccn, provider_name, owner_name, match_score, match_method, coalesce(ownership_start_date::VARCHAR, '')) AS cms_matches FROM matches GROUP BY deal_id) m ON m.deal_id = d.id""")
+def deal_detail(d):
+    rows = feed.deal_detail(d.deals, d.articles, d.sources, d.matches)
+    cell = F.array_join(F.transform("cms_matches", lambda m: F.concat_ws(":", m["ccn"], m["match_score"].cast("string"), m["ownership_start_date"])), "|")
+    return rows.select("id", "stage", "source_url", F.col("published_at").cast("string").alias("published_at"), cell.alias("cms_matches"))
+
+
+@query("""SELECT acquisition_date, acquiring_entity, seller_entity, array_to_string(states, ', ') AS states, facility_count, deal_value_m, array_to_string(operator_names, '; ') AS operators, array_to_string(facility_names, '; ') AS facilities,
+    source_type, source_url, array_to_string(ccns, ', ') AS ccns FROM full_deals d LEFT JOIN ccns ON ccns.deal_id = d.id WHERE stage <> 'dismissed' ORDER BY acquisition_date DESC NULLS LAST, id LIMIT 5000""")
+def csv_export(d):
+    return feed.csv_rows(d.deals, d.articles, d.sources, d.matches, FeedFilter())
+
+
+@query(f"SELECT count(*) AS total, count(*) FILTER (stage IN ('confirmed', 'verified')) AS confirmed, count(*) FILTER (created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 90 DAY) AS last_90_days FROM deals WHERE stage <> 'dismissed'")
+def stats_summary(d):
+    return feed.stats(d.deals, d.as_of)
+
+
+@query("SELECT count(DISTINCT s) AS states_covered FROM (SELECT unnest(states) AS s FROM deals WHERE stage <> 'dismissed')")
+def states_covered(d):
+    return feed.states_covered(d.deals)
+
+
+@query("SELECT state, count(*) AS cnt FROM (SELECT unnest(states) AS state FROM deals WHERE stage <> 'dismissed') GROUP BY state ORDER BY cnt DESC, state LIMIT 10")
+def top_states(d):
+    return feed.top_states(d.deals)
+
+
+@query("""SELECT d.id, stage, confidence, d.source_url AS article_url, d.source_name, d.source_type, count(DISTINCT m.id) AS cms_match_count, count(DISTINCT n.id) AS annotation_count
+    FROM full_deals d LEFT JOIN matches m ON m.deal_id = d.id LEFT JOIN annotations n ON n.deal_id = d.id GROUP BY ALL""")
+def deal_summary(d):
+    rows = feed.deal_summary(d.deals, d.articles, d.sources, d.matches, d.annotations)
+    return rows.select("id", "stage", "confidence", "article_url", "source_name", "source_type", "cms_match_count", "annotation_count")
+
+
+@query("SELECT d.id, d.recheck_after, d.recheck_count, a.url AS article_url FROM due d JOIN articles a ON a.id = d.article_id WHERE stage = 'pending_cms'")
+def pending_recheck(d):
+    return feed.pending_recheck(d.deals, d.articles, d.as_of).select("id", "recheck_after", "recheck_count", "article_url")
+
+
+@query("SELECT id, stage, recheck_after, recheck_count FROM due")
+def recheck_due(d):
+    return feed.recheck_due(d.deals, d.as_of).select("id", "stage", "recheck_after", "recheck_count")
+
+
+@query("SELECT id, CASE WHEN stage IN ('detected', 'pending_cms') AND recheck_count >= 12 THEN 'unresolved' ELSE stage END AS stage FROM deals")
+def unresolved_deals(d):
+    return feed.unresolved(d.deals).select("id", "stage")
+
+
+@query("SELECT id, confidence, updated_at::VARCHAR AS updated_at FROM deals WHERE stage = 'confirmed' AND id NOT IN (SELECT deal_id FROM alert_log WHERE alert_type = 'digest')")
+def unalerted_confirmed(d):
+    return text_lists(feed.unalerted(d.deals, d.alert_log).select("id", "confidence", "updated_at"))
+
+
+@query("""SELECT id, acquiring_entity AS acquirer, seller_entity AS seller, array_to_string(states, ', ') AS states, facility_count::VARCHAR AS facilities, '$' || deal_value_m::DECIMAL(12, 2) || 'M' AS value, coalesce(acquisition_date::VARCHAR, '—') AS date,
+    coalesce(confidence, 'low') AS confidence, CASE confidence WHEN 'high' THEN '#EAF3DE' WHEN 'partial' THEN '#FAEEDA' ELSE '#FCEBEB' END AS badge, source_url, source_name
+    FROM full_deals WHERE stage = 'confirmed' AND id NOT IN (SELECT deal_id FROM alert_log WHERE alert_type = 'digest') ORDER BY updated_at DESC, id LIMIT 50""")
+def digest_rows(d):
+    return feed.digest_rows(d.deals.withColumn("deal_value_m", F.col("deal_value_m").cast("decimal(12,2)")), d.articles, d.sources, d.alert_log)
+
+
+@query("SELECT a.id, a.url FROM articles a WHERE NOT EXISTS (SELECT 1 FROM deals d WHERE d.article_id = a.id AND d.stage = 'confirmed')")
+def new_articles(d):
+    known = d.deals.filter("stage = 'confirmed'").select("article_id").join(d.articles, F.col("article_id") == F.col("id"))
+    return feeds.unknown_articles(d.articles, known).select("id", "url")
+
+
+@query(f"SELECT id FROM articles WHERE regexp_matches(lower(raw_text), '{'|'.join(ACQUISITION_STEMS)}')")
+def keyword_filter(d):
+    return d.articles.filter(about_acquisitions(F.col("raw_text"))).select("id")
+
+
+@query(r"""SELECT * FROM (SELECT id, len(list_filter(regexp_split_to_array(raw_text, '[ \t\n\f\r\v]+'), lambda w: w <> '')) AS n_words, len(list_filter(regexp_split_to_array(raw_text, '[ \t\n\f\r\v]+'), lambda w: w <> '')) < 100 AS truncated, left(raw_text, 8000) AS raw_text
+    FROM articles WHERE length(trim(raw_text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')) >= 150)""")
+def text_gate_articles(d):
+    return text_gate(d.articles, "raw_text").select("id", "n_words", "truncated", "raw_text")
+
+
+_DIRTY = """dirty AS (SELECT e.event_id AS id, CASE event_id % 6 WHEN 0 THEN '  ' || event_type || ' ' WHEN 1 THEN 'Undisclosed' WHEN 2 THEN '' WHEN 3 THEN NULL ELSE event_type END AS name,
+    [CASE event_id % 3 WHEN 0 THEN 'va' WHEN 1 THEN 'Virginia' END, ' ', 'x', upper(event_type)] AS states, CASE event_id % 4 WHEN 0 THEN user_id::VARCHAR WHEN 1 THEN value::VARCHAR WHEN 2 THEN 'n/a' END AS number,
+    CASE event_id % 5 WHEN 0 THEN '2026-02-30' WHEN 1 THEN ts::DATE::VARCHAR WHEN 2 THEN 'May 2024' WHEN 3 THEN ' ' || ts::DATE::VARCHAR END AS day FROM events e)"""
+
+
+def _dirty(d: Domain) -> DataFrame:
+    i, kind = F.col("event_id"), F.col("event_type")
+    day = F.col("ts").cast("date").cast("string")
+    return d.raw("events").select(
+        i.alias("id"), F.when(i % 6 == 0, F.concat(F.lit("  "), kind, F.lit(" "))).when(i % 6 == 1, "Undisclosed").when(i % 6 == 2, "").when(i % 6 != 3, kind).alias("name"),
+        F.array(F.when(i % 3 == 0, "va").when(i % 3 == 1, "Virginia"), F.lit(" "), F.lit("x"), F.upper(kind)).alias("states"),
+        F.when(i % 4 == 0, F.col("user_id").cast("string")).when(i % 4 == 1, F.col("value").cast("string")).when(i % 4 == 2, "n/a").alias("number"),
+        F.when(i % 5 == 0, "2026-02-30").when(i % 5 == 1, day).when(i % 5 == 2, "May 2024").when(i % 5 == 3, F.concat(F.lit(" "), day)).alias("day"),
+    )
+
+
+@query("WITH " + _DIRTY + r"""SELECT id, CASE WHEN trim(name) <> '' AND lower(trim(name)) NOT IN ('null', 'none', 'unknown', 'unnamed', 'undisclosed') THEN trim(name) END AS name,
+    array_to_string(list_transform(list_filter(states, lambda s: s IS NOT NULL AND length(trim(s)) >= 2), lambda s: left(upper(trim(s)), 2)), '|') AS states,
+    CASE WHEN regexp_full_match(trim(number), '[+-]?[0-9]+') THEN try_cast(trim(number) AS INTEGER) END AS whole, try_cast(trim(number) AS DOUBLE) AS number, CASE WHEN regexp_full_match(trim(day), '\d{4}-\d{2}-\d{2}') THEN trim(day) END AS day_text,
+    CASE WHEN regexp_full_match(trim(day), '\d{4}-\d{2}-\d{2}') THEN try_cast(trim(day) AS DATE) END AS day FROM dirty""", domain=False)
+def clean_fields(d):
+    number, day = F.col("number"), F.col("day")
+    return _dirty(d).select("id", clean.clean_str(F.col("name")).alias("name"), F.array_join(clean.clean_states(F.col("states")), "|").alias("states"), clean.clean_int(number).alias("whole"), clean.clean_float(number).alias("number"), clean.clean_date_text(day).alias("day_text"), clean.clean_date(day).alias("day"))
+
+
+@query("""SELECT event_id AS id, ord, event_type AS acquiring_entity, CASE WHEN event_id % 2 = 0 THEN 'VA|CO' ELSE 'TX' END AS states, user_id::INTEGER AS facility_count, value AS deal_value_m, ts::DATE AS acquisition_date
+    FROM events, (SELECT unnest([0, 1]) AS ord) WHERE (ord = 0 OR event_id % 3 = 0) AND event_id % 7 <> 0""", domain=False)
+def extract_json(d):
+    i = F.col("event_id")
+    states = F.when(i % 2 == 0, '["va", "Co"]').otherwise('"tx"')
+    one = F.format_string('{"acquiring_entity": " %s ", "states": %s, "facility_count": %d, "deal_value_m": %s, "acquisition_date": "%s"}', F.col("event_type"), states, F.col("user_id"), F.col("value").cast("string"), F.col("ts").cast("date").cast("string"))
+    reply = F.when(i % 7 == 0, "not json").when(i % 3 == 0, F.concat(F.lit("```json\n["), one, F.lit(", "), one, F.lit("]\n```"))).otherwise(one)
+    rows = extract.cleaned(extract.reply_deals(d.raw("events").select(i.alias("id"), reply.alias("reply"))), "id", "ord")
+    return text_lists(rows.select("id", "ord", "acquiring_entity", "states", "facility_count", "deal_value_m", "acquisition_date"))
+
+
+_RAW_NAMES = [*DISPLAY_NAMES, "620 HEATHWOOD DRIVE OPCO LLC", "Welltower Inc.", "THE ENSIGN AND SNF", "ACME L.L.C.", "CO HEALTH", "Sabra Health Care REIT INC."]
+
+
+def _suffix_sql(expr: str) -> str:
+    for s in NAME_SUFFIXES:
+        expr = f"trim(rtrim(trim(regexp_replace({expr}, '{s}', '', 'gi')), '.,;'))"
+    return expr
+
+
+def _title_sql(x: str) -> str:
+    small = "('of', 'the', 'and', 'at', 'in', 'for', 'to', 'a', 'an')"
+    return f"""array_to_string(list_transform(list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w <> ''), lambda w, i: CASE WHEN i = 1 THEN CASE WHEN length(w) <= 3 AND regexp_full_match(w, '\\p{{L}}+') THEN upper(w) ELSE upper(left(w, 1)) || lower(substr(w, 2)) END
+        WHEN lower(w) IN {small} THEN lower(w) ELSE upper(left(w, 1)) || lower(substr(w, 2)) END), ' ')"""
+
+
+@query("WITH raw AS (SELECT c_custkey AS id, upper(c_name) || (['', ' LLC', ' Inc.', ' Holdings, L.P.', ' OF THE WEST CO'])[c_custkey % 5 + 1] AS name FROM customer UNION ALL SELECT -1 - i, n FROM (SELECT unnest(range(len(l))) AS i, unnest(l) AS n FROM (SELECT "
+       + str(_RAW_NAMES) + f" AS l))), cut AS (SELECT *, {_suffix_sql("rtrim(trim(name), '.,;')")} AS s FROM raw), eased AS (SELECT *, trim(regexp_replace(CASE WHEN upper(s) = s AND lower(s) <> s THEN {_title_sql('s')} ELSE s END, '\\s+', ' ', 'g')) AS e FROM cut)"
+       + " SELECT id, name, coalesce(CASE upper(trim(name)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in DISPLAY_NAMES.items()) + " END, nullif(e, ''), name) AS display FROM eased", domain=False)
+def entity_normalize(d):
+    tails = F.array(*map(F.lit, ("", " LLC", " Inc.", " Holdings, L.P.", " OF THE WEST CO")))
+    rows = d.raw("customer").select(F.col("c_custkey").alias("id"), F.concat(F.upper("c_name"), F.element_at(tails, (F.col("c_custkey") % 5 + 1).cast("int"))).alias("name"))
+    extra = d.spark.createDataFrame([(-1 - i, n) for i, n in enumerate(_RAW_NAMES)], "id long, name string")
+    return rows.union(extra).select("id", "name", names.entity_name(F.col("name")).alias("display"))
+
+
+def _key_sql() -> str:
+    a = "upper(trim(coalesce(acquiring_entity, '')))"
+    for s in KEY_SUFFIXES:
+        a = f"replace({a}, '{s}', '')"
+    generic = ", ".join(f"'{g}'" for g in GENERIC_OPERATORS)
+    op = f"list_min(list_transform(list_filter(operator_names, lambda o: length(trim(o)) > 5 AND lower(trim(o)) NOT IN ({generic})), lambda o: upper(trim(o))))"
+    value = "CASE WHEN deal_value_m <> 0 THEN (round_even(deal_value_m / 10, 0) * 10)::BIGINT::VARCHAR END"
+    parts = [f"trim({a})", "array_to_string(list_sort(list_transform(states, lambda s: upper(s))), ',')", "left(acquisition_date::VARCHAR, 7)", "facility_count::VARCHAR", value, op]
+    return "left(sha256(" + " || '|' || ".join(f"coalesce({p}, '')" for p in parts) + "), 16)"
+
+
+@query(f"SELECT id, {_key_sql()} AS dedup_hash FROM deals")
+def dedup_hash_deals(d):
+    return d.deals.select("id", dedup_hash(*(F.col(c) for c in ("acquiring_entity", "states", "acquisition_date", "facility_count", "deal_value_m", "operator_names"))).alias("dedup_hash"))
+
+
+_COARSE = "SELECT id, article_id % 7 AS article_id, seller_entity AS acquiring_entity, [states[1]] AS states, date_trunc('year', acquisition_date)::DATE AS acquisition_date, facility_count, NULL::DOUBLE AS deal_value_m, []::VARCHAR[] AS operator_names FROM deals"
+
+
+def _coarse(d: Domain) -> DataFrame:
+    """Deals with fewer distinct values, so that many are equal."""
+    none = F.array().cast("array<string>")
+    return d.deals.select("id", (F.col("article_id") % 7).alias("article_id"), F.col("seller_entity").alias("acquiring_entity"), F.slice("states", 1, 1).alias("states"), F.trunc("acquisition_date", "year").alias("acquisition_date"), "facility_count", F.lit(None).cast("double").alias("deal_value_m"), none.alias("operator_names"))
+
+
+@query(f", coarse AS ({_COARSE}), h AS (SELECT id, article_id, {_key_sql()} AS dedup_hash FROM coarse) SELECT min(id) AS id, article_id, dedup_hash FROM h GROUP BY article_id, dedup_hash")
+def dedup_batch(d):
+    return dedup.batch_dedup(_coarse(d), ["id"]).select("id", "article_id", "dedup_hash")
+
+
+@query()
+def dedup_semantic(d):
+    # the value takes part in the hash only, so hash and semantic key differ in what they tell apart
+    rows = _coarse(d).withColumn("deal_value_m", (F.col("id") % 3 * 10).cast("double"))
+    return dedup.greedy_unique(dedup.batch_dedup(rows, ["id"]), ["id"]).select("id", "dedup_hash")
+
+
+_CAND = f"""cand AS (SELECT d.id AS deal_id, o.* FROM (SELECT *, unnest(states) AS state FROM due) d JOIN owners o ON o.provider_state = d.state
+    AND (o.ownership_start_date IS NULL OR o.ownership_start_date BETWEEN coalesce(d.acquisition_date - 180, DATE '{AS_OF}' - 365) AND coalesce(d.acquisition_date + 180, DATE '{AS_OF}' + 180)))"""
+
+
+def _due(d: Domain) -> DataFrame:
+    return feed.recheck_due(d.deals, d.as_of)
+
+
+def _counted(found: DataFrame) -> DataFrame:
+    return found.groupBy("deal_id").agg(F.count("*").alias("n"), F.count("ownership_start_date").alias("dated"), F.max("ownership_start_date").alias("newest"), F.min("ownership_start_date").alias("oldest"))
+
+
+_COUNTED = "SELECT deal_id, count(*) AS n, count(ownership_start_date) AS dated, max(ownership_start_date) AS newest, min(ownership_start_date) AS oldest FROM {} GROUP BY deal_id"
+
+
+@query(f", {_CAND} " + _COUNTED.format("cand"))
+def owner_candidates(d):
+    return _counted(match.candidates(_due(d), d.owners, d.as_of))
+
+
+@query(f", {_CAND}, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY deal_id ORDER BY ownership_start_date DESC NULLS FIRST, ccn, owner_name) AS seq FROM cand) c JOIN due ON due.id = c.deal_id WHERE seq <= CASE WHEN list_has_any(states, {LARGE_STATES}) THEN 5000 ELSE 2000 END) " + _COUNTED.format("top"))
+def candidates_topn(d):
+    due = _due(d)
+    return _counted(match.top_candidates(due, match.candidates(due, d.owners, d.as_of)))
+
+
+_WORDS = "list_distinct(list_filter(regexp_split_to_array(upper({}), '\\s+'), lambda w: length(w) > 2))"
+
+
+@query(f"""SELECT p_partkey, s_suppkey, len(list_intersect({_WORDS.format("p_name || ' ' || s_name")}, {_WORDS.format("p_type || ' ' || s_name")})) / len({_WORDS.format("p_name || ' ' || s_name")}) AS word_score
+    FROM part JOIN supplier ON p_partkey % (SELECT count(*) FROM supplier) = s_suppkey""", domain=False)
+def word_score(d):
+    s = d.raw("supplier")
+    pairs = d.raw("part").join(s, F.col("p_partkey") % s.count() == F.col("s_suppkey"))
+    return pairs.select("p_partkey", "s_suppkey", score.word_score(F.concat_ws(" ", "p_name", "s_name"), F.concat_ws(" ", "p_type", "s_name")).alias("word_score"))
+
+
+@query("""SELECT DISTINCT a.name, b.target FROM (SELECT DISTINCT split_part(p_name, ' ', 1) AS name FROM part UNION SELECT c_name FROM customer) a, (SELECT p_name AS target FROM part UNION SELECT p_type FROM part UNION SELECT right(c_name, 4) FROM customer UNION SELECT '') b
+    WHERE contains(upper(b.target), upper(a.name)) OR contains(upper(a.name), upper(b.target))""", domain=False)
+def substring_match(d):
+    part, c = d.raw("part"), d.raw("customer")
+    name = part.select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("name")).union(c.select("c_name"))
+    target = part.select(F.col("p_name").alias("target")).union(part.select("p_type")).union(c.select(F.right("c_name", F.lit(4)))).union(part.select(F.lit("")))
+    return match.substring_pairs(name, target)
+
+
+@query()
+def fuzzy_match(d):
+    due = _due(d)
+    found = match.matches(due, match.top_candidates(due, match.candidates(due, d.owners, d.as_of)))
+    return found.groupBy("deal_id", "match_score", "match_method", "matched_on_field").agg(F.count("*").alias("n"))
+
+
+_ENRICHED = """enriched AS (SELECT m.id, m.deal_id, m.ccn, f.provider_name AS facility_name, f.five_star_rating, f.staffing_rating, coalesce(f.sff_flag, false) AS sff_flag, coalesce(f.sff_candidate_flag, false) AS sff_candidate_flag FROM matches m LEFT JOIN facilities f ON f.ccn = m.ccn)"""
+
+
+@query(f", {_ENRICHED} SELECT * FROM enriched")
+def enrich_matches(d):
+    return match.enrich(d.matches.select("id", "deal_id", "ccn"), d.facilities)
+
+
+@query(f""", {_ENRICHED} SELECT id, array_to_string(list_filter([CASE WHEN sff_flag THEN 'Special Focus Facility' END, CASE WHEN sff_candidate_flag THEN 'SFF Candidate' END,
+    CASE WHEN five_star_rating <> 0 AND five_star_rating <= 2 THEN 'Low quality rating (' || five_star_rating || '★)' END, CASE WHEN staffing_rating <> 0 AND staffing_rating <= 2 THEN 'Low staffing rating' END], lambda x: x IS NOT NULL), '|') AS policy_flags FROM enriched""")
+def policy_flags(d):
+    return text_lists(match.with_flags(match.enrich(d.matches.select("id", "ccn"), d.facilities)).select("id", "policy_flags"))
+
+
+@query(f"""SELECT id, best_score, CASE WHEN best_score >= 85 THEN 'confirmed' WHEN best_score >= 70 THEN 'pending_cms' ELSE 'detected' END AS stage, CASE WHEN best_score >= 85 THEN 'high' WHEN best_score >= 70 THEN 'partial' END AS confidence,
+    CASE WHEN best_score >= 85 THEN NULL ELSE DATE '{AS_OF}' + 7 END AS recheck_after FROM deals LEFT JOIN (SELECT deal_id, max(match_score) AS best_score FROM matches GROUP BY 1) m ON m.deal_id = deals.id""")
+def stage_assign(d):
+    return match.staged(d.deals, d.matches, d.as_of)
+
+
+@query(f"""SELECT d.id, coalesce(x.stage, d.stage) AS stage, CASE WHEN x.id IS NOT NULL THEN x.confidence ELSE d.confidence END AS confidence, CASE WHEN x.id IS NOT NULL THEN x.recheck_after ELSE d.recheck_after END AS recheck_after, d.recheck_count + (x.id IS NOT NULL)::INTEGER AS recheck_count
+    FROM deals d LEFT JOIN (SELECT due.id, CASE WHEN s >= 85 THEN 'confirmed' WHEN s >= 70 THEN 'pending_cms' ELSE 'detected' END AS stage, CASE WHEN s >= 85 THEN 'high' WHEN s >= 70 THEN 'partial' END AS confidence, CASE WHEN s >= 85 THEN NULL ELSE DATE '{AS_OF}' + 7 END AS recheck_after
+    FROM due LEFT JOIN (SELECT deal_id, max(match_score) AS s FROM matches GROUP BY 1) m ON m.deal_id = due.id) x ON x.id = d.id""")
+def recheck_applied(d):
+    decided = match.staged(_due(d), d.matches, d.as_of)
+    return upsert.change_stage(d.deals, decided, F.lit(AS_OF).cast("timestamp_ntz")).select("id", "stage", "confidence", "recheck_after", "recheck_count")
+
+
+def _chow_raw(d: Domain) -> DataFrame:
+    o = d.raw("orders").join(d.raw("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    k, day = F.col("o_orderkey"), F.col("o_orderdate")
+    cols = [F.when(k % 11 != 0, F.concat(F.lit(" "), "c_name")), F.when(k % 3 != 0, F.col("c_mktsegment")), (k % 500).cast("string"), F.lit("CHANGE OF OWNERSHIP"), F.when(k % 13 == 0, "bad").otherwise(F.date_format(day, "M/d/yyyy")), F.when(k % 5 != 0, F.concat(F.lit("N"), (k % 9).cast("string")))]
+    from ..schemas import CHOW_COLUMNS
+
+    return o.select(*(c.alias(n) for c, n in zip(cols, CHOW_COLUMNS, strict=True)), k.alias("seq"))
+
+
+_CHOW = """raw AS (SELECT o_orderkey AS seq, trim(coalesce(CASE WHEN o_orderkey % 11 <> 0 THEN c_name END, '')) AS buyer, CASE WHEN o_orderkey % 3 <> 0 THEN c_mktsegment ELSE '' END AS seller, (o_orderkey % 500)::VARCHAR AS ccn, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderdate::DATE END AS effective,
+    strftime(o_orderdate, '%-m/%-d/%Y') AS day, CASE WHEN o_orderkey % 5 <> 0 THEN 'N' || o_orderkey % 9 ELSE '' END AS state FROM orders JOIN customer ON o_custkey = c_custkey)"""
+
+
+@query(f"""WITH {_CHOW} SELECT '{registry.CHOW_URL}#ccn-' || ccn || '-' || replace(day, '/', '-') AS url, '[CHOW] ' || buyer || ' acquires ' || coalesce(nullif(seller, ''), 'facility') || ' (CCN: ' || ccn || ')' AS title, buyer AS acquiring_entity, nullif(seller, '') AS seller_entity, state AS states, effective AS acquisition_date, length('{chr(10)}') AS one
+    FROM (SELECT *, row_number() OVER (PARTITION BY ccn, day ORDER BY seq) AS n FROM raw WHERE effective > DATE '{AS_OF}' AND buyer <> '') WHERE n = 1""", domain=False)
+def chow_deals(d):
+    rows = chow.chow_deals(_chow_raw(d), d.as_of)
+    return text_lists(rows.select("url", "title", "acquiring_entity", "seller_entity", "states", "acquisition_date", F.length(F.lit("\n")).cast("long").alias("one")))
+
+
+@query(f"""WITH {_CHOW} SELECT 'chow://ccn-' || ccn || '-' || replace(day, '/', '') AS url, '[CHOW] ' || buyer || ' acquires from ' || seller AS title, 'chow-' || ccn || '-' || replace(day, '/', '') AS dedup_hash, effective AS acquisition_date
+    FROM (SELECT *, row_number() OVER (PARTITION BY ccn, replace(day, '/', '') ORDER BY seq) AS n FROM raw WHERE effective >= DATE '{AS_OF}' AND buyer <> '') WHERE n = 1""", domain=False)
+def chow_backfill(d):
+    return chow.chow_backfill(_chow_raw(d), d.as_of).select("url", "title", "dedup_hash", "acquisition_date")
+
+
+@query("""SELECT 'https://www.sec.gov/Archives/edgar/data/' || coalesce(nullif((o_custkey % 100)::VARCHAR, '0'), '0') || '/' || lpad((o_orderkey % 5000)::VARCHAR, 10, '0') || '26000001/doc.htm' AS url, '[EDGAR 8-K] ' || CASE WHEN o_orderkey % 4 = 0 THEN 'Unknown' ELSE c_name END || ' — filed ' || o_orderdate::DATE AS title, o_orderdate::DATE AS published_at
+    FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey % 5000, o_custkey % 100 ORDER BY o_orderkey) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 6 <> 0) WHERE n = 1""", domain=False)
+def edgar_hits(d):
+    k = F.col("o_orderkey")
+    o = d.raw("orders").join(d.raw("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    file_id = F.concat(F.lpad((k % 5000).cast("string"), 10, "0"), F.lit("-26-000001:doc.htm"))
+    source = F.struct(F.when(k % 6 != 0, F.col("o_orderdate").cast("date").cast("string")).alias("file_date"), F.when(k % 4 != 0, F.array("c_name")).otherwise(F.array().cast("array<string>")).alias("display_names"), F.array(F.lpad((F.col("o_custkey") % 100).cast("string"), 10, "0")).alias("ciks"))
+    hits = F.struct(F.array(F.struct(file_id.alias("_id"), source.alias("_source"))).alias("hits"))
+    return feeds.filing_articles(o.select(k.alias("seq"), hits.alias("hits"))).select("url", "title", F.col("published_at").cast("date").alias("published_at"))
+
+
+
+@query("""SELECT page_id AS id, 'https://n.example/a+' || page_id || '?q=1' AS url, CASE WHEN page_id % 3 = 0 THEN 'https://n.example/a+' || page_id || '?q=1' ELSE 'Title ' || page_id END AS title FROM pages""", domain=False)
+def mail_plain(d):
+    k = F.col("page_id").cast("string")
+    title = F.when(F.col("page_id") % 3 == 0, "- x").otherwise(F.concat(F.lit("  Title "), k))
+    body = F.concat(title, F.lit("\nabc\n<https://www.google.com/url?rct=j&sa=t&url=https://n.example/a+"), k, F.lit("%3Fq%3D1&ct=ga>\n<https://www.google.com/url?x=1&url=https://google.com/b&ct=1>"))
+    return mail.plain_links(d.raw("pages").select(F.col("page_id").alias("id"), body.alias("body"))).select("id", "url", "title")
+
+
+@query("SELECT page_id AS id, pos, 'https://n.example/' || page_id || '/' || pos AS url, 'T ' || pos AS title FROM pages, (SELECT unnest([0, 1]) AS pos)", domain=False)
+def mail_html(d):
+    k = F.col("page_id").cast("string")
+    one = lambda i: F.concat(F.lit('<a href="https://www.google.com/url?rct=j&url=https%3A%2F%2Fn.example%2F'), k, F.lit(f'%2F{i}&ct=ga" style="x"> T {i} </a>'))
+    return mail.html_links(d.raw("pages").select(F.col("page_id").alias("id"), F.concat(one(0), F.lit("<p>"), one(1)).alias("body"))).select("id", "pos", "url", "title")
+
+
+@query("SELECT 'm' || page_id AS url FROM pages WHERE false", domain=False)
+def mail_unlinked(d):
+    """Messages whose MIME parts hold no links give no articles; those with links are tested on fixtures."""
+    part = F.struct(F.lit("text/html").alias("mimeType"), F.struct(F.translate(F.base64(F.encode("html", "UTF-8")), "+/", "-_").alias("data")).alias("body"), F.lit(None).cast("array<struct<mimeType: string, body: struct<data: string>>>").alias("parts"))
+    payload = F.struct(F.lit("multipart/mixed").alias("mimeType"), F.array(F.struct(F.lit("Date").alias("name"), F.lit("Mon, 12 Jan 2026 06:00:00 +0000").alias("value"))).alias("headers"), F.lit(None).cast("struct<data: string>").alias("body"), F.array(part).alias("parts"))
+    return mail.alert_articles(d.raw("pages").select(F.col("page_id").cast("string").alias("id"), payload.alias("payload")), d.as_of).select("url")
+
+
+@query()
+def html_text_pages(d):
+    return d.raw("pages").select("page_id", html_text(F.col("html")).alias("text"))
+
+
+@query("""SELECT source_rank, seq, url FROM (SELECT 0 AS source_rank, doc_id AS seq, 'https://example.org/a/' || doc_id AS url FROM documents WHERE doc_id % 2 = 1 UNION ALL SELECT 1, page_id, url FROM pages) ORDER BY source_rank, seq LIMIT 50""", domain=False)
+def source_union_cap(d):
+    first = d.articles.filter("id % 2 = 1").select(F.col("id").alias("seq"), "url", "title")
+    return feeds.newest_first_union([first, d.raw("pages").select(F.col("page_id").alias("seq"), "url")], 50).select("source_rank", "seq", "url")
+
+
+@query("""SELECT ccn, owner_name, ownership_start_date, provider_state, CASE WHEN ccn::INTEGER % 2 = 0 THEN 'new ' || provider_name ELSE provider_name END AS provider_name FROM owners WHERE ownership_start_date IS NOT NULL AND ccn::INTEGER % 3 <> 0
+    UNION ALL SELECT ccn, owner_name, ownership_start_date, 'XX', 'new ' || provider_name FROM owners WHERE ownership_start_date IS NOT NULL AND ccn::INTEGER % 6 = 0""")
+def upsert_owners(d):
+    owners = d.owners.filter("ownership_start_date IS NOT NULL").drop("owner_type")
+    new = owners.filter("cast(ccn as int) % 2 = 0").withColumn("provider_name", F.concat(F.lit("new "), "provider_name")).withColumn("provider_state", F.lit("XX"))
+    return upsert.upsert(owners.filter("cast(ccn as int) % 3 <> 0"), new, ["ccn", "owner_name", "ownership_start_date"], ["provider_name"])
+
+
+@query("""SELECT ccn, CASE WHEN ccn::INTEGER % 2 = 0 THEN 'new' ELSE provider_name END AS provider_name, CASE WHEN ccn::INTEGER % 2 = 0 THEN 5 ELSE five_star_rating END AS five_star_rating, CASE WHEN ccn::INTEGER % 2 = 0 AND ccn::INTEGER % 4 = 0 THEN true ELSE sff_flag END AS sff_flag FROM facilities""")
+def upsert_facilities(d):
+    f = d.facilities.select("ccn", "provider_name", "five_star_rating", "sff_flag")
+    even = f.filter("cast(ccn as int) % 2 = 0").withColumn("five_star_rating", F.lit(5)).withColumn("provider_name", F.lit("new"))
+    # added rows keep their flag, updated ones only the columns named
+    new = even.withColumn("sff_flag", F.when(F.col("ccn").cast("int") % 4 == 0, True).otherwise(F.col("sff_flag")))
+    return upsert.upsert(f.filter("cast(ccn as int) % 4 <> 0"), new, ["ccn"], ["provider_name", "five_star_rating"])
+
+
+@query("SELECT id, deal_id, match_score FROM matches WHERE deal_id % 2 = 1 UNION ALL SELECT id + 5, deal_id, 99 FROM matches WHERE deal_id % 2 = 0 AND match_score > 80 UNION ALL SELECT id, deal_id, match_score FROM matches m WHERE deal_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM matches x WHERE x.deal_id = m.deal_id AND x.match_score > 80)")
+def replace_matches(d):
+    m = d.matches.select("id", "deal_id", "match_score")
+    new = m.filter("deal_id % 2 = 0 AND match_score > 80").select((F.col("id") + 5).alias("id"), "deal_id", F.lit(99).alias("match_score"))
+    return upsert.replace_groups(m, new, "deal_id")
+
+
+@query("SELECT user_id, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY user_id", domain=False)
+def poll_stream(d):
+    """The events table as a stream of files: each (user, type) is appended once, and what was appended is counted."""
+    import tempfile
+
+    schema = d.raw("events").schema.simpleString()[len("struct<") : -1].replace(":", " ")
+    at = d.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-poll-")
+    import uuid
+
+    table, state = (f"{at.rstrip('/')}/poll-{uuid.uuid4().hex}-{x}" for x in ("table", "state"))
+    rows = poll.landed(d.spark, d.dir, schema, "events.parquet").withColumn("url", F.concat_ws("/", F.col("user_id").cast("string"), "event_type"))
+    poll.append_unknown(rows, table, state).start().awaitTermination()
+    return d.spark.read.parquet(table).groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts)::DATE AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2", domain=False)
+def events_per_day(d):
+    return poll.per_window(d.raw("events"), "ts", "1 day", "event_type").select(F.col("window.start").cast("date").alias("day"), "event_type", "n")
