@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Share of common words below which no score reaches the match threshold: (0.70 - 0.3) / 0.7 is 0.571.
 WORD_FLOOR = 0.57
@@ -29,7 +30,7 @@ def is_substring(name: Column, owner: Column) -> Column:
     return F.contains(n, o) | F.contains(o, n)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def fuzzy_score(name: pd.Series, target: pd.Series) -> pd.Series:
     """0 to 100 from common words (0.7) and matching character runs (0.3), cut off to a whole number."""
 
