@@ -144,12 +144,13 @@ class Block:
             k, m = int(self.k[x]), int(self.m[x])
             low = c * (k + 1) - m
             body = data[start[t] : start[t] + size[t]]
-            region = body[max(0, low) : low + 2 * (k + 1) + m + k]
-            at = region.tobytes().find(self.items[x].tobytes())
             # an occurrence leaves the band of its shared grams by k diagonals at most
-            edits = 0 if at >= 0 else align(self.items[x], region, min(0, low) - k, 2 * (k + 1) + 2 * k + 1, k)
+            begin = max(0, low - k)
+            region = body[begin : low + 2 * (k + 1) + m + 2 * k]
+            at = region.tobytes().find(self.items[x].tobytes())
+            edits = 0 if at >= 0 else align(self.items[x], region, low - k - begin, 2 * (k + 1) + 2 * k, k)
             if edits <= k and edits < found.get((t, x), (0, k + 1))[1]:
-                found[t, x] = (max(0, low) + max(at, 0), edits)
+                found[t, x] = (begin + max(at, 0), edits)
         return [(t, x, *v) for (t, x), v in found.items()]
 
 
