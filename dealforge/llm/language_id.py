@@ -9,7 +9,7 @@ taken out of them before they count as its prior.
 
 An extra class ``und`` holds a uniform likelihood, so that texts of no known
 language, and texts without letters (null and empty ones too), come out as
-``und``. A null address or declaration counts as a value of its own.
+``und``; without labelled rows every text does. A null address or declaration counts as a value of its own.
 Repeated rows each get a result. Extra columns are dropped by ``identify``.
 """
 
@@ -127,7 +127,7 @@ def identify(rows: DataFrame, model: TextModel, *, markup: bool = False) -> Data
     base = rows.select("id", *(F.coalesce(x, F.lit("")).alias(x) for x in ("host", "domain", "suffix")), named.alias("declared"), F.coalesce("text", F.lit("")).alias("text"))
     liked = base.mapInPandas(score, "id long, host string, domain string, suffix string, declared string, n_trigrams long, like array<double>")
 
-    start = [math.log((1 - UND_PRIOR) / (k - 1))] * (k - 1) + [math.log(UND_PRIOR)]
+    start = [math.log((1 - UND_PRIOR) / (k - 1))] * (k - 1) + [math.log(UND_PRIOR)] if known else [0.0]
     prior = F.array(*map(F.lit, start))
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
 
