@@ -71,9 +71,13 @@ class TextModel:
 
 def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = FIT_ROWS) -> TextModel:
     """Fit on at most ``rows`` labelled rows of each of at most ``FIT_LANGS`` languages."""
-    rows_of = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.col(lang) != UND)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(key).alias("h"))
-    most = W.partitionBy("lang").orderBy("h")
-    sample = rows_of.withColumn("n", F.row_number().over(most)).filter(F.col("n") <= rows)
+    named = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.col(lang) != UND)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(key).alias("h"))
+    most = named.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(FIT_LANGS).collect()
+    # Large languages are thinned by hash to some four times the rows before the smallest hashes are taken, so what is sorted has a fixed size.
+    share = F.coalesce(*(F.when(F.col("lang") == r["lang"], min(1 << 30, int((4 * rows + 1000) / r["n"] * (1 << 30)) + 1)) for r in most), F.lit(0)) if most else F.lit(0)
+    thinned = named.filter(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < share)
+    first = W.partitionBy("lang").orderBy("h")
+    sample = thinned.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= rows)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
