@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blobs import answer, gather, layout, rows
-from .common import cut
+from .common import cut, small_or_merged
 from .components import components
 from .windows import mix
 from .words import WordArrays, parts
@@ -240,7 +240,7 @@ def linked_components(docs: DataFrame, *, n: int = 3, threshold: Fraction = Frac
 
     # blocks of large cells meet pairwise; a block's number comes from a hash, so blocks are even
     sizes = cells.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    placed = cells.join(cut(sizes.filter("blocks > 1")).hint("merge"), "lead", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = cells.join(small_or_merged(cut(sizes.filter("blocks > 1"))), "lead", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     placed = placed.withColumn("own", F.pmod(F.xxhash64("id", "lead"), F.col("blocks")))
     pairs = placed.select("lead", "id", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     asked = pairs.select("id", "lead", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own").distinct().withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(n_batches)))
