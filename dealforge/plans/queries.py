@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import clean, names, score
+from ..functions import clean, display, names, score
 from ..functions.keys import dedup_hash
 from ..functions.text import about_acquisitions, html_text, text_gate
 from ..operators import dedup, extract, feed, match, upsert
@@ -98,6 +98,15 @@ def deal_detail(d):
     return rows.select("id", "stage", "source_url", F.col("published_at").cast("string").alias("published_at"), cell.alias("cms_matches"))
 
 
+@query(f"""SELECT id, CASE DATE '{AS_OF}' - coalesce(acquisition_date, created_at::DATE) WHEN 0 THEN 'Today' WHEN 1 THEN 'Yesterday' ELSE CASE WHEN DATE '{AS_OF}' - coalesce(acquisition_date, created_at::DATE) < 7 THEN (DATE '{AS_OF}' - coalesce(acquisition_date, created_at::DATE)) || ' days ago'
+    ELSE strftime(coalesce(acquisition_date, created_at::DATE), '%b %-d, %Y') END END AS day, '$' || printf('%.1f', deal_value_m) || 'M' AS value, created_at > TIMESTAMP '{AS_OF}' - INTERVAL 48 HOUR AS fresh,
+    CASE source_type WHEN 'chow' THEN 'Federal Record' WHEN 'edgar' THEN 'SEC Filing' ELSE 'News' END AS source, acquiring_entity || ' acquired from ' || seller_entity AS headline FROM full_deals WHERE stage <> 'dismissed'""")
+def feed_cards(d):
+    rows = feed.with_article(d.deals, d.articles, d.sources).filter("stage <> 'dismissed'")
+    day = F.coalesce("acquisition_date", F.col("created_at").cast("date"))
+    return rows.select("id", display.day_label(day, d.as_of).alias("day"), display.millions(F.col("deal_value_m")).alias("value"), display.is_new(F.col("created_at"), F.lit(AS_OF).cast("timestamp_ntz")).alias("fresh"), display.source_label(F.col("source_type")).alias("source"), display.headline(F.col("acquiring_entity"), F.col("seller_entity"), F.col("facility_names")).alias("headline"))
+
+
 @query("""SELECT acquisition_date, acquiring_entity, seller_entity, array_to_string(states, ', ') AS states, facility_count, deal_value_m, array_to_string(operator_names, '; ') AS operators, array_to_string(facility_names, '; ') AS facilities,
     source_type, source_url, array_to_string(ccns, ', ') AS ccns FROM full_deals d LEFT JOIN ccns ON ccns.deal_id = d.id WHERE stage <> 'dismissed' ORDER BY acquisition_date DESC NULLS LAST, id LIMIT 5000""")
 def csv_export(d):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.clean import stripped
@@ -11,6 +11,22 @@ from ..operators.dedup import first_by
 
 FILINGS_AT = "https://www.sec.gov/Archives/edgar/data"
 
+# Companies and words that filings are searched by.
+FILING_COMPANIES = [
+    "Welltower", "Sabra Health Care", "CareTrust REIT", "Omega Healthcare", "National Health Investors", "LTC Properties",
+    "Ensign Group", "Genesis Healthcare", "Brookdale Senior Living", "SavaSeniorCare", "ProMedica", "Kindred Healthcare",
+    "Diversicare", "National HealthCare", "Communicare Health", "Trilogy Health", "Prestige Healthcare",
+]
+COMPANY_WORDS = '"acquisition" "skilled nursing"'
+BROAD_WORDS = '"nursing home acquisition" OR "skilled nursing facility acquisition" OR "SNF portfolio"'
+
+
+def filing_requests(spark: SparkSession, as_of: Column, days: int = 7) -> DataFrame:
+    """The searches whose landed answers ``filing_articles`` reads, in their order: seq, q, entity, forms, startdt, enddt."""
+    rows = [(i, COMPANY_WORDS, c, "8-K") for i, c in enumerate(FILING_COMPANIES)] + [(len(FILING_COMPANIES), BROAD_WORDS, None, "8-K")]
+    day = as_of.cast("date")
+    return spark.createDataFrame(rows, "seq int, q string, entity string, forms string").withColumns({"startdt": F.date_sub(day, days), "enddt": day})
+
 
 def entry_date(*fields: Column) -> Column:
     """The first date that can be read."""

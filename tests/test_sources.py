@@ -84,3 +84,8 @@ def test_text(spark):
     assert [r.t for r in df.select(html_text(F.col("h")).alias("t")).collect()] == ["One & two\nthree", None, None]
     arts = spark.createDataFrame([("x" * 149,), (" " + "x" * 150,), ("word " * 2000,), (None,)], "t string")
     assert [(r.n_words, r.truncated, len(r.t)) for r in text_gate(arts, "t").orderBy("n_words").collect()] == [(1, True, 151), (2000, False, 8000)]
+
+
+def test_filing_requests(spark):
+    got = feeds.filing_requests(spark, now()).orderBy("seq").collect()
+    assert len(got) == 18 and got[-1].entity is None and (got[0].startdt, got[0].enddt) == (D(2026, 1, 13), D(2026, 1, 20))
