@@ -41,6 +41,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write to a new table in the shared folder and read it back: as ``cut``, but compressed."""
+    at = fresh_dir(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+#: Rows of a stored table of a few numbers a row (about 32 MB) up to which it is broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def small_or_merged(table: DataFrame) -> DataFrame:
+    """A side of a join: broadcast if its counted rows are few, else hinted to a merge join. ``table`` must be cheap to count."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table.hint("merge")
+
+
 def lower_az(text: str) -> str:
     """Lower-case A-Z and nothing else."""
     return text.translate(_LOWER) if not text.isascii() else text.lower()

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, lower_az_col
+from .common import BROADCAST_ROWS, cut, lower_az_col, small_or_merged, stored
 
 MIN_WORDS = 8
 _LAST = (1 << 63) - 1
@@ -48,12 +48,18 @@ def _place() -> Column:
 
 
 def _lines_of(texts: DataFrame, places: DataFrame) -> DataFrame:
-    """key, row, ln, words of the given places; texts are shuffled by document, and that exchange is used again."""
+    """key, row, ln, words of the given places, ``places`` being a stored table.
+
+    Few places go to the texts; else texts and places meet by document.
+    """
+    if places.count() <= BROADCAST_ROWS:
+        lines = texts.select("key", "row", F.posexplode(F.split("text", "\n")).alias("ln", "line")).join(F.broadcast(places), _PLACE, "left_semi")
+        return lines.select(*_PLACE, line_words(F.col("line")).alias("words"))
     wanted = places.groupBy("key", "row").agg(F.collect_set("ln").alias("lns"))
     # generated as one row: the text is split once, not once for each line taken
     split = texts.join(wanted.hint("merge"), ["key", "row"]).select("key", "row", "lns", F.explode(F.array(F.split("text", "\n"))).alias("lines"))
     taken = split.select("key", "row", F.explode(F.transform("lns", lambda n: F.struct(n.alias("ln"), F.element_at("lines", n + 1).alias("line")))).alias("x"))
-    return taken.select("key", "row", "x.ln", F.explode(F.array(line_words(F.col("x.line")))).alias("words"))
+    return taken.select("key", "row", "x.ln", line_words(F.col("x.line")).alias("words"))
 
 
 def _without(words: Column, j: Column) -> Column:
@@ -78,17 +84,18 @@ def removed_lines(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     long_enough = n >= min_words
     sides = F.when(long_enough, F.array_distinct(F.array(*keys)))
     slim = occ.select(*_PLACE, "n", "h1", "h2", sides.alias("halves"))
-    first = cut(slim.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("halves").alias("halves")))
-    equal = occ.select(*_PLACE, "h1", "h2").join(first.filter("copies > 1").select("h1", "h2", "first").hint("merge"), ["h1", "h2"]).filter(_place() > F.col("first"))
+    first = stored(slim.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count("*").alias("copies"), F.max("halves").alias("halves")), "lines")
+    repeated = first.filter("copies > 1").select("h1", "h2", "first")
+    equal = occ.select(*_PLACE, "h1", "h2").join(small_or_merged(repeated), ["h1", "h2"]).filter(_place() > F.col("first"))
     equal = equal.select(*_PLACE, F.lit(False).alias("near"))
 
     # lines that share a half with another line
     halves = first.filter("halves IS NOT NULL").select("h1", F.col("first.*"), F.explode("halves").alias("half"))
     shared = cut(halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a < b").select("half"))
-    candidates = halves.join(shared.hint("merge"), "half").select(*_PLACE)
+    candidates = stored(halves.join(small_or_merged(shared), "half").select(*_PLACE).distinct(), "candidates")
 
     # their variants; each word's hash is taken with its place before and after a deletion
-    lines = _lines_of(texts, candidates)
+    lines = stored(_lines_of(texts, candidates), "candidate-lines")
     each = lines.select(*_PLACE, F.size("words").alias("n"), F.posexplode("words").alias("j", "word"))
     each = each.withColumn("t", F.xxhash64("word", "j")).withColumn("u", F.xxhash64("word", F.col("j") - 1))
     whole, before = W.partitionBy(*_PLACE), W.partitionBy(*_PLACE).orderBy("j").rowsBetween(W.unboundedPreceding, -1)
@@ -100,7 +107,7 @@ def removed_lines(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     kept = hashed.filter("j = 0").select(*_PLACE, F.lit(-1).alias("j"), F.xxhash64("own", "n").alias("v"))
     variants = deleted.union(kept)
     met = cut(variants.groupBy("v").agg(F.count("*").alias("c")).filter("c > 1").select("v"))
-    variants = cut(variants.join(met.hint("merge"), "v"))
+    variants = cut(variants.join(small_or_merged(met), "v"))
 
     # the earliest of equal keys: words replaced at the same place, or one word more or less
     gone, whole_line = variants.filter("j >= 0"), variants.filter("j < 0")
@@ -112,10 +119,8 @@ def removed_lines(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     ]
     named = [p.select(*_PLACE, "j", F.col("first.key").alias("key2"), F.col("first.row").alias("row2"), F.col("first.ln").alias("ln2"), F.col("first.j").alias("j2")) for p in pairs]
     pairs = cut(reduce(DataFrame.union, named).filter(_place() > F.struct("key2", "row2", "ln2")))
-    ends = pairs.select(*_PLACE).union(pairs.select("key2", "row2", "ln2")).distinct()
-    held = cut(_lines_of(texts, ends))
-    other = held.select(*(F.col(c).alias(c + "2") for c in [*_PLACE, "words"]))
-    checked = pairs.join(held.hint("merge"), _PLACE).join(other.hint("merge"), ["key2", "row2", "ln2"])
+    other = lines.select(*(F.col(c).alias(c + "2") for c in [*_PLACE, "words"]))
+    checked = pairs.join(lines.hint("merge"), _PLACE).join(other.hint("merge"), ["key2", "row2", "ln2"])
     left = lambda w, j: F.when(F.col(j) < 0, F.col(w)).otherwise(_without(F.col(w), F.col(j)))
     near = checked.filter((left("words", "j") == left("words2", "j2")) & (F.size("words") >= min_words) & (F.size("words2") >= min_words)).select(*_PLACE, F.lit(True).alias("near"))
     return equal.union(near).groupBy(*_PLACE).agg(F.bool_and("near").alias("near"))
