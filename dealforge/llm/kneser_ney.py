@@ -48,6 +48,8 @@ END, BEGIN = np.uint64(0x454E44), np.uint64(0x424547494E)
 #: Tokens that a task counts before it sends what it has.
 FLUSH_TOKENS = 3_000_000
 BUCKET_BYTES = 16 << 20
+#: Text that is scored together: equal bigrams in it are looked up once.
+SCORE_BYTES = 4 << 20
 #: Rows from which very frequent first words are guessed. This only spreads work; counts are of all rows.
 HOT_SAMPLE = 2000
 
@@ -287,7 +289,7 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """``keep`` columns and n_tokens, n_known, base_score, score (log10) of each text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in parts(batches):
+        for b in parts(batches, SCORE_BYTES):
             yield b[list(keep)].reset_index(drop=True).assign(**model.score(b["body"].tolist()))
 
     kept = docs.select(*keep)

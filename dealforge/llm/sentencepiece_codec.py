@@ -18,6 +18,7 @@ import re
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 MARK = "▁"
 _CHUNKS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Distinct words that a worker keeps segmented. Reaching it only means segmenting again.
-TABLE_WORDS = 200_000
+TABLE_WORDS = 100_000
 
 
 class ChunkCodec:
@@ -140,7 +141,19 @@ def roundtrip_digests(docs: DataFrame, model_path: str) -> DataFrame:
 
 
 def encode_and_decode(docs: DataFrame, model_path: str, *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, n_tokens, token_ids (end id last) and text, which is decoded from the ids."""
-    encoded = encode(docs, model_path, keep=keep)
-    both = decode(encoded, model_path, keep=(*keep, "token_ids"))
-    return both.withColumn("n_tokens", F.size("token_ids").cast("long"))
+    """``keep`` columns, n_tokens, token_ids (end id last) and text, which is decoded from the ids; one worker does both."""
+    model = Path(model_path).read_bytes()
+    schema = docs.select(*keep).schema.add("n_tokens", T.LongType()).add("token_ids", T.ArrayType(T.IntegerType())).add("text", T.StringType())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codec = ChunkCodec(model)
+        for b in batches:
+            for part in (b[i : i + 64] for i in range(0, len(b), 64)):
+                out = part[list(keep)].copy()
+                ids = list(codec.encode_batch(part["__text"].tolist()))
+                out["n_tokens"] = list(map(len, ids))
+                out["text"] = list(map(codec.decode, ids))
+                out["token_ids"] = [np.array(x, np.int32) for x in ids]
+                yield out
+
+    return docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("__text")).mapInPandas(run, schema)

@@ -15,7 +15,7 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Texts that a task looks at together, in bytes; a longer text is looked at alone.
-PART_BYTES = 4 << 20
+PART_BYTES = 1 << 20
 
 
 class WordArrays:
