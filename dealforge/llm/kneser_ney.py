@@ -50,7 +50,7 @@ FLUSH_TOKENS = 3_000_000
 BUCKET_BYTES = 16 << 20
 #: Text that is scored together: equal bigrams in it are looked up once.
 SCORE_BYTES = 4 << 20
-#: Rows from which very frequent first words are guessed. This only spreads work; counts are of all rows.
+#: Rows, about, from which very frequent first words are guessed. This only spreads work; counts are of all rows.
 HOT_SAMPLE = 2000
 
 
@@ -187,8 +187,9 @@ def train(docs: DataFrame) -> Model:
         raise ValueError("the model's folder must be one that workers can map: set spark.checkpoint.dir to a mounted folder")
     folder = uri.path
     os.makedirs(folder, exist_ok=True)
-    rows = docs.select(F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("body"), F.xxhash64("text").alias("h"))
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = docs.select(F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("body"), F.xxhash64("doc_id").alias("h"))
+    total, n_docs = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    total = total or 0
     n_buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
 
     def first_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -198,7 +199,8 @@ def train(docs: DataFrame) -> Model:
             yield pd.DataFrame({"u": u.view(np.int64)[most], "n": n[most]})
 
     # Words with more than a quarter of a bucket's fair share are spread; there can be 4 * n_buckets of them at most.
-    sample = rows.orderBy("h").limit(HOT_SAMPLE).select("body").mapInPandas(first_words, "u long, n long").groupBy("u").agg(F.sum("n").alias("n"))
+    share = int(HOT_SAMPLE / max(n_docs, 1) * (1 << 30)) + 1
+    sample = rows.filter(F.pmod("h", F.lit(1 << 30)) < share).select("body").mapInPandas(first_words, "u long, n long").groupBy("u").agg(F.sum("n").alias("n"))
     often = sample.orderBy(F.col("n").desc(), "u").limit(4 * n_buckets).toPandas()
     seen = sample.agg(F.sum("n")).first()[0] or 1
     hot = np.sort(often["u"].to_numpy(np.int64)[(often["n"] * 4 * n_buckets > seen).to_numpy()].view(np.uint64))
@@ -282,7 +284,7 @@ def train(docs: DataFrame) -> Model:
     d1 = _discounts([x["w1"], x["w2"], x["w3"], x["w4"]])
     more = x["vocabulary"] - x["w1"] - x["w2"]
     left_over = (d1[0] * x["w1"] + d1[1] * x["w2"] + d1[2] * more) / x["bigrams"] if x["bigrams"] else 1.0
-    return Model(folder, n_buckets, hot, x["tokens"], x["vocabulary"], docs.count(), x["bigrams"], _discounts([x["p1"], x["p2"], x["p3"], x["p4"]]), d1, left_over)
+    return Model(folder, n_buckets, hot, x["tokens"], x["vocabulary"], n_docs, x["bigrams"], _discounts([x["p1"], x["p2"], x["p3"], x["p4"]]), d1, left_over)
 
 
 def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
