@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Rows from which the pivots and the first thresholds are taken: those with the smallest hash of vec_id.
+#: Rows from which the pivots and the first thresholds are taken: those with the smallest hash of vec_id among a thinned part.
 SAMPLE_ROWS = 2000
 N_PIVOTS = 32
 #: Rows packed into one block, of candidates and of queries.
@@ -132,7 +132,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, *, n_pivots: int =
     # partial sums stay below the largest square norm, so whole numbers stay exact
     if most >= 2.0**53:
         raise ValueError("components are too large for exact scores")
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).toPandas()
+    # thinned by hash first, so that a task sends a few rows only
+    thin = vectors.filter(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(1 << 30)) < int(min(1.0, (2 * SAMPLE_ROWS + 100) / n) * (1 << 30)))
+    sample = thin.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).toPandas()
+    if not len(sample):
+        sample = vectors.limit(SAMPLE_ROWS).toPandas()
     s_ids, s_v = sample["vec_id"].to_numpy(), _matrix(sample["v"], dim)
     pivots = _pivots(s_v, n_pivots)
     n_c, n_b = -(-n // CANDIDATE_BLOCK), -(-n_q // QUERY_BLOCK)
