@@ -184,3 +184,12 @@ def deduplicate(docs: DataFrame, *, k: int = 50) -> DataFrame:
             yield out
 
     return _with_gone(docs, k).mapInPandas(run, "doc_id long, kept string, spans array<struct<start: long, end: long>>")
+
+
+ORACLE = """
+    WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+    p AS (SELECT doc_id, i, ws[i] AS word, CASE WHEN i + 49 <= len(ws) THEN array_to_string(ws[i:i + 49], ' ') END AS w FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM d)),
+    m AS (SELECT w, min(doc_id) AS low FROM p WHERE w IS NOT NULL GROUP BY w HAVING min(doc_id) < max(doc_id)),
+    c AS (SELECT doc_id, i, word, max(m.low < doc_id) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) IS TRUE AS gone FROM p LEFT JOIN m USING (w))
+    SELECT d.doc_id, len(any_value(ws)) AS n_words, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+    FROM d LEFT JOIN c USING (doc_id) GROUP BY d.doc_id"""

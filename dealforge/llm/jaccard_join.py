@@ -277,3 +277,12 @@ def one_of_each(docs: DataFrame, *, n: int = 5, threshold: Fraction = Fraction(4
     linked = linked_components(docs, n=n, threshold=threshold)
     gone = linked.filter("component_id < doc_id").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).distinct()
     return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+
+
+ORACLE = """
+    WITH RECURSIVE t AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+    g AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 3 THEN ws ELSE ws[i:i + 2] END AS g FROM (SELECT *, unnest(range(1, greatest(len(ws) - 2, least(len(ws), 1)) + 1)) AS i FROM t)),
+    n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+    e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id GROUP BY ALL HAVING 100 * count(*) >= 90 * (any_value(x.n) + any_value(y.n) - count(*))),
+    r(id, low) AS (SELECT doc_id, doc_id FROM t UNION SELECT e.b, r.low FROM r JOIN e ON e.a = r.id WHERE r.low < e.b)
+    SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, least(t.doc_id, c.low) AS component_id FROM t LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT id, min(low) AS low FROM r GROUP BY id) c ON c.id = t.doc_id"""

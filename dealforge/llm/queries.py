@@ -66,7 +66,10 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_ngram_jaccard": jaccard_join.ORACLE,
     "op3_line_dedup": line_dedup.ORACLE,
+    "op4_suffix_dedup": suffix_dedup.ORACLE,
+    "op6_substring_dedup": debruijn_dedup.ORACLE,
     "op8_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages WHERE page_id IS NOT NULL),
         d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha256(b) AS payload_digest FROM p),

@@ -264,3 +264,14 @@ def deduplicate(docs: DataFrame, *, length: int = 50) -> DataFrame:
         return out
 
     return repeated_bytes(docs, finish, "doc_id long, kept binary, spans array<struct<start: long, end: long>>", length=length)
+
+
+ORACLE = """
+    WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    k AS (SELECT doc_id, k, length(h) // 2 AS n, substr(h, 512 * k + 1, 610) AS s FROM (SELECT *, unnest(range((length(h) + 511) // 512)) AS k FROM d)),
+    p AS (SELECT doc_id, 256 * k + j AS i, substr(s, 2 * j + 1, 2) AS byte, substr(s, 2 * j + 1, 100) AS w FROM (SELECT *, unnest(range(least(256, n - 256 * k))) AS j FROM k)),
+    m AS (SELECT w, min(doc_id) AS low FROM p WHERE length(w) = 100 GROUP BY w HAVING min(doc_id) < max(doc_id)),
+    c AS (SELECT doc_id, i, byte, max(m.low < doc_id) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) IS TRUE AS gone FROM p LEFT JOIN m USING (w)),
+    s AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS starts FROM c)
+    SELECT d.doc_id, length(any_value(h)) // 2 AS n_bytes, count(*) FILTER (gone) AS n_removed, count(*) FILTER (starts) AS n_spans, sha256(unhex(coalesce(string_agg(byte, '' ORDER BY i) FILTER (NOT gone), ''))) AS kept_sha256
+    FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id"""
