@@ -87,27 +87,33 @@ def deal_names(deals: DataFrame) -> DataFrame:
     return deals.select(F.col("id").alias("deal_id"), F.posexplode(every).alias("ord", "x")).select("deal_id", "ord", "x.name", "x.field")
 
 
-def matches(deals: DataFrame, found: DataFrame, *, threshold: int = MATCH_THRESHOLD, empty_owner_matches: bool = True) -> DataFrame:
+def matches(deals: DataFrame, found: DataFrame, registry: DataFrame | None = None, *, threshold: int = MATCH_THRESHOLD, empty_owner_matches: bool = True) -> DataFrame:
     """Candidates with the best score over all names and rules; the first to reach it names method and field.
 
     Scores are of distinct names, not of pairs of rows: names repeat much
-    more often than they differ.
+    more often than they differ. The best hit of a deal on a name is known
+    before the candidates come in, so these are gone through once.
+    ``registry``: rows that hold all owner and provider names of ``found``;
+    given, the names are taken from it and not from the candidates.
     """
     names = deal_names(deals)
+    known = found if registry is None else registry
     owner, provider = F.coalesce("owner_name", F.lit("")), F.coalesce("provider_name", F.lit(""))
-    c = found.select("deal_id", "ccn", "owner_type", "provider_state", "ownership_start_date", "seq", "owner_name", "provider_name", owner.alias("o"), provider.alias("p"))
-    targets = c.select(F.col("o").alias("target")).union(c.select(F.col("p").alias("target"))).distinct()
-    scored = score_pairs(names, targets).filter(F.col("score") >= threshold)
-    owned = substring_pairs(names, c.select(F.col("o").alias("target")))
-    owned = owned if empty_owner_matches else owned.filter("target <> ''")
-    kind = lambda df, rule, method, s: df.select("name", "target", F.lit(rule).alias("rule"), F.lit(method).alias("method"), s.alias("score"))
-    on_owner = kind(scored, 0, "owner_name_fuzzy", F.col("score")).union(kind(owned, 2, "owner_name_substring", F.lit(SUBSTRING_SCORE)))
-    on_provider = kind(scored, 1, "facility_name_fuzzy", F.col("score"))
-    # a deal's names with what they hit, then the candidates of that deal that bear the name hit
-    hit = lambda rules, col: names.join(rules, "name").join(c.select("deal_id", "seq", F.col(col).alias("target")), ["deal_id", "target"]).select("deal_id", "seq", "score", "ord", "rule", "method", "field")
-    every = hit(on_owner, "o").union(hit(on_provider, "p"))
-    best = every.groupBy("deal_id", "seq").agg(F.max_by(F.struct("score", "method", "field"), F.struct("score", (-F.col("ord")).alias("a"), (-F.col("rule")).alias("b"))).alias("m"))
-    return best.join(c, ["deal_id", "seq"]).select("deal_id", "seq", "ccn", "provider_name", "owner_name", "owner_type", "provider_state", "ownership_start_date", F.col("m.score").alias("match_score"), F.col("m.method").alias("match_method"), F.col("m.field").alias("matched_on_field"))
+    owners, providers = known.select(owner.alias("target")).distinct(), known.select(provider.alias("target")).distinct()
+    scored = score_pairs(names, owners.union(providers)).filter(F.col("score") >= threshold).select("name", "target", "score")
+    held = substring_pairs(names, owners)
+    held = (held if empty_owner_matches else held.filter("target <> ''")).select("name", "target", F.lit(SUBSTRING_SCORE).alias("score"))
+    rule = lambda df, n, method: df.withColumn("rule", F.lit(-n)).withColumn("method", F.lit(method))
+
+    def best(rules: DataFrame, name: str) -> DataFrame:
+        hit = F.struct("score", (-F.col("ord")).alias("ord"), "rule", "method", "field")
+        return names.join(rules, "name").groupBy("deal_id", F.col("target").alias(name)).agg(F.max(hit).alias(f"best_{name}"))
+
+    on_owner = best(rule(scored, 0, "owner_name_fuzzy").union(rule(held, 2, "owner_name_substring")), "o")
+    on_provider = best(rule(scored, 1, "facility_name_fuzzy"), "p")
+    rows = found.withColumns({"o": owner, "p": provider}).join(on_owner, ["deal_id", "o"], "left").join(on_provider, ["deal_id", "p"], "left")
+    rows = rows.withColumn("m", F.greatest(*(F.coalesce(x, y) for x, y in (("best_o", "best_p"), ("best_p", "best_o"))))).filter("m IS NOT NULL")
+    return rows.select("deal_id", "seq", "ccn", "provider_name", "owner_name", "owner_type", "provider_state", "ownership_start_date", F.col("m.score").alias("match_score"), F.col("m.method").alias("match_method"), F.col("m.field").alias("matched_on_field"))
 
 
 def enrich(found: DataFrame, facilities: DataFrame) -> DataFrame:
@@ -132,5 +138,5 @@ def staged(deals: DataFrame, found: DataFrame, as_of: Column) -> DataFrame:
 
 def recheck(due: DataFrame, owners: DataFrame, facilities: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
     """The matches with flags of the deals that are due, and their new stages."""
-    found = matches(due, top_candidates(due, candidates(due, owners, as_of)))
+    found = matches(due, top_candidates(due, candidates(due, owners, as_of)), owners)
     return with_flags(enrich(found, facilities)), staged(due, found, as_of)

@@ -326,7 +326,7 @@ def substring_match(d):
 @query()
 def fuzzy_match(d):
     due = _due(d)
-    found = match.matches(due, match.top_candidates(due, match.candidates(due, d.owners, d.as_of)))
+    found = match.matches(due, match.top_candidates(due, match.candidates(due, d.owners, d.as_of)), d.owners)
     return found.groupBy("deal_id", "match_score", "match_method", "matched_on_field").agg(F.count("*").alias("n"))
 
 
