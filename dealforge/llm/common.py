@@ -41,14 +41,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write to a new table in the shared folder and read it back: as ``cut``, but compressed."""
-    at = fresh_dir(df.sparkSession, name)
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
-
-
-#: Rows of a stored table of a few numbers a row (about 32 MB) up to which it is broadcast.
+#: Rows of a checkpointed table of a few numbers a row (about 32 MB) up to which it is broadcast.
 BROADCAST_ROWS = 500_000
 
 

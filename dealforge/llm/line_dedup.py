@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, lower_az_col, small_or_merged, stored
+from .common import BROADCAST_ROWS, cut, lower_az_col, small_or_merged
 
 MIN_WORDS = 8
 _LAST = (1 << 63) - 1
@@ -48,7 +48,7 @@ def _place() -> Column:
 
 
 def _lines_of(texts: DataFrame, places: DataFrame) -> DataFrame:
-    """key, row, ln, words of the given places, ``places`` being a stored table.
+    """key, row, ln, words of the given places, ``places`` being checkpointed.
 
     Few places go to the texts; else texts and places meet by document.
     """
@@ -83,19 +83,20 @@ def removed_lines(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     keys = [half("P", short, F.slice(words, F.lit(1), short)), half("P", long, F.slice(words, F.lit(1), long)), *(half("S", t, F.slice(words, n - t + 1, t)) for t in tails)]
     long_enough = n >= min_words
     sides = F.when(long_enough, F.array_distinct(F.array(*keys)))
-    slim = occ.select(*_PLACE, "n", "h1", "h2", sides.alias("halves"))
-    first = stored(slim.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count("*").alias("copies"), F.max("halves").alias("halves")), "lines")
+    # the words are looked at once; what is needed of each line is a few numbers
+    slim = cut(occ.select(*_PLACE, "h1", "h2", sides.alias("halves")))
+    first = cut(slim.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count("*").alias("copies"), F.max("halves").alias("halves")))
     repeated = first.filter("copies > 1").select("h1", "h2", "first")
-    equal = occ.select(*_PLACE, "h1", "h2").join(small_or_merged(repeated), ["h1", "h2"]).filter(_place() > F.col("first"))
+    equal = slim.select(*_PLACE, "h1", "h2").join(small_or_merged(repeated), ["h1", "h2"]).filter(_place() > F.col("first"))
     equal = equal.select(*_PLACE, F.lit(False).alias("near"))
 
     # lines that share a half with another line
     halves = first.filter("halves IS NOT NULL").select("h1", F.col("first.*"), F.explode("halves").alias("half"))
     shared = cut(halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a < b").select("half"))
-    candidates = stored(halves.join(small_or_merged(shared), "half").select(*_PLACE).distinct(), "candidates")
+    candidates = cut(halves.join(small_or_merged(shared), "half").select(*_PLACE).distinct())
 
     # their variants; each word's hash is taken with its place before and after a deletion
-    lines = stored(_lines_of(texts, candidates), "candidate-lines")
+    lines = cut(_lines_of(texts, candidates))
     each = lines.select(*_PLACE, F.size("words").alias("n"), F.posexplode("words").alias("j", "word"))
     each = each.withColumn("t", F.xxhash64("word", "j")).withColumn("u", F.xxhash64("word", F.col("j") - 1))
     whole, before = W.partitionBy(*_PLACE), W.partitionBy(*_PLACE).orderBy("j").rowsBetween(W.unboundedPreceding, -1)
