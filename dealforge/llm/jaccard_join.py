@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blobs import answer, gather, layout, rows
-from .common import cut, small_or_merged
+from .common import BROADCAST_ROWS, cut, small_or_merged
 from .components import components
 from .windows import mix
 from .words import WordArrays, parts
@@ -252,7 +252,10 @@ def linked_components(docs: DataFrame, *, n: int = 3, threshold: Fraction = Frac
         sets = dict(zip(df["doc_id"], (s.tobytes() for s in ngram_sets(df["body"].tolist(), n)), strict=True))
         return want[["id", "lead", "p", "q", "own"]].assign(grams=want["id"].map(sets))
 
-    filled = by_batch.cogroup(asked.groupBy("batch")).applyInPandas(fetch, "id long, lead long, p long, q long, own long, grams binary")
+    # few texts are wanted: they are picked before the shuffle
+    wanted = cut(asked.select(F.col("id").alias("doc_id")).distinct())
+    few = base.join(F.broadcast(wanted), "doc_id", "left_semi") if wanted.count() <= BROADCAST_ROWS else base
+    filled = few.withColumn("batch", batch).groupBy("batch").cogroup(asked.groupBy("batch")).applyInPandas(fetch, "id long, lead long, p long, q long, own long, grams binary")
     n_groups = max(1, int(asked.count() // BLOCK) + 1)
     group = F.pmod(F.xxhash64("lead", "p", "q"), F.lit(max(n_groups, n_batches)))
 
