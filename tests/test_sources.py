@@ -89,3 +89,16 @@ def test_text(spark):
 def test_filing_requests(spark):
     got = feeds.filing_requests(spark, now()).orderBy("seq").collect()
     assert len(got) == 18 and got[-1].entity is None and (got[0].startdt, got[0].enddt) == (D(2026, 1, 13), D(2026, 1, 20))
+
+
+def test_card_wording(spark):
+    from dealforge.functions import display
+
+    rows = [("A", "B", ["f"], D(2026, 1, 20), 1.25, "edgar"), ("A", None, ["f"], D(2026, 1, 19), None, "x"), (None, "B", ["f"], D(2026, 1, 15), 0.0, None), ("", "", ["f"], D(2026, 1, 1), 1234.56, "chow"), (None, None, [], None, 2.0, "rss")]
+    df = spark.createDataFrame(rows, "a string, s string, f array<string>, d date, v double, k string")
+    day = F.lit(D(2026, 1, 20))
+    got = [tuple(r) for r in df.select(display.headline(F.col("a"), F.col("s"), F.col("f")), display.day_label(F.col("d"), day), display.millions(F.col("v")), display.source_label(F.col("k"))).collect()]
+    assert got == [
+        ("A acquired from B", "Today", "$1.2M", "SEC Filing"), ("A — new ownership", "Yesterday", None, "News"), ("B changes ownership", "5 days ago", "$0.0M", "News"),
+        ("f — ownership change", "Jan 1, 2026", "$1234.6M", "Federal Record"), ("Ownership change recorded", None, "$2.0M", "News"),
+    ]
