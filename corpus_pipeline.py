@@ -1,7 +1,8 @@
 """The corpus pipeline: from raw documents to token ids, in five stages.
 
 1. language_id: documents whose language isn't recognised go;
-2. line_dedup: lines that repeat earlier lines go, and documents left without words;
+2. line_dedup: lines that repeat earlier lines go (equal, one word in four or one
+   character in eight away, or differing in spaces), and documents left without words;
 3. near_duplicates: of each group of near copies (5-word shingles, Jaccard
    0.8 or more, linked directly or through others) the smallest doc_id stays;
 4. decontaminate: documents that hold a benchmark item go;
@@ -27,7 +28,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.keep_new_lines(docs)
+    return line_dedup.keep_new_lines(docs, **line_dedup.SHORT)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

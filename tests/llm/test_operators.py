@@ -225,6 +225,47 @@ def test_line_dedup_random(spark, limit, monkeypatch):
     assert got == want
 
 
+def test_line_dedup_short_lines(spark):
+    """Short lines, scripts without spaces and moved spaces, against all pairs compared."""
+    rnd = random.Random(16)
+    lines = ["anat with by of nteres atre are.", "anat with by of lyhaes atre are.", "線路は続くよどこまでも野を越え山越え", "線路は続くよどこまでも野を越え谷越え", "😀" * 30, "😀" * 31, "one note book of eight words and no more", "one notebook of eight words and no more",
+             "Chapter headline", "Chapter headlines", "Chapterhead line", "abcdefg", "abcdefh", "=" * 40, "=" * 41, "ab cd efgh i", "a b c d e f g h i", "abcdefghx"]
+    lines += ["".join(rnd.choice("ab ") for _ in range(rnd.randint(5, 22))) for _ in range(120)]
+    rnd.shuffle(lines)
+    rows = [(i, "\n".join(lines[3 * i : 3 * i + 3])) for i in range(len(lines) // 3)]
+
+    def one(a, b, least):
+        a, b = sorted((a, b), key=len)
+        if len(a) < least or len(b) - len(a) > 1:
+            return False
+        return sum(x != y for x, y in zip(a, b)) <= 1 if len(a) == len(b) else any(b[:k] + b[k + 1 :] == a for k in range(len(b)))
+
+    def near(a, b):
+        x, y = "".join(a), "".join(b)
+        return one(a, b, 4) or x == y and len(x) >= 8 or max(len(a), len(b)) < 8 and one(x, y, 8)
+
+    seen, want = [], {}
+    for i, t in rows:
+        words = [x.split() for x in t.split("\n")]
+        want[i] = []
+        for line, x in zip(t.split("\n"), words):
+            if not x or not any(x == y or near(x, y) for y in seen):
+                want[i].append(line)
+            seen.append(x)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.deduplicate(df, min_words=4, min_chars=8).collect()}
+    assert got == {i: "\n".join(x) for i, x in want.items()}
+    assert sum(map(len, want.values())) < len(line_dedup.deduplicate(df).agg(F.array_join(F.collect_list("text"), "\n")).first()[0].split("\n"))
+
+
+def test_pipeline_drops_near_copies_of_short_lines(spark):
+    import corpus_pipeline
+
+    rows = [(1, "anat with by of nteres atre are.\nkept", "en", "s", 0), (2, "anat with by of lyhaes atre are.\nother", "en", "s", 0), (3, "线路一直延伸到任何地方\nmore", "zh", "s", 0), (4, "线路一直延伸到任何地力\nlast", "zh", "s", 0)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, spark.createDataFrame(rows, DOCS), "").collect()}
+    assert got == {1: rows[0][1], 2: "other", 3: rows[2][1], 4: "last"}
+
+
 # Jaccard join
 
 
