@@ -7,8 +7,9 @@ inflates member after member with an incremental decompressor, cuts records
 by Content-Length and verifies every digest.
 
 Null html is an empty payload, a null url is left out of the record. Rows
-with a null page_id take no part. Equal page_ids give one record each. An
-empty table gives an empty archive set.
+with a null page_id take no part. Equal page_ids give one record each, and
+only those with an earlier page's payload are revisits. An empty table gives
+an empty archive set.
 """
 
 from __future__ import annotations
@@ -44,8 +45,9 @@ def mark_revisits(pages: DataFrame, min_revisit: int = 100) -> DataFrame:
     big = F.octet_length("payload") >= min_revisit
     first = p.filter(big).groupBy("digest").agg(F.min("page_id").alias("first_id"))
     marks = p.filter(big).select("page_id", "digest").join(first.hint("merge"), "digest").filter("page_id <> first_id")
-    marks = marks.groupBy("page_id").agg(F.min("first_id").alias("refers_to"))
-    return p.join(marks, "page_id", "left")
+    # by payload too: rows of one page_id may hold different ones
+    marks = marks.groupBy("page_id", "digest").agg(F.min("first_id").alias("refers_to"))
+    return p.join(marks, ["page_id", "digest"], "left").select(*p.columns, "refers_to")
 
 
 def _uri(page_id: int) -> str:

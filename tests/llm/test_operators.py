@@ -65,6 +65,15 @@ def test_warc_round_trip(spark):
     assert bytes(back[3][1]).decode() == big and back[5][1] is None and back[3][0] is None and back[4] == ("http://n", b"")
 
 
+def test_warc_keeps_other_payloads_of_a_page_id(spark):
+    a, b = "<html>" + "a" * 200, "<html>" + "b" * 200
+    df = spark.createDataFrame([(1, "u", a), (2, "u", a), (2, "u", b), (2, "u", "small"), (3, "u", b)], "page_id long, url string, html string")
+    to = common.fresh_dir(spark, "warc-ids")
+    assert warc.write_archives(warc.mark_revisits(df), to).agg(F.sum("n_records")).first()[0] == 5
+    got = sorted((r.page_id, r.refers_to or 0, bytes(r.payload or b"").decode()) for r in warc.read_archives(spark, to, with_payload=True).collect())
+    assert got == sorted([(1, 0, a), (2, 1, ""), (2, 0, b), (2, 0, "small"), (3, 2, "")])
+
+
 def test_warc_errors():
     good = warc.record(7, "http://x", b"body", hashlib.sha256(b"body").digest(), None)
     assert warc.parse_record(good)["page_id"] == 7
