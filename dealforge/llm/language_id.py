@@ -30,8 +30,8 @@ from .common import cut
 
 UND = "und"
 FEATURES = 1 << 16
-#: Labelled rows per language that the text model is fitted on, those with the smallest hash; and languages at most.
-FIT_ROWS, FIT_LANGS = 500, 64
+#: Labelled rows per language that the text model is fitted on, those with the smallest hash.
+FIT_ROWS = 500
 #: Trigrams whose evidence counts in full; more add no certainty, as they depend on each other.
 EVIDENCE = 60.0
 #: Pseudo-counts that each level of the host hierarchy takes from the level above.
@@ -70,12 +70,12 @@ class TextModel:
 
 
 def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = FIT_ROWS) -> TextModel:
-    """Fit on at most ``rows`` labelled rows of each of at most ``FIT_LANGS`` languages."""
+    """Fit on at most ``rows`` labelled rows of each language; the table has ``FEATURES`` numbers a language."""
     named = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.col(lang) != UND)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(key).alias("h"))
-    most = named.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(FIT_LANGS).collect()
+    sizes = named.groupBy("lang").agg(F.count("*").alias("n"))
     # Large languages are thinned by hash to some four times the rows before the smallest hashes are taken, so what is sorted has a fixed size.
-    share = F.coalesce(*(F.when(F.col("lang") == r["lang"], min(1 << 30, int((4 * rows + 1000) / r["n"] * (1 << 30)) + 1)) for r in most), F.lit(0)) if most else F.lit(0)
-    thinned = named.filter(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < share)
+    share = F.floor(F.lit(float((4 * rows + 1000) << 30)) / F.col("n")) + 1
+    thinned = named.join(F.broadcast(sizes), "lang").filter(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < share).drop("n")
     first = W.partitionBy("lang").orderBy("h")
     sample = thinned.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= rows)
 
@@ -87,7 +87,7 @@ def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str
                 yield pd.DataFrame({"lang": name, "f": at.astype(np.int32), "n": n[at]})
 
     counts = sample.select("lang", "text").mapInPandas(count, "lang string, f int, n long").groupBy("lang", "f").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(counts.groupby("lang")["n"].sum().nlargest(FIT_LANGS).index)
+    langs = sorted(counts["lang"].unique())
     table = np.full((FEATURES, len(langs) + 1), 1.0)
     for i, name in enumerate(langs):
         own = counts[counts["lang"] == name]

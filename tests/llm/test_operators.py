@@ -183,6 +183,18 @@ def test_held_out_accuracy(spark):
     assert got.filter("lang = truth").count() >= 0.99 * got.count()
 
 
+def test_language_id_fits_every_label(spark):
+    rnd = random.Random(9)
+    words = {f"l{i:02d}": ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)] for i in range(70)}
+    rows = [(i, " ".join(rnd.choices(words[name], k=40)), name, "s", 1) for i, name in enumerate([*words] * 3)]
+    docs = spark.createDataFrame(rows, DOCS)
+    model = language_id.fit(docs)
+    assert model.langs == [*words, language_id.UND]
+    assert language_id.fit(docs.limit(0)).langs == [language_id.UND]
+    got = {r.doc_id: r.lang for r in language_id.identify_documents(docs.withColumn("lang", F.lit(None).cast("string")), model).collect()}
+    assert got == {i: name for i, _, name, *_ in rows}
+
+
 # Line dedup
 
 
