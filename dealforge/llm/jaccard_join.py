@@ -18,8 +18,9 @@ cell of m sets gives fewer than m rows.
 
 Equal sets count once. Null and empty texts, and texts without words, have
 no n-grams and are linked with nothing. A text of fewer words than n has one
-n-gram, the whole sequence. Repeated rows and equal doc_ids are linked as
-equal sets; rows with a null doc_id take no part. Extra columns are dropped.
+n-gram, the whole sequence. Repeated rows are linked as equal sets. Rows with
+one doc_id and different texts are linked each by its own set; rows with a
+null doc_id take no part. Extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -87,15 +88,13 @@ class Parts:
         return d + 1 + spare, spare
 
     def keys(self, s: np.ndarray) -> np.ndarray:
-        """A key for each part of the set, in its class, and in the one below if its partners may be there."""
+        """A key for each part of the set, in its class, and in all below where its partners may be."""
         n = len(s)
         c = int(np.searchsorted(self.low, n, side="right")) - 1
         out = []
-        for k in (c, c - 1):
-            if k < 0 or self.differ(self.low[k + 1] - 1) < 1 and k != c:
-                continue
-            if k != c and n > (self.low[k + 1] - 1) / self.threshold:
-                continue
+        for k in range(c, -1, -1):
+            if k != c and (self.differ(self.low[k + 1] - 1) < 1 or n > (self.low[k + 1] - 1) / self.threshold):
+                break  # nor in the classes below
             if self.differ(n) < 1 and k == c and self.differ(self.low[k + 1] - 1) < 1:
                 continue  # only equal sets can be linked
             p, spare = self._of(k)
@@ -234,23 +233,24 @@ def linked_components(docs: DataFrame, *, n: int = 3, threshold: Fraction = Frac
     shared = by_batch.applyInPandas(send, "batch long, bucket long, low binary").groupBy("bucket").applyInPandas(count, "batch long, round int, bucket long, status binary")
     found = by_batch.cogroup(shared.groupBy("batch")).applyInPandas(members, "key long, id long, f1 long, f2 long")
     # copies in other batches sent the same keys: the smallest doc_id of a set stays
-    found = cut(found.groupBy("key", "f1", "f2").agg(F.min("id").alias("id")).select("key", "id"))
+    found = cut(found.groupBy("key", "f1", "f2").agg(F.min("id").alias("id")).select("key", "id", "f1"))
     leaders = cut(found.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("c")).filter("c > 1").select("key", "lead"))
-    cells = cut(found.join(leaders.hint("merge"), "key").select("lead", "id").distinct())
+    cells = cut(found.join(leaders.hint("merge"), "key").select("lead", "id", "f1").distinct())
 
     # blocks of large cells meet pairwise; a block's number comes from a hash, so blocks are even
     sizes = cells.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     placed = cells.join(small_or_merged(cut(sizes.filter("blocks > 1"))), "lead", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     placed = placed.withColumn("own", F.pmod(F.xxhash64("id", "lead"), F.col("blocks")))
-    pairs = placed.select("lead", "id", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    asked = pairs.select("id", "lead", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own").distinct().withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(n_batches)))
+    pairs = placed.select("lead", "id", "f1", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    asked = pairs.select("id", "f1", "lead", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own").distinct().withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(n_batches)))
 
     def fetch(df: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
         if not len(df) or not len(want):
             return pd.DataFrame({"id": [], "lead": [], "p": [], "q": [], "own": [], "grams": []})
-        df = df[df["doc_id"].isin(want["id"])].sort_values("doc_id").drop_duplicates("doc_id")
-        sets = dict(zip(df["doc_id"], (s.tobytes() for s in ngram_sets(df["body"].tolist(), n)), strict=True))
-        return want[["id", "lead", "p", "q", "own"]].assign(grams=want["id"].map(sets))
+        df = df[df["doc_id"].isin(want["id"])].drop_duplicates(["doc_id", "body"])
+        # rows of one doc_id may hold different sets
+        sets = {(i, fingerprint(s)[0]): s.tobytes() for i, s in zip(df["doc_id"], ngram_sets(df["body"].tolist(), n), strict=True)}
+        return want[["id", "lead", "p", "q", "own"]].assign(grams=[sets[x] for x in zip(want["id"], want["f1"], strict=True)])
 
     # few texts are wanted: they are picked before the shuffle
     wanted = cut(asked.select(F.col("id").alias("doc_id")).distinct())

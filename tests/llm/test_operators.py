@@ -337,6 +337,21 @@ def test_jaccard_edges(spark):
     assert jaccard_join.linked_components(df.limit(0)).collect() == []
 
 
+def test_jaccard_low_threshold(spark):
+    w = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(w[:8])), (2, " ".join(w[:16])), (3, " ".join(w[20:26])), (4, " ".join(w[20:38])), (5, " ".join(w[40:43]))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.linked_components(spark.createDataFrame(rows, "doc_id long, text string"), n=1, threshold=Fraction(1, 3)).collect()}
+    assert got == brute(rows, 1, Fraction(1, 3)) and got[2] == (16, 1) and got[4] == (18, 3)
+    assert jaccard_join.one_of_each(spark.createDataFrame(rows[:2], "doc_id long, text string"), n=1, threshold=Fraction(1, 2)).count() == 1
+
+
+def test_jaccard_different_texts_of_a_doc_id(spark):
+    a, b = [f"a{i}" for i in range(40)], [f"b{i}" for i in range(40)]
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (7, " ".join(a[:-1])), (8, " ".join(b[:-1]))]
+    got = sorted((r.doc_id, r.component_id) for r in jaccard_join.linked_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(5, 5), (5, 5), (7, 5), (8, 5)]
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 50), (50, 75), (200, 201)]
     got = {r.id: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
