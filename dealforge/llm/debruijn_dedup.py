@@ -75,7 +75,7 @@ def _pieces(k: int):
             if not len(w.edges):
                 continue
             n = len(w.edges)
-            first, size, h, s = segments(sliding_min(w.grams, k - GRAM + 1)[:n], w.edges, w.text_of[:n], w.edge_valid(k))
+            first, size, h, s = segments(sliding_min(w.grams, k - GRAM + 1)[:n], w.text_of[:n], w.edge_valid(k), w.edges)
             t = w.text_of[first]
             yield pd.DataFrame({"key": b["key"].to_numpy()[t], "row": b["row"].to_numpy()[t], "h": _signed(mix(h)), "s": _signed(s), "at": _pack(first - w.first[t], size)})
 

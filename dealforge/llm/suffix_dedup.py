@@ -16,8 +16,12 @@ that repeat are dealt out by Spark, in three rounds of ever longer strings:
 In each round a batch of documents sends its distinct ids with the least
 doc_id that it knows, so that a hot string is one entry a batch, and gets
 back one status an entry. Texts are shuffled once; the later rounds reuse
-that exchange. Ids have 64 bits, and segments and windows are only compared
-with those of the same gram.
+that exchange.
+
+Ids of buckets are made from the bytes by the batch itself and are not ranks
+that Spark hands out: a rank for every suffix would be eight bytes out and
+back for each byte of text. So equal ids are checked by a second id of other
+arithmetic: windows agree in 96 bits, segments in 96 bits and their gram.
 
 Null and empty texts have no bytes. Repeated rows and ties of doc_id are
 separate documents, none smaller than the other. A null doc_id counts as
@@ -63,14 +67,17 @@ class Batch:
 
     @cached_property
     def parts(self) -> tuple:
-        """first, n, key, s, doc of each segment; the key holds bucket and gram."""
+        """first, n, key, s, check, doc of each segment; the key holds bucket and gram."""
         # before anything was told only the grams count
-        low, self.windows = scan_bytes(self.data, self.length, GRAM, want_windows=self.asked)
+        low, self.windows, second = scan_bytes(self.data, self.length, GRAM, want_windows=self.asked)
         doc = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.sizes)[: len(low)]
         valid = np.arange(len(low)) + self.length <= np.repeat(self.ends, self.sizes)[: len(low)]
-        first, n, h, s = segments(low, self.windows, doc, valid)
+        first, n, h, *sums = segments(low, doc, valid, *((self.windows, second) if self.asked else ()))
+        s, check = sums or (None, None)
         h = mix(h)  # a least value is small; spread it again
-        return first, n, ((h >> np.uint64(32)) % self.n_buckets << np.uint64(32)) | (h & _LOW), s, self.ids[doc[first]]
+        if self.asked:
+            self.second, check = _top(second), _top(check)
+        return first, n, ((h >> np.uint64(32)) % self.n_buckets << np.uint64(32)) | (h & _LOW), s, check, self.ids[doc[first]]
 
     def status(self, k: int) -> np.ndarray:
         return np.concatenate([np.frombuffer(x, np.int8) for x in self.told[k]]) if self.told.get(k) else np.empty(0, np.int8)
@@ -84,18 +91,17 @@ class Batch:
     @cached_property
     def repeated(self) -> dict:
         _, inverse, counts = self.grams
-        first, n, key, s, doc = self.parts
+        first, n, key, s, check, doc = self.parts
         take = np.flatnonzero(((self.status(1) > 0) | (counts > 1))[inverse])
-        order = take[np.lexsort((doc[take], s[take], key[take]))]
-        key, s, doc = key[order], s[order], doc[order]
-        new_key = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
-        new = new_key | np.concatenate([[True], s[1:] != s[:-1]])[: len(key)]
+        order = take[np.lexsort((doc[take], check[take], s[take], key[take]))]
+        key, s, check, doc = key[order], s[order], check[order], doc[order]
+        new_key, new = _starts(key), _starts(key, s, check)
         at = np.flatnonzero(new)  # the least doc of each distinct segment
         group = np.cumsum(new) - 1
         key_of = np.cumsum(new_key)[at] - 1
         hot = np.bincount(key_of, minlength=1)[key_of] > LISTED if len(at) else np.empty(0, bool)
         sent = ~hot | np.concatenate([[True], key_of[1:] != key_of[:-1]])[: len(at)]
-        return {"first": first[order], "n": n[order], "doc": doc, "least": doc[at][group], "group": group, "key": key[at], "s": s[at], "d": doc[at], "hot": hot, "sent": sent, "key_of": key_of}
+        return {"first": first[order], "n": n[order], "doc": doc, "least": doc[at][group], "group": group, "key": key[at], "s": s[at], "check": check[at], "d": doc[at], "hot": hot, "sent": sent, "key_of": key_of}
 
     # round 3: windows of segments that differ under one gram
     @cached_property
@@ -108,16 +114,15 @@ class Batch:
         later = r["doc"] > r["least"]
         take = (seg >= 2) & ~later
         at, doc = ranges(r["first"][take], r["n"][take]), np.repeat(r["doc"][take], r["n"][take])
-        order = np.lexsort((doc, self.windows[at]))
-        at, doc, w = at[order], doc[order], self.windows[at[order]]
-        # sent by bucket, then id
-        bucket = (mix(w) >> np.uint64(32)) % self.n_buckets
-        order = np.lexsort((doc, w, bucket))
-        at, doc, w, bucket = at[order], doc[order], w[order], bucket[order]
-        new = np.concatenate([[True], w[1:] != w[:-1]])[: len(w)]
+        # sent by bucket, then ids
+        bucket = (mix(self.windows[at]) >> np.uint64(32)) % self.n_buckets
+        order = np.lexsort((doc, self.second[at], self.windows[at], bucket))
+        at, doc, bucket = at[order], doc[order], bucket[order]
+        w, check = self.windows[at], self.second[at]
+        new = _starts(w, check)
         lead = np.flatnonzero(new)
         group = np.cumsum(new) - 1
-        return {"whole": (seg == 1) | later, "at": at, "doc": doc, "group": group, "w": w[lead], "d": doc[lead], "bucket": bucket[lead].astype(np.int64)}
+        return {"whole": (seg == 1) | later, "at": at, "doc": doc, "group": group, "w": w[lead], "check": check[lead], "d": doc[lead], "bucket": bucket[lead].astype(np.int64)}
 
     def removed(self) -> np.ndarray:
         """Whether each byte of the batch goes."""
@@ -133,15 +138,23 @@ def _planes(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (ids & 0xFFFFFFFF).astype(np.uint32), (ids >> 32).astype(np.int32)
 
 
-def _same(*cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order by the columns (the first counts most), and group numbers in that order."""
-    order = np.lexsort(cols[::-1])
-    new = np.zeros(len(order), bool)
+def _top(ids: np.ndarray) -> np.ndarray:
+    return (ids >> np.uint64(32)).astype(np.uint32)
+
+
+def _starts(*cols: np.ndarray) -> np.ndarray:
+    """Where a new run of equal values begins in sorted columns."""
+    new = np.zeros(len(cols[0]), bool)
     new[:1] = True
     for c in cols:
-        c = c[order]
         new[1:] |= c[1:] != c[:-1]
-    return order, np.cumsum(new) - 1
+    return new
+
+
+def _same(*cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by the columns (the first counts most), and group numbers in that order."""
+    order = np.lexsort(cols[::-1])
+    return order, np.cumsum(_starts(*(c[order] for c in cols))) - 1
 
 
 def _round1(df: pd.DataFrame) -> pd.DataFrame:
@@ -156,9 +169,9 @@ def _ids(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 def _round2(df: pd.DataFrame) -> pd.DataFrame:
     """0: known here alone; 1: also in a smaller document; 2: compare the windows."""
-    low, s, lo, hi, splits = gather(df, low=np.uint32, s=np.uint64, d_lo=np.uint32, d_hi=np.int32)
+    low, s, check, lo, hi, splits = gather(df, low=np.uint32, s=np.uint64, check=np.uint32, d_lo=np.uint32, d_hi=np.int32)
     d = _ids(lo, hi)
-    order, group = _same(low, s)
+    order, group = _same(low, s, check)
     least = np.full(group[-1] + 1, NO_ID)
     np.minimum.at(least, group, d[order])
     distinct = np.unique(np.stack([low[order].astype(np.uint64), group.astype(np.uint64)]), axis=1)[0]
@@ -174,9 +187,9 @@ def _round2(df: pd.DataFrame) -> pd.DataFrame:
 
 
 def _round3(df: pd.DataFrame) -> pd.DataFrame:
-    w, lo, hi, splits = gather(df, w=np.uint64, d_lo=np.uint32, d_hi=np.int32)
+    w, check, lo, hi, splits = gather(df, w=np.uint64, check=np.uint32, d_lo=np.uint32, d_hi=np.int32)
     d = _ids(lo, hi)
-    order, group = _same(w)
+    order, group = _same(w, check)
     least = np.full(group[-1] + 1, NO_ID)
     np.minimum.at(least, group, d[order])
     status = np.zeros(len(d), np.int8)
@@ -203,18 +216,19 @@ def repeated_bytes(docs: DataFrame, finish: Callable[[Batch, np.ndarray, pd.Data
 
     def send2(df: pd.DataFrame, so_far: pd.DataFrame) -> pd.DataFrame:
         if not len(df):
-            return pd.DataFrame({"batch": [], "bucket": [], "low": [], "s": [], "d_lo": [], "d_hi": []})
+            return pd.DataFrame({"batch": [], "bucket": [], "low": [], "s": [], "check": [], "d_lo": [], "d_hi": []})
         r = Batch(df, so_far, n_buckets, length).repeated
         t = r["sent"]
         lo, hi = _planes(np.where(r["hot"], _HOT, r["d"])[t])
-        return rows(df["batch"].iloc[0], r["key"][t] >> np.uint64(32), low=(r["key"][t] & _LOW).astype(np.uint32), s=np.where(r["hot"], np.uint64(0), r["s"])[t], d_lo=lo, d_hi=hi)
+        s, check = np.where(r["hot"], np.uint64(0), r["s"])[t], np.where(r["hot"], np.uint32(0), r["check"])[t]
+        return rows(df["batch"].iloc[0], r["key"][t] >> np.uint64(32), low=(r["key"][t] & _LOW).astype(np.uint32), s=s, check=check, d_lo=lo, d_hi=hi)
 
     def send3(df: pd.DataFrame, so_far: pd.DataFrame) -> pd.DataFrame:
         if not len(df):
-            return pd.DataFrame({"batch": [], "bucket": [], "w": [], "d_lo": [], "d_hi": []})
+            return pd.DataFrame({"batch": [], "bucket": [], "w": [], "check": [], "d_lo": [], "d_hi": []})
         o = Batch(df, so_far, n_buckets, length).open
         lo, hi = _planes(o["d"])
-        return rows(df["batch"].iloc[0], o["bucket"], w=o["w"], d_lo=lo, d_hi=hi)
+        return rows(df["batch"].iloc[0], o["bucket"], w=o["w"], check=o["check"], d_lo=lo, d_hi=hi)
 
     names = [x.split()[0] for x in schema.split(",")]
 
@@ -226,8 +240,8 @@ def repeated_bytes(docs: DataFrame, finish: Callable[[Batch, np.ndarray, pd.Data
 
     first = by_batch.applyInPandas(send1, "batch long, bucket long, low binary").groupBy("bucket").applyInPandas(_round1, told)
     with_docs = lambda so_far, f, kind: by_batch.cogroup(so_far.groupBy("batch")).applyInPandas(f, kind)
-    second = with_docs(first, send2, "batch long, bucket long, low binary, s binary, d_lo binary, d_hi binary").groupBy("bucket").applyInPandas(_round2, told)
-    third = with_docs(first.union(second), send3, "batch long, bucket long, w binary, d_lo binary, d_hi binary").groupBy("bucket").applyInPandas(_round3, told)
+    second = with_docs(first, send2, "batch long, bucket long, low binary, s binary, check binary, d_lo binary, d_hi binary").groupBy("bucket").applyInPandas(_round2, told)
+    third = with_docs(first.union(second), send3, "batch long, bucket long, w binary, check binary, d_lo binary, d_hi binary").groupBy("bucket").applyInPandas(_round3, told)
     return with_docs(first.union(second).union(third), last, schema)
 
 

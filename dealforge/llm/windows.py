@@ -21,7 +21,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def pair(ids: np.ndarray, later: int) -> np.ndarray:
-    """Ids of the longer runs made of ``ids[i]`` and ``ids[i + later]``."""
+    """Ids of the longer runs made of ``ids[i]`` and ``ids[i + later]``.
+
+    The ids must be spread already (results of ``mix`` or of this function):
+    in plain bytes the changes of two high bits can cancel each other.
+    """
     if len(ids) <= later:
         return np.empty(0, np.uint64)
     return mix(ids[: len(ids) - later] * _A + (ids[later:] ^ _C))
@@ -50,57 +54,70 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 #: Positions that ``scan_bytes`` looks at together, so that what it makes stays in the processor's cache.
 _BLOCK = 1 << 14
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _A)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    factors = np.full(n, base, np.uint64)
+    factors[0] = 1
+    return np.multiply.accumulate(factors)
 
 
-def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A quicker, weaker ``pair`` for ids that are joined again later."""
-    out = a * _A
-    out ^= b * _B
-    out ^= out >> np.uint64(32)
-    return out
+_BASE = 0xD1342543DE82EF95
+_POWER, _INVERSE = _powers(_BASE, 2 * _BLOCK), _powers(pow(_BASE, -1, 1 << 64), 2 * _BLOCK)
+
+
+def checks(data: np.ndarray, length: int) -> np.ndarray:
+    """A second id of each window of ``length`` bytes, by other arithmetic than ``pair``: a polynomial over spread bytes."""
+    n = len(data) - length + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * _POWER[: len(data)], dtype=np.uint64)])
+    return mix((total[length:] - total[:n]) * _INVERSE[:n])
 
 
-def scan_bytes(data: np.ndarray, length: int, gram: int, *, want_windows: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
-    """The least gram id of each window of ``length`` bytes, and the windows' ids.
+def scan_bytes(data: np.ndarray, length: int, gram: int, *, want_windows: bool = True) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
+    """The least gram id of each window of ``length`` bytes, the windows' ids, and their second ids.
 
-    Ids of depth 8 are the bytes themselves; each next depth joins ids with
+    Ids of depth 8 are the bytes, spread; each next depth joins ids with
     those of later offsets: 16, 24 (the grams), 32, and ``length``.
     """
+    if length > _BLOCK:
+        raise ValueError(f"length must be {_BLOCK} at most")
     n = max(0, len(data) - length + 1)
     low = np.empty(n, np.uint64)
-    ids = np.empty(n, np.uint64) if want_windows else None
+    ids, second = (np.empty(n, np.uint64), np.empty(n, np.uint64)) if want_windows else (None, None)
     for a in range(0, n, _BLOCK):
         b = min(n, a + _BLOCK)
-        d8 = bytes8(data[a : b + length - 1])
-        d16 = _join(d8[:-8], d8[8:])
-        d24 = mix(_join(d16[: len(d8) - gram + 8], d8[gram - 8 :]))
+        d8 = mix(bytes8(data[a : b + length - 1]))
+        d16 = pair(d8, 8)
+        d24 = mix(d16[: len(d8) - gram + 8] * _A + (d8[gram - 8 :] ^ _C))
         low[a:b] = sliding_min(d24, length - gram + 1)
         if ids is not None:
-            d32 = _join(d16[:-16], d16[16:])
-            step = depth = 32
+            step, depth, d = 16, 16, d16
             while depth < length:
                 step = min(depth, length - depth)
-                d32, depth = _join(d32[:-step], d32[step:]), depth + step
-            ids[a:b] = mix(d32[: b - a])
-    return low, ids
+                d, depth = pair(d, step), depth + step
+            ids[a:b] = d
+            second[a:b] = checks(data[a : b + length - 1], length)
+    return low, ids, second
 
 
-def segments(low: np.ndarray, window: np.ndarray | None, doc_of: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """first window, number of windows, h (smallest gram) and s (windows' sum) of each segment.
+def segments(low: np.ndarray, doc_of: np.ndarray, valid: np.ndarray, *windows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """first window, number of windows, h (smallest gram), and for each of ``windows`` (an id a window) the sum of these, of each segment.
 
-    low: the least gram of each window; window: its id (None: s is left
-    out); valid: whether a window lies within one document.
+    low: the least gram of each window; valid: whether a window lies within
+    one document.
     """
     at = np.flatnonzero(valid)
     if not len(at):
         e = np.empty(0, np.uint64)
-        return np.empty(0, np.int64), np.empty(0, np.int64), e, e
+        return np.empty(0, np.int64), np.empty(0, np.int64), e, *([e] * len(windows))
     low, docs = low[at], doc_of[at]
     new = np.concatenate([[True], (low[1:] != low[:-1]) | (docs[1:] != docs[:-1])])
     starts = np.flatnonzero(new)
     size = np.diff(np.concatenate([starts, [len(at)]]))
-    s = np.add.reduceat(mix(window[at] ^ _A), starts) if window is not None else None
-    return at[starts], size, low[starts], s
+    return at[starts], size, low[starts], *(np.add.reduceat(mix(w[at] ^ _A), starts) for w in windows)
 
 
 def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:

@@ -6,9 +6,10 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
-from dealforge.llm import debruijn_dedup, suffix_dedup
+from dealforge.llm import debruijn_dedup, suffix_dedup, windows
 
 DOCS = "doc_id long, text string, lang string, body string, key string"
 
@@ -96,3 +97,49 @@ def test_words_texts_and_empty_table(spark):
     got = {r.doc_id: r for r in debruijn_dedup.deduplicate(spark.createDataFrame([(1, p), (2, "new " + p + " end")], "doc_id long, text string")).collect()}
     assert got[1].kept == p and got[2].kept == "new end" and [tuple(s) for s in got[2].spans] == [(1, 51)]
     assert debruijn_dedup.digests(spark.createDataFrame([], DOCS)).collect() == []
+
+
+@pytest.mark.parametrize("length", [32, 50, 100])
+def test_window_ids_tell_every_two_flipped_bits_apart(length):
+    """All windows that differ from one text in one or two bits, at every distance, have ids of their own."""
+    rng = np.random.default_rng(length)
+    text = rng.integers(0, 256, length, dtype=np.uint8)
+    bits = np.unpackbits(text)
+    n = 8 * length
+    a, b = np.triu_indices(n)  # equal places: one bit flipped
+    seen, second = set(), set()
+    for at in range(0, len(a), 20_000):
+        rows = np.repeat(bits[None, :], len(a[at : at + 20_000]), axis=0)
+        place = np.arange(len(rows))
+        rows[place, a[at : at + 20_000]] ^= 1
+        other = a[at : at + 20_000] != b[at : at + 20_000]
+        rows[place[other], b[at : at + 20_000][other]] ^= 1
+        data = np.packbits(rows, axis=1).ravel()
+        _, ids, check = windows.scan_bytes(data, length, 24)
+        # every window that stands alone in its row
+        seen.update(ids[::length].tolist())
+        second.update(check[::length].tolist())
+    assert len(seen) == len(second) == len(a)
+
+
+def test_grams_tell_flipped_bits_apart():
+    text = np.frombuffer(b"TnC5ybXnB yqo1nooY012345", np.uint8)
+    bits, n = np.unpackbits(text), 8 * len(text)
+    a, b = np.triu_indices(n, 1)
+    rows = np.repeat(bits[None, :], len(a), axis=0)
+    rows[np.arange(len(a)), a] ^= 1
+    rows[np.arange(len(a)), b] ^= 1
+    low = windows.scan_bytes(np.packbits(rows, axis=1).ravel(), 24, 24)[0][::24]
+    assert len(set(low.tolist())) == len(a)
+
+
+def test_bytes_differing_in_two_high_bits_stay(spark):
+    rnd = random.Random(5)
+    rows = []
+    for _ in range(300):
+        t = [rnd.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(50)]
+        u = list(t)
+        u[7], u[15] = u[7].swapcase(), u[15].swapcase()
+        rows += [(len(rows), "".join(t)), (len(rows) + 1, "".join(u))]
+    got = suffix_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.filter("n_removed > 0").count() == 0
