@@ -3,25 +3,34 @@
 A benchmark item of m bytes occurs in a document if some stretch of the
 document is within k = floor(rate * m) edits of it. Such a stretch shares at
 least m + 1 - q * (k + 1) q-grams with the item, all on k + 1 neighbouring
-diagonals. Shared q-grams (q = 8 bytes) are counted in overlapping bands of
-2 * (k + 1) diagonals; bands that reach the bound are aligned within the
-band, and kept if the alignment needs k edits at most.
+diagonals. Shared q-grams are counted in overlapping bands of 2 * (k + 1)
+diagonals; bands that reach the bound are aligned within the band, and kept
+if the alignment needs k edits at most. q is 8, or for short items the
+largest number whose bound is one shared q-gram, so the bound never fails.
 
 Both sides are compared in lower case with every run of other characters
-than letters and digits as one space. Where the bound would be below one
-shared q-gram, k is lowered until it is one. Items of fewer than ``Q`` bytes
-can't be told from chance and are not searched; null texts neither. Null and
-empty documents hold nothing. Equal items are each reported, repeated
-documents too. Documents are searched whole, however long.
-
-The benchmark is the stated query set: it comes to the driver in blocks of
-``BLOCK_BYTES`` at most, and the documents are read once a block. No
-document leaves its task before it is known to hold an item.
+than letters and digits as one space. Items of fewer than ``min_bytes`` such
+bytes are found by chance all over, so by default (8) they aren't searched;
+with ``min_bytes`` of 1 every item is. Null texts hold nothing and null items
+aren't searched; empty documents hold nothing. Equal items are each reported,
+repeated documents too. Documents are searched whole, however long. Extra
+columns don't matter.
+
+Memory is bounded for any text: grams that an item repeats are one entry for
+each k + 1 offsets, shared grams are counted ``HITS`` at a time, and bands are
+judged and dropped when the scan has passed them.
+
+The benchmark is the stated query set: it goes through the driver in blocks
+of ``BLOCK_BYTES`` at most, one held at a time, and the documents are read
+once a block. With several blocks each one's rows are written to the shared
+folder. No document leaves its task before it is known to hold an item.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
@@ -31,11 +40,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .windows import bytes8
 from .words import parts
 
 Q = 8
 BLOCK_BYTES = 4 << 20
+#: Shared grams that are counted at a time, and cells of alignments that are filled at a time.
+HITS, CELLS = 1 << 20, 1 << 20
 _BITS = 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _OTHER = re.compile(r"[\W_]+")
@@ -46,144 +56,231 @@ def normal(text: str) -> bytes:
 
 
 def budget(m: int, rate: float) -> int:
-    """Edits allowed for an item of m bytes: the bound stays at one shared q-gram or more."""
-    return min(int(rate * m), m // Q - 1)
+    """Edits allowed for an item of m bytes."""
+    return int(rate * m)
+
+
+def gram_size(m: int, rate: float) -> int:
+    """The largest q up to ``Q`` for which an occurrence shares one q-gram at least."""
+    return max(1, min(Q, m // (budget(m, rate) + 1)))
 
 
-def align(item: np.ndarray, text: np.ndarray, first: int, width: int, k: int) -> int:
-    """Least edits of the item against a stretch of the text, on diagonals first .. first + width - 1 only; above k: k + 1.
+def grams(data: np.ndarray, q: int) -> np.ndarray:
+    """The q bytes from each position as one number."""
+    n = max(0, len(data) - q + 1)
+    out = np.zeros(n, np.uint64)
+    for i in range(q):
+        out |= data[i : i + n].astype(np.uint64) << np.uint64(8 * i)
+    return out
 
-    Cell (i, d) stands for the first i bytes of the item and the text up to
-    position i + first + d.
+
+def align(item: np.ndarray, texts: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -> np.ndarray:
+    """Least edits of the item against a stretch of each row of ``texts``, above k: k + 1.
+
+    Cell (i, d) stands for the first i bytes of the item and the row up to
+    place i + d, d from 0 to the row's length less the item's. Only places
+    low .. high of a row belong to its text.
     """
-    d = np.arange(width)
-    j = first + d
-    inside = (j >= 0) & (j <= len(text))
-    far = np.int32(k + 1)
-    row = np.where(inside, 0, far).astype(np.int32)
-    padded = np.concatenate([np.zeros(1, np.uint8), text])
+    n, width = len(texts), texts.shape[1] - len(item) + 1
+    d, far = np.arange(width, dtype=np.int32), np.int32(k + 1)
+    low, high = low[:, None], high[:, None]
+    row = np.where((d >= low) & (d <= high), 0, far).astype(np.int32)
     for i in range(1, len(item) + 1):
-        j = j + 1
-        here = (j >= 1) & (j <= len(text))
-        take = padded[np.clip(j, 0, len(text))]
-        new = np.where(here, row + (take != item[i - 1]), far)
-        new[:-1] = np.minimum(new[:-1], row[1:] + 1)  # the item's byte is left out of the text
-        new = np.minimum.accumulate(new - d) + d  # the text has bytes more
-        row = np.where((j >= 0) & (j <= len(text)), np.minimum(new, far), far)
+        j = d + i
+        new = np.where(j > low, row + (texts[:, i - 1 : i - 1 + width] != item[i - 1]), far).astype(np.int32)
+        new[:, :-1] = np.minimum(new[:, :-1], row[:, 1:] + 1)  # the item's byte is left out of the text
+        new = np.minimum.accumulate(new - d, axis=1) + d  # the text has bytes more
+        row = np.where((j >= low) & (j <= high), np.minimum(new, far), far)
         if row.min() >= far:
-            return k + 1
-    return int(row.min())
+            return np.full(n, far)
+    return row.min(axis=1)
 
 
-class Block:
-    """Some benchmark items, ready to be looked for."""
+class Index:
+    """Benchmark items of one gram size, ready to be looked for."""
 
-    def __init__(self, ids: list[int], items: list[bytes], rate: float) -> None:
-        self.ids, self.items = np.array(ids, np.int64), [np.frombuffer(x, np.uint8) for x in items]
+    def __init__(self, places: list[int], items: list[bytes], rate: float, q: int) -> None:
+        self.places, self.items, self.q = places, [np.frombuffer(x, np.uint8) for x in items], q
         self.m = np.array([len(x) for x in items], np.int64)
-        self.k = np.array([budget(int(m), rate) for m in self.m], np.int64)
-        self.least = self.m + 1 - Q * (self.k + 1)
-        gram = [bytes8(x) for x in self.items]
+        self.k = np.array([budget(len(x), rate) for x in items], np.int64)
+        self.least, self.width = self.m + 1 - q * (self.k + 1), self.k + 1
+        gram = [grams(x, q) for x in self.items]
         item = np.repeat(np.arange(len(gram)), list(map(len, gram)))
         offset = np.concatenate([np.arange(len(g)) for g in gram])
+        # offsets of a gram within one stretch of k + 1 are one entry: the least and the largest of them say which cells are met
+        stretch, rest = offset // self.width[item], offset % self.width[item]
         gram = np.concatenate(gram)
-        order = np.argsort(gram, kind="stable")
-        self.gram, self.first = np.unique(gram[order], return_index=True)
-        self.count = np.diff(np.append(self.first, len(order)))
-        self.item, self.offset = item[order].astype(np.int32), offset[order].astype(np.int64)
+        order = np.lexsort((stretch, item, gram))
+        gram, item, stretch, rest = gram[order], item[order], stretch[order], rest[order]
+        at = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (item[1:] != item[:-1]) | (stretch[1:] != stretch[:-1])]))
+        self.rest_low, self.rest_high = np.minimum.reduceat(rest, at), np.maximum.reduceat(rest, at)
+        self.item, self.stretch = item[at], stretch[at]
+        self.gram, self.first = np.unique(gram[at], return_index=True)
+        self.count = np.diff(np.append(self.first, len(at)))
         self.seen = np.zeros(1 << _BITS, bool)
         self.seen[(self.gram * _MULT) >> np.uint64(64 - _BITS)] = True
 
-    def _distinct(self, band: np.ndarray, key: np.ndarray, pos: np.ndarray, offset: np.ndarray) -> np.ndarray:
-        """Whether a band still reaches its bound when each place of the text, and of the item, counts once."""
-        wanted = np.unique(np.concatenate([band, band + 1]))
-        if not len(band):
-            return np.empty(0, bool)
-        at = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key)
-        at = at[np.argsort(key[at], kind="stable")]
-        key, pos, offset = key[at], pos[at], offset[at]
-        low, high = np.searchsorted(key, band), np.searchsorted(key, band + 2)
-        least = self.least[(band >> 32) % len(self.ids)]
-        return np.array([min(len(set(pos[a:b].tolist())), len(set(offset[a:b].tolist()))) >= x for a, b, x in zip(low, high, least, strict=True)], bool)
+    def _hits(self, data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions in order and the entries that they share, some at a time; a position stays whole."""
+        for a in range(0, len(data) - self.q + 1, 1 << 16):
+            g = grams(data[a : a + (1 << 16) + self.q - 1], self.q)
+            at = np.flatnonzero(self.seen[(g * _MULT) >> np.uint64(64 - _BITS)])
+            where = np.minimum(np.searchsorted(self.gram, g[at]), len(self.gram) - 1)
+            hit = self.gram[where] == g[at]
+            at, where = at[hit] + a, where[hit]
+            if not len(at):
+                continue
+            n = self.count[where]
+            some = (np.cumsum(n) - 1) // HITS
+            cuts = np.flatnonzero(np.diff(some)) + 1
+            for pos, w, size in zip(np.split(at, cuts), np.split(where, cuts), np.split(n, cuts), strict=True):
+                each = np.repeat(np.arange(len(pos)), size)
+                yield pos[each], np.arange(len(each)) - np.repeat(np.cumsum(size) - size, size) + self.first[w][each]
+
+    def bands(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """item and first cell of each band that reaches its bound; a place may count twice, never less than once.
+
+        Cell c of an item holds the diagonals from c * (k + 1) - m on, a band
+        is a cell with shared grams and the one after it. What begins in an
+        empty cell before is within the k diagonals that alignment adds.
+        """
+        key, n = np.empty(0, np.int64), np.empty(0, np.int64)
+        out = [key]
+
+        def judge(upto: int | None) -> None:
+            nonlocal key, n
+            item, cell = key >> 40, key & ((1 << 40) - 1)
+            both = n.copy()
+            both[:-1] += np.where(key[1:] == key[:-1] + 1, n[1:], 0)
+            passed = np.ones(len(key), bool) if upto is None else (cell + 2) * self.width[item] <= upto
+            out.append(key[passed & (both >= self.least[item])])
+            key, n = key[~passed], n[~passed]
+
+        for pos, entry in self._hits(data):
+            item = self.item[entry]
+            place, rest = np.divmod(pos + self.m[item], self.width[item])
+            cell = (item << 40) | (place - self.stretch[entry])
+            met = np.sort(np.concatenate([key, cell[rest >= self.rest_low[entry]], cell[rest < self.rest_high[entry]] - 1]))
+            at = np.flatnonzero(np.concatenate([[True], met[1:] != met[:-1]]))
+            count = np.diff(np.append(at, len(met)))
+            if len(key):
+                count[np.searchsorted(met[at], key)] += n - 1
+            key, n = met[at], count
+            judge(int(pos[-1]))
+        judge(None)
+        found = np.concatenate(out)
+        return found >> 40, found & ((1 << 40) - 1)
+
+    def search(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(text, place of the item, first byte at least, edits) of each item that a text of ``data`` holds."""
+        item, cell = self.bands(data)
+        for x in np.unique(item).tolist():
+            m, k, w = int(self.m[x]), int(self.k[x]), int(self.width[x])
+            raw, own = self.items[x].tobytes(), np.sort(grams(self.items[x], self.q))
+            found: dict[int, tuple[int, int]] = {}
+            open_ = defaultdict(list)
+            # an occurrence leaves the band of its shared grams by k diagonals at most
+            length = m + 2 * w + 2 * k - 1
+            for low in (cell[item == x] * w - m - k).tolist():
+                t = int(np.searchsorted(start + size, max(low, 0), side="right"))
+                while t < len(start) and start[t] < low + length:
+                    begin, end = max(int(start[t]), low), min(int(start[t] + size[t]), low + length)
+                    if end - begin >= m - k and found.get(t, (0, 1))[1]:
+                        region = data[begin:end]
+                        at = region.tobytes().find(raw)
+                        if at >= 0:
+                            found[t] = (begin + at, 0)
+                        elif k and self._shares(region, own, int(self.least[x])):
+                            open_[t].append((low, begin, end))
+                    t += 1
+            todo = [(t, *r) for t, regions in open_.items() if t not in found for r in regions]
+            step = max(1, CELLS // length)
+            for a in range(0, len(todo), step):
+                some = todo[a : a + step]
+                texts = np.zeros((len(some), length), np.uint8)
+                for row, (_, low, begin, end) in zip(texts, some, strict=True):
+                    row[begin - low : end - low] = data[begin:end]
+                bounds = np.array([(begin - low, end - low) for _, low, begin, end in some], np.int32)
+                for (t, _, begin, _), edits in zip(some, align(self.items[x], texts, bounds[:, 0], bounds[:, 1], k).tolist(), strict=True):
+                    if edits <= k and edits < found.get(t, (0, k + 1))[1]:
+                        found[t] = (begin, edits)
+            for t, (begin, edits) in found.items():
+                yield t, self.places[x], begin - int(start[t]), edits
+
+    def _shares(self, region: np.ndarray, own: np.ndarray, least: int) -> bool:
+        """Whether places of the region, and of the item, that share a gram reach the bound."""
+        there = grams(region, self.q)
+        return int(np.isin(there, own).sum()) >= least and int(np.isin(own, there).sum()) >= least
+
+
+class Block:
+    """Some benchmark items, by the gram size that they need."""
+
+    def __init__(self, ids: list[int], items: list[bytes], rate: float) -> None:
+        self.ids = np.array(ids, np.int64)
+        by_size = defaultdict(list)
+        for place, x in enumerate(items):
+            by_size[gram_size(len(x), rate)].append(place)
+        self.indexes = [Index(at, [items[i] for i in at], rate, q) for q, at in by_size.items()]
 
     def search(self, texts: list[bytes]) -> list[tuple[int, int, int, int]]:
         """(text, item, first byte at least, edits) of each item that a text holds."""
         data = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
-        if len(data) < Q:
-            return []
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         start = np.concatenate([[0], np.cumsum(size + 1)])[:-1]
-        pos = []
-        for a in range(0, len(data) - Q + 1, 1 << 16):
-            g = bytes8(data[a : a + (1 << 16) + Q - 1])
-            at = np.flatnonzero(self.seen[(g * _MULT) >> np.uint64(64 - _BITS)])
-            where = np.minimum(np.searchsorted(self.gram, g[at]), len(self.gram) - 1)
-            hit = self.gram[where] == g[at]
-            pos.append(np.stack([at[hit] + a, where[hit]]))
-        pos, where = np.concatenate(pos, axis=1)
-        n = self.count[where]
-        each = np.repeat(np.arange(len(pos)), n)
-        entry = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n) + self.first[where][each]
-        item, pos = self.item[entry].astype(np.int64), pos[each]
-        text = np.searchsorted(start, pos, side="right") - 1
-        diagonal = pos - start[text] - self.offset[entry]
-        cell = (diagonal + self.m[item]) // (self.k[item] + 1)  # the shift keeps it from being negative
-        key = (text * len(self.ids) + item << 32) | cell
-        band, n = np.unique(key, return_counts=True)
-        # A band is a cell that has hits and the one after it. What begins in an
-        # empty cell before is within the k diagonals that the alignment adds.
-        n[:-1] += np.where(band[1:] == band[:-1] + 1, n[1:], 0)
-        band = band[n >= self.least[(band >> 32) % len(self.ids)]]
-        band = band[self._distinct(band, key, pos, self.offset[entry])]
-        which, cell = band >> 32, band & 0xFFFFFFFF
-        text, item = which // len(self.ids), which % len(self.ids)
-        found: dict[tuple[int, int], tuple[int, int]] = {}
-        for t, x, c in zip(text.tolist(), item.tolist(), cell.tolist(), strict=True):
-            if found.get((t, x), (0, 1))[1] == 0:
-                continue
-            k, m = int(self.k[x]), int(self.m[x])
-            low = c * (k + 1) - m
-            body = data[start[t] : start[t] + size[t]]
-            # an occurrence leaves the band of its shared grams by k diagonals at most
-            begin = max(0, low - k)
-            region = body[begin : low + 2 * (k + 1) + m + 2 * k]
-            at = region.tobytes().find(self.items[x].tobytes())
-            edits = 0 if at >= 0 else align(self.items[x], region, low - k - begin, 2 * (k + 1) + 2 * k, k)
-            if edits <= k and edits < found.get((t, x), (0, k + 1))[1]:
-                found[t, x] = (begin + max(at, 0), edits)
-        return [(t, x, *v) for (t, x), v in found.items()]
+        return [hit for index in self.indexes for hit in index.search(data, start, size)]
+
 
+#: The block that this worker looked with last.
+_LAST: dict[str, Block] = {}
 
-def blocks(benchmark: DataFrame, rate: float, size: int = BLOCK_BYTES) -> Iterator[Block]:
-    ids, items = [], []
+
+def blocks(benchmark: DataFrame, size: int, min_bytes: int) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Ids and normal forms of items, ``size`` bytes of them at a time."""
+    ids, items, held = [], [], 0
     for r in benchmark.select("item_id", "text").filter("item_id IS NOT NULL AND text IS NOT NULL").toLocalIterator():
         x = normal(r["text"])
-        if len(x) >= Q:
-            if items and sum(map(len, items)) + len(x) > size:
-                yield Block(ids, items, rate)
-                ids, items = [], []
+        if len(x) >= max(min_bytes, 1):
+            if items and held + len(x) > size:
+                yield ids, items
+                ids, items, held = [], [], 0
             ids.append(r["item_id"])
             items.append(x)
+            held += len(x)
     if items:
-        yield Block(ids, items, rate)
+        yield ids, items
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.1) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.1, min_bytes: int = Q, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """A row for each document and item it holds: doc_id, item_id, n_edits, from_byte (of the normal form, at least)."""
     schema = "doc_id long, item_id long, n_edits int, from_byte long"
     rows = docs.filter("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("body"))
 
-    def look(block: Block) -> DataFrame:
+    def look(ids: list[int], items: list[bytes]) -> DataFrame:
+        name = uuid.uuid4().hex
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            if name not in _LAST:
+                _LAST.clear()
+                _LAST[name] = Block(ids, items, rate)
+            block = _LAST[name]
             for b in parts(batches):
                 hits = block.search([normal(x.decode("utf-8", "replace")) for x in b["body"]])
-                ids = b["doc_id"].to_numpy()
-                yield pd.DataFrame([(ids[t], block.ids[x], e, at) for t, x, at, e in hits], columns=["doc_id", "item_id", "n_edits", "from_byte"])
+                doc = b["doc_id"].to_numpy()
+                yield pd.DataFrame([(doc[t], block.ids[x], e, at) for t, x, at, e in hits], columns=["doc_id", "item_id", "n_edits", "from_byte"])
 
         return rows.mapInPandas(run, schema)
 
-    found = [look(b) for b in blocks(benchmark, rate)]
-    return reduce(DataFrame.unionAll, found) if found else docs.sparkSession.createDataFrame([], schema)
+    every = blocks(benchmark, block_bytes, min_bytes)
+    first, second = next(every, None), next(every, None)
+    if first is None:
+        return docs.sparkSession.createDataFrame([], schema)
+    if second is None:
+        return look(*first)
+    found = [cut(look(*first)), cut(look(*second))]
+    del first, second
+    found += (cut(look(*block)) for block in every)
+    return reduce(DataFrame.unionAll, found)
 
 
 #: Ids of leaking documents up to which they are broadcast; beyond it the join shuffles.

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -370,31 +371,61 @@ def edits(p: bytes, t: bytes) -> int:
     return int(row.min())
 
 
-def test_leaks_equal_alignment(spark):
+def word(rnd):
+    return "".join(rnd.choice("etaoin") for _ in range(rnd.randint(2, 7)))
+
+
+@pytest.mark.parametrize("rate,min_bytes,block_bytes,hits", [(0.1, 8, 4 << 20, 1 << 20), (0.1, 1, 200, 5), (0.25, 3, 4 << 20, 100)])
+def test_leaks_equal_alignment(spark, monkeypatch, rate, min_bytes, block_bytes, hits):
+    monkeypatch.setattr(decontaminate, "HITS", hits)
     rnd = random.Random(8)
-    word = lambda: "".join(rnd.choice("etaoin") for _ in range(rnd.randint(2, 7)))
-    items = [(i, " ".join(word() for _ in range(rnd.randint(3, 30)))) for i in range(12)] + [(50, None), (51, "tiny"), (52, ""), (53, "Same, passage of words!"), (54, "same passage of words")]
+    items = [(i, " ".join(word(rnd) for _ in range(rnd.randint(3, 30)))) for i in range(12)] + [(50, None), (51, "tiny"), (52, ""), (53, "Same, passage of words!"), (54, "same passage of words"), (55, "ten bytes!"), (56, "Q"), (57, "fifteen letters"), (58, "ni ni ni ni ni ni ni ni ni")]
     docs = []
     for i in range(50):
-        body = " ".join(word() for _ in range(rnd.randint(0, 80)))
-        x = list(rnd.choice(items[:12])[1])
+        body = " ".join(word(rnd) for _ in range(rnd.randint(0, 80)))
+        x = list(rnd.choice(items[:12] + items[-4:])[1])
         for _ in range(rnd.randint(0, len(x) // 7)):
             k = rnd.randrange(len(x))
             x[k : k + 1] = rnd.choice([[], ["z"], [x[k], "q"]])
         k = rnd.randint(0, len(body))
         docs.append((i, body[:k] + "".join(x).upper() + body[k:]))
-    docs += [(90, None), (91, ""), (92, "SAME passage --- of words"), (92, "SAME passage --- of words"), (93, "filler " * 4000 + items[0][1])]
+    docs += [(90, None), (91, ""), (92, "SAME passage --- of words"), (92, "SAME passage --- of words"), (93, "filler " * 1000 + items[0][1]), (94, "ni " * 300)]
     want = {}
     for i, t in docs:
         for j, p in items:
             p, d = decontaminate.normal(p or ""), decontaminate.normal(t or "")
-            if len(p) >= decontaminate.Q and t is not None:
+            if len(p) >= min_bytes and t is not None:
                 e = edits(p, d)
-                if e <= decontaminate.budget(len(p), 0.1):
+                if e <= decontaminate.budget(len(p), rate):
                     want[i, j] = e
-    dd, bb = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.leaks(dd, bb).collect()
-    assert {(r.doc_id, r.item_id): r.n_edits for r in got} == want and len(want) > 15 and sum(r.doc_id == 92 for r in got) == 4
-    assert sorted({r.doc_id for r in decontaminate.decontaminate(dd, bb).collect()}) == sorted({i for i, _ in docs} - {i for i, _ in want})
+    dd, bb = spark.createDataFrame([(*r, 1) for r in docs], "doc_id long, text string, item_id int"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.leaks(dd, bb, rate=rate, min_bytes=min_bytes, block_bytes=block_bytes).collect()
+    assert {(r.doc_id, r.item_id): r.n_edits for r in got} == want and len(want) > 15 and sum(r.doc_id == 92 for r in got) >= 4
+    assert len(got) == len(want) + sum(i == 92 for i, _ in want)
+
+
+def test_decontaminate_rows(spark, monkeypatch):
+    dd = spark.createDataFrame([(1, "x " * 9 + "the wanted passage of a benchmark"), (2, "clean"), (3, None), (None, "the wanted passage of a benchmark")], "doc_id long, text string")
+    bb = spark.createDataFrame([(7, "The wanted passage, of a benchmark.")], "item_id long, text string")
+    for limit in (100_000, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", limit)
+        assert sorted(-1 if r.doc_id is None else r.doc_id for r in decontaminate.decontaminate(dd, bb).collect()) == [-1, 2, 3]
     assert decontaminate.leaks(dd, bb.limit(0)).collect() == [] and decontaminate.leaks(dd.limit(0), bb).collect() == []
-    assert len(list(decontaminate.blocks(bb, 0.1, size=200))) > 3
+    assert len(list(decontaminate.blocks(bb.union(bb).union(bb), 40, 8))) == 3
+
+
+def test_leaks_among_many_short_texts_and_items():
+    """More pairs of texts and items than 32 bits can number, in one part."""
+    items = [b"%08d" % i for i in range(300_000)]
+    texts = [b"zz"] * 9999 + [b"x %08d y" % 299_999]
+    assert [(t, x, e) for t, x, _, e in decontaminate.Block(list(range(len(items))), items, 0.1).search(texts)] == [(9999, 299_999, 0)]
+
+
+def test_leaks_in_repetitive_texts_are_bounded():
+    tracemalloc.start()
+    block = decontaminate.Block([1, 2, 3], [b"a" * 5_000, b"ab" * 300, b"a" * 400 + b"z" + b"a" * 400], 0.1)
+    got = block.search([b"a" * 200_000, b"ab" * 50_000, b"a" * 300 + b"zz" + b"a" * 420])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {(t, x): e for t, x, _, e in got}.items() >= {(0, 0): 0, (1, 1): 0, (0, 2): 1}.items()
+    assert peak < 600 << 20
