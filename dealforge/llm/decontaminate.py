@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
+from .windows import bytes8
 from .words import parts
 
 Q = 8
@@ -67,6 +68,8 @@ def gram_size(m: int, rate: float) -> int:
 
 def grams(data: np.ndarray, q: int) -> np.ndarray:
     """The q bytes from each position as one number."""
+    if q == 8:
+        return bytes8(data)
     n = max(0, len(data) - q + 1)
     out = np.zeros(n, np.uint64)
     for i in range(q):
@@ -176,7 +179,7 @@ class Index:
         item, cell = self.bands(data)
         for x in np.unique(item).tolist():
             m, k, w = int(self.m[x]), int(self.k[x]), int(self.width[x])
-            raw, own = self.items[x].tobytes(), np.sort(grams(self.items[x], self.q))
+            raw, own = self.items[x].tobytes(), np.unique(grams(self.items[x], self.q), return_counts=True)
             found: dict[int, tuple[int, int]] = {}
             open_ = defaultdict(list)
             # an occurrence leaves the band of its shared grams by k diagonals at most
@@ -207,10 +210,13 @@ class Index:
             for t, (begin, edits) in found.items():
                 yield t, self.places[x], begin - int(start[t]), edits
 
-    def _shares(self, region: np.ndarray, own: np.ndarray, least: int) -> bool:
+    def _shares(self, region: np.ndarray, own: tuple[np.ndarray, np.ndarray], least: int) -> bool:
         """Whether places of the region, and of the item, that share a gram reach the bound."""
+        gram, times = own
         there = grams(region, self.q)
-        return int(np.isin(there, own).sum()) >= least and int(np.isin(own, there).sum()) >= least
+        at = np.minimum(np.searchsorted(gram, there), len(gram) - 1)
+        at = at[gram[at] == there]
+        return len(at) >= least and int(times[np.unique(at)].sum()) >= least
 
 
 class Block:
