@@ -11,9 +11,9 @@ Where Spark brings sets together: two linked sets of sizes a <= b differ in
 D = a * (1 / t - 1) n-grams at most (t: the threshold). The n-grams of a set
 are dealt by hash into more than D parts, so one part at least is the same
 in both. Equal parts are found by hash; the smallest set that shares a part
-leads the others, and all sets with one leader form a *cell*, in which an
-R-tree joins them. Large cells are cut into blocks, and each pair of blocks
-is a task. Only links that join two components of a cell are returned, so a
+leads the others, and all sets with one leader form a *cell*. The parts only
+say which sets must meet: an R-tree joins those of a cell. Large cells are cut
+into blocks, and each pair of blocks is a task. Only links that join two components of a cell are returned, so a
 cell of m sets gives fewer than m rows.
 
 Equal sets count once. Null and empty texts, and texts without words, have
@@ -40,8 +40,12 @@ from .windows import mix
 from .words import WordArrays, parts
 
 BATCH_BYTES, BUCKET_BYTES = 2 << 20, 16 << 20
-#: Coordinates of a point, points of an R-tree leaf, and sets of a block.
-GROUPS, LEAF, BLOCK = 128, 16, 1024
+#: Coordinates of a point, entries of an R-tree node, and sets of a block.
+GROUPS, FAN, BLOCK = 128, 16, 1024
+#: Sets that go down a tree together, and pairs of set and node that are compared at a time.
+ASKED, PAIRS = 64, 4096
+#: Bytes of sets that one group of cells and blocks holds, about; a cell's block stays whole.
+GROUP_BYTES = 16 << 20
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -111,6 +115,55 @@ class Parts:
         return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
+class RTree:
+    """Points packed into nodes of ``FAN``, these into nodes again, up to one layer of ``FAN`` nodes at most.
+
+    A node keeps the largest coordinates and the least and largest set size
+    below it. The summed minima of its coordinates and a point's are at least
+    the overlap with any set below, so a node is left out with all below it
+    when they don't reach the overlap that its least set would need.
+    """
+
+    def __init__(self, point: np.ndarray, size: np.ndarray, threshold: Fraction) -> None:
+        self.t = threshold
+        # packed by size, then by the first coordinates, so that a node's points are near each other
+        self.order = np.lexsort((point[:, 1], point[:, 0], size))
+        point, size = point[self.order], size[self.order]
+        self.layers = [(point, size, size)]
+        while len(point) > FAN:
+            at = np.arange(0, len(point), FAN)
+            high, small, large = self.layers[-1]
+            point = np.maximum.reduceat(high, at, axis=0)
+            self.layers.append((point, np.minimum.reduceat(small, at), np.maximum.reduceat(large, at)))
+
+    def _reach(self, layer: int, point: np.ndarray, size: np.ndarray, row: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """Which (row, node) may hold links."""
+        high, small, large = self.layers[layer]
+        num, den = self.t.numerator, self.t.denominator
+        at = np.flatnonzero((small[node] * num <= size[row] * den) & (size[row] * num <= large[node] * den))
+        f = self.t / (1 + self.t)  # least overlap: that share of both sizes, rounded up
+        needs = -(-(size[row[at]] + np.minimum(small[node[at]], size[row[at]] * den // num)) * f.numerator // f.denominator)
+        keep = [np.empty(0, np.int64)]
+        for i in range(0, len(at), PAIRS):
+            some = at[i : i + PAIRS]
+            keep.append(some[np.minimum(high[node[some]], point[row[some]]).sum(1) >= needs[i : i + PAIRS]])
+        return np.concatenate(keep)
+
+    def near(self, point: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row of ``point``, place in the tree's input) of all pairs that may be linked."""
+        top = len(self.layers) - 1
+        n = len(self.layers[top][1])
+        row, node = np.repeat(np.arange(len(size)), n), np.tile(np.arange(n), len(size))
+        for layer in range(top, -1, -1):
+            keep = self._reach(layer, point, size, row, node)
+            row, node = row[keep], node[keep]
+            if layer:
+                below = len(self.layers[layer - 1][1])
+                row, node = np.repeat(row, FAN), (node[:, None] * FAN + np.arange(FAN)).ravel()
+                row, node = row[node < below], node[node < below]
+        return row, self.order[node]
+
+
 class Cell:
     """Joins the sets of a cell: an R-tree of their points, then the sets themselves."""
 
@@ -126,40 +179,26 @@ class Cell:
             x = self.top[x]
         return x
 
-    def _needs(self, sizes: np.ndarray) -> np.ndarray:
-        """Least overlap for two sizes' sum: t / (1 + t) of it, rounded up."""
-        f = self.t / (1 + self.t)
-        return -(-sizes * f.numerator // f.denominator)
-
     def _verify(self, a: int, b: int) -> bool:
         both = len(np.intersect1d(self.sets[a], self.sets[b], assume_unique=True))
         return both * self.t.denominator >= self.t.numerator * (len(self.sets[a]) + len(self.sets[b]) - both)
 
     def links(self, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
         """Links between left and right (places in the cell) that join two components."""
-        # packed by size, then by the first coordinates, so that a node's points are near each other
-        pack = lambda x: x[np.lexsort((self.point[x, 1], self.point[x, 0], self.size[x]))]
-        left, right = pack(left), pack(right)
-        starts = np.arange(0, len(right), LEAF)
-        high = np.maximum.reduceat(self.point[right], starts, axis=0)
-        small, large = np.minimum.reduceat(self.size[right], starts), np.maximum.reduceat(self.size[right], starts)
-        for a in left:
-            # nodes: sizes within reach, and the summed minima of the largest coordinates
-            fit = np.flatnonzero((small * self.t.numerator <= self.size[a] * self.t.denominator) & (self.size[a] * self.t.numerator <= large * self.t.denominator))
-            if not len(fit):
-                continue
-            fit = fit[np.minimum(high[fit], self.point[a]).sum(1) >= self._needs(self.size[a] + small[fit])]
-            if not len(fit):
-                continue
-            near = right[(starts[fit][:, None] + np.arange(LEAF)).ravel().clip(max=len(right) - 1)]
-            near = np.unique(near)
-            near = near[near != a]
-            near = near[np.minimum(self.point[near], self.point[a]).sum(1) >= self._needs(self.size[a] + self.size[near])]
-            for b in near.tolist():
-                x, y = self._find(a), self._find(b)
-                if x != y and self._verify(a, b):
-                    self.top[max(x, y)] = min(x, y)
-                    yield self.ids[a], self.ids[b]
+        if not len(left) or not len(right):
+            return
+        tree = RTree(self.point[right], self.size[right], self.t)
+        for i in range(0, len(left), ASKED):
+            a = left[i : i + ASKED]
+            row, at = tree.near(self.point[a], self.size[a])
+            a, b = a[row], right[at]
+            roots = np.array([self._find(x) for x in range(len(self.top))])
+            apart = roots[a] != roots[b]
+            for x, y in zip(a[apart].tolist(), b[apart].tolist(), strict=True):
+                p, q = self._find(x), self._find(y)
+                if p != q and self._verify(x, y):
+                    self.top[max(p, q)] = min(p, q)
+                    yield self.ids[x], self.ids[y]
 
 
 def _set_rows(docs: DataFrame, n: int) -> DataFrame:
@@ -201,7 +240,8 @@ def linked_components(docs: DataFrame, *, n: int = 3, threshold: Fraction = Frac
     base = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("body"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_batches, n_buckets = layout(spark, total, BATCH_BYTES, BUCKET_BYTES)
-    batch = F.pmod(F.xxhash64("doc_id"), F.lit(n_batches))
+    # the text is part of the hash: many rows with one doc_id don't meet in one batch
+    batch = F.pmod(F.xxhash64("doc_id", "body"), F.lit(n_batches))
     by_batch = base.withColumn("batch", batch).groupBy("batch")
 
     # equal sets: the smallest doc_id stands for all
@@ -221,28 +261,28 @@ def linked_components(docs: DataFrame, *, n: int = 3, threshold: Fraction = Frac
 
     def members(df: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         if not len(df):
-            return pd.DataFrame({"key": [], "id": [], "f1": [], "f2": []})
+            return pd.DataFrame({"key": [], "f1": [], "f2": [], "id": [], "batch": [], "n": []})
         b = Batch(df, n, how, n_buckets)
         told = told.sort_values("bucket")["status"]
         repeated = np.concatenate([np.frombuffer(x, np.int8) for x in told]) > 0 if len(told) else np.zeros(0, bool)
         take = np.flatnonzero((repeated | (b.count > 1))[b.inverse])
         prints = np.array([fingerprint(s) for s in b.sets], np.int64).reshape(-1, 2)
-        of = b.of[take]
-        return pd.DataFrame({"key": b.key[take].view(np.int64), "id": np.array(b.ids, np.int64)[of], "f1": prints[of, 0], "f2": prints[of, 1]})
+        of, sizes = b.of[take], np.fromiter(map(len, b.sets), np.int64, len(b.sets))
+        return pd.DataFrame({"key": b.key[take].view(np.int64), "f1": prints[of, 0], "f2": prints[of, 1], "id": np.array(b.ids, np.int64)[of], "batch": df["batch"].iloc[0], "n": sizes[of]})
 
     shared = by_batch.applyInPandas(send, "batch long, bucket long, low binary").groupBy("bucket").applyInPandas(count, "batch long, round int, bucket long, status binary")
-    found = by_batch.cogroup(shared.groupBy("batch")).applyInPandas(members, "key long, id long, f1 long, f2 long")
-    # copies in other batches sent the same keys: the smallest doc_id of a set stays
-    found = cut(found.groupBy("key", "f1", "f2").agg(F.min("id").alias("id")).select("key", "id", "f1"))
+    found = by_batch.cogroup(shared.groupBy("batch")).applyInPandas(members, "key long, f1 long, f2 long, id long, batch long, n long")
+    # copies in other batches sent the same keys: the smallest doc_id of a set stays, with the batch that has it
+    found = cut(found.groupBy("key", "f1", "f2").agg(F.min(F.struct("id", "batch")).alias("x"), F.first("n").alias("n")).select("key", "x.id", "x.batch", "f1", "n"))
     leaders = cut(found.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("c")).filter("c > 1").select("key", "lead"))
-    cells = cut(found.join(leaders.hint("merge"), "key").select("lead", "id", "f1").distinct())
+    cells = cut(found.join(leaders.hint("merge"), "key").select("lead", "id", "batch", "f1", "n").distinct())
 
     # blocks of large cells meet pairwise; a block's number comes from a hash, so blocks are even
     sizes = cells.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     placed = cells.join(small_or_merged(cut(sizes.filter("blocks > 1"))), "lead", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("id", "lead"), F.col("blocks")))
-    pairs = placed.select("lead", "id", "f1", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    asked = pairs.select("id", "f1", "lead", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own").distinct().withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(n_batches)))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("id", "f1", "lead"), F.col("blocks")))
+    pairs = placed.select("lead", "id", "batch", "f1", "n", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    asked = pairs.select("id", "batch", "f1", "n", "lead", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own").distinct()
 
     def fetch(df: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
         if not len(df) or not len(want):
@@ -256,7 +296,7 @@ def linked_components(docs: DataFrame, *, n: int = 3, threshold: Fraction = Frac
     wanted = cut(asked.select(F.col("id").alias("doc_id")).distinct())
     few = base.join(F.broadcast(wanted), "doc_id", "left_semi") if wanted.count() <= BROADCAST_ROWS else base
     filled = few.withColumn("batch", batch).groupBy("batch").cogroup(asked.groupBy("batch")).applyInPandas(fetch, "id long, lead long, p long, q long, own long, grams binary")
-    n_groups = max(1, int(asked.count() // BLOCK) + 1)
+    n_groups = -(-8 * (asked.agg(F.sum("n")).first()[0] or 0) // GROUP_BYTES)
     group = F.pmod(F.xxhash64("lead", "p", "q"), F.lit(max(n_groups, n_batches)))
 
     def join(df: pd.DataFrame) -> pd.DataFrame:
@@ -278,8 +318,8 @@ def linked_components(docs: DataFrame, *, n: int = 3, threshold: Fraction = Frac
 def one_of_each(docs: DataFrame, *, n: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
     """``docs`` without those that reach a smaller doc_id by links. All rows of a kept doc_id stay, and rows with a null doc_id."""
     linked = linked_components(docs, n=n, threshold=threshold)
-    gone = linked.filter("component_id < doc_id").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).distinct()
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    gone = cut(linked.filter("component_id < doc_id").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).distinct())
+    return docs.join(small_or_merged(gone), "doc_id", "left_anti").select(docs.columns)
 
 
 ORACLE = """

@@ -312,9 +312,11 @@ def brute(rows, n, t):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("n,t,block", [(3, Fraction(9, 10), 1024), (5, Fraction(4, 5), 8)])
-def test_jaccard(spark, n, t, block, monkeypatch):
+@pytest.mark.parametrize("n,t,block,limit", [(3, Fraction(9, 10), 1024, 500_000), (5, Fraction(4, 5), 8, 0)])
+def test_jaccard(spark, n, t, block, limit, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", limit)
     rnd = random.Random(7)
     rows = []
     for base in range(12):
@@ -332,6 +334,24 @@ def test_jaccard(spark, n, t, block, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (_, c) in want.items() if c == i)
 
 
+@pytest.mark.parametrize("t", [Fraction(1, 2), Fraction(4, 5), Fraction(9, 10)])
+def test_r_tree_leaves_out_no_link(t):
+    rng = np.random.default_rng(3)
+    base = [np.unique(rng.integers(0, 1 << 62, rng.integers(3, 300), dtype=np.uint64)) for _ in range(40)]
+    sets = [np.unique(np.concatenate([rng.permutation(b)[: max(1, int(len(b) * rng.uniform(0.6, 1)))], rng.integers(0, 1 << 62, rng.integers(0, 9), dtype=np.uint64)])) for b in base for _ in range(25)]
+    cell = jaccard_join.Cell(list(range(len(sets))), sets, t)
+    tree = jaccard_join.RTree(cell.point, cell.size, t)
+    row, at = tree.near(cell.point, cell.size)
+    got = set(zip(row.tolist(), at.tolist()))
+    want = {(i, j) for i in range(len(sets)) for j in range(i // 25 * 25, i // 25 * 25 + 25) if cell._verify(i, j)}
+    assert len(tree.layers) == 3 and want <= got and len(want) > 1000
+    assert len(got) < 0.5 * len(sets) ** 2
+    top = list(range(len(sets)))
+    for a, b in cell.links(np.arange(len(sets)), np.arange(len(sets))):
+        top = [top[a] if x == top[b] else x for x in top]
+    assert all((top[i] == top[j]) for i, j in want)
+
+
 def test_jaccard_edges(spark):
     df = spark.createDataFrame([(2, "a b c d", 1), (1, "a b c d", 1), (1, "a b c d", 1), (None, "a b c d", 1)], "doc_id long, text string, component_id int")
     assert sorted(tuple(r) for r in jaccard_join.linked_components(df).collect()) == [(1, 2, 1), (1, 2, 1), (2, 2, 1)]
