@@ -45,9 +45,9 @@ def cut(df: DataFrame) -> DataFrame:
 BROADCAST_ROWS = 500_000
 
 
-def small_or_merged(table: DataFrame) -> DataFrame:
-    """A side of a join: broadcast if its counted rows are few, else hinted to a merge join. ``table`` must be cheap to count."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table.hint("merge")
+def small_or_merged(table: DataFrame, rows: int | None = None) -> DataFrame:
+    """A side of a join: broadcast if it has ``rows`` rows at most (``BROADCAST_ROWS``), else hinted to a merge join. ``table`` must be cheap to count."""
+    return F.broadcast(table) if table.count() <= (BROADCAST_ROWS if rows is None else rows) else table.hint("merge")
 
 
 def lower_az(text: str) -> str:

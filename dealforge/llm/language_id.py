@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import BROADCAST_ROWS, cut, small_or_merged
 
 UND = "und"
 FEATURES = 1 << 16
@@ -58,15 +58,34 @@ def trigrams(text: str) -> np.ndarray:
     return ((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77)) ^ (c * np.uint32(0xC2B2AE3D))) * np.uint32(0x27D4EB2F) >> np.uint32(16)
 
 
+#: What a count weighs against the one that every feature has from the start.
+WEIGHT = 50.0
+
+
 class TextModel:
-    """log P(trigram | language), languages in ``langs``, ``und`` last."""
+    """log P(trigram | language), languages in ``langs``, ``und`` last.
+
+    ``counts``: of each trigram (a row) in each language; ``sampled``: the key
+    hashes of the rows they are from, whose own counts don't speak for them.
+    """
 
-    def __init__(self, langs: list[str], table: np.ndarray) -> None:
-        self.langs, self.table = langs, table
+    def __init__(self, langs: list[str], counts: np.ndarray, sampled: set[int]) -> None:
+        self.langs, self.sampled = [*langs, UND], sampled
+        self.weights = np.ones((FEATURES, len(langs) + 1), np.float32)
+        self.weights[:, : len(langs)] += np.float32(WEIGHT) * counts.astype(np.float32)
+        self.total = self.weights.sum(0, dtype=np.float64)
+        self.table = np.log(self.weights / self.total).astype(np.float32)
 
-    def loglik(self, text: str) -> tuple[np.ndarray, int]:
+    def loglik(self, text: str, own: str | None = None) -> tuple[np.ndarray, int]:
+        """Log likelihood of each language and the number of trigrams; ``own``: the language that the text was counted for."""
         t = trigrams(text)
-        return self.table[t].sum(0, dtype=np.float64), len(t)
+        out = self.table[t].sum(0, dtype=np.float64)
+        if own in self.langs[:-1] and len(t):
+            i = self.langs.index(own)
+            each, n = np.unique(t, return_counts=True)
+            left = np.maximum(self.weights[each, i] - WEIGHT * n, 1.0)
+            out[i] = (n * np.log(left / max(self.total[i] - WEIGHT * len(t), FEATURES))).sum()
+        return out, len(t)
 
 
 def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = FIT_ROWS) -> TextModel:
@@ -84,15 +103,18 @@ def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str
             for name, g in b.groupby("lang"):
                 n = np.bincount(np.concatenate([trigrams(x) for x in g["text"]]), minlength=FEATURES)
                 at = np.flatnonzero(n)
-                yield pd.DataFrame({"lang": name, "f": at.astype(np.int32), "n": n[at]})
-
-    counts = sample.select("lang", "text").mapInPandas(count, "lang string, f int, n long").groupBy("lang", "f").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(counts["lang"].unique())
-    table = np.full((FEATURES, len(langs) + 1), 1.0)
+                yield pd.DataFrame({"lang": name, "f": at.astype(np.int64), "n": n[at], "row": False})
+                # which rows these counts are from
+                yield pd.DataFrame({"lang": name, "f": g["h"].to_numpy(), "n": 1, "row": True})
+
+    told = sample.select("lang", "text", "h").mapInPandas(count, "lang string, f long, n long, row boolean").groupBy("row", "lang", "f").agg(F.sum("n").alias("n")).toPandas()
+    counts = told[~told["row"].astype(bool)]
+    langs = sorted(told["lang"].unique())
+    table = np.zeros((FEATURES, len(langs)))
     for i, name in enumerate(langs):
         own = counts[counts["lang"] == name]
-        table[own["f"].to_numpy(), i] += own["n"].to_numpy() * 50.0  # the one added to each feature is a fiftieth of a count
-    return TextModel([*langs, UND], np.log(table / table.sum(0)).astype(np.float32))
+        table[own["f"].to_numpy(np.int64), i] = own["n"].to_numpy()
+    return TextModel(langs, table, set(told["f"][told["row"].astype(bool)].tolist()))
 
 
 def address(url: Column) -> dict[str, Column]:
@@ -109,87 +131,106 @@ def declared_in_markup(page: Column) -> Column:
     return F.nullif(F.lower(found), F.lit(""))
 
 
+def _softmax(a: np.ndarray) -> np.ndarray:
+    e = np.exp(a - a.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
+def _matrix(arrays: pd.Series) -> np.ndarray:
+    return np.stack(arrays.to_numpy())
+
+
+class Fusion:
+    """What all rows have told: the declarations' table and the languages' shares."""
+
+    def __init__(self, langs: list[str], declared: dict[str, list[float]]) -> None:
+        self.langs, k = langs, len(langs)
+        self.values = ["", "other", *langs[:-1]]
+        counts = np.array([declared.get(v, [0.0] * k) for v in self.values]) + 0.5
+        self.says = np.log(counts / counts.sum(0))
+        total = np.sum([*declared.values()], axis=0) if declared else np.zeros(k)
+        self.whole = (total + PULL / k) / (total.sum() + PULL)
+
+    def posterior(self, b: pd.DataFrame) -> np.ndarray:
+        """A row of b (like, own, declared, n_trigrams, and the sums n_suffix, n_domain, n_host): P(language | all evidence)."""
+        own, prior = _matrix(b["own"]), self.whole[None, :]
+        for level in ("n_suffix", "n_domain", "n_host"):
+            others = np.maximum(_matrix(b[level]) - own, 0.0)  # without the row's own share
+            prior = (others + PULL * prior) / (others.sum(1, keepdims=True) + PULL)
+        says = self.says[[self.values.index(x) for x in b["declared"]]]
+        p = _matrix(b["like"]) + np.log(prior + UND_PRIOR / len(self.langs)) + says
+        # without a single letter nothing but und can be meant
+        p[(b["n_trigrams"] == 0).to_numpy()] = [-50.0] * (len(self.langs) - 1) + [0.0]
+        return _softmax(p)
+
+
 def identify(rows: DataFrame, model: TextModel, *, markup: bool = False) -> DataFrame:
-    """``rows`` has id, text, declared, host, domain, suffix. Returns id, lang, posterior, text_lang, declared, host, n_trigrams.
+    """``rows`` has id, text, declared, host, domain, suffix, and key (a hash as in ``fit``, or null). Returns id, lang, posterior, text_lang, declared, host, n_trigrams.
 
+    Rows that the model was fitted on are judged without their own counts.
     ``markup``: the text is HTML, and its visible part counts. The rows'
     likelihoods are cut to the shared folder; hosts are grouped with partial
-    sums, and joined back by a join that Spark may split at a hot host.
+    sums, and joined back by broadcast if they are few, else by a join that
+    Spark may split at a hot host.
     """
     langs, k = model.langs, len(model.langs)
-    known = langs[:-1]
+    start = np.array([math.log((1 - UND_PRIOR) / (k - 1))] * (k - 1) + [math.log(UND_PRIOR)] if k > 1 else [0.0])
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [model.loglik(visible_text(x) if markup else x) for x in b["text"]]
-            out = b.drop(columns="text")
-            out["n_trigrams"] = [n for _, n in got]
-            out["like"] = [(ll * min(1.0, EVIDENCE / max(n, 1))).tolist() for ll, n in got]
-            yield out
+            own = [said if key in model.sampled else None for key, said in zip(b["key"], b["said"], strict=True)]
+            got = [model.loglik(visible_text(x) if markup else x, o) for x, o in zip(b["text"], own, strict=True)]
+            n = np.array([n for _, n in got], np.int64)
+            like = np.array([ll for ll, _ in got]).reshape(-1, k) * np.minimum(1.0, EVIDENCE / np.maximum(n, 1))[:, None]
+            yield b.drop(columns=["text", "key", "said"]).assign(n_trigrams=n, like=list(like), own=list(_softmax(like + start)))
 
+    known = langs[:-1]
     named = F.when(F.col("declared").isNull(), "").when(F.lower("declared").isin(known), F.lower("declared")).otherwise("other")
-    base = rows.select("id", *(F.coalesce(x, F.lit("")).alias(x) for x in ("host", "domain", "suffix")), named.alias("declared"), F.coalesce("text", F.lit("")).alias("text"))
-    liked = base.mapInPandas(score, "id long, host string, domain string, suffix string, declared string, n_trigrams long, like array<double>")
+    base = rows.select("id", "key", F.col("declared").alias("said"), *(F.coalesce(x, F.lit("")).alias(x) for x in ("host", "domain", "suffix")), named.alias("declared"), F.coalesce("text", F.lit("")).alias("text"))
+    liked = cut(base.mapInPandas(score, "id long, host string, domain string, suffix string, declared string, n_trigrams long, like array<double>, own array<double>"))
 
-    start = [math.log((1 - UND_PRIOR) / (k - 1))] * (k - 1) + [math.log(UND_PRIOR)] if known else [0.0]
-    prior = F.array(*map(F.lit, start))
-    add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-
-    def softmax(a: Column) -> Column:
-        top = F.transform(a, lambda x: F.exp(x - F.array_max(a)))
-        return F.transform(top, lambda x: x / F.aggregate(top, F.lit(0.0), lambda s, y: s + y))
-
-    liked = cut(liked.withColumn("own", softmax(add(F.col("like"), prior))))
     sums = [F.sum(F.col("own")[i]).alias(f"n{i}") for i in range(k)]
 
     def grouped(name: str, *by: str) -> DataFrame:
         return liked.groupBy(*by).agg(*sums).select(*by, F.array(*(F.col(f"n{i}") for i in range(k))).alias(name))
 
     # declared x language: at most (languages + 2) rows
-    seen = {r["declared"]: r["n"] for r in grouped("n", "declared").collect()}
-    values = ["", "other", *known]
-    table = np.array([seen.get(v, [0.0] * k) for v in values]) + 0.5
-    says = F.create_map(*(x for v, p in zip(values, np.log(table / table.sum(0)).tolist(), strict=True) for x in (F.lit(v), F.array(*map(F.lit, p)))))
-    total = [float(x) for x in np.sum([seen[v] for v in seen], axis=0)] if seen else [0.0] * k
-    whole = F.array(*(F.lit((x + PULL / k) / (sum(total) + PULL)) for x in total))
-
+    fusion = Fusion(langs, {r["declared"]: r["n"] for r in grouped("n", "declared").collect()})
     levels = grouped("n_host", "suffix", "domain", "host").join(grouped("n_domain", "suffix", "domain").hint("merge"), ["suffix", "domain"]).join(grouped("n_suffix", "suffix").hint("merge"), "suffix")
-    joined = liked.join(levels.hint("merge"), ["suffix", "domain", "host"])
+    # a row of three arrays counts as so many rows of a few numbers
+    joined = liked.join(small_or_merged(cut(levels), BROADCAST_ROWS // (1 + k)), ["suffix", "domain", "host"])
 
-    def pulled(counts: str, above: Column) -> Column:
-        others = F.zip_with(F.col(counts), F.col("own"), lambda n, o: F.greatest(n - o, F.lit(0.0)))
-        n = F.aggregate(others, F.lit(0.0), lambda s, y: s + y)
-        return F.zip_with(others, above, lambda x, p: (x + PULL * p) / (n + PULL))
+    def fuse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if not len(b):
+                continue
+            post = fusion.posterior(b)
+            text_lang = np.where(b["n_trigrams"] > 0, _matrix(b["own"]).argmax(1), k - 1)
+            declared = b["declared"].where(b["declared"] != "", None)
+            out = {"id": b["id"], "lang": [langs[i] for i in post.argmax(1)], "posterior": np.round(post.max(1), 6), "text_lang": [langs[i] for i in text_lang], "declared": declared, "host": b["host"], "n_trigrams": b["n_trigrams"]}
+            yield pd.DataFrame(out)
 
-    for counts, name, above in (("n_suffix", "p_suffix", whole), ("n_domain", "p_domain", F.col("p_suffix")), ("n_host", "p_host", F.col("p_domain"))):
-        joined = joined.withColumn(name, pulled(counts, above))
-    floor = UND_PRIOR / k
-    joined = joined.withColumn("p", add(add(F.col("like"), F.transform("p_host", lambda p: F.log(p + floor))), says[F.col("declared")]))
-    # without a single letter nothing but und can be meant
-    joined = joined.withColumn("p", F.when(F.col("n_trigrams") == 0, F.array(*([F.lit(-50.0)] * (k - 1)), F.lit(0.0))).otherwise(F.col("p")))
-    name = F.array(*map(F.lit, langs))
-    best = lambda a: name[(F.array_position(a, F.array_max(a)) - 1).cast("int")]
-    joined = joined.withColumn("post", softmax(F.col("p")))
-    return joined.select("id", best(F.col("post")).alias("lang"), F.round(F.array_max("post"), 6).alias("posterior"), F.when(F.col("n_trigrams") > 0, best(F.col("own"))).otherwise(UND).alias("text_lang"), F.nullif("declared", F.lit("")).alias("declared"), "host", "n_trigrams")
+    return joined.mapInPandas(fuse, "id long, lang string, posterior double, text_lang string, declared string, host string, n_trigrams long")
 
 
 def identify_pages(pages: DataFrame, model: TextModel) -> DataFrame:
-    rows = pages.select(F.col("page_id").cast("long").alias("id"), F.col("html").alias("text"), declared_in_markup(F.col("html")).alias("declared"), *(c.alias(n) for n, c in address(F.col("url")).items()))
+    rows = pages.select(F.col("page_id").cast("long").alias("id"), F.lit(None).cast("long").alias("key"), F.col("html").alias("text"), declared_in_markup(F.col("html")).alias("declared"), *(c.alias(n) for n, c in address(F.col("url")).items()))
     return identify(rows, model, markup=True).withColumnRenamed("id", "page_id")
 
 
 def identify_documents(docs: DataFrame, model: TextModel) -> DataFrame:
     """Documents: the language column is the declaration, the source is the host."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"), F.col("source").alias("domain"), F.lit("").alias("suffix"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("doc_id").alias("key"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"), F.col("source").alias("domain"), F.lit("").alias("suffix"))
     return identify(rows, model).withColumnRenamed("id", "doc_id")
 
 
-#: Rejected rows up to which their ids are broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 100_000
-
-
 def keep_identified(docs: DataFrame, model: TextModel, *, min_posterior: float = 0.5) -> DataFrame:
-    """``docs`` without those whose language is ``und`` or less likely than ``min_posterior``. Rows with a null doc_id stay."""
+    """``docs`` without those whose language is ``und``, less likely than ``min_posterior``, or not the known language that the row claims.
+
+    Rows with a null doc_id stay.
+    """
     found = identify_documents(docs, model)
-    gone = cut(found.filter((F.col("lang") == UND) | (F.col("posterior") < min_posterior)).select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).distinct())
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti").select(docs.columns)
+    claims = F.col("declared").isin(model.langs[:-1]) & (F.col("declared") != F.col("lang"))
+    rejected = found.filter((F.col("lang") == UND) | (F.col("posterior") < min_posterior) | claims)
+    gone = cut(rejected.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).distinct())
+    return docs.join(small_or_merged(gone), "doc_id", "left_anti").select(docs.columns)

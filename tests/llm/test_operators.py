@@ -169,6 +169,65 @@ def test_language_id(spark):
     assert language_id.identify_documents(docs.limit(0), model).collect() == []
 
 
+@pytest.mark.parametrize("limit", [500_000, 0])
+def test_posteriors_equal_sums(spark, monkeypatch, limit):
+    """All evidence added up in plain Python, row by row; columns with clashing names don't matter."""
+    monkeypatch.setattr(language_id, "BROADCAST_ROWS", limit)
+    rnd = random.Random(12)
+    rows = [(n * 10 + i, SAMPLES[l] * (1 + i % 4), l, f"s{n}", 1) for n, l in enumerate(SAMPLES) for i in range(10)]
+    model = language_id.fit(spark.createDataFrame(rows, DOCS))
+    langs, k = model.langs, len(model.langs)
+    pages = []
+    for i in range(90):
+        l = rnd.choice([*SAMPLES])
+        words = SAMPLES[l].split() if rnd.random() < 0.9 else ["zq", "xxk", "42"]
+        body = " ".join(rnd.choices(words, k=rnd.randint(0, 6)))
+        tag = rnd.choice([f'<html lang="{l}">', "<html>", '<html lang="xx">'])
+        pages.append((i, rnd.choice([None, "http://a.one.fr/x", "http://b.one.fr/", "https://two.de:80/?q", "http://c.three.fr"]), tag + body, "clash", 0.5))
+    got = {r.page_id: r for r in language_id.identify_pages(spark.createDataFrame(pages, "page_id long, url string, html string, lang string, posterior double"), model).collect()}
+
+    def softmax(x):
+        e = [math.exp(v - max(x)) for v in x]
+        return [v / sum(e) for v in e]
+
+    like, own, key, declared = {}, {}, {}, {}
+    for i, url, page, *_ in pages:
+        t = language_id.trigrams(language_id.visible_text(page))
+        like[i] = [min(1, language_id.EVIDENCE / max(len(t), 1)) * sum(float(model.table[x, j]) for x in t) for j in range(k)]
+        own[i] = softmax([x + math.log(0.999 / (k - 1) if j < k - 1 else 0.001) for j, x in enumerate(like[i])])
+        host = re.sub(r"^\w+://|[:/?].*$", "", url or "")
+        labels = host.split(".")
+        key[i] = (labels[-1], ".".join(labels[-2:]), host)
+        said = re.search('lang="(..)"', page)
+        declared[i] = "" if not said else said[1] if said[1] in langs else "other"
+    values = ["", "other", *langs[:-1]]
+    table = [[0.5 + sum(own[i][j] for i in own if declared[i] == v) for j in range(k)] for v in values]
+    total = [sum(o[j] for o in own.values()) for j in range(k)]
+    for i in own:
+        prior = [(x + language_id.PULL / k) / (sum(total) + language_id.PULL) for x in total]
+        for level in (1, 2, 3):
+            others = [sum(own[x][j] for x in own if key[x][:level] == key[i][:level] and x != i) for j in range(k)]
+            prior = [(x + language_id.PULL * p) / (sum(others) + language_id.PULL) for x, p in zip(others, prior)]
+        says = [table[values.index(declared[i])][j] / sum(row[j] for row in table) for j in range(k)]
+        post = softmax([x + math.log(p + language_id.UND_PRIOR / k) + math.log(s) for x, p, s in zip(like[i], prior, says)])
+        letters = len(language_id.trigrams(language_id.visible_text(pages[i][2])))
+        if not letters:
+            post = softmax([-50.0] * (k - 1) + [0.0])
+        r = got[i]
+        assert r.n_trigrams == letters and abs(r.posterior - max(post)) < 1.01e-6
+        assert r.lang == langs[post.index(max(post))] and (r.declared or "") == declared[i] and r.host == key[i][2]
+
+
+def test_rejected_documents_go(spark):
+    """Unknown languages and rows whose text contradicts their label go, clean rows stay."""
+    import corpus_pipeline
+
+    rows = [(n * 10 + i, SAMPLES[l] * (1 + i % 4), l, f"s{i}", 1) for n, l in enumerate(SAMPLES) for i in range(10)]
+    bad = [(100, "qqxz wvkj jjqz " * 40, "en", "s0", 0), (101, "12 34 --", "en", "s1", 0), (102, SAMPLES["de"] * 3, "fr", "s2", 0), (103, "漢字仮名交じり文" * 20, "en", "s3", 0)]
+    kept = corpus_pipeline.language_id(spark, spark.createDataFrame(rows + bad, DOCS), "")
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(30))
+
+
 def test_host_prior_decides_short_texts(spark):
     rows = [(n * 10 + i, SAMPLES[l] * 3, l, f"s{n}", 1) for n, l in enumerate(SAMPLES) for i in range(10)]
     docs = spark.createDataFrame([*rows, (200, "te", None, "s1", 2), (201, "te", None, "s2", 2)], DOCS)
