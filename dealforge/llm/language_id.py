@@ -34,6 +34,8 @@ FEATURES = 1 << 16
 FIT_ROWS = 500
 #: Trigrams whose evidence counts in full; more add no certainty, as they depend on each other.
 EVIDENCE = 60.0
+#: Trigrams of a stretch, in which a claimed language is looked for.
+STRETCH = 20
 #: Pseudo-counts that each level of the host hierarchy takes from the level above.
 PULL = 4.0
 UND_PRIOR = 1e-3
@@ -76,16 +78,24 @@ class TextModel:
         self.total = self.weights.sum(0, dtype=np.float64)
         self.table = np.log(self.weights / self.total).astype(np.float32)
 
-    def loglik(self, text: str, own: str | None = None) -> tuple[np.ndarray, int]:
-        """Log likelihood of each language and the number of trigrams; ``own``: the language that the text was counted for."""
+    def loglik(self, text: str, own: str | None = None, claimed: str = "") -> tuple[np.ndarray, int, bool]:
+        """Log likelihood of each language, the number of trigrams, and whether any stretch of the text is in the claimed language.
+
+        ``own``: the language that the text was counted for in the fit. Texts
+        of less than ``EVIDENCE`` trigrams are too short to deny a claim.
+        """
         t = trigrams(text)
-        out = self.table[t].sum(0, dtype=np.float64)
+        each = self.table[t]
+        out, denied = each.sum(0, dtype=np.float64), False
+        if len(t) >= EVIDENCE and claimed in self.langs[:-1] and out.argmax() != self.langs.index(claimed):
+            stretches = np.add.reduceat(each, np.arange(0, len(t) - STRETCH + 1, STRETCH), axis=0)
+            denied = not (stretches.argmax(1) == self.langs.index(claimed)).any()
         if own in self.langs[:-1] and len(t):
             i = self.langs.index(own)
             each, n = np.unique(t, return_counts=True)
             left = np.maximum(self.weights[each, i] - WEIGHT * n, 1.0)
             out[i] = (n * np.log(left / max(self.total[i] - WEIGHT * len(t), FEATURES))).sum()
-        return out, len(t)
+        return out, len(t), not denied
 
 
 def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = FIT_ROWS) -> TextModel:
@@ -165,8 +175,9 @@ class Fusion:
 
 
 def identify(rows: DataFrame, model: TextModel, *, markup: bool = False) -> DataFrame:
-    """``rows`` has id, text, declared, host, domain, suffix, and key (a hash as in ``fit``, or null). Returns id, lang, posterior, text_lang, declared, host, n_trigrams.
+    """``rows`` has id, text, declared, host, domain, suffix, and key (a hash as in ``fit``, or null). Returns id, lang, posterior, text_lang, declared, host, n_trigrams, claim_found.
 
+    claim_found: false if no stretch of the text is in the declared language.
     Rows that the model was fitted on are judged without their own counts.
     ``markup``: the text is HTML, and its visible part counts. The rows'
     likelihoods are cut to the shared folder; hosts are grouped with partial
@@ -179,15 +190,15 @@ def identify(rows: DataFrame, model: TextModel, *, markup: bool = False) -> Data
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             own = [said if key in model.sampled else None for key, said in zip(b["key"], b["said"], strict=True)]
-            got = [model.loglik(visible_text(x) if markup else x, o) for x, o in zip(b["text"], own, strict=True)]
-            n = np.array([n for _, n in got], np.int64)
-            like = np.array([ll for ll, _ in got]).reshape(-1, k) * np.minimum(1.0, EVIDENCE / np.maximum(n, 1))[:, None]
-            yield b.drop(columns=["text", "key", "said"]).assign(n_trigrams=n, like=list(like), own=list(_softmax(like + start)))
+            got = [model.loglik(visible_text(x) if markup else x, o, said) for x, o, said in zip(b["text"], own, b["declared"], strict=True)]
+            n = np.array([n for _, n, _ in got], np.int64)
+            like = np.array([ll for ll, *_ in got]).reshape(-1, k) * np.minimum(1.0, EVIDENCE / np.maximum(n, 1))[:, None]
+            yield b.drop(columns=["text", "key", "said"]).assign(n_trigrams=n, like=list(like), own=list(_softmax(like + start)), claim_found=[c for *_, c in got])
 
     known = langs[:-1]
     named = F.when(F.col("declared").isNull(), "").when(F.lower("declared").isin(known), F.lower("declared")).otherwise("other")
     base = rows.select("id", "key", F.col("declared").alias("said"), *(F.coalesce(x, F.lit("")).alias(x) for x in ("host", "domain", "suffix")), named.alias("declared"), F.coalesce("text", F.lit("")).alias("text"))
-    liked = cut(base.mapInPandas(score, "id long, host string, domain string, suffix string, declared string, n_trigrams long, like array<double>, own array<double>"))
+    liked = cut(base.mapInPandas(score, "id long, host string, domain string, suffix string, declared string, n_trigrams long, like array<double>, own array<double>, claim_found boolean"))
 
     sums = [F.sum(F.col("own")[i]).alias(f"n{i}") for i in range(k)]
 
@@ -207,10 +218,10 @@ def identify(rows: DataFrame, model: TextModel, *, markup: bool = False) -> Data
             post = fusion.posterior(b)
             text_lang = np.where(b["n_trigrams"] > 0, _matrix(b["own"]).argmax(1), k - 1)
             declared = b["declared"].where(b["declared"] != "", None)
-            out = {"id": b["id"], "lang": [langs[i] for i in post.argmax(1)], "posterior": np.round(post.max(1), 6), "text_lang": [langs[i] for i in text_lang], "declared": declared, "host": b["host"], "n_trigrams": b["n_trigrams"]}
+            out = {"id": b["id"], "lang": [langs[i] for i in post.argmax(1)], "posterior": np.round(post.max(1), 6), "text_lang": [langs[i] for i in text_lang], "declared": declared, "host": b["host"], "n_trigrams": b["n_trigrams"], "claim_found": b["claim_found"]}
             yield pd.DataFrame(out)
 
-    return joined.mapInPandas(fuse, "id long, lang string, posterior double, text_lang string, declared string, host string, n_trigrams long")
+    return joined.mapInPandas(fuse, "id long, lang string, posterior double, text_lang string, declared string, host string, n_trigrams long, claim_found boolean")
 
 
 def identify_pages(pages: DataFrame, model: TextModel) -> DataFrame:
@@ -225,12 +236,12 @@ def identify_documents(docs: DataFrame, model: TextModel) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: TextModel, *, min_posterior: float = 0.5) -> DataFrame:
-    """``docs`` without those whose language is ``und``, less likely than ``min_posterior``, or not the known language that the row claims.
+    """``docs`` without those whose language is ``und``, less likely than ``min_posterior``, or another one than they claim, all through.
 
-    Rows with a null doc_id stay.
+    Documents that are in several languages, the claimed one among them, stay,
+    and rows with a null doc_id.
     """
     found = identify_documents(docs, model)
-    claims = F.col("declared").isin(model.langs[:-1]) & (F.col("declared") != F.col("lang"))
-    rejected = found.filter((F.col("lang") == UND) | (F.col("posterior") < min_posterior) | claims)
+    rejected = found.filter((F.col("lang") == UND) | (F.col("posterior") < min_posterior) | ~F.col("claim_found") & (F.col("declared") != F.col("lang")))
     gone = cut(rejected.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).distinct())
     return docs.join(small_or_merged(gone), "doc_id", "left_anti").select(docs.columns)

@@ -224,8 +224,9 @@ def test_rejected_documents_go(spark):
 
     rows = [(n * 10 + i, SAMPLES[l] * (1 + i % 4), l, f"s{i}", 1) for n, l in enumerate(SAMPLES) for i in range(10)]
     bad = [(100, "qqxz wvkj jjqz " * 40, "en", "s0", 0), (101, "12 34 --", "en", "s1", 0), (102, SAMPLES["de"] * 3, "fr", "s2", 0), (103, "漢字仮名交じり文" * 20, "en", "s3", 0)]
-    kept = corpus_pipeline.language_id(spark, spark.createDataFrame(rows + bad, DOCS), "")
-    assert sorted(r.doc_id for r in kept.collect()) == list(range(30))
+    mixed = [(200, SAMPLES["de"] * 5 + SAMPLES["fr"] * 3, "fr", "s4", 0), (201, "die", "en", "s4", 0)]
+    kept = corpus_pipeline.language_id(spark, spark.createDataFrame(rows + bad + mixed, DOCS), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [*range(30), 200, 201]
 
 
 def test_host_prior_decides_short_texts(spark):
