@@ -4,8 +4,12 @@ Distances from every vector to a set of pivots are computed once and kept
 beside the vectors. For a query the largest difference of pivot distances is
 a lower bound on the distance to a candidate, hence
 ``(|x|^2 + |q|^2 - bound^2) / 2`` is an upper bound on their inner product.
-Candidates are evaluated in the order of that bound until it falls below the
-k-th best score, so no score is missed.
+Each query's candidates are evaluated in the order of its own bounds until
+they fall below its k-th best score, so no score is missed.
+
+Vectors are packed into blocks with those near the same pivot. A block keeps
+its least and largest distance to each pivot, so pairs of blocks that can't
+reach any floor are dropped before they meet.
 
 Vectors that are null or hold null or non-finite components take no part.
 Shorter vectors count as padded with zeros. Of rows with one vec_id the
@@ -28,8 +32,10 @@ SAMPLE_ROWS = 2000
 N_PIVOTS = 32
 #: Rows packed into one block, of candidates and of queries.
 CANDIDATE_BLOCK, QUERY_BLOCK = 8192, 1024
-#: Candidates evaluated between two looks at the stopping bound.
-STEP = 512
+#: Candidates that a query evaluates between two looks at its stopping bound, and queries that go together.
+STEP, TOGETHER = 256, 128
+#: Blocks of candidates up to which their pivot distances (about half a kilobyte each) go through the driver; beyond it every pair of blocks meets.
+KNOWN_BLOCKS = 1 << 16
 
 
 def usable(vectors: DataFrame, scale: float = 64.0) -> DataFrame:
@@ -87,42 +93,58 @@ def _bounds(q: dict, c: dict) -> np.ndarray:
     return out / 2 + np.float32(1e-5 * (1 + c["sq"].max() + q["sq"].max()))
 
 
-def _search(q: dict, c: dict, k: int, exact32: bool) -> pd.DataFrame:
-    """Best k of one candidate block for every query of one query block.
+def _search(q: dict, c: dict, k: int, exact32: bool) -> tuple[pd.DataFrame, int]:
+    """Best k of one candidate block for every query of one query block, and the number of scores evaluated.
 
-    Candidates come in the order of their greatest bound, ``STEP`` at a time.
-    A query leaves when no later bound of its own reaches its floor.
+    Every query goes through the candidates in the order of its own bounds,
+    ``STEP`` at a time, and leaves when the next one is below its floor.
     """
-    upper = _bounds(q, c)
-    order = np.argsort(-upper.max(0), kind="stable")
-    upper, ids = upper[:, order], c["ids"][order]
     kind = np.float32 if exact32 else np.float64
-    c_v, q_v = c["v"][order].astype(kind), q["v"].astype(kind)
-    steps = np.arange(0, len(ids), STEP)
-    later = np.maximum.accumulate(np.maximum.reduceat(upper, steps, axis=1)[:, ::-1], axis=1)[:, ::-1]
-    floor = q["seed"].copy()
-    best = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    for i, at in enumerate(steps):
-        live = np.flatnonzero(later[:, i] >= floor)
-        if not len(live):
-            break
-        scores = q_v[live] @ c_v[at : at + STEP].T
-        row, col = np.nonzero((scores >= floor[live][:, None]) & (upper[live, at : at + STEP] >= floor[live][:, None]))
-        who, what, score = live[row], ids[at + col], scores[row, col].astype(float)
-        other = what != q["ids"][who]
-        best = _best(np.concatenate([best[0], who[other]]), np.concatenate([best[1], what[other]]), np.concatenate([best[2], score[other]]), k)
-        n = np.bincount(best[0], minlength=len(floor))
-        full = np.flatnonzero(n >= k)
-        floor[full] = np.maximum(floor[full], best[2][np.cumsum(n)[full] - 1])
-    return pd.DataFrame({"query_id": q["ids"][best[0]], "vec_id": best[1], "score": np.rint(best[2]).astype(np.int64)})
+    c_v, q_v, floor, evaluated = c["v"].astype(kind), q["v"].astype(kind), q["seed"].copy(), 0
+    out = []
+    for a in range(0, len(q["ids"]), TOGETHER):
+        some = slice(a, a + TOGETHER)
+        q_ids, least = q["ids"][some], floor[some]
+        upper = _bounds({x: q[x][some] for x in ("ids", "far", "sq")}, c)
+        order = np.argsort(-upper, axis=1)
+        best = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        for at in range(0, order.shape[1], STEP):
+            live = np.flatnonzero(np.take_along_axis(upper, order[:, at : at + 1], 1)[:, 0] >= least)
+            if not len(live):
+                break
+            cand = order[live, at : at + STEP]
+            scores = np.matmul(c_v[cand], q_v[some][live][:, :, None])[:, :, 0]
+            evaluated += scores.size
+            row, col = np.nonzero(scores >= least[live][:, None])
+            who, what, score = live[row], c["ids"][cand[row, col]], scores[row, col].astype(float)
+            other = what != q_ids[who]
+            best = _best(np.concatenate([best[0], who[other]]), np.concatenate([best[1], what[other]]), np.concatenate([best[2], score[other]]), k)
+            n = np.bincount(best[0], minlength=len(least))
+            full = np.flatnonzero(n >= k)
+            least[full] = np.maximum(least[full], best[2][np.cumsum(n)[full] - 1])
+        out.append(pd.DataFrame({"query_id": q_ids[best[0]], "vec_id": best[1], "score": np.rint(best[2]).astype(np.int64)}))
+    return pd.concat(out, ignore_index=True), evaluated
+
+
+def _reachable(q: dict, known: dict) -> np.ndarray:
+    """Candidate blocks whose best possible score reaches the least floor of a query block, the best first.
+
+    q: lo, hi (distances to the pivots), sq (largest square norm), floor;
+    known: the same of all candidate blocks, and their numbers.
+    """
+    gap = np.maximum(np.maximum(known["lo"] - q["hi"], q["lo"] - known["hi"]), 0.0).max(1)
+    upper = (known["sq"] + q["sq"] - gap**2) / 2 + 1e-5 * (1 + known["sq"] + q["sq"])
+    take = np.flatnonzero(upper >= q["floor"])
+    return known["block"][take[np.argsort(-upper[take])]]
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, *, n_pivots: int = N_PIVOTS) -> DataFrame:
     """For each row of ``usable`` vectors that ``is_query`` holds for: query_id, rank, vec_id, score.
 
     Blocks of queries meet blocks of candidates by an equi-join on the
-    candidate block's number: the smaller side, the queries, is repeated.
-    Only a sample of fixed size comes to the driver, to choose pivots.
+    candidate block's number: the smaller side, the queries, is repeated for
+    the blocks that it can't do without. A sample of fixed size comes to the
+    driver, to choose pivots.
     """
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -139,12 +161,25 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, *, n_pivots: int =
         sample = vectors.limit(SAMPLE_ROWS).toPandas()
     s_ids, s_v = sample["vec_id"].to_numpy(), _matrix(sample["v"], dim)
     pivots = _pivots(s_v, n_pivots)
-    n_c, n_b = -(-n // CANDIDATE_BLOCK), -(-n_q // QUERY_BLOCK)
+    share = np.bincount(_distances(s_v, pivots).argmin(1), minlength=len(pivots)) / len(s_v)
+
+    def numbered(rows: DataFrame, total: int, size: int) -> DataFrame:
+        """Rows with block: the nearest pivot, and a part of its rows by hash where the sample says that they are many."""
+        n_parts = np.maximum(1, np.ceil(share * total / size)).astype(np.int64)
+        first = np.cumsum(n_parts) - n_parts
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                near = _distances(_matrix(b["v"], dim), pivots).argmin(1)
+                yield b.assign(block=first[near] + b["h"].to_numpy() % n_parts[near]).drop(columns="h")
+
+        return rows.withColumn("h", F.xxhash64("vec_id")).mapInPandas(run, "vec_id long, v array<double>, block long")
 
     def pack(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("vec_id")
         x = _matrix(df["v"], dim)
-        return pd.DataFrame({"block": [df["block"].iloc[0]], "ids": [df["vec_id"].to_numpy(np.int64).tobytes()], "v": [x.tobytes()], "far": [_distances(x, pivots).tobytes()]})
+        far = _distances(x, pivots)
+        return pd.DataFrame({"block": [df["block"].iloc[0]], "ids": [df["vec_id"].to_numpy(np.int64).tobytes()], "v": [x.tobytes()], "far": [far.tobytes()], "lo": [far.min(0).tobytes()], "hi": [far.max(0).tobytes()], "sq": [float((x**2).sum(1).max())]})
 
     def seeded(df: pd.DataFrame) -> pd.DataFrame:
         """Also the k-th best score over the sample, a floor of the final k-th best."""
@@ -154,12 +189,26 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, *, n_pivots: int =
         seed = np.sort(scores, axis=1)[:, -k] if len(s_ids) >= k else np.full(len(ids), -np.inf)
         return out.assign(seed=[seed.tobytes()])
 
-    schema = "block long, ids binary, v binary, far binary"
-    block = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m))
-    cands = vectors.withColumn("block", block(n_c)).groupBy("block").applyInPandas(pack, schema)
-    asks = vectors.filter(is_query).withColumn("block", block(n_b)).groupBy("block").applyInPandas(seeded, schema + ", seed binary")
-    asks = asks.select(*(F.col(x).alias("q_" + x) for x in ("ids", "v", "far", "seed")), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_c - 1).cast("long"))).alias("block"))
-    read = lambda b, shape: np.frombuffer(b).reshape(shape)
+    read = lambda b, shape=-1: np.frombuffer(b).reshape(shape)
+    schema = "block long, ids binary, v binary, far binary, lo binary, hi binary, sq double"
+    cands = numbered(vectors, n, CANDIDATE_BLOCK).groupBy("block").applyInPandas(pack, schema)
+    asks = numbered(vectors.filter(is_query), n_q, QUERY_BLOCK).groupBy("block").applyInPandas(seeded, schema + ", seed binary")
+    met = cands.select("block", "lo", "hi", "sq") if n <= KNOWN_BLOCKS * CANDIDATE_BLOCK else cands.select("block", F.lit(None).cast("binary").alias("lo"), F.lit(None).cast("binary").alias("hi"), "sq")
+    blocks = met.toPandas()
+    known = {"block": blocks["block"].to_numpy(np.int64), "sq": blocks["sq"].to_numpy()}
+    if n <= KNOWN_BLOCKS * CANDIDATE_BLOCK:
+        known |= {x: np.stack([read(b) for b in blocks[x]]) for x in ("lo", "hi")}
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            floors = [float(read(s).min()) for s in b["seed"]]
+            if "lo" in known:
+                to = [_reachable({"lo": read(lo), "hi": read(hi), "sq": sq, "floor": f}, known) for lo, hi, sq, f in zip(b["lo"], b["hi"], b["sq"], floors, strict=True)]
+            else:
+                to = [known["block"]] * len(b)
+            yield pd.DataFrame({"q_ids": b["ids"], "q_v": b["v"], "q_far": b["far"], "q_seed": b["seed"], "to": to})
+
+    asks = asks.mapInPandas(choose, "q_ids binary, q_v binary, q_far binary, q_seed binary, to array<long>").select("q_ids", "q_v", "q_far", "q_seed", F.explode("to").alias("block"))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -168,9 +217,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, *, n_pivots: int =
                 for ids, v, far in ((r.q_ids, r.q_v, r.q_far), (r.ids, r.v, r.far)):
                     v = read(v, (-1, dim))
                     side.append({"ids": np.frombuffer(ids, np.int64), "v": v, "far": read(far, (len(v), -1)), "sq": (v**2).sum(1)})
-                yield _search(side[0] | {"seed": np.frombuffer(r.q_seed)}, side[1], k, most < 2.0**24)
+                yield _search(side[0] | {"seed": read(r.q_seed)}, side[1], k, most < 2.0**24)[0]
 
-    pairs = asks.join(cands.hint("merge"), "block").repartition(int(min(n_c * n_b, 4096)), "block", F.xxhash64("q_ids"))
+    n_pairs = len(known["block"]) * -(-n_q // QUERY_BLOCK)
+    pairs = asks.join(cands.select("block", "ids", "v", "far").hint("merge"), "block").repartition(int(min(n_pairs, 4096)), "block", F.xxhash64("q_ids"))
     hits = pairs.mapInPandas(search, "query_id long, vec_id long, score long")
     best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

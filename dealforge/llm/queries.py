@@ -40,7 +40,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive_roundtrip(spark, table(spark, sf_dir, "pages"))
+    return warc.archive_roundtrip(table(spark, sf_dir, "pages"))
 
 
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

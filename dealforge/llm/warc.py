@@ -26,7 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_dir
+from .common import cut, fresh_dir
+from .shared_files import SharedFiles
 
 #: An archive is closed when it holds so many compressed bytes; so a reader's task holds one such file.
 ARCHIVE_BYTES = 16 << 20
@@ -82,35 +83,23 @@ def member(data: bytes, level: int = 6) -> bytes:
     return z.compress(data) + z.flush()
 
 
-class SharedFiles:
-    """Files in the shared folder, by pyarrow: local mounts and object stores alike."""
-
-    def __init__(self, uri: str) -> None:
-        from pyarrow import fs
-
-        self.fs, self.root = fs.FileSystem.from_uri(uri if not uri.startswith("file:/") or uri.startswith("file:///") else "file://" + uri[5:])
-
-    def put(self, name: str, data: bytes) -> None:
-        """Write under an own name, then move: a task that runs twice leaves one whole file."""
-        tmp, to = f"{self.root}/_tmp-{uuid.uuid4().hex}", f"{self.root}/{name}"
-        self.fs.create_dir(self.root, recursive=True)
-        with self.fs.open_output_stream(tmp) as f:
-            f.write(data)
-        self.fs.move(tmp, to)
-
-
 def write_archives(marked: DataFrame, to: str, *, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Write the rows of ``mark_revisits`` as archives below ``to``; a row a file: file, n_records, n_bytes."""
+    """Write the rows of ``mark_revisits`` as archives below ``to``; a row a file: file, n_records, n_bytes.
+
+    Every run of a task writes files of its own names, so the archives are
+    those that the result lists: what a lost or repeated task has left beside
+    them doesn't count.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        files, part, n = SharedFiles(to), TaskContext.get().partitionId(), 0
+        files, part, n = SharedFiles(to), f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:8]}", 0
         held, count = io.BytesIO(), 0
 
         def close() -> pd.DataFrame:
             nonlocal held, count, n
-            name = f"part-{part:06d}-{n:05d}.warc.gz"
+            name = f"part-{part}-{n:05d}.warc.gz"
             files.put(name, held.getvalue())
             out = pd.DataFrame({"file": [name], "n_records": [count], "n_bytes": [held.tell()]})
             held, count, n = io.BytesIO(), 0, n + 1
@@ -175,42 +164,56 @@ def parse_record(data: bytes) -> dict:
     }
 
 
+_FIELDS = {"page_id": "long", "payload_bytes": "long", "payload_digest": "string", "record_type": "string", "refers_to": "long", "url": "string", "payload": "binary"}
+
+
+def _names(with_payload: bool) -> list[str]:
+    return [*_FIELDS] if with_payload else [*_FIELDS][:5]
+
+
+def _schema(names: list[str]) -> str:
+    return ", ".join(f"{n} {_FIELDS[n]}" for n in names)
+
+
+def _records(contents: Iterator[memoryview], names: list[str]) -> Iterator:
+    """Arrow batches of the records of whole archives."""
+    import pyarrow as pa
+
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    of = pa.schema([(n, kinds[_FIELDS[n]]) for n in names])
+    for content in contents:
+        rows = []
+        for data in inflate_members(content):
+            r = parse_record(data)
+            rows.append({k: r[k] for k in names})
+            if len(rows) == 256:
+                yield pa.RecordBatch.from_pylist(rows, schema=of)
+                rows = []
+        yield pa.RecordBatch.from_pylist(rows, schema=of)
+
+
 def read_archives(spark: SparkSession, path: str, *, with_payload: bool = False) -> DataFrame:
     """A row per record of the ``*.warc.gz`` files below ``path``, each digest verified.
 
     With ``with_payload`` also url and payload (null for revisits).
     """
-    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", *(["url", "payload"] if with_payload else [])]
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", url string, payload binary" * with_payload
+    names = _names(with_payload)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path)
+    return found.select("content").mapInArrow(lambda batches: _records((memoryview(c.as_buffer()) for b in batches for c in b.column("content")), names), _schema(names))
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
 
-        of = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload", pa.binary())])
-        of = pa.schema([of.field(n) for n in names])
-        for b in batches:
-            for content in b.column("content"):
-                rows = []
-                for data in inflate_members(memoryview(content.as_buffer())):
-                    r = parse_record(data)
-                    rows.append({k: r[k] for k in names})
-                    if len(rows) == 256:
-                        yield pa.RecordBatch.from_pylist(rows, schema=of)
-                        rows = []
-                yield pa.RecordBatch.from_pylist(rows, schema=of)
+def read_written(written: DataFrame, path: str, *, with_payload: bool = False) -> DataFrame:
+    """As ``read_archives``, of the files that ``written`` (a stored result of ``write_archives``) lists."""
+    names = _names(with_payload)
 
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path)
-    return found.select("content").mapInArrow(run, schema)
+    def run(batches: Iterator) -> Iterator:
+        files = SharedFiles(path)
+        return _records((memoryview(files.read(f.as_py())) for b in batches for f in b.column("file")), names)
 
+    return written.select("file").mapInArrow(run, _schema(names))
 
-def archive_roundtrip(spark: SparkSession, pages: DataFrame, *, min_revisit: int = 100) -> DataFrame:
-    """Write ``pages`` to new archives in the shared folder and read them back.
 
-    A revisit whose response isn't in the archives would be an error of the
-    writer; page ids are checked by the caller's join, not here.
-    """
-    to = fresh_dir(spark, "warc")
-    written = write_archives(mark_revisits(pages, min_revisit), to).agg(F.sum("n_records")).first()[0]
-    if not written:
-        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    return read_archives(spark, to)
+def archive_roundtrip(pages: DataFrame, *, min_revisit: int = 100, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Write ``pages`` to new archives in the shared folder and read them back."""
+    to = fresh_dir(pages.sparkSession, "warc")
+    return read_written(cut(write_archives(mark_revisits(pages, min_revisit), to, archive_bytes=archive_bytes)), to)

@@ -55,11 +55,11 @@ def test_warc_round_trip(spark):
     big = "<html>" + "é" * 300
     rows = [(5, "http://x/é?a=1", big), (3, None, big), (9, "http://y", big), (1, "http://s", "small"), (2, "http://s2", "small"), (4, "http://n", None), (6, "u", ""), (None, "u", "x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to, r.payload_digest) for r in warc.archive_roundtrip(spark, df).collect()}
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to, r.payload_digest) for r in warc.archive_roundtrip(df).collect()}
     sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
     kind = {3: ("response", None), 5: ("revisit", 3), 9: ("revisit", 3)}
     assert got == {i: (len((t or "").encode()), *kind.get(i, ("response", None)), sha(t)) for i, _, t in rows if i is not None}
-    assert warc.archive_roundtrip(spark, df.limit(0)).collect() == []
+    assert warc.archive_roundtrip(df.limit(0)).collect() == []
     to = common.fresh_dir(spark, "warc-test")
     assert warc.write_archives(warc.mark_revisits(df), to, archive_bytes=500).agg(F.sum("n_records")).first()[0] == 7
     back = {r.page_id: (r.url, r.payload) for r in warc.read_archives(spark, to, with_payload=True).collect()}
@@ -75,6 +75,20 @@ def test_warc_keeps_other_payloads_of_a_page_id(spark):
     assert got == sorted([(1, 0, a), (2, 1, ""), (2, 0, b), (2, 0, "small"), (3, 2, "")])
 
 
+def test_warc_reads_only_what_was_written(spark):
+    """Several archives a task, clashing columns, and an archive that a lost task left behind."""
+    rows = [(i, f"http://x/{i}", f"<p>{i}</p>" * 30, "clash", i) for i in range(80)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, digest string, refers_to long")
+    assert sorted(r.page_id for r in warc.archive_roundtrip(df, archive_bytes=700).collect()) == list(range(80))
+    to = common.fresh_dir(spark, "warc-stale")
+    written = common.cut(warc.write_archives(warc.mark_revisits(df), to, archive_bytes=700))
+    assert written.count() > 8 and written.count() > written.rdd.getNumPartitions()
+    warc.write_archives(warc.mark_revisits(df), to).collect()
+    back = warc.read_written(written, to, with_payload=True).collect()
+    assert sorted((r.page_id, bytes(r.payload).decode()) for r in back) == [(i, t) for i, _, t, *_ in rows]
+    assert warc.read_archives(spark, to).count() == 160
+
+
 def test_warc_errors():
     good = warc.record(7, "http://x", b"body", hashlib.sha256(b"body").digest(), None)
     assert warc.parse_record(good)["page_id"] == 7
@@ -91,11 +105,16 @@ def test_warc_errors():
 # Exact top-k
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize("cands,asks,known", [(8192, 1024, 1 << 16), (40, 3, 1 << 16), (40, 3, 0)])
+def test_top_k(spark, monkeypatch, cands, asks, known):
+    monkeypatch.setattr(pivot_search, "CANDIDATE_BLOCK", cands)
+    monkeypatch.setattr(pivot_search, "QUERY_BLOCK", asks)
+    monkeypatch.setattr(pivot_search, "KNOWN_BLOCKS", known)
+    monkeypatch.setattr(pivot_search, "STEP", 16)
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)]
     rows += [(300 + i, rows[7][1]) for i in range(40)] + [(400, None), (401, [1.0, None]), (402, [float("nan")] * 8), (403, [float("inf")] * 8), (404, []), (405, [2.0, -1.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    df = spark.createDataFrame([(*r, 1, "clash") for r in rows], "vec_id long, embedding array<float>, score int, v string")
     v = {i: np.floor(64 * np.array(np.float32(x), float)) for i, x in rows if x is not None and all(y is not None and math.isfinite(y) for y in x)}
     pad = {i: np.pad(x, (0, 8 - len(x))) for i, x in v.items()}
     want = set()
@@ -109,6 +128,28 @@ def test_top_k(spark):
     assert pivot_search.top_k(few.limit(0), F.lit(True)).collect() == []
 
 
+def test_bounds_leave_out_candidates_and_blocks():
+    """Clustered vectors: most scores, and most pairs of blocks, are never evaluated, and none is missed."""
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=(8, 16)) * 40
+    x = np.rint(np.concatenate([c + rng.normal(size=(300, 16)) for c in centre]))
+    x *= 50 / np.sqrt((x**2).sum(1, keepdims=True))
+    x, pivots = np.rint(x * 8), np.rint(centre * 50 / np.sqrt((centre**2).sum(1, keepdims=True)) * 8)
+    side = lambda at: {"ids": at, "v": x[at], "far": pivot_search._distances(x[at], pivots), "sq": (x[at] ** 2).sum(1)}
+    parts = [side(np.arange(300 * i, 300 * i + 300)) for i in range(8)]
+    q = side(np.arange(0, 300, 20))
+    own = np.sort(x[q["ids"]] @ parts[0]["v"].T, axis=1)[:, -21]
+    known = {"block": np.arange(8), "sq": np.array([p["sq"].max() for p in parts]), "lo": np.stack([p["far"].min(0) for p in parts]), "hi": np.stack([p["far"].max(0) for p in parts])}
+    assert pivot_search._reachable({"lo": q["far"].min(0), "hi": q["far"].max(0), "sq": q["sq"].max(), "floor": own.min()}, known).tolist() == [0]
+    whole = side(np.arange(len(x)))
+    got, evaluated = pivot_search._search(q | {"seed": np.full(len(q["ids"]), -np.inf)}, whole, 20, True)
+    assert evaluated < 0.3 * len(q["ids"]) * len(x)
+    for i in q["ids"]:
+        s = x @ x[i]
+        s[i] = -np.inf
+        assert got[got.query_id == i].vec_id.tolist() == np.lexsort((np.arange(len(x)), -s))[:20].tolist()
+
+
 # Kneser-Ney
 
 
