@@ -8,8 +8,10 @@ What it learns of words (count, followers seen once, twice, more often, and
 distinct words before) goes on to buckets by word, which write sorted word
 hashes with these numbers. Only sums of fixed size reach the driver.
 
-Scoring: workers map the files of the shared folder into memory and look up
-the distinct bigrams of some documents at a time.
+Scoring: workers map the files of the shared folder into memory, ``OPEN`` at
+most at a time, and look up the distinct bigrams of some documents at a time.
+Where files of that folder can't be mapped (an object store), a worker maps a
+nameless copy of each file that it needs.
 
     P(v | u) = max(c(u v) - D, 0) / c(u) + left-over(u) * P(v)
     P(v)     = max(b(v) - D', 0) / B     + left-over'   * 1 / (V + 1)
@@ -22,17 +24,13 @@ one unknown word are 1.
 Null and empty texts are the end token alone. Without training documents
 every token has probability 1 / (V + 1) = 1. Repeated rows count as often as
 they stand there. Extra columns are dropped.
-
-The shared folder must be one that workers can open as files.
 """
 
 from __future__ import annotations
 
-import os
-import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from urllib.parse import urlparse
 
 import numpy as np
 import pandas as pd
@@ -40,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh_dir
+from .shared_files import SharedFiles
 from .windows import mix, pair
 from .words import WordArrays, parts
 
@@ -50,6 +49,8 @@ FLUSH_TOKENS = 3_000_000
 BUCKET_BYTES = 16 << 20
 #: Text that is scored together: equal bigrams in it are looked up once.
 SCORE_BYTES = 4 << 20
+#: Files of the model that a worker holds mapped; each takes one descriptor.
+OPEN = 128
 #: Rows, about, from which very frequent first words are guessed. This only spreads work; counts are of all rows.
 HOT_SAMPLE = 2000
 
@@ -88,11 +89,10 @@ def _group(*cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
-def _save(folder: str, name: str, array: np.ndarray) -> None:
-    """Write under an own name, then move: a task that runs twice leaves one whole file."""
-    tmp = f"{folder}/_tmp-{uuid.uuid4().hex}.npy"
-    np.save(tmp, array)
-    os.replace(tmp, f"{folder}/{name}.npy")
+def _save(folder: str, kind: str, bucket: int, keys: np.ndarray, values: np.ndarray) -> None:
+    """One file a bucket: the number of keys and the bytes of a value, the sorted keys, and a row of values a key."""
+    head = np.array([len(keys), values.dtype.itemsize], np.int64)
+    SharedFiles(folder).put(f"{kind}-{bucket}.bin", head, keys, values)
 
 
 def _discounts(n: list[int]) -> tuple[float, float, float]:
@@ -103,6 +103,13 @@ def _discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(i - (i + 1) * y * n[i] / n[i - 1], 0.05 * i), float(i)) for i in (1, 2, 3))
 
 
+_UNSIGNED = {np.dtype(k).itemsize: k for k in (np.uint8, np.uint16, np.uint32, np.uint64)}
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(next(k for k in _UNSIGNED.values() if not x.size or x.max() <= np.iinfo(k).max))
+
+
 @dataclass
 class Model:
     """Where the arrays are and the sums that scoring needs."""
@@ -117,28 +124,36 @@ class Model:
     d2: tuple
     d1: tuple
     left_over: float
-    _open: dict = field(default_factory=dict, repr=False)
+    _open: OrderedDict = field(default_factory=OrderedDict, repr=False)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_open": {}}
+        return self.__dict__ | {"_open": OrderedDict()}
 
-    def _map(self, name: str) -> np.ndarray | None:
+    def _map(self, name: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Keys and values of a file; that not used for longest is closed when there are too many."""
         if name not in self._open:
-            path = f"{self.folder}/{name}.npy"
-            self._open[name] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
+            raw = SharedFiles(self.folder).map(f"{name}.bin")
+            if raw is not None:
+                n, wide = raw[:16].view(np.int64).tolist()
+                raw = raw[16 : 16 + 8 * n].view(np.uint64), raw[16 + 8 * n :].view(_UNSIGNED[wide])
+            self._open[name] = raw
+            if len(self._open) > OPEN:
+                self._open.popitem(last=False)
+        self._open.move_to_end(name)
         return self._open[name]
 
     def _look(self, kind: str, keys: np.ndarray, bucket: np.ndarray, width: int) -> np.ndarray:
         """Numbers of the keys, zeros for those not there. Keys are sorted within a bucket."""
         out = np.zeros((len(keys), width), np.int64)
-        for b in np.unique(bucket):
-            at = np.flatnonzero(bucket == b)
-            have = self._map(f"{kind}-{b}-keys")
-            if have is None or not len(have):
+        order = np.argsort(bucket, kind="stable")
+        at = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0])[: len(order)])
+        for some in np.split(order, at[1:]) if len(order) else []:
+            have = self._map(f"{kind}-{bucket[some[0]]}")
+            if have is None or not len(have[0]):
                 continue
-            where = np.minimum(np.searchsorted(have, keys[at]), len(have) - 1)
-            hit = have[where] == keys[at]
-            out[at[hit]] = self._map(f"{kind}-{b}-values")[where[hit]].reshape(hit.sum(), width)
+            where = np.minimum(np.searchsorted(have[0], keys[some]), len(have[0]) - 1)
+            hit = have[0][where] == keys[some]
+            out[some[hit]] = have[1].reshape(-1, width)[where[hit]]
         return out
 
     def words(self, ids: np.ndarray) -> np.ndarray:
@@ -182,11 +197,7 @@ def _send(b: dict, **cols: np.ndarray) -> Iterator[pd.DataFrame]:
 def train(docs: DataFrame) -> Model:
     """Count ``docs`` and write the model into a new folder below the shared one."""
     spark = docs.sparkSession
-    uri = urlparse(fresh_dir(spark, "kneser-ney"))
-    if uri.scheme not in ("", "file"):
-        raise ValueError("the model's folder must be one that workers can map: set spark.checkpoint.dir to a mounted folder")
-    folder = uri.path
-    os.makedirs(folder, exist_ok=True)
+    folder = fresh_dir(spark, "kneser-ney")
     rows = docs.select(F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("body"), F.xxhash64("doc_id").alias("h"))
     total, n_docs = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     total = total or 0
@@ -247,9 +258,7 @@ def train(docs: DataFrame) -> Model:
         del order, first
         keys = pair_ids(u, v)
         order, b = np.argsort(keys), df["bucket"].iloc[0]
-        _save(folder, f"pair-{b}-keys", keys[order])
-        small = next(k for k in (np.uint8, np.uint16, np.uint32, np.int64) if n.max() <= np.iinfo(k).max)
-        _save(folder, f"pair-{b}-values", n[order].astype(small))
+        _save(folder, "pair", b, keys[order], _narrow(n[order]))
         new = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))  # u is sorted
         by_u = lambda x: np.add.reduceat(x.astype(np.int64), new)
         before, n_before = np.unique(v, return_counts=True)
@@ -269,9 +278,7 @@ def train(docs: DataFrame) -> Model:
         wide = [np.concatenate([np.frombuffer(x, np.uint32 if len(x) * 2 == len(k) else np.int64).astype(np.int64) for x, k in zip(df[f"x{i}"], df["word"], strict=True)]) for i in range(5)]
         w, at = np.unique(w, return_inverse=True)
         table = np.stack([np.bincount(at, weights=x, minlength=len(w)).astype(np.int64) for x in wide], axis=1)
-        b = df["bucket"].iloc[0]
-        _save(folder, f"word-{b}-keys", w)
-        _save(folder, f"word-{b}-values", table.astype(np.uint32) if table.max() < 2**32 else table)
+        _save(folder, "word", df["bucket"].iloc[0], w, _narrow(table))
         left = table[:, 4]
         sums = np.sum([np.frombuffer(x, np.int64) for x in df["sums"] if len(x)] or [np.zeros(6, np.int64)], axis=0)
         return pd.DataFrame([[*map(int, sums), int((left > 0).sum()), *(int((left == i).sum()) for i in (1, 2, 3, 4))]], columns=names)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 import re
+import resource
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
@@ -17,7 +19,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from dealforge.llm import common, components, decontaminate, jaccard_join, kneser_ney, language_id, line_dedup, pivot_search, sentencepiece_codec, warc
+from dealforge.llm import common, components, decontaminate, jaccard_join, kneser_ney, language_id, line_dedup, pivot_search, sentencepiece_codec, shared_files, warc
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -189,6 +191,31 @@ def test_kneser_ney_equals_counts(spark):
         assert math.isclose(r.score, sum(math.log10(p(a, b)) for a, b in zip(["\1", *w], w)), rel_tol=1e-9)
 
 
+def test_kneser_ney_maps_few_files(spark, monkeypatch):
+    """Many buckets under a low limit of descriptors; clashing columns; a folder that isn't local files."""
+    rnd = random.Random(4)
+    rows = [(i, " ".join(rnd.choice("abcdefgh") + rnd.choice("xyz") for _ in range(40)), "clash", 1.0) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, held_out string, score double")
+    want = {r.doc_id: r.score for r in kneser_ney.held_out_scores(df).collect()}
+    monkeypatch.setattr(kneser_ney, "BUCKET_BYTES", 10)
+    part = df.filter("crc32(cast(doc_id as string)) % 7 <> 2")
+    model = kneser_ney.train(part)
+    assert model.n_buckets > 300
+    soft, hard = resource.getrlimit(resource.RLIMIT_NOFILE)
+    texts = [r[1].encode() for r in rows]
+    monkeypatch.setattr(kneser_ney, "OPEN", 8)
+    try:
+        resource.setrlimit(resource.RLIMIT_NOFILE, (len(os.listdir("/proc/self/fd")) + 20, hard))
+        got = model.score(texts)["score"]
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, (soft, hard))
+    assert len(model._open) == 8 and np.allclose(got, [want[i] for i in range(len(rows))], rtol=1e-9)
+    model._open.clear()
+    monkeypatch.setattr(shared_files.SharedFiles, "local", False, raising=False)
+    monkeypatch.setattr(shared_files.SharedFiles, "__setattr__", lambda self, k, v: k == "local" or object.__setattr__(self, k, v))
+    assert np.allclose(model.score(texts)["score"], got, rtol=0)
+
+
 def test_kneser_ney_without_documents(spark):
     assert kneser_ney.held_out_scores(frame(spark, [])).collect() == []
 
