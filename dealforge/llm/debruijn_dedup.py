@@ -6,13 +6,14 @@ least 8-word gram, so that a passage gives the same inner pieces wherever it
 stands. Joins then compact the graph:
 
 1. equal pieces become one path, with the coordinates (document, first edge)
-   of its first source; a piece whose document is larger repeats whole;
-2. where several paths share a gram the graph may branch inside a piece:
-   the edges of those paths' sources are dealt out one by one, and equal
-   edges are joined again.
-
-A repeated piece counts only if its length equals that at its source's
-coordinates; else its edges are compared one by one.
+   of its first source; a piece whose document is larger repeats;
+2. pieces that follow each other in their document and at their sources are
+   one nonbranching path, a *span* of any length;
+3. the words of every span are compared with those at its source's
+   coordinates, as 128-bit digests of the words themselves;
+4. where several paths share a gram the graph may branch inside a piece, and
+   the same holds for a span whose words differ from its source's: such
+   edges are dealt out one by one, and equal edges are joined again.
 
 Grouping is by content ids with partial sums, and each join is between many
 rows and one row a content, so Spark can split a hot content by rows. Null
@@ -25,10 +26,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -44,11 +47,24 @@ class Words(WordArrays):
 
     def __init__(self, texts: list[bytes], k: int) -> None:
         super().__init__(texts)
-        ids8 = pair(pair(pair(self.ids, 1), 2), 4)
-        self.grams, ids, depth = ids8, ids8, 8
-        while depth * 2 <= k:
+        self.k = k
+
+    @cached_property
+    def grams(self) -> np.ndarray:
+        return pair(pair(pair(self.ids, 1), 2), 4)
+
+    @cached_property
+    def edges(self) -> np.ndarray:
+        ids, depth = self.grams, GRAM
+        while depth * 2 <= self.k:
             ids, depth = pair(ids, depth), depth * 2
-        self.edges = pair(ids, k - depth) if depth < k else ids
+        return pair(ids, self.k - depth) if depth < self.k else ids
+
+    def joined(self, words: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """Some words with a space after each, and where each begins, the last one's end included."""
+        size = self.end[words] - self.start[words] + 1
+        out = self.data[ranges(self.start[words], size)]
+        return np.where(SPACE[out], np.uint8(32), out).tobytes(), np.concatenate([[0], np.cumsum(size)])
 
     def edge_valid(self, k: int) -> np.ndarray:
         n = len(self.edges)
@@ -94,6 +110,24 @@ def _edges(k: int):
     return run
 
 
+def _digests(k: int):
+    """Rows with lists first and n of runs of edges: each run with a digest of its words."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in parts(batches):
+            w = Words(b["body"].tolist(), k)
+            words, at = w.joined(np.arange(len(w.start)))
+            more = [c for c in b.columns if c not in ("key", "row", "body", "first", "n")]
+            size = b["first"].str.len().to_numpy()
+            t = np.repeat(np.arange(len(b)), size)
+            out = {c: np.concatenate(b[c].to_numpy()) for c in ("first", "n", *more)}
+            low = out["first"] + w.first[t]
+            digest = [hashlib.blake2b(words[at[i] : at[j]], digest_size=16).digest() for i, j in zip(low, low + out["n"] + k - 1, strict=True)]
+            yield pd.DataFrame({"key": b["key"].to_numpy()[t], "row": b["row"].to_numpy()[t], **out, "digest": digest})
+
+    return run
+
+
 def rows_of(docs: DataFrame) -> DataFrame:
     """doc_id, key (doc_id, or a largest value), row (a hash of the text) and body."""
     body = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
@@ -101,6 +135,40 @@ def rows_of(docs: DataFrame) -> DataFrame:
     return base.select("doc_id", F.coalesce("doc_id", F.lit(int(NO_ID))).alias("key"), F.xxhash64("body").alias("row"), "body")
 
 
+def _first(at: Column) -> Column:
+    return F.shiftright(at, 32)
+
+
+def _size(at: Column) -> Column:
+    return at.bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def spans(pieces: DataFrame) -> DataFrame:
+    """key, row, first, n, skey, srow, sfirst: pieces (key, row, at, source) that follow each other in the document and at their sources, as one."""
+    c = F.col
+    by_place = W.partitionBy("key", "row").orderBy("at")
+    p = pieces.select("key", "row", "at", _first(c("at")).alias("first"), _size(c("at")).alias("n"), c("source.key").alias("skey"), c("source.row").alias("srow"), _first(c("source.at")).alias("sfirst"))
+    before = F.lag(F.struct("first", "n", "skey", "srow", "sfirst")).over(by_place)
+    p = p.withColumn("before", before)
+    follows = (c("before.first") + c("before.n") == c("first")) & (c("before.sfirst") + c("before.n") == c("sfirst")) & (c("before.skey") == c("skey")) & (c("before.srow") == c("srow"))
+    p = p.withColumn("span", F.sum(F.when(follows, 0).otherwise(1)).over(by_place.rowsBetween(W.unboundedPreceding, 0)))
+    return p.groupBy("key", "row", "span").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.first("skey").alias("skey"), F.first("srow").alias("srow"), F.min("sfirst").alias("sfirst")).drop("span")
+
+
+def compared(rows: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """``found`` spans with same: whether their words are those at the source's coordinates."""
+    schema = "key long, row long, first long, n long, skey long, srow long, sfirst long, digest binary"
+    x = F.sort_array(F.collect_list(F.struct("first", "n", "skey", "srow", "sfirst"))).alias("x")
+    asked = found.groupBy("key", "row").agg(x).select("key", "row", *(F.col(f"x.{c}").alias(c) for c in ("first", "n", "skey", "srow", "sfirst")))
+    own = rows.join(asked.hint("merge"), ["key", "row"]).select("key", "row", "body", "first", "n", "skey", "srow", "sfirst").mapInPandas(_digests(k), schema)
+    # each place at a source once, however many spans point there
+    places = found.select(F.col("skey").alias("key"), F.col("srow").alias("row"), F.col("sfirst").alias("first"), "n").distinct()
+    places = places.groupBy("key", "row").agg(F.sort_array(F.collect_list(F.struct("first", "n"))).alias("x")).select("key", "row", F.col("x.first").alias("first"), F.col("x.n").alias("n"))
+    there = rows.join(places.hint("merge"), ["key", "row"]).select("key", "row", "body", "first", "n").mapInPandas(_digests(k), "key long, row long, first long, n long, digest binary")
+    there = there.groupBy(F.col("key").alias("skey"), F.col("row").alias("srow"), F.col("first").alias("sfirst"), "n").agg(F.first("digest").alias("said"))
+    return own.join(there.hint("merge"), ["skey", "srow", "sfirst", "n"]).select("key", "row", "first", "n", "skey", "srow", "sfirst", (F.col("digest") == F.col("said")).alias("same"))
+
+
 def repeated_edges(rows: DataFrame, k: int = 50) -> DataFrame:
     """key, row, gone: packed (first edge, number of edges) of the edges that also start in a smaller document.
 
@@ -111,24 +179,26 @@ def repeated_edges(rows: DataFrame, k: int = 50) -> DataFrame:
         raise ValueError(f"k must be {2 * GRAM} at least")
     pieces = rows.select("key", "row", "body").mapInPandas(_pieces(k), "key long, row long, h long, s long, at long")
     # a row a gram: is there one path or are there several, and where is the first source?
-    grams = pieces.groupBy("h").agg(F.min("s").alias("s0"), F.max("s").alias("s1"), F.min(F.struct("key", "at")).alias("source"), F.max("key").alias("last"))
+    grams = pieces.groupBy("h").agg(F.min("s").alias("s0"), F.max("s").alias("s1"), F.min(F.struct("key", "row", "at")).alias("source"), F.max("key").alias("last"))
     grams = cut(grams.filter("s0 < s1 OR source.key < last").select("h", "s0", "s1", "source"))
     known = pieces.join(grams.hint("merge"), "h")
-    size = lambda at: at.bitwiseAND(F.lit(0xFFFFFFFF))
-    unlike = (F.col("s0") != F.col("s1")) | ((F.col("s") == F.col("s0")) & (size(F.col("at")) != size(F.col("source.at"))))
+    unlike = (F.col("s0") != F.col("s1")) | ((F.col("s") == F.col("s0")) & (_size(F.col("at")) != _size(F.col("source.at"))))
     known = known.select("h", "s", "key", "row", "at", "source", unlike.alias("branches"))
     single = known.filter(~F.col("branches") & (F.col("key") > F.col("source.key")))
     forked = known.filter("branches").select("h", "s", "key", "row", "at")
-    paths = forked.groupBy("h", "s").agg(F.min(F.struct("key", "at")).alias("source"))
+    paths = forked.groupBy("h", "s").agg(F.min(F.struct("key", "row", "at")).alias("source"))
     forked = forked.join(paths.hint("merge"), ["h", "s"])
-    same = size(F.col("at")) == size(F.col("source.at"))
-    later = F.col("key") > F.col("source.key")
-    whole = single.select("key", "row", "at").union(forked.filter(later & same).select("key", "row", "at"))
-    opened = forked.filter(~(later & same)).groupBy("key", "row").agg(F.collect_set("at").alias("pieces"))
+    whole = (F.col("key") > F.col("source.key")) & (_size(F.col("at")) == _size(F.col("source.at")))
+    checked = compared(rows, spans(single.select("key", "row", "at", "source").union(forked.filter(whole).select("key", "row", "at", "source"))), k)
+    packed = lambda key, row, first: (F.col(key).alias("key"), F.col(row).alias("row"), F.shiftleft(F.col(first), 32).bitwiseOR(F.col("n")).alias("at"))
+    own, source = packed("key", "row", "first"), packed("skey", "srow", "sfirst")
+    unlike = checked.filter("NOT same")
+    opened = forked.filter(~whole).select("key", "row", "at").union(unlike.select(*own)).union(unlike.select(*source))
+    opened = opened.groupBy("key", "row").agg(F.collect_set("at").alias("pieces"))
     edges = rows.join(opened.hint("merge"), ["key", "row"]).mapInPandas(_edges(k), "key long, row long, e long, at long")
     first = edges.groupBy("e").agg(F.min("key").alias("source"), F.max("key").alias("last")).filter("last > source").select("e", "source")
     repeats = edges.join(first.hint("merge"), "e").filter("key > source").select("key", "row", "at")
-    return whole.union(repeats).groupBy("key", "row").agg(F.collect_set("at").alias("gone"))
+    return checked.filter("same").select(*own).union(repeats).groupBy("key", "row").agg(F.collect_set("at").alias("gone"))
 
 
 def _removed(b: pd.DataFrame, w: Words, k: int) -> np.ndarray:
@@ -143,18 +213,15 @@ def _with_gone(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _kept(b: pd.DataFrame, k: int) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
-    """Words, removed words, the kept words joined by spaces, and whether each word goes."""
+    """Words, removed words, the kept words joined by one space, and whether each word goes."""
     w = Words(b["body"].tolist(), k)
     gone = _removed(b, w, k)
-    n_bytes = np.where(gone, 0, w.end - w.start + 1)
     kept = np.flatnonzero(~gone)
-    # each kept word with a space after it, copied as one take from the joined bytes
-    at = ranges(w.start[kept], (w.end - w.start + 1)[kept])
-    out = np.where(SPACE[w.data[at]], np.uint8(32), w.data[at])
-    cut = np.concatenate([[0], np.cumsum(n_bytes)])
+    out, begin = w.joined(kept)
+    cut = begin[np.concatenate([[0], np.cumsum(~gone)])]
     for i, n in enumerate(w.counts):
         a, z = w.first[i], w.last[i]
-        yield int(n), int(gone[a:z].sum()), out[cut[a] : cut[z]].tobytes()[:-1], gone[a:z]
+        yield int(n), int(gone[a:z].sum()), out[cut[a] : cut[z]][:-1], gone[a:z]
 
 
 def digests(docs: DataFrame, *, k: int = 50) -> DataFrame:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 
-from .windows import mix
+from .windows import mix, ranges
 
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 SPACE = np.zeros(256, bool)
@@ -37,11 +38,13 @@ class WordArrays:
         self.counts = np.bincount(self.text_of, minlength=len(texts)).astype(np.int64)
         self.last = np.cumsum(self.counts)
         self.first = self.last - self.counts
-        at = np.flatnonzero(inside)
-        size = self.end - self.start
+
+    @cached_property
+    def ids(self) -> np.ndarray:
+        at, size = ranges(self.start, self.end - self.start), self.end - self.start
         place = (at - np.repeat(self.start, size)).astype(np.uint64)
         ids = np.add.reduceat(mix(self.data[at].astype(np.uint64) + np.uint64(1) + place * _STEP), np.cumsum(size) - size) if len(size) else np.empty(0, np.uint64)
-        self.ids = mix(ids)
+        return mix(ids)
 
 
 def parts(batches: Iterator[pd.DataFrame], size: int = PART_BYTES) -> Iterator[pd.DataFrame]:

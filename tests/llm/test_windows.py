@@ -143,3 +143,17 @@ def test_bytes_differing_in_two_high_bits_stay(spark):
         rows += [(len(rows), "".join(t)), (len(rows) + 1, "".join(u))]
     got = suffix_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string"))
     assert got.filter("n_removed > 0").count() == 0
+
+
+def test_spans_and_words_at_their_sources(spark):
+    """Pieces that go on at one source become one span; a span whose words aren't its source's is told apart."""
+    p = [f"w{i}" for i in range(90)]
+    texts = {1: p, 2: ["new", *p[:70]], 3: [*p[:30], "other", *p[31:]]}
+    rows = debruijn_dedup.rows_of(spark.createDataFrame([(i, "  ".join(t)) for i, t in texts.items()], "doc_id long, text string"))
+    row = {r.key: r.row for r in rows.collect()}
+    pack = lambda first, n: first << 32 | n
+    pieces = [(2, row[2], pack(1, 4), (1, row[1], pack(0, 4))), (2, row[2], pack(5, 3), (1, row[1], pack(4, 3))), (2, row[2], pack(9, 2), (1, row[1], pack(8, 2))), (3, row[3], pack(0, 5), (1, row[1], pack(0, 5))), (3, row[3], pack(31, 9), (1, row[1], pack(31, 9)))]
+    found = debruijn_dedup.spans(spark.createDataFrame(pieces, "key long, row long, at long, source struct<key: long, row: long, at: long>"))
+    assert sorted((r.key, r.first, r.n, r.sfirst) for r in found.collect()) == [(2, 1, 7, 0), (2, 9, 2, 8), (3, 0, 5, 0), (3, 31, 9, 31)]
+    got = debruijn_dedup.compared(rows, found, 50).collect()
+    assert sorted((r.key, r.first, r.same) for r in got) == [(2, 1, True), (2, 9, True), (3, 0, False), (3, 31, True)]
