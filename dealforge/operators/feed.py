@@ -53,12 +53,22 @@ def also_reported(deals: DataFrame) -> DataFrame:
 FEED = ["id", "acquiring_entity", "seller_entity", "states", "facility_count", "deal_value_m", "acquisition_date", "financing_amount_m", "lender", "operator_names", "facility_names", "created_at", "source_url", "source_title", "source_type", "source_name", "ccns", "also_reported_count"]
 
 
+#: Rows of a page at most.
+PAGE_ROWS = 100
+
+
 def feed_page(deals: DataFrame, articles: DataFrame, sources: DataFrame, matches: DataFrame, f: FeedFilter) -> DataFrame:
-    """One page, newest first. Only the page's deals meet the matches."""
-    rows = with_article(also_reported(deals), articles, sources).filter(conditions(f))
+    """One page, newest first. It is taken first: ``PAGE_ROWS`` at most go through the driver, and only they meet matches and equal deals."""
     order = [F.coalesce("acquisition_date", F.col("created_at").cast("date")).desc(), F.col("created_at").desc(), F.col("id")]
-    page = rows.orderBy(*order).offset(f.offset).limit(f.limit)
-    return page.join(ccns(matches), "id", "left").select(*FEED).orderBy(*order)
+    rows = with_article(deals, articles, sources).filter(conditions(f)).orderBy(*order).offset(f.offset).limit(min(f.limit, PAGE_ROWS))
+    page = F.broadcast(deals.sparkSession.createDataFrame(rows.collect(), rows.schema))
+    keys = ["acquiring_entity", "states", "acquisition_date"]
+    known = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
+    others = deals.filter(known & (F.col("stage") != "dismissed")).join(page.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).agg(F.count("*").alias("_n"))
+    own = ccns(matches.join(page.select(F.col("id").alias("deal_id")), "deal_id", "left_semi"))
+    # shown deals count themselves too
+    out = page.join(own, "id", "left").join(others, keys, "left").withColumn("also_reported_count", F.when(known, F.col("_n") - 1).otherwise(0).cast("long"))
+    return out.select(*FEED).orderBy(*order)
 
 
 def feed_total(deals: DataFrame, articles: DataFrame, sources: DataFrame, f: FeedFilter) -> DataFrame:

@@ -17,65 +17,131 @@ def date_window(day: Column, as_of: Column) -> tuple[Column, Column]:
 OWNER = ["ccn", "provider_name", "owner_name", "owner_type", "provider_state", "ownership_start_date"]
 
 
+#: The key of deals without states, and the day that stands for no date: newest of all.
+ANY = "*"
+_NO_DATE = "9999-12-31"
+
+
+def windows(deals: DataFrame, as_of: Column) -> DataFrame:
+    """deal_id, skey, low, high of each state of a deal, or of ``ANY`` where it has none."""
+    low, high = date_window(F.col("acquisition_date"), as_of)
+    states = F.array_distinct(F.coalesce("states", F.array().cast("array<string>")))
+    return deals.select(F.col("id").alias("deal_id"), low.alias("low"), high.alias("high"), F.explode(F.when(F.size(states) > 0, states).otherwise(F.array(F.lit(ANY)))).alias("skey"))
+
+
+def _keyed(owners: DataFrame) -> DataFrame:
+    """Owner columns with skey, day and month: each row under its state, dated ones under ``ANY`` too."""
+    day = F.coalesce("ownership_start_date", F.lit(_NO_DATE).cast("date"))
+    keys = F.when(F.col("ownership_start_date").isNull(), F.array("provider_state")).otherwise(F.array("provider_state", F.lit(ANY)))
+    return owners.select(*OWNER, day.alias("day"), F.trunc(day, "month").alias("month"), F.explode(keys).alias("skey"))
+
+
+def _by_month(w: DataFrame) -> DataFrame:
+    """A row for each month of a window, and one for rows without a date."""
+    months = F.sequence(F.trunc("low", "month"), F.trunc("high", "month"), F.expr("interval 1 month"))
+    return w.withColumn("month", F.explode(F.concat(months, F.array(F.trunc(F.lit(_NO_DATE).cast("date"), "month")))))
+
+
+def _inside() -> Column:
+    return F.col("day").between(F.col("low"), F.col("high")) | (F.col("day") == F.lit(_NO_DATE).cast("date"))
+
+
 def candidates(deals: DataFrame, owners: DataFrame, as_of: Column) -> DataFrame:
     """deal_id and owner columns of the registry rows in a deal's states and date window.
 
-    Deals with states join by state, the window being a residual condition;
-    rows without a date fit any window. Deals without states join by month,
-    which turns the window into an equi-join on thirteen months at most.
+    Deals meet rows by state and month; rows without a date fit any window of
+    a deal with states. Deals without states meet all dated rows by month.
     """
-    low, high = date_window(F.col("acquisition_date"), as_of)
-    d = deals.select(F.col("id").alias("deal_id"), F.coalesce("states", F.array().cast("array<string>")).alias("states"), low.alias("low"), high.alias("high"))
-    o = owners.select(*OWNER)
-    fits = F.col("ownership_start_date").between(F.col("low"), F.col("high"))
-    by_state = d.filter("size(states) > 0").select("deal_id", "low", "high", F.explode(F.array_distinct("states")).alias("state"))
-    first = by_state.join(o, (F.col("state") == F.col("provider_state")) & (F.col("ownership_start_date").isNull() | fits))
-    months = F.sequence(F.trunc("low", "month"), F.trunc("high", "month"), F.expr("interval 1 month"))
-    by_month = d.filter("size(states) = 0").select("deal_id", "low", "high", F.explode(months).alias("month"))
-    second = by_month.join(o.withColumn("month", F.trunc("ownership_start_date", "month")), "month").filter(fits)
-    return first.select("deal_id", *OWNER).union(second.select("deal_id", *OWNER))
+    return _by_month(windows(deals, as_of)).join(_keyed(owners), ["skey", "month"]).filter(_inside()).select("deal_id", *OWNER)
+
+
+def _most(deals: DataFrame) -> DataFrame:
+    large = F.arrays_overlap(F.coalesce("states", F.array().cast("array<string>")), F.array(*map(F.lit, LARGE_STATES)))
+    return deals.select(F.col("id").alias("deal_id"), F.when(large, CANDIDATES_LARGE).otherwise(CANDIDATES).alias("most"))
+
+
+def capped(deals: DataFrame, owners: DataFrame, as_of: Column) -> DataFrame:
+    """``windows`` with the last candidate that the deal's cap lets in: last_day, last_place (null: no end).
+
+    The day where the cap is reached comes from rows counted by state and day.
+    Rows are looked at only on that day, once for all deals that end alike
+    there. Rows equal in date, ccn and owner count as one place in the order.
+    """
+    w, rows = windows(deals, as_of), _keyed(owners)
+    per_day = rows.groupBy("skey", "month", "day").agg(F.count("*").alias("n"))
+    days = _by_month(w).join(per_day, ["skey", "month"]).filter(_inside()).groupBy("deal_id", "day").agg(F.sum("n").alias("n")).join(_most(deals), "deal_id")
+    upto = F.sum("n").over(W.partitionBy("deal_id").orderBy(F.col("day").desc()))
+    last = days.withColumn("upto", upto).filter((F.col("upto") >= F.col("most")) & (F.col("upto") - F.col("n") < F.col("most")))
+    keys = w.groupBy("deal_id").agg(F.array_sort(F.collect_set("skey")).alias("skeys"))
+    last = last.join(keys, "deal_id").select("deal_id", F.col("day").alias("last_day"), (F.col("most") - (F.col("upto") - F.col("n"))).alias("left"), "skeys")
+    ends = last.select("last_day", "left", "skeys").distinct()
+    there = ends.withColumn("skey", F.explode("skeys")).join(rows.withColumnRenamed("day", "last_day"), ["skey", "last_day"])
+    place = _place("ccn", "owner_name")
+    nth = there.withColumn("seq", F.row_number().over(W.partitionBy("last_day", "left", "skeys").orderBy(place))).filter("seq = left")
+    nth = nth.select("last_day", "left", "skeys", place.alias("last_place"))
+    return w.join(last.join(nth, ["last_day", "left", "skeys"]).select("deal_id", "last_day", "last_place"), "deal_id", "left")
+
+
+def _place(ccn: str, owner: str) -> Column:
+    return F.struct(F.coalesce(ccn, F.lit("")).alias("ccn"), F.coalesce(owner, F.lit("")).alias("owner_name"))
+
+
+def _let_in() -> Column:
+    day, last = F.col("day"), F.col("last_day")
+    return _inside() & (last.isNull() | (day > last) | ((day == last) & (_place("ccn", "owner_name") <= F.col("last_place"))))
+
+
+def newest_candidates(deals: DataFrame, owners: DataFrame, as_of: Column) -> DataFrame:
+    """``candidates``, of each deal the first 2000 or 5000 in the order of ``top_candidates``, without sorting them all."""
+    return _by_month(capped(deals, owners, as_of)).join(_keyed(owners), ["skey", "month"]).filter(_let_in()).select("deal_id", *OWNER)
 
 
 def top_candidates(deals: DataFrame, found: DataFrame) -> DataFrame:
     """Of each deal's candidates the newest 2000, or 5000 where it has a large state; rows without a date come first."""
-    large = F.arrays_overlap(F.coalesce("states", F.array().cast("array<string>")), F.array(*map(F.lit, LARGE_STATES)))
-    cap = deals.select(F.col("id").alias("deal_id"), F.when(large, CANDIDATES_LARGE).otherwise(CANDIDATES).alias("most"))
     order = W.partitionBy("deal_id").orderBy(F.col("ownership_start_date").desc_nulls_first(), "ccn", "owner_name")
     # the larger cap first: Spark turns it into a limit a group before the shuffle's sort
     ranked = found.withColumn("seq", F.row_number().over(order)).filter(F.col("seq") <= CANDIDATES_LARGE)
-    return ranked.join(cap, "deal_id").filter(F.col("seq") <= F.col("most")).drop("most")
+    return ranked.join(_most(deals), "deal_id").filter(F.col("seq") <= F.col("most")).drop("most")
 
 
 def score_pairs(names: DataFrame, targets: DataFrame) -> DataFrame:
-    """name, target, word, score of the distinct pairs that share a word and could reach the threshold.
+    """name, target, word, score of the distinct pairs that could reach the threshold.
 
-    Pairs meet by their words; the words' share is counted there, and only
-    pairs above the floor go to the Python scorer.
+    A name of n words must share ``WORD_FLOOR`` * n of them, so it shares one
+    of the rarest others + 1: pairs meet by these words only, a common word
+    being none of them. What stays above the floor goes to the Python scorer.
     """
-    n = names.select("name").distinct().withColumn("words", name_words(F.col("name")))
-    t = targets.select("target").distinct().withColumn("words", name_words(F.col("target")))
-    a = n.select("name", F.size("words").alias("n"), F.explode("words").alias("w"))
-    b = t.select("target", F.explode("words").alias("w"))
-    met = a.join(b, "w").groupBy("name", "target").agg((F.count("*") / F.first("n")).alias("word")).filter(F.col("word") >= WORD_FLOOR)
-    return met.withColumn("score", fuzzy_score("name", "target"))
+    n = names.select("name").distinct().withColumn("words", name_words(F.col("name"))).filter("size(words) > 0")
+    t = targets.select("target").distinct().withColumn("others", name_words(F.col("target")))
+    b = t.select("target", "others", F.explode("others").alias("w"))
+    often = b.groupBy("w").agg(F.count("*").alias("often"))
+    a = n.select("name", "words", F.explode("words").alias("w")).join(often, "w", "left")
+    rare = F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "w"))), 1, (F.size(F.first("words")) - F.ceil(F.size(F.first("words")) * F.lit(WORD_FLOOR) - 1e-9) + 1).cast("int"))
+    a = a.groupBy("name").agg(F.first("words").alias("words"), rare.alias("rare")).select("name", "words", F.explode("rare.w").alias("w"))
+    met = a.join(b, "w").withColumn("word", F.size(F.array_intersect("words", "others")) / F.size("words")).filter(F.col("word") >= WORD_FLOOR)
+    return met.select("name", "target", "word").distinct().withColumn("score", fuzzy_score("name", "target"))
 
 
 def substring_pairs(names: DataFrame, targets: DataFrame) -> DataFrame:
     """name, target where one holds the other in any case; an empty target is held by every name.
 
-    What is held begins with a gram of up to three letters that the holder
-    has, so pairs meet by grams and not by trying all.
+    The holder has every gram of three letters of what it holds, so pairs meet
+    by the one of these that the fewest holders have; shorter text meets whole.
     """
     n = names.select("name").distinct().withColumn("u", F.upper("name"))
     t = targets.select("target").distinct().withColumn("u", F.upper("target"))
-    start = F.left("u", F.lit(3))
-    place = F.sequence(F.lit(1), F.length("u"))
-    grams = F.explode(F.array_distinct(F.flatten(F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda k: F.transform(place, lambda i: F.substring(F.col("u"), i, k))))))
+
+    def grams(u: Column, k: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(u) - k + 1, F.lit(1))), lambda i: F.substring(u, i, k))
 
     def held(inner: DataFrame, outer: DataFrame) -> DataFrame:
-        i = inner.filter("u <> ''").select(*inner.columns[:1], F.col("u").alias("iu"), start.alias("g"))
-        o = outer.filter("u <> ''").select(*outer.columns[:1], F.col("u").alias("ou"), grams.alias("g"))
-        return i.join(o, "g").filter(F.contains("ou", F.col("iu"))).select("name", "target")
+        i = inner.filter("u <> ''").select(*inner.columns[:1], F.col("u").alias("iu"))
+        o = outer.filter("u <> ''").select(*outer.columns[:1], F.col("u").alias("ou"))
+        o = o.select("*", F.explode(F.array_distinct(F.concat(*(grams(F.col("ou"), k) for k in (1, 2, 3))))).alias("g"))
+        often = o.groupBy("g").agg(F.count("*").alias("often"))
+        own = i.select("*", F.explode(F.array_distinct(F.when(F.length("iu") < 3, F.array("iu")).otherwise(grams(F.col("iu"), 3)))).alias("g"))
+        rare = own.join(often, "g").groupBy(*i.columns).agg(F.min(F.struct("often", "g")).alias("x")).select(*i.columns, "x.g")
+        return rare.join(o, "g").filter(F.contains("ou", F.col("iu"))).select("name", "target")
 
     empty = n.select("name", F.lit("").alias("target")).join(t.filter("target = ''").select("target"), "target").select("name", "target")
     return held(n, t).union(held(t, n)).union(empty).distinct()
@@ -87,19 +153,14 @@ def deal_names(deals: DataFrame) -> DataFrame:
     return deals.select(F.col("id").alias("deal_id"), F.posexplode(every).alias("ord", "x")).select("deal_id", "ord", "x.name", "x.field")
 
 
-def matches(deals: DataFrame, found: DataFrame, registry: DataFrame | None = None, *, threshold: int = MATCH_THRESHOLD, empty_owner_matches: bool = True) -> DataFrame:
-    """Candidates with the best score over all names and rules; the first to reach it names method and field.
+def _hits(deals: DataFrame, known: DataFrame, threshold: int, empty_owner_matches: bool) -> tuple[DataFrame, DataFrame]:
+    """deal_id, o, best_o and deal_id, p, best_p: a deal's best hit on each owner and provider name of ``known``.
 
-    Scores are of distinct names, not of pairs of rows: names repeat much
-    more often than they differ. The best hit of a deal on a name is known
-    before the candidates come in, so these are gone through once.
-    ``registry``: rows that hold all owner and provider names of ``found``;
-    given, the names are taken from it and not from the candidates.
+    Scores are of distinct names, not of pairs of rows: names repeat much more
+    often than they differ.
     """
     names = deal_names(deals)
-    known = found if registry is None else registry
-    owner, provider = F.coalesce("owner_name", F.lit("")), F.coalesce("provider_name", F.lit(""))
-    owners, providers = known.select(owner.alias("target")).distinct(), known.select(provider.alias("target")).distinct()
+    owners, providers = (known.select(F.coalesce(c, F.lit("")).alias("target")).distinct() for c in ("owner_name", "provider_name"))
     scored = score_pairs(names, owners.union(providers)).filter(F.col("score") >= threshold).select("name", "target", "score")
     held = substring_pairs(names, owners)
     held = (held if empty_owner_matches else held.filter("target <> ''")).select("name", "target", F.lit(SUBSTRING_SCORE).alias("score"))
@@ -109,11 +170,37 @@ def matches(deals: DataFrame, found: DataFrame, registry: DataFrame | None = Non
         hit = F.struct("score", (-F.col("ord")).alias("ord"), "rule", "method", "field")
         return names.join(rules, "name").groupBy("deal_id", F.col("target").alias(name)).agg(F.max(hit).alias(f"best_{name}"))
 
-    on_owner = best(rule(scored, 0, "owner_name_fuzzy").union(rule(held, 2, "owner_name_substring")), "o")
-    on_provider = best(rule(scored, 1, "facility_name_fuzzy"), "p")
-    rows = found.withColumns({"o": owner, "p": provider}).join(on_owner, ["deal_id", "o"], "left").join(on_provider, ["deal_id", "p"], "left")
+    return best(rule(scored, 0, "owner_name_fuzzy").union(rule(held, 2, "owner_name_substring")), "o"), best(rule(scored, 1, "facility_name_fuzzy"), "p")
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"o": F.coalesce("owner_name", F.lit("")), "p": F.coalesce("provider_name", F.lit(""))})
+
+
+def _decided(rows: DataFrame, *more: str) -> DataFrame:
     rows = rows.withColumn("m", F.greatest(*(F.coalesce(x, y) for x, y in (("best_o", "best_p"), ("best_p", "best_o"))))).filter("m IS NOT NULL")
-    return rows.select("deal_id", "seq", "ccn", "provider_name", "owner_name", "owner_type", "provider_state", "ownership_start_date", F.col("m.score").alias("match_score"), F.col("m.method").alias("match_method"), F.col("m.field").alias("matched_on_field"))
+    return rows.select("deal_id", *more, *OWNER, F.col("m.score").alias("match_score"), F.col("m.method").alias("match_method"), F.col("m.field").alias("matched_on_field"))
+
+
+def matches(deals: DataFrame, found: DataFrame, *, threshold: int = MATCH_THRESHOLD, empty_owner_matches: bool = True) -> DataFrame:
+    """Given candidates (with seq) with the best score over all names and rules; the first to reach it names method and field."""
+    on_owner, on_provider = _hits(deals, found, threshold, empty_owner_matches)
+    return _decided(_named(found).join(on_owner, ["deal_id", "o"], "left").join(on_provider, ["deal_id", "p"], "left"), "seq")
+
+
+def find_matches(deals: DataFrame, owners: DataFrame, as_of: Column, *, threshold: int = MATCH_THRESHOLD, empty_owner_matches: bool = True) -> DataFrame:
+    """The same from the registry itself: only rows with a name that the deal hits are made, not all candidates.
+
+    A row comes in by its owner's name, or else by its provider's, within the
+    deal's windows and cap.
+    """
+    on_owner, on_provider = _hits(deals, owners, threshold, empty_owner_matches)
+    w, rows = capped(deals, owners, as_of), _named(_keyed(owners))
+    by_owner = on_owner.join(w, "deal_id").join(rows, ["skey", "o"]).filter(_let_in()).join(on_provider, ["deal_id", "p"], "left")
+    by_provider = on_provider.join(w, "deal_id").join(rows, ["skey", "p"]).filter(_let_in()).join(on_owner.select("deal_id", "o"), ["deal_id", "o"], "left_anti")
+    by_provider = by_provider.withColumn("best_o", F.lit(None).cast(on_owner.schema["best_o"].dataType))
+    cols = ["deal_id", *OWNER, "best_o", "best_p"]
+    return _decided(by_owner.select(*cols).union(by_provider.select(*cols)))
 
 
 def enrich(found: DataFrame, facilities: DataFrame) -> DataFrame:
@@ -138,5 +225,5 @@ def staged(deals: DataFrame, found: DataFrame, as_of: Column) -> DataFrame:
 
 def recheck(due: DataFrame, owners: DataFrame, facilities: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
     """The matches with flags of the deals that are due, and their new stages."""
-    found = matches(due, top_candidates(due, candidates(due, owners, as_of)), owners)
+    found = find_matches(due, owners, as_of)
     return with_flags(enrich(found, facilities)), staged(due, found, as_of)

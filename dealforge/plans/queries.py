@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clean, display, names, score
@@ -277,8 +277,9 @@ def dedup_semantic(d):
     return dedup.greedy_unique(dedup.batch_dedup(rows, ["id"]), ["id"]).select("id", "dedup_hash")
 
 
-_CAND = f"""cand AS (SELECT d.id AS deal_id, o.* FROM (SELECT *, unnest(states) AS state FROM due) d JOIN owners o ON o.provider_state = d.state
-    AND (o.ownership_start_date IS NULL OR o.ownership_start_date BETWEEN coalesce(d.acquisition_date - 180, DATE '{AS_OF}' - 365) AND coalesce(d.acquisition_date + 180, DATE '{AS_OF}' + 180)))"""
+_CAND = f"""spans AS (SELECT *, coalesce(acquisition_date - 180, DATE '{AS_OF}' - 365) AS low, coalesce(acquisition_date + 180, DATE '{AS_OF}' + 180) AS high FROM due),
+cand AS (SELECT d.id AS deal_id, o.* FROM (SELECT *, unnest(states) AS state FROM spans) d JOIN owners o ON o.provider_state = d.state AND (o.ownership_start_date IS NULL OR o.ownership_start_date BETWEEN low AND high)
+    UNION ALL SELECT d.id AS deal_id, o.* FROM spans d JOIN owners o ON len(states) = 0 AND o.ownership_start_date BETWEEN low AND high)"""
 
 
 def _due(d: Domain) -> DataFrame:
@@ -286,10 +287,15 @@ def _due(d: Domain) -> DataFrame:
 
 
 def _counted(found: DataFrame) -> DataFrame:
-    return found.groupBy("deal_id").agg(F.count("*").alias("n"), F.count("ownership_start_date").alias("dated"), F.max("ownership_start_date").alias("newest"), F.min("ownership_start_date").alias("oldest"))
+    return found.groupBy("deal_id").agg(F.count("*").alias("n"), F.count("ownership_start_date").alias("dated"), F.max("ownership_start_date").alias("newest"), F.min("ownership_start_date").alias("oldest"), F.sum(_row_number()).alias("rows"))
 
 
-_COUNTED = "SELECT deal_id, count(*) AS n, count(ownership_start_date) AS dated, max(ownership_start_date) AS newest, min(ownership_start_date) AS oldest FROM {} GROUP BY deal_id"
+def _row_number() -> Column:
+    """A number that tells owner rows apart; its sum names a set of them."""
+    return F.col("ccn").cast("long") * 1000003 + F.coalesce(F.datediff("ownership_start_date", F.lit("1970-01-01").cast("date")), F.lit(-1)) * 7919
+
+
+_COUNTED = "SELECT deal_id, count(*) AS n, count(ownership_start_date) AS dated, max(ownership_start_date) AS newest, min(ownership_start_date) AS oldest, sum(ccn::BIGINT * 1000003 + coalesce(ownership_start_date - DATE '1970-01-01', -1) * 7919)::BIGINT AS rows FROM {} GROUP BY deal_id"
 
 
 @query(f", {_CAND} " + _COUNTED.format("cand"))
@@ -299,8 +305,7 @@ def owner_candidates(d):
 
 @query(f", {_CAND}, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY deal_id ORDER BY ownership_start_date DESC NULLS FIRST, ccn, owner_name) AS seq FROM cand) c JOIN due ON due.id = c.deal_id WHERE seq <= CASE WHEN list_has_any(states, {LARGE_STATES}) THEN 5000 ELSE 2000 END) " + _COUNTED.format("top"))
 def candidates_topn(d):
-    due = _due(d)
-    return _counted(match.top_candidates(due, match.candidates(due, d.owners, d.as_of)))
+    return _counted(match.newest_candidates(_due(d), d.owners, d.as_of))
 
 
 _WORDS = "list_distinct(list_filter(regexp_split_to_array(upper({}), '\\s+'), lambda w: length(w) > 2))"
@@ -325,8 +330,7 @@ def substring_match(d):
 
 @query()
 def fuzzy_match(d):
-    due = _due(d)
-    found = match.matches(due, match.top_candidates(due, match.candidates(due, d.owners, d.as_of)), d.owners)
+    found = match.find_matches(_due(d), d.owners, d.as_of)
     return found.groupBy("deal_id", "match_score", "match_method", "matched_on_field").agg(F.count("*").alias("n"))
 
 
@@ -411,12 +415,25 @@ def mail_html(d):
     return mail.html_links(d.raw("pages").select(F.col("page_id").alias("id"), F.concat(one(0), F.lit("<p>"), one(1)).alias("body"))).select("id", "pos", "url", "title")
 
 
-@query("SELECT 'm' || page_id AS url FROM pages WHERE false", domain=False)
-def mail_unlinked(d):
-    """Messages whose MIME parts hold no links give no articles; those with links are tested on fixtures."""
-    part = F.struct(F.lit("text/html").alias("mimeType"), F.struct(F.translate(F.base64(F.encode("html", "UTF-8")), "+/", "-_").alias("data")).alias("body"), F.lit(None).cast("array<struct<mimeType: string, body: struct<data: string>>>").alias("parts"))
-    payload = F.struct(F.lit("multipart/mixed").alias("mimeType"), F.array(F.struct(F.lit("Date").alias("name"), F.lit("Mon, 12 Jan 2026 06:00:00 +0000").alias("value"))).alias("headers"), F.lit(None).cast("struct<data: string>").alias("body"), F.array(part).alias("parts"))
-    return mail.alert_articles(d.raw("pages").select(F.col("page_id").cast("string").alias("id"), payload.alias("payload")), d.as_of).select("url")
+_MAIL_LINK = """link AS (SELECT page_id, html, split_part(split_part(url, '#', 1), '?', 1) AS url FROM pages)"""
+
+
+@query(f"""WITH {_MAIL_LINK} SELECT url, min_by(CASE WHEN page_id % 4 = 0 THEN 'Plain title ' || page_id ELSE 'Title ' || page_id END, page_id) AS title, '2026-01-12 06:00:00' AS published_at FROM link WHERE page_id % 4 <> 3 GROUP BY url""", domain=False)
+def mail_articles(d):
+    """Whole messages: links of plain parts, of HTML parts, of HTML parts within parts, and messages without any link."""
+    i = F.col("page_id")
+    k, bare = i.cast("string"), F.split_part(F.split_part("url", F.lit("#"), F.lit(1)), F.lit("?"), F.lit(1))
+    data = lambda text: F.struct(F.translate(F.base64(F.encode(text, "UTF-8")), "+/", "-_").alias("data"))
+    none = F.lit(None).cast("array<struct<mimeType: string, body: struct<data: string>>>")
+    link = F.concat(F.lit('<a href="https://www.google.com/url?rct=j&url='), F.url_encode(bare), F.lit('&ct=ga">Title '), k, F.lit("</a>"))
+    plain = F.concat(F.lit("Plain title "), k, F.lit("\n<https://www.google.com/url?rct=j&url="), F.url_encode(bare), F.lit("&ct=ga>\n"))
+    leaf = lambda mime, text: F.struct(F.lit(mime).alias("mimeType"), data(text).alias("body"), none.alias("parts"))
+    within = F.struct(F.lit("multipart/alternative").alias("mimeType"), F.lit(None).cast("struct<data: string>").alias("body"), F.array(F.struct(F.lit("text/html").alias("mimeType"), data(link).alias("body"))).alias("parts"))
+    parts = F.when(i % 4 == 0, F.array(leaf("text/plain", plain), leaf("text/html", link))).when(i % 4 == 1, F.array(leaf("text/html", link))).when(i % 4 == 2, F.array(within)).otherwise(F.array(leaf("text/html", F.col("html"))))
+    headers = F.array(F.struct(F.lit("Date").alias("name"), F.lit("Mon, 12 Jan 2026 06:00:00 +0000").alias("value")))
+    payload = F.struct(F.lit("multipart/mixed").alias("mimeType"), headers.alias("headers"), F.lit(None).cast("struct<data: string>").alias("body"), parts.alias("parts"))
+    found = mail.alert_articles(d.raw("pages").select(i.alias("id"), payload.alias("payload")), d.as_of)
+    return found.select("url", "title", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published_at"))
 
 
 @query()
@@ -424,9 +441,9 @@ def html_text_pages(d):
     return d.raw("pages").select("page_id", html_text(F.col("html")).alias("text"))
 
 
-@query("""SELECT source_rank, seq, url FROM (SELECT 0 AS source_rank, doc_id AS seq, 'https://example.org/a/' || doc_id AS url FROM documents WHERE doc_id % 2 = 1 UNION ALL SELECT 1, page_id, url FROM pages) ORDER BY source_rank, seq LIMIT 50""", domain=False)
+@query("""SELECT source_rank, seq, url FROM (SELECT 0 AS source_rank, doc_id AS seq, 'https://example.org/a/' || doc_id AS url FROM documents UNION ALL SELECT 1, page_id, url FROM pages) ORDER BY source_rank, seq LIMIT 50""", domain=False)
 def source_union_cap(d):
-    first = d.articles.filter("id % 2 = 1").select(F.col("id").alias("seq"), "url", "title")
+    first = d.articles.select(F.col("id").alias("seq"), "url", "title")
     return feeds.newest_first_union([first, d.raw("pages").select(F.col("page_id").alias("seq"), "url")], 50).select("source_rank", "seq", "url")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.clean import stripped
 from ..operators.dedup import first_by
 
+# The patterns of redirect links decide the results.
 _ANGLE = r"<https://www\.google\.com/url\?[^>]*[?&]url=([^&>]+)"
 _BARE = r"https://www\.google\.com/url\?[^\s]*[?&]url=([^&\s<>]+)"
 _LINK = r'href="https://www\.google\.com/url\?[^"]*[?&]url=([^&"]+)[^"]*"[^>]*>([^<]+)</a>'
@@ -46,11 +47,12 @@ def _is_title(line: Column) -> Column:
 def plain_links(messages: DataFrame, body: str = "body") -> DataFrame:
     """id, pos, url, title of each redirect link in a plain body; the title is the nearest fitting line of the three before."""
     lines = F.transform(F.split(body, "\n"), stripped)
-    split = messages.select("id", F.explode(F.array(lines)).alias("lines")).select("id", "lines", F.posexplode("lines").alias("pos", "line"))
+    # each line with the three before it, so that a row's size doesn't grow with the message
+    near = F.transform("lines", lambda x, i: F.struct(x.alias("line"), F.array(*(F.when(i >= n, F.get("lines", i - n)) for n in (1, 2, 3))).alias("before")))
+    split = messages.select("id", F.explode(F.array(lines)).alias("lines")).select("id", F.posexplode(near).alias("pos", "x")).select("id", "pos", "x.line", "x.before")
     target = F.coalesce(F.nullif(F.regexp_extract("line", _ANGLE, 1), F.lit("")), F.nullif(F.regexp_extract("line", _BARE, 1), F.lit("")))
     found = split.withColumn("url", unquoted(target)).filter("url IS NOT NULL AND url <> '' AND NOT contains(url, 'google.com')")
-    before = [F.get("lines", F.col("pos") - i) for i in (1, 2, 3)]
-    title = F.coalesce(*(F.when((F.col("pos") >= i) & _is_title(x), x) for i, x in enumerate(before, 1)), F.col("url"))
+    title = F.coalesce(*(F.when(_is_title(x), x) for x in (F.get("before", F.lit(i)) for i in range(3))), F.col("url"))
     return found.select("id", "pos", "url", title.alias("title"))
 
 
