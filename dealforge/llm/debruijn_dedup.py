@@ -117,7 +117,7 @@ def _digests(k: int):
         for b in parts(batches):
             w = Words(b["body"].tolist(), k)
             words, at = w.joined(np.arange(len(w.start)))
-            more = [c for c in b.columns if c not in ("key", "row", "body", "first", "n")]
+            more = [c for c in ("skey", "srow", "sfirst") if c in b]
             size = b["first"].str.len().to_numpy()
             t = np.repeat(np.arange(len(b)), size)
             out = {c: np.concatenate(b[c].to_numpy()) for c in ("first", "n", *more)}
@@ -160,11 +160,11 @@ def compared(rows: DataFrame, found: DataFrame, k: int) -> DataFrame:
     schema = "key long, row long, first long, n long, skey long, srow long, sfirst long, digest binary"
     x = F.sort_array(F.collect_list(F.struct("first", "n", "skey", "srow", "sfirst"))).alias("x")
     asked = found.groupBy("key", "row").agg(x).select("key", "row", *(F.col(f"x.{c}").alias(c) for c in ("first", "n", "skey", "srow", "sfirst")))
-    own = rows.join(asked.hint("merge"), ["key", "row"]).select("key", "row", "body", "first", "n", "skey", "srow", "sfirst").mapInPandas(_digests(k), schema)
+    own = rows.join(asked.hint("merge"), ["key", "row"]).mapInPandas(_digests(k), schema)
     # each place at a source once, however many spans point there
     places = found.select(F.col("skey").alias("key"), F.col("srow").alias("row"), F.col("sfirst").alias("first"), "n").distinct()
     places = places.groupBy("key", "row").agg(F.sort_array(F.collect_list(F.struct("first", "n"))).alias("x")).select("key", "row", F.col("x.first").alias("first"), F.col("x.n").alias("n"))
-    there = rows.join(places.hint("merge"), ["key", "row"]).select("key", "row", "body", "first", "n").mapInPandas(_digests(k), "key long, row long, first long, n long, digest binary")
+    there = rows.join(places.hint("merge"), ["key", "row"]).mapInPandas(_digests(k), "key long, row long, first long, n long, digest binary")
     there = there.groupBy(F.col("key").alias("skey"), F.col("row").alias("srow"), F.col("first").alias("sfirst"), "n").agg(F.first("digest").alias("said"))
     return own.join(there.hint("merge"), ["skey", "srow", "sfirst", "n"]).select("key", "row", "first", "n", "skey", "srow", "sfirst", (F.col("digest") == F.col("said")).alias("same"))
 
