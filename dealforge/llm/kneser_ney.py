@@ -45,7 +45,7 @@ from .words import WordArrays, parts
 #: Ids of the end of a text and of its beginning (a context, not a token).
 END, BEGIN = np.uint64(0x454E44), np.uint64(0x424547494E)
 #: Tokens that a task counts before it sends what it has.
-FLUSH_TOKENS = 3_000_000
+FLUSH_TOKENS = 2_000_000
 BUCKET_BYTES = 16 << 20
 #: Text that is scored together: equal bigrams in it are looked up once.
 SCORE_BYTES = 4 << 20
@@ -222,9 +222,13 @@ def train(docs: DataFrame) -> Model:
         def flush() -> Iterator[pd.DataFrame]:
             u, v = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            order, first = _group(u, v)
-            n = np.diff(np.append(first, len(order)))
-            u, v = u[order[first]], v[order[first]]
+            # a large array goes as soon as it isn't needed
+            order = np.lexsort((v, u))
+            u, v = u[order], v[order]
+            del order
+            first = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])]))
+            n = np.diff(np.append(first, len(u)))
+            u, v = u[first], v[first]
             bucket = _bucket(u, v, hot, n_buckets)
             order = np.argsort(bucket, kind="stable")  # within a bucket still by u, v
             u, v, n, bucket = u[order], v[order], n[order], bucket[order]
