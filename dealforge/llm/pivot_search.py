@@ -161,16 +161,16 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, *, n_pivots: int =
         sample = vectors.limit(SAMPLE_ROWS).toPandas()
     s_ids, s_v = sample["vec_id"].to_numpy(), _matrix(sample["v"], dim)
     pivots = _pivots(s_v, n_pivots)
-    share = np.bincount(_distances(s_v, pivots).argmin(1), minlength=len(pivots)) / len(s_v)
-
     def numbered(rows: DataFrame, total: int, size: int) -> DataFrame:
-        """Rows with block: the nearest pivot, and a part of its rows by hash where the sample says that they are many."""
+        """Rows with block: the nearest of the first pivots, as many as blocks are needed, and a part of its rows by hash where the sample says that they are many."""
+        centres = pivots[: max(1, total // size)]
+        share = np.bincount(_distances(s_v, centres).argmin(1), minlength=len(centres)) / len(s_v)
         n_parts = np.maximum(1, np.ceil(share * total / size)).astype(np.int64)
         first = np.cumsum(n_parts) - n_parts
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                near = _distances(_matrix(b["v"], dim), pivots).argmin(1)
+                near = _distances(_matrix(b["v"], dim), centres).argmin(1)
                 yield b.assign(block=first[near] + b["h"].to_numpy() % n_parts[near]).drop(columns="h")
 
         return rows.withColumn("h", F.xxhash64("vec_id")).mapInPandas(run, "vec_id long, v array<double>, block long")
