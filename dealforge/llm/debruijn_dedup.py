@@ -183,17 +183,17 @@ def repeated_edges(rows: DataFrame, k: int = 50) -> DataFrame:
     grams = cut(grams.filter("s0 < s1 OR source.key < last").select("h", "s0", "s1", "source"))
     known = pieces.join(grams.hint("merge"), "h")
     unlike = (F.col("s0") != F.col("s1")) | ((F.col("s") == F.col("s0")) & (_size(F.col("at")) != _size(F.col("source.at"))))
-    known = known.select("h", "s", "key", "row", "at", "source", unlike.alias("branches"))
-    single = known.filter(~F.col("branches") & (F.col("key") > F.col("source.key")))
+    # stored, as several branches of the plan go on from it
+    known = cut(known.select("h", "s", "key", "row", "at", "source", unlike.alias("branches")).filter("branches OR key > source.key"))
     forked = known.filter("branches").select("h", "s", "key", "row", "at")
     paths = forked.groupBy("h", "s").agg(F.min(F.struct("key", "row", "at")).alias("source"))
-    forked = forked.join(paths.hint("merge"), ["h", "s"])
     whole = (F.col("key") > F.col("source.key")) & (_size(F.col("at")) == _size(F.col("source.at")))
-    checked = compared(rows, spans(single.select("key", "row", "at", "source").union(forked.filter(whole).select("key", "row", "at", "source"))), k)
+    forked = cut(forked.join(paths.hint("merge"), ["h", "s"]).select("key", "row", "at", "source", whole.alias("whole")))
+    checked = compared(rows, spans(known.filter("NOT branches").select("key", "row", "at", "source").union(forked.filter("whole").drop("whole"))), k)
     packed = lambda key, row, first: (F.col(key).alias("key"), F.col(row).alias("row"), F.shiftleft(F.col(first), 32).bitwiseOR(F.col("n")).alias("at"))
     own, source = packed("key", "row", "first"), packed("skey", "srow", "sfirst")
     unlike = checked.filter("NOT same")
-    opened = forked.filter(~whole).select("key", "row", "at").union(unlike.select(*own)).union(unlike.select(*source))
+    opened = forked.filter("NOT whole").select("key", "row", "at").union(unlike.select(*own)).union(unlike.select(*source))
     opened = opened.groupBy("key", "row").agg(F.collect_set("at").alias("pieces"))
     edges = rows.join(opened.hint("merge"), ["key", "row"]).mapInPandas(_edges(k), "key long, row long, e long, at long")
     first = edges.groupBy("e").agg(F.min("key").alias("source"), F.max("key").alias("last")).filter("last > source").select("e", "source")
