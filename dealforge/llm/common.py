@@ -19,11 +19,14 @@ _LOWER = str.maketrans(_AZ, _AZ.lower())
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see, from spark.checkpoint.dir.
 
-    Only where the session names none (as in tests) a temporary folder is set.
+    Only where the session names none and everything runs on one machine (as
+    in tests) a temporary folder is set.
     """
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         at = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(at)
