@@ -477,7 +477,10 @@ def poll_stream(d):
     import tempfile
 
     schema = d.raw("events").schema.simpleString()[len("struct<") : -1].replace(":", " ")
-    at = d.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-poll-")
+    at = d.spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not d.spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
+    at = at or "file://" + tempfile.mkdtemp(prefix="spark-poll-")
     import uuid
 
     table, state = (f"{at.rstrip('/')}/poll-{uuid.uuid4().hex}-{x}" for x in ("table", "state"))
