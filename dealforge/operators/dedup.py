@@ -33,38 +33,53 @@ def not_stored(deals: DataFrame, stored: DataFrame) -> DataFrame:
     return deals.join(stored.select("dedup_hash"), "dedup_hash", "left_anti")
 
 
-def greedy_unique(deals: DataFrame, order: list[str]) -> DataFrame:
+def _round(rows: DataFrame) -> DataFrame:
+    """Undecided rows after the first of both of its groups is taken and all that share a key with it are out; ``out`` says which."""
+    same, alike = W.partitionBy("dedup_hash"), W.partitionBy("_key")
+    undecided = F.when(F.col("state") == 0, F.col("_order"))
+    first = rows.withColumn("_h", F.min(undecided).over(same)).withColumn("_k", F.min(undecided).over(alike))
+    taken = (F.col("state") == 0) & (F.col("_order") == F.col("_h")) & (F.col("_order") == F.col("_k"))
+    first = first.withColumn("state", F.when(taken, 1).otherwise(F.col("state")))
+    met = first.withColumn("_k", F.max(F.col("state") == 1).over(alike)).withColumn("_h", F.max(F.col("state") == 1).over(same))
+    return met.withColumn("state", F.when((F.col("state") == 0) & (F.col("_h") | F.col("_k")), 2).otherwise(F.col("state"))).drop("_h", "_k")
+
+
+def greedy_unique(deals: DataFrame, order: list[str], rounds: int = 2) -> DataFrame:
     """Take deals in order; one whose hash or semantic key was taken before is left out, and takes neither.
 
-    Both keys fix sorted states, month and count, so groups of these can be
-    gone through in parallel. A deal that shares neither key with another
-    never enters a group: only collisions do.
+    Of rows with both keys equal only the first can stay, so these shrink
+    before the shuffle. Of the rest, rows that meet another go through
+    ``rounds`` of windows over either key. What long chains leave undecided is
+    gone through one by one in groups of equal states, month and count, which
+    both keys fix.
     """
     month = F.coalesce(F.left(F.col("acquisition_date").cast("string"), F.lit(7)), F.lit(""))
     states = F.coalesce(F.array_join(F.array_sort(F.transform("states", F.upper)), ","), F.lit(""))
     group = F.xxhash64(states, month, F.coalesce(F.col("facility_count").cast("string"), F.lit("")))
-    rows = deals.withColumn("_semantic", semantic_key(*(F.col(c) for c in ("acquiring_entity", "states", "acquisition_date", "facility_count"))))
-    slim = rows.select("id", "dedup_hash", "_semantic", F.struct(*order).alias("_order"), group.alias("_group"))
-    again = slim.groupBy("dedup_hash").agg(F.count("*").alias("n")).filter("n > 1").select("dedup_hash")
-    same = slim.filter("_semantic IS NOT NULL").groupBy("_semantic").agg(F.count("*").alias("n")).filter("n > 1").select("_semantic")
-    met = slim.join(again, "dedup_hash", "left_semi").select("id").union(slim.join(same, "_semantic", "left_semi").select("id")).distinct()
+    semantic = semantic_key(*(F.col(c) for c in ("acquiring_entity", "states", "acquisition_date", "facility_count")))
+    slim = deals.select("id", "dedup_hash", semantic.alias("_semantic"), F.struct(*(F.col(c).alias(f"o{i}") for i, c in enumerate(order)), "id").alias("_order"), group.alias("_group"))
+    pairs = slim.groupBy("dedup_hash", "_semantic").agg(F.min("_order").alias("_order"), F.min("_group").alias("_group"))
+    # a null key equals nothing, so it is made one of its own, spread by the hash
+    pairs = pairs.withColumn("_key", F.coalesce(F.concat(F.lit("k"), "_semantic"), F.concat(F.lit("h"), "dedup_hash"))).drop("_semantic")
+    rows = pairs.withColumn("state", F.lit(0))
+    for _ in range(rounds):
+        rows = _round(rows)
 
     def greedy(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values([f"o{i}" for i in range(len(order))])
-        hashes, keys, out = set(), set(), []
-        for i, h, k in zip(df["id"], df["dedup_hash"], df["_semantic"], strict=True):
-            if h in hashes or (k is not None and k in keys):
-                out.append(i)
-                continue
-            hashes.add(h)
-            if k is not None:
+        df = df.sort_values([*(f"o{i}" for i in range(len(order))), "id"], na_position="first")
+        hashes, keys, kept = set(), set(), []
+        for i, h, k in zip(df["id"], df["dedup_hash"], df["_key"], strict=True):
+            if h not in hashes and k not in keys:
+                hashes.add(h)
                 keys.add(k)
-        return pd.DataFrame({"id": out})
+                kept.append(i)
+        return pd.DataFrame({"id": kept})
 
     kind = deals.schema["id"].dataType.simpleString()
-    flat = slim.join(met, "id", "left_semi").select("id", "dedup_hash", "_semantic", "_group", *(F.col(f"_order.{c}").alias(f"o{i}") for i, c in enumerate(order)))
-    gone = flat.groupBy("_group").applyInPandas(greedy, f"id {kind}")
-    return deals.join(gone, "id", "left_anti")
+    flat = rows.filter("state = 0").select(F.col("_order.id").alias("id"), "dedup_hash", "_key", "_group", *(F.col("_order")[f"o{i}"].alias(f"o{i}") for i in range(len(order))))
+    late = flat.groupBy("_group").applyInPandas(greedy, f"id {kind}")
+    kept = rows.filter("state = 1").select(F.col("_order.id").alias("id")).union(late)
+    return deals.join(kept, "id", "left_semi")
 
 
 def semantic_conflicts(deals: DataFrame, stored: DataFrame) -> DataFrame:
@@ -75,6 +90,7 @@ def semantic_conflicts(deals: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def latest_by(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
-    """The last row of each key, for upserts where the last in the file counts."""
-    w = W.partitionBy(*keys).orderBy(order.desc())
-    return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    """The last row of each key, for upserts where the last in the file counts. Grouped maxima, as in ``first_by``."""
+    rest = [c for c in df.columns if c not in keys]
+    out = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_last"))
+    return out.select(*(F.col(c) if c in keys else F.col(f"_last.{c}").alias(c) for c in df.columns))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,9 +11,15 @@ from pyspark.sql import functions as F
 def upsert(base: DataFrame, new: DataFrame, keys: list[str], update: list[str], stamp: tuple[str, Column] | None = None) -> DataFrame:
     """``base`` with the columns ``update`` taken from ``new`` where all keys are equal, and its other rows added.
 
-    ``new`` has each key once and the columns of ``base``; a null key equals
-    nothing. ``stamp`` names a column that changed rows get, such as updated_at.
+    ``new`` has the columns of ``base``; a null key equals nothing. A key may
+    come once: reduce repeats with ``latest_by`` first, or the job fails, since
+    they would double rows. ``stamp`` names a column that changed rows get, such
+    as updated_at.
     """
+    whole = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
+    once = new.filter(whole).groupBy(*keys).agg(F.count("*").alias("_n"), F.first(F.struct(*new.columns)).alias("_row"))
+    checked = F.when(F.col("_n") > 1, F.raise_error(F.lit("upsert: a key comes twice"))).otherwise(F.col("_row"))
+    new = once.select(checked.alias("_row")).select("_row.*").unionByName(new.filter(~whole))
     n = new.select(*(F.col(c).alias("_n_" + c) for c in new.columns), F.lit(True).alias("_hit"))
     on = [base[k] == n["_n_" + k] for k in keys]
     hit = F.col("_hit").isNotNull()

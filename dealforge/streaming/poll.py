@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.dedup import first_by
+
 
 def landed(spark: SparkSession, path: str, schema: str, glob: str | None = None) -> DataFrame:
     """New Parquet files below ``path`` as they land."""
@@ -21,17 +23,17 @@ def per_window(rows: DataFrame, at: str, width: str, *by: str, late: str = "7 da
     return rows.withWatermark(at, late).groupBy(F.window(at, width), *by).agg(F.count("*").alias("n"))
 
 
-def append_unknown(rows: DataFrame, table: str, checkpoint: str, key: str = "url"):
-    """Append rows with a key that the table at path ``table`` doesn't hold; a batch that is run again adds nothing twice."""
+def append_unknown(rows: DataFrame, table: str, checkpoint: str, key: str = "url", order: list[str] | None = None):
+    """Append rows with a key that the table at path ``table`` doesn't hold; a batch that is run again adds nothing twice.
+
+    Of rows of one key in a batch the first in ``order`` is kept (by default,
+    of all other columns). Of the stored table only the key is read.
+    """
+    order = order or [c for c in rows.columns if c != key]
+    rows.sparkSession.createDataFrame([], rows.schema).write.mode("append").parquet(table)
 
     def add(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        new = batch.dropDuplicates([key])
-        try:
-            new = new.join(spark.read.parquet(table).select(key), key, "left_anti")
-        except Exception as e:  # the table's first batch
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        new.write.mode("append").parquet(table)
+        known = batch.sparkSession.read.parquet(table).select(key)
+        first_by(batch, [key], order).join(known, key, "left_anti").select(batch.columns).write.mode("append").parquet(table)
 
     return rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True)

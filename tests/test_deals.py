@@ -127,3 +127,17 @@ def test_extract_plugin(spark):
     arts = spark.createDataFrame([(1, long), (2, "short"), (3, "word " * 40), (4, None)], "id long, raw_text string")
     out = extract.extract(arts, lambda text: '{"acquiring_entity": "A", "facility_count": %d}' % len(text.split()))
     assert sorted((r.article_id, r.facility_count, r.confidence) for r in out.collect()) == [(1, 200, None), (3, 40, "low")]
+
+
+def test_greedy_unique_hot_group_and_long_chain(spark):
+    # one coarse group: many repeats of one pair, a chain that rounds can't finish, nulls in the order
+    rows = [(i, "hot", "hot") for i in range(3000)] + [(3000 + i, f"h{(i + 1) // 2}", f"k{i // 2}") for i in range(40)]
+    df = spark.createDataFrame([(*r, ["VA"], D(2026, 1, 1), 2, None if r[0] % 5 == 0 else 1) for r in rows], "id long, dedup_hash string, acquiring_entity string, states array<string>, acquisition_date date, facility_count int, seen int")
+    assert sorted(r.id for r in dedup.greedy_unique(df, ["id"]).collect()) == greedy(rows)
+    by_seen = sorted(rows, key=lambda r: (r[0] % 5 != 0, r[0]))
+    assert sorted(r.id for r in dedup.greedy_unique(df, ["seen"]).collect()) == sorted(greedy(by_seen))
+
+
+def test_latest_by(spark):
+    df = spark.createDataFrame([(1, "a", 1), (1, "b", 3), (1, None, 2), (2, "c", 1), (None, "d", 1)], "k long, v string, n int")
+    assert sorted((tuple(r) for r in dedup.latest_by(df, ["k"], F.col("n")).collect()), key=str) == [(1, "b", 3), (2, "c", 1), (None, "d", 1)]
