@@ -54,15 +54,37 @@ def normalized(deals: DataFrame) -> DataFrame:
 Extractor = Callable[[str], str]
 
 
-def extract(articles: DataFrame, extractor: Extractor, *, text: str = "raw_text", model: str = "plug-in") -> DataFrame:
-    """Articles through the gate, the extractor (text to JSON, run in the tasks) and cleaning. Few words give low confidence."""
+def replies(articles: DataFrame, extractor: Extractor, *, text: str = "raw_text", strict: bool = False) -> DataFrame:
+    """id, truncated, reply and error of each article that passes the gate; few words make it truncated.
+
+    The extractor (text to JSON) runs in the tasks. What it raises is the
+    article's error, or fails the job if ``strict``.
+    """
     gated = text_gate(articles, text)
 
+    def ask(x: str) -> tuple[str | None, str | None]:
+        try:
+            return extractor(x), None
+        except Exception as e:
+            if strict:
+                raise
+            return None, str(e) or type(e).__name__
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b[["id", "truncated"]].assign(reply=[extractor(x) for x in b["_text"]])
+            answers = [ask(x) for x in b["_text"]]
+            yield b[["id", "truncated"]].assign(reply=[a for a, _ in answers], error=[e for _, e in answers])
 
     kind = articles.schema["id"].dataType.simpleString()
-    replies = gated.select("id", "truncated", F.col(text).alias("_text")).mapInPandas(run, f"id {kind}, truncated boolean, reply string")
-    out = cleaned(reply_deals(replies), "id", "ord", "truncated", model=model)
+    return gated.select("id", "truncated", F.col(text).alias("_text")).mapInPandas(run, f"id {kind}, truncated boolean, reply string, error string")
+
+
+def replied_deals(answered: DataFrame, *, model: str = "plug-in") -> DataFrame:
+    """Cleaned deals of ``replies``, by article_id and ord. Few words give low confidence."""
+    out = cleaned(reply_deals(answered), "id", "ord", "truncated", model=model)
     return out.withColumn("confidence", F.when(F.col("truncated"), "low")).withColumnRenamed("id", "article_id").drop("truncated")
+
+
+def extract(articles: DataFrame, extractor: Extractor, *, text: str = "raw_text", model: str = "plug-in") -> DataFrame:
+    """Articles through the gate, the extractor and cleaning."""
+    return replied_deals(replies(articles, extractor, text=text, strict=True), model=model)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,7 @@ from ..operators import dedup, extract, feed, match, upsert
 from ..params import ACQUISITION_STEMS, DISPLAY_NAMES, FeedFilter, GENERIC_OPERATORS, KEY_SUFFIXES, LARGE_STATES, NAME_SUFFIXES
 from ..sources import chow, feeds, mail, registry
 from ..streaming import poll
+from . import daily
 from .domain import AS_OF, SQL, Domain
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -270,13 +272,38 @@ def dedup_batch(d):
     return dedup.batch_dedup(_coarse(d), ["id"]).select("id", "article_id", "dedup_hash")
 
 
-@query()
+_SEMANTIC = "acquiring_entity || '|' || array_to_string(states, ',') || '|' || acquisition_date || '|' || facility_count"
+
+
+@query(f""", coarse AS ({_COARSE.replace("NULL::DOUBLE", "(id % 3 * 10)::DOUBLE")}), h AS (SELECT *, {_key_sql()} AS dedup_hash, {_SEMANTIC} AS sem FROM coarse),
+b AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY article_id, dedup_hash ORDER BY id) = 1),
+r AS MATERIALIZED (SELECT id, dedup_hash, sem, g, row_number() OVER (PARTITION BY g ORDER BY id) AS n FROM (SELECT *, dense_rank() OVER (ORDER BY states, acquisition_date, facility_count) AS g FROM b))
+SELECT id, dedup_hash FROM (WITH RECURSIVE walk AS (
+    SELECT g, n, id, dedup_hash, true AS kept, [dedup_hash] AS hs, [sem] AS ks FROM r WHERE n = 1
+    UNION ALL SELECT g, n, id, dedup_hash, ok, CASE WHEN ok THEN list_append(hs, dedup_hash) ELSE hs END, CASE WHEN ok THEN list_append(ks, sem) ELSE ks END
+    FROM (SELECT r.*, hs, ks, NOT list_contains(hs, r.dedup_hash) AND (sem IS NULL OR NOT list_contains(ks, sem)) AS ok FROM walk JOIN r ON r.g = walk.g AND r.n = walk.n + 1))
+  SELECT * FROM walk) WHERE kept""")
 def dedup_semantic(d):
     # the value takes part in the hash only, so hash and semantic key differ in what they tell apart
     rows = _coarse(d).withColumn("deal_value_m", (F.col("id") % 3 * 10).cast("double"))
     return dedup.greedy_unique(dedup.batch_dedup(rows, ["id"]), ["id"]).select("id", "dedup_hash")
 
 
+def _buyer(text: str) -> str:
+    """A stand-in for the extractor: a deal made from the length of the text."""
+    n = len(text)
+    return json.dumps({"acquiring_entity": f"Buyer {n % 97}", "states": [("VA", "TX", "CO")[n % 3]], "facility_count": n % 5 + 1, "acquisition_date": f"1997-{n % 12 + 1:02d}-01"})
+
+
+@query(f""", sized AS (SELECT id AS article_id, least(length(raw_text), 8000) AS n FROM articles WHERE length(trim(raw_text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')) >= 150),
+found AS (SELECT article_id, 'Buyer ' || n % 97 AS acquiring_entity, [['VA', 'TX', 'CO'][n % 3 + 1]] AS states, (n % 5 + 1)::INTEGER AS facility_count, make_date(1997, n % 12 + 1, 1) AS acquisition_date, NULL::DOUBLE AS deal_value_m, []::VARCHAR[] AS operator_names FROM sized)
+SELECT min(article_id) AS article_id, dedup_hash FROM (SELECT *, {_key_sql()} AS dedup_hash FROM found) WHERE dedup_hash NOT IN (SELECT {_key_sql()} FROM deals) GROUP BY dedup_hash""")
+def daily_run(d):
+    """All articles as newly landed: the deals that one run stores, before matching (find_matches has its own queries)."""
+    answered = extract.replies(d.articles, _buyer)
+    return daily.new_deals(answered, dedup.with_hash(d.deals)).select("article_id", "dedup_hash")
+
+
 _CAND = f"""spans AS (SELECT *, coalesce(acquisition_date - 180, DATE '{AS_OF}' - 365) AS low, coalesce(acquisition_date + 180, DATE '{AS_OF}' + 180) AS high FROM due),
 cand AS (SELECT d.id AS deal_id, o.* FROM (SELECT *, unnest(states) AS state FROM spans) d JOIN owners o ON o.provider_state = d.state AND (o.ownership_start_date IS NULL OR o.ownership_start_date BETWEEN low AND high)
     UNION ALL SELECT d.id AS deal_id, o.* FROM spans d JOIN owners o ON len(states) = 0 AND o.ownership_start_date BETWEEN low AND high)"""
