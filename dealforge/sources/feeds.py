@@ -34,6 +34,19 @@ def entry_date(*fields: Column) -> Column:
     return F.coalesce(*(x for c in fields for x in (c.try_cast("timestamp"), mail(c))))
 
 
+def read_feed(spark: SparkSession, path: str, feed_url: str) -> DataFrame:
+    """Entries of landed feed files (RSS items and Atom entries) of one feed, as ``feed_articles`` wants them."""
+    read = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+    none = F.lit(None).cast("string")
+    items = read("item", "link string, title string, description string, pubDate string").select(
+        "link", "title", F.col("description").alias("summary"), F.col("pubDate").alias("published"), none.alias("updated"), none.alias("created")
+    )
+    atom = read("entry", "link array<struct<_href: string, _rel: string>>, title string, summary string, content string, published string, updated string")
+    own = F.filter("link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+    entries = atom.select(F.get(own, F.lit(0))["_href"].alias("link"), "title", F.coalesce("summary", "content").alias("summary"), "published", "updated", none.alias("created"))
+    return items.unionByName(entries).select(F.lit(feed_url).alias("feed_url"), "*")
+
+
 def feed_articles(entries: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
     """Recent entries with a link that are about acquisitions; alert feeds are relevant as they are."""
     e = entries.withColumn("published_at", entry_date(F.col("published"), F.col("updated"), F.col("created"))).withColumn("url", stripped(F.coalesce("link", F.lit(""))))

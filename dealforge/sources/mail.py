@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.clean import stripped
 from ..operators.dedup import first_by
+from ..schemas import MESSAGES
 
 # The patterns of redirect links decide the results.
 _ANGLE = r"<https://www\.google\.com/url\?[^>]*[?&]url=([^&>]+)"
@@ -16,6 +17,11 @@ _BARE = r"https://www\.google\.com/url\?[^\s]*[?&]url=([^&\s<>]+)"
 _LINK = r'href="https://www\.google\.com/url\?[^"]*[?&]url=([^&"]+)[^"]*"[^>]*>([^<]+)</a>'
 
 
+def read_messages(spark: SparkSession, path: str) -> DataFrame:
+    """Landed alert messages: JSON files of one message, or of an array of them."""
+    return spark.read.schema(MESSAGES).option("multiLine", True).json(path)
+
+
 def unquoted(c: Column) -> Column:
     """Percent-decoding that leaves plus signs alone; text that can't be decoded stays."""
     return F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)

@@ -102,3 +102,15 @@ def test_card_wording(spark):
         ("A acquired from B", "Today", "$1.2M", "SEC Filing"), ("A — new ownership", "Yesterday", None, "News"), ("B changes ownership", "5 days ago", "$0.0M", "News"),
         ("f — ownership change", "Jan 1, 2026", "$1234.6M", "Federal Record"), ("Ownership change recorded", None, "$2.0M", "News"),
     ]
+
+
+def test_landed_feeds_and_messages(spark, tmp_path):
+    (tmp_path / "rss.xml").write_text("<rss><channel><item><title>REIT acquires homes</title><link> http://a </link><description>d</description><pubDate>Mon, 19 Jan 2026 06:00:00 +0000</pubDate></item></channel></rss>")
+    (tmp_path / "atom.xml").write_text('<feed><entry><title>x</title><link rel="self" href="http://self"/><link href="http://b"/><content>acquisition</content><updated>2026-01-18T00:00:00Z</updated></entry></feed>')
+    got = feeds.feed_articles(feeds.read_feed(spark, str(tmp_path / "*.xml"), "f"), now()).collect()
+    assert sorted((r.url, r.published_at.date()) for r in got) == [("http://a", D(2026, 1, 19)), ("http://b", D(2026, 1, 18))]
+    (tmp_path / "m.json").write_text(json.dumps([{"id": "1", "payload": {"mimeType": "text/plain"}}, {"id": "2", "payload": None}]))
+    (tmp_path / "n.json").write_text(json.dumps({"id": "3", "payload": {"mimeType": "text/html"}}))
+    read = mail.read_messages(spark, str(tmp_path / "*.json"))
+    assert sorted((r.id, r.payload and r.payload.mimeType) for r in read.collect()) == [("1", "text/plain"), ("2", None), ("3", "text/html")]
+    assert mail.alert_articles(read, now()).count() == 0
