@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import debruijn_dedup, decontaminate, jaccard_join, kneser_ney, language_id, line_dedup, pivot_search, sentencepiece_codec, simhash_dedup, suffix_dedup, warc
+from . import debruijn_dedup, decontaminate, jaccard_join, kneser_ney, language_id, line_dedup, pivot_search, sentencepiece_codec, simhash_dedup, suffix_dedup, token_alignment, warc
 from .common import table
 
 
@@ -52,6 +52,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.roundtrip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.linked_components(table(spark, sf_dir, "documents"))
 
@@ -67,6 +71,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_exact_topk": op9_exact_topk,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_token_alignment": op11_token_alignment,
     "op13_simhash": op13_simhash,
 }
 
