@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import debruijn_dedup, decontaminate, jaccard_join, kneser_ney, language_id, line_dedup, pivot_search, sentencepiece_codec, simhash_dedup, suffix_dedup, token_alignment, warc
+from . import debruijn_dedup, decontaminate, hard_negatives, jaccard_join, kneser_ney, language_id, line_dedup, pivot_search, sentencepiece_codec, simhash_dedup, suffix_dedup, token_alignment, warc
 from .common import table
 
 
@@ -56,6 +56,11 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.alignment_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(hard_negatives.usable(table(spark, sf_dir, "embeddings"), label=label), F.col("vec_id") % 100 == 0)
+
+
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.linked_components(table(spark, sf_dir, "documents"))
 
@@ -72,6 +77,7 @@ QUERIES = {
     "op9_exact_topk": op9_exact_topk,
     "op10_sentencepiece": op10_sentencepiece,
     "op11_token_alignment": op11_token_alignment,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_simhash": op13_simhash,
 }
 
@@ -95,4 +101,5 @@ ORACLES = {
               FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op12_hard_negatives": hard_negatives.ORACLE,
 }
