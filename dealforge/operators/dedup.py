@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.keys import dedup_hash, semantic_key
+from ..shared import cut
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -33,53 +34,83 @@ def not_stored(deals: DataFrame, stored: DataFrame) -> DataFrame:
     return deals.join(stored.select("dedup_hash"), "dedup_hash", "left_anti")
 
 
-def _round(rows: DataFrame) -> DataFrame:
-    """Undecided rows after the first of both of its groups is taken and all that share a key with it are out; ``out`` says which."""
-    same, alike = W.partitionBy("dedup_hash"), W.partitionBy("_key")
-    undecided = F.when(F.col("state") == 0, F.col("_order"))
-    first = rows.withColumn("_h", F.min(undecided).over(same)).withColumn("_k", F.min(undecided).over(alike))
-    taken = (F.col("state") == 0) & (F.col("_order") == F.col("_h")) & (F.col("_order") == F.col("_k"))
-    first = first.withColumn("state", F.when(taken, 1).otherwise(F.col("state")))
-    met = first.withColumn("_k", F.max(F.col("state") == 1).over(alike)).withColumn("_h", F.max(F.col("state") == 1).over(same))
-    return met.withColumn("state", F.when((F.col("state") == 0) & (F.col("_h") | F.col("_k")), 2).otherwise(F.col("state"))).drop("_h", "_k")
+def _settled(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """``rows`` with state: 1 for those in ``kept`` (id, h, k), 2 for those that share h or k with one, else 0."""
+    by_h, by_k = (kept.select(c, F.col("id").alias("_by_" + c)) for c in ("h", "k"))
+    met = rows.join(by_h, "h", "left").join(by_k, "k", "left")
+    first = F.col("_by_h") == F.col("id")  # each h and k is in one kept row at most
+    state = F.when(first, 1).when(F.col("_by_h").isNotNull() | F.col("_by_k").isNotNull(), 2).otherwise(0)
+    return met.select("id", "h", "k", "o", state.alias("state"))
+
+
+def _least(rows: DataFrame) -> DataFrame:
+    """``rows`` beside the first row of their h and of their k: h1, k1 (orders). Grouped minima, so that a hot key shrinks before the shuffle."""
+    return rows.join(rows.groupBy("h").agg(F.min("o").alias("h1")), "h").join(rows.groupBy("k").agg(F.min("o").alias("k1")), "k")
+
 
+def _simple_round(rows: DataFrame) -> DataFrame:
+    """Rows that are first in both of their groups are kept."""
+    return _settled(rows, _least(rows).filter("o = h1 AND o = k1").select("id", "h", "k"))
 
-def greedy_unique(deals: DataFrame, order: list[str], rounds: int = 2) -> DataFrame:
+
+def _chain_round(rows: DataFrame) -> DataFrame:
+    """Rows with one earlier neighbour only are kept where that one isn't; their chains are gone up by doubling.
+
+    A row that is first by one key and second by the other has the first of
+    the other as its only earlier neighbour. The links of a chain are joined
+    in pairs, so a chain of n rows takes log n joins.
+    """
+    least = cut(_least(rows))
+    second = lambda c: least.filter(f"o > {c}1").groupBy(c).agg(F.min("o").alias(f"{c}2"))
+    placed = least.join(second("h"), "h", "left").join(second("k"), "k", "left")
+    up = F.when((F.col("o") == F.col("h1")) & (F.col("o") == F.col("k2")), F.col("k1")).when((F.col("o") == F.col("k1")) & (F.col("o") == F.col("h2")), F.col("h1"))
+    at = cut(placed.select("id", "h", "k", up["id"].alias("up"), F.lit(True).alias("odd"), ((F.col("o") == F.col("h1")) & (F.col("o") == F.col("k1"))).alias("root")))
+    links, tops = at.filter("up IS NOT NULL").select("id", "up", "odd"), at.filter("up IS NULL")
+    while True:
+        above = links.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("odd").alias("_odd"))
+        further = links.join(above, "up", "left")
+        far = F.col("_up").isNotNull()
+        links = cut(further.select("id", F.coalesce("_up", "up").alias("up"), F.when(far, F.col("odd") != F.col("_odd")).otherwise(F.col("odd")).alias("odd"), far.alias("moved")))
+        if links.filter("moved").isEmpty():
+            break
+        links = links.drop("moved")
+    known = links.join(tops.filter("root").select(F.col("id").alias("up")), "up", "left_semi").filter("NOT odd").select("id")
+    kept = at.join(known, "id", "left_semi").select("id", "h", "k").union(tops.filter("root").select("id", "h", "k"))
+    return _settled(rows, cut(kept))
+
+
+def first_matching(rows: DataFrame) -> DataFrame:
+    """``rows`` has id, h, k and o (a struct that orders them and holds id). The ids of those that are kept when all are gone through in order and one is left out if its h or its k is that of a kept one.
+
+    In each round the rows that are first by both keys are kept, and all that
+    share a key with them are out; what is undecided goes on, cut to the
+    shared folder. A round that decides less than half of the rows has met
+    chains, which the next round goes up by doubling.
+    """
+    left = cut(rows.select("id", "h", "k", "o"))
+    n, kept, simple = left.count(), [], True
+    while n:
+        told = cut((_simple_round if simple else _chain_round)(left))
+        kept.append(told.filter("state = 1").select("id"))
+        left, before = told.filter("state = 0").drop("state"), n
+        n = left.count()
+        simple = not simple or 2 * n <= before
+    return reduce(DataFrame.union, kept) if kept else left.select("id")
+
+
+def greedy_unique(deals: DataFrame, order: list[str]) -> DataFrame:
     """Take deals in order; one whose hash or semantic key was taken before is left out, and takes neither.
 
     Of rows with both keys equal only the first can stay, so these shrink
-    before the shuffle. Of the rest, rows that meet another go through
-    ``rounds`` of windows over either key. What long chains leave undecided is
-    gone through one by one in groups of equal states, month and count, which
-    both keys fix.
+    before the shuffle; the rest is gone through in rounds (``first_matching``).
+    ``id`` may come once.
     """
-    month = F.coalesce(F.left(F.col("acquisition_date").cast("string"), F.lit(7)), F.lit(""))
-    states = F.coalesce(F.array_join(F.array_sort(F.transform("states", F.upper)), ","), F.lit(""))
-    group = F.xxhash64(states, month, F.coalesce(F.col("facility_count").cast("string"), F.lit("")))
     semantic = semantic_key(*(F.col(c) for c in ("acquiring_entity", "states", "acquisition_date", "facility_count")))
-    slim = deals.select("id", "dedup_hash", semantic.alias("_semantic"), F.struct(*(F.col(c).alias(f"o{i}") for i, c in enumerate(order)), "id").alias("_order"), group.alias("_group"))
-    pairs = slim.groupBy("dedup_hash", "_semantic").agg(F.min("_order").alias("_order"), F.min("_group").alias("_group"))
+    slim = deals.select("id", "dedup_hash", semantic.alias("_semantic"), F.struct(*(F.col(c).alias(f"o{i}") for i, c in enumerate(order)), "id").alias("o"))
+    pairs = slim.groupBy(F.col("dedup_hash").alias("h"), "_semantic").agg(F.min("o").alias("o"))
     # a null key equals nothing, so it is made one of its own, spread by the hash
-    pairs = pairs.withColumn("_key", F.coalesce(F.concat(F.lit("k"), "_semantic"), F.concat(F.lit("h"), "dedup_hash"))).drop("_semantic")
-    rows = pairs.withColumn("state", F.lit(0))
-    for _ in range(rounds):
-        rows = _round(rows)
-
-    def greedy(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values([*(f"o{i}" for i in range(len(order))), "id"], na_position="first")
-        hashes, keys, kept = set(), set(), []
-        for i, h, k in zip(df["id"], df["dedup_hash"], df["_key"], strict=True):
-            if h not in hashes and k not in keys:
-                hashes.add(h)
-                keys.add(k)
-                kept.append(i)
-        return pd.DataFrame({"id": kept})
-
-    kind = deals.schema["id"].dataType.simpleString()
-    flat = rows.filter("state = 0").select(F.col("_order.id").alias("id"), "dedup_hash", "_key", "_group", *(F.col("_order")[f"o{i}"].alias(f"o{i}") for i in range(len(order))))
-    late = flat.groupBy("_group").applyInPandas(greedy, f"id {kind}")
-    kept = rows.filter("state = 1").select(F.col("_order.id").alias("id")).union(late)
-    return deals.join(kept, "id", "left_semi")
+    key = F.coalesce(F.concat(F.lit("k"), "_semantic"), F.concat(F.lit("h"), "h"))
+    return deals.join(first_matching(pairs.select(F.col("o.id").alias("id"), "h", key.alias("k"), "o")), "id", "left_semi")
 
 
 def semantic_conflicts(deals: DataFrame, stored: DataFrame) -> DataFrame:
