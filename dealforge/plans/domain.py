@@ -12,8 +12,8 @@ AS_OF = "1998-01-01"
 CHEAP = 1.5
 
 
-#: Folders of stored views by application, tables' folder and name.
-_STORED: dict[tuple[str, str, str], str] = {}
+#: Folders of stored views by application, tables' folder, name, and when the tables were written.
+_STORED: dict[tuple[str, str, str, int], str] = {}
 
 
 class Domain:
@@ -31,11 +31,16 @@ class Domain:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def _written(self) -> int:
+        """When the newest of the tables was written; a table that changes gets new views."""
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.dir)
+        return max((f.getModificationTime() for f in at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)), default=0)
+
     def _stored(self, name: str, view: Callable[[], DataFrame]) -> DataFrame:
         at = self.spark.conf.get("spark.checkpoint.dir", None)
         if not at:
             return view()
-        key = (self.spark.sparkContext.applicationId, self.dir, name)
+        key = (self.spark.sparkContext.applicationId, self.dir, name, self._written())
         if key not in _STORED:
             to = f"{at.rstrip('/')}/view-{name}-{uuid.uuid4().hex[:12]}"
             view().write.parquet(to)

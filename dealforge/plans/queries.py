@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from ..functions import clean, display, names, score
 from ..functions.keys import dedup_hash
 from ..functions.text import about_acquisitions, html_text, text_gate
-from ..operators import dedup, extract, feed, match, upsert
+from ..operators import dedup, extract, feed, match
+from ..operators.buckets import BucketedTable
 from ..params import ACQUISITION_STEMS, DISPLAY_NAMES, FeedFilter, GENERIC_OPERATORS, KEY_SUFFIXES, LARGE_STATES, NAME_SUFFIXES
+from ..shared import fresh_dir
 from ..sources import chow, feeds, mail, registry
-from ..streaming import poll
+from ..streaming import known, poll
 from . import daily
 from .domain import AS_OF, SQL, Domain
 
@@ -385,8 +387,10 @@ def stage_assign(d):
     FROM deals d LEFT JOIN (SELECT due.id, CASE WHEN s >= 85 THEN 'confirmed' WHEN s >= 70 THEN 'pending_cms' ELSE 'detected' END AS stage, CASE WHEN s >= 85 THEN 'high' WHEN s >= 70 THEN 'partial' END AS confidence, CASE WHEN s >= 85 THEN NULL ELSE DATE '{AS_OF}' + 7 END AS recheck_after
     FROM due LEFT JOIN (SELECT deal_id, max(match_score) AS s FROM matches GROUP BY 1) m ON m.deal_id = due.id) x ON x.id = d.id""")
 def recheck_applied(d):
-    decided = match.staged(_due(d), d.matches, d.as_of)
-    return upsert.change_stage(d.deals, decided, F.lit(AS_OF).cast("timestamp_ntz")).select("id", "stage", "confidence", "recheck_after", "recheck_count")
+    cols = ["id", "stage", "confidence", "recheck_after", "recheck_count"]
+    table = _bucketed(d, "deals", ["id"], d.deals.select(*cols, "updated_at"))
+    table.change_stage("recheck", match.staged(_due(d), d.matches, d.as_of), F.lit(AS_OF).cast("timestamp_ntz"))
+    return table.read().select(cols)
 
 
 def _chow_raw(d: Domain) -> DataFrame:
@@ -474,12 +478,21 @@ def source_union_cap(d):
     return feeds.newest_first_union([first, d.raw("pages").select(F.col("page_id").alias("seq"), "url")], 50).select("source_rank", "seq", "url")
 
 
+def _bucketed(d: Domain, name: str, keys: list[str], rows: DataFrame) -> BucketedTable:
+    """A new stored table with ``rows``, in 16 buckets."""
+    table = BucketedTable(d.spark, fresh_dir(d.spark, f"bucketed-{name}"), keys, buckets=16)
+    table.create(rows)
+    return table
+
+
 @query("""SELECT ccn, owner_name, ownership_start_date, provider_state, CASE WHEN ccn::INTEGER % 2 = 0 THEN 'new ' || provider_name ELSE provider_name END AS provider_name FROM owners WHERE ownership_start_date IS NOT NULL AND ccn::INTEGER % 3 <> 0
     UNION ALL SELECT ccn, owner_name, ownership_start_date, 'XX', 'new ' || provider_name FROM owners WHERE ownership_start_date IS NOT NULL AND ccn::INTEGER % 6 = 0""")
 def upsert_owners(d):
     owners = d.owners.filter("ownership_start_date IS NOT NULL").drop("owner_type")
     new = owners.filter("cast(ccn as int) % 2 = 0").withColumn("provider_name", F.concat(F.lit("new "), "provider_name")).withColumn("provider_state", F.lit("XX"))
-    return upsert.upsert(owners.filter("cast(ccn as int) % 3 <> 0"), new, ["ccn", "owner_name", "ownership_start_date"], ["provider_name"])
+    table = _bucketed(d, "owners", ["ccn", "owner_name", "ownership_start_date"], owners.filter("cast(ccn as int) % 3 <> 0"))
+    table.upsert("even", new, ["provider_name"])
+    return table.read()
 
 
 @query("""SELECT ccn, CASE WHEN ccn::INTEGER % 2 = 0 THEN 'new' ELSE provider_name END AS provider_name, CASE WHEN ccn::INTEGER % 2 = 0 THEN 5 ELSE five_star_rating END AS five_star_rating, CASE WHEN ccn::INTEGER % 2 = 0 AND ccn::INTEGER % 4 = 0 THEN true ELSE sff_flag END AS sff_flag FROM facilities""")
@@ -488,34 +501,56 @@ def upsert_facilities(d):
     even = f.filter("cast(ccn as int) % 2 = 0").withColumn("five_star_rating", F.lit(5)).withColumn("provider_name", F.lit("new"))
     # added rows keep their flag, updated ones only the columns named
     new = even.withColumn("sff_flag", F.when(F.col("ccn").cast("int") % 4 == 0, True).otherwise(F.col("sff_flag")))
-    return upsert.upsert(f.filter("cast(ccn as int) % 4 <> 0"), new, ["ccn"], ["provider_name", "five_star_rating"])
+    table = _bucketed(d, "facilities", ["ccn"], f.filter("cast(ccn as int) % 4 <> 0"))
+    table.upsert("even", new, ["provider_name", "five_star_rating"])
+    return table.read()
 
 
 @query("SELECT id, deal_id, match_score FROM matches WHERE deal_id % 2 = 1 UNION ALL SELECT id + 5, deal_id, 99 FROM matches WHERE deal_id % 2 = 0 AND match_score > 80 UNION ALL SELECT id, deal_id, match_score FROM matches m WHERE deal_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM matches x WHERE x.deal_id = m.deal_id AND x.match_score > 80)")
 def replace_matches(d):
     m = d.matches.select("id", "deal_id", "match_score")
     new = m.filter("deal_id % 2 = 0 AND match_score > 80").select((F.col("id") + 5).alias("id"), "deal_id", F.lit(99).alias("match_score"))
-    return upsert.replace_groups(m, new, "deal_id")
+    table = _bucketed(d, "matches", ["deal_id"], m)
+    table.replace_groups("even", new)
+    return table.read()
+
+
+def _landed_events(d: Domain, at: str, rows: DataFrame, files: int) -> str:
+    """``rows`` of the events table as files that land below ``at``; returns their schema."""
+    rows.repartition(files).write.mode("append").parquet(at)
+    return rows.schema.simpleString()[len("struct<") : -1].replace(":", " ")
+
+
+def _polled(d: Domain) -> known.KnownRows:
+    """The events table as a stream of four files, one a batch: each (user, type) is appended once."""
+    at = fresh_dir(d.spark, "poll")
+    schema = _landed_events(d, f"{at}/landed", d.raw("events"), 4)
+    rows = poll.landed(d.spark, f"{at}/landed", schema, files=1).withColumn("url", F.concat_ws("/", F.col("user_id").cast("string"), "event_type"))
+    poll.append_unknown(rows, f"{at}/table", f"{at}/state").start().awaitTermination()
+    return known.KnownRows(d.spark, f"{at}/table", "url")
 
 
 @query("SELECT user_id, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY user_id", domain=False)
 def poll_stream(d):
-    """The events table as a stream of files: each (user, type) is appended once, and what was appended is counted."""
-    import tempfile
+    """What the stream has appended, counted."""
+    return _polled(d).read().groupBy("user_id").agg(F.count("*").alias("n"))
 
-    schema = d.raw("events").schema.simpleString()[len("struct<") : -1].replace(":", " ")
-    at = d.spark.conf.get("spark.checkpoint.dir", None)
-    if not at and not d.spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
-    at = at or "file://" + tempfile.mkdtemp(prefix="spark-poll-")
-    import uuid
 
-    table, state = (f"{at.rstrip('/')}/poll-{uuid.uuid4().hex}-{x}" for x in ("table", "state"))
-    rows = poll.landed(d.spark, d.dir, schema, "events.parquet").withColumn("url", F.concat_ws("/", F.col("user_id").cast("string"), "event_type"))
-    poll.append_unknown(rows, table, state).start().awaitTermination()
-    return d.spark.read.parquet(table).groupBy("user_id").agg(F.count("*").alias("n"))
+@query("SELECT 4 AS n_batches, count(*) AS n_rows, count(DISTINCT user_id || '/' || event_type) AS n_new FROM events", domain=False)
+def poll_counts(d):
+    """The counters that the stream's batches have stored."""
+    return _polled(d).counts().agg(F.count("*").cast("int").alias("n_batches"), F.sum("n_rows").alias("n_rows"), F.sum("n_new").alias("n_new"))
 
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts)::DATE AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2", domain=False)
 def events_per_day(d):
-    return poll.per_window(d.raw("events"), "ts", "1 day", "event_type").select(F.col("window.start").cast("date").alias("day"), "event_type", "n")
+    """Windowed counts of a stream over two landings, started again for the second: closed windows and those still open."""
+    at = fresh_dir(d.spark, "windows")
+    micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts AS timestamp_ntz))")
+    events = d.raw("events").select("event_type", F.timestamp_micros(micros).alias("at"))
+    middle = events.agg(F.timestamp_micros((F.min(F.unix_micros("at")) / 2 + F.max(F.unix_micros("at")) / 2).cast("long"))).first()[0]
+    for part in (F.col("at") < F.lit(middle), F.col("at") >= F.lit(middle)):
+        schema = _landed_events(d, f"{at}/landed", events.filter(part), 2)
+        poll.window_counts(poll.landed(d.spark, f"{at}/landed", schema), "at", "1 day", "event_type", table=f"{at}/table", checkpoint=f"{at}/state").start().awaitTermination()
+    told = d.spark.read.parquet(f"{at}/table").unionByName(poll.open_windows(d.spark, f"{at}/state"))
+    return told.select(F.date_from_unix_date((F.unix_seconds("start") / 86400).cast("int")).alias("day"), "event_type", "n")

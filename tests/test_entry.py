@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from dealforge.plans import queries as plans
-from dealforge.streaming import poll
+from dealforge.streaming import known, poll
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -41,7 +41,9 @@ def test_stream_appends_once(spark, tmp_path):
     for part in (["a", "b"], ["b", "c", "c"]):
         spark.createDataFrame([(u,) for u in part], "url string").coalesce(1).write.mode("append").parquet(src)
         poll.append_unknown(poll.landed(spark, src, "url string"), table, state).start().awaitTermination()
-    assert sorted(r.url for r in spark.read.parquet(table).collect()) == ["a", "b", "c"]
+    store = known.KnownRows(spark, table, "url")
+    assert sorted(r.url for r in store.read().collect()) == ["a", "b", "c"]
+    assert sorted((r.n_rows, r.n_new) for r in store.counts().collect()) == [(2, 2), (3, 1)]
 
 
 def test_first_seen(spark, tmp_path):
