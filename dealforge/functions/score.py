@@ -30,6 +30,25 @@ def is_substring(name: Column, owner: Column) -> Column:
     return F.contains(n, o) | F.contains(o, n)
 
 
+#: Characters counted one by one in ``letters``; all others count together.
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 "
+
+
+def letters(c: Column) -> Column:
+    """How often each of ``_LETTERS`` is in the text in capitals, and how often any other character; null where a character isn't ASCII, as capitals may differ there."""
+    u = F.upper(c)
+    counts = F.transform(F.array(*map(F.lit, _LETTERS)), lambda x: F.length(u) - F.length(F.replace(u, x)))
+    every = F.concat(counts, F.array(F.length(u) - F.aggregate(counts, F.lit(0), lambda n, x: n + x)))
+    return F.when(u.rlike(r"^[\x00-\x7F]*$"), every)
+
+
+def most_score(word: Column, a: Column, b: Column) -> Column:
+    """A bound on the score before it is cut off: word score and letters of both. Matching runs can't have more characters than both texts share."""
+    total = lambda x: F.aggregate(x, F.lit(0), lambda n, y: n + y)
+    shared = total(F.zip_with(a, b, lambda x, y: F.least(x, y)))
+    return (word * 0.7 + F.coalesce(2 * shared / (total(a) + total(b)), F.lit(1.0)) * 0.3) * 100
+
+
 @F.pandas_udf(T.IntegerType())
 def fuzzy_score(name: pd.Series, target: pd.Series) -> pd.Series:
     """0 to 100 from common words (0.7) and matching character runs (0.3), cut off to a whole number."""

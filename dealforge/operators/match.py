@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.score import WORD_FLOOR, fuzzy_score, name_words, policy_flags, recheck_date, search_names, stage_of
+from ..functions.score import WORD_FLOOR, fuzzy_score, letters, most_score, name_words, policy_flags, recheck_date, search_names, stage_of
 from ..params import CANDIDATES, CANDIDATES_LARGE, LARGE_STATES, LOOKBACK_DAYS, MATCH_THRESHOLD, SUBSTRING_SCORE, WINDOW_DAYS
+from ..shared import cut
 
 
 def date_window(day: Column, as_of: Column) -> tuple[Column, Column]:
@@ -36,10 +37,33 @@ def _keyed(owners: DataFrame) -> DataFrame:
     return owners.select(*OWNER, day.alias("day"), F.trunc(day, "month").alias("month"), F.explode(keys).alias("skey"))
 
 
+#: Rows without a date that one key of a join has, about; a state with more of them has several keys.
+UNDATED_ROWS = 10_000
+
+
+def _months() -> Column:
+    return F.sequence(F.trunc("low", "month"), F.trunc("high", "month"), F.expr("interval 1 month"))
+
+
+def _no_month() -> Column:
+    return F.trunc(F.lit(_NO_DATE).cast("date"), "month")
+
+
 def _by_month(w: DataFrame) -> DataFrame:
     """A row for each month of a window, and one for rows without a date."""
-    months = F.sequence(F.trunc("low", "month"), F.trunc("high", "month"), F.expr("interval 1 month"))
-    return w.withColumn("month", F.explode(F.concat(months, F.array(F.trunc(F.lit(_NO_DATE).cast("date"), "month")))))
+    return w.withColumn("month", F.explode(F.concat(_months(), F.array(_no_month()))))
+
+
+def _spread(w: DataFrame, owners: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``w`` by month and the registry's rows, both with skey, month, part: a state's rows without a date are dealt into parts of about ``UNDATED_ROWS``."""
+    undated = owners.filter("ownership_start_date IS NULL").groupBy(F.col("provider_state").alias("skey")).agg(F.ceil(F.count("*") / UNDATED_ROWS).alias("parts"))
+    place = F.when(F.col("ownership_start_date").isNull(), F.pmod(F.xxhash64("ccn", "owner_name", "provider_name", "owner_type"), F.col("parts"))).otherwise(0).alias("part")
+    rows = _keyed(owners).join(undated, "skey", "left").select("skey", "month", "day", *OWNER, place)
+    dated = F.transform(_months(), lambda m: F.struct(m.alias("month"), F.lit(0).cast("long").alias("part")))
+    # a state without such rows has no key for them
+    rest = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda i: F.struct(_no_month().alias("month"), i.alias("part")))
+    keys = F.explode(F.when(F.col("parts").isNull(), dated).otherwise(F.concat(dated, rest)))
+    return w.join(undated, "skey", "left").select(*w.columns, keys.alias("_k")).select(*w.columns, "_k.month", "_k.part"), rows
 
 
 def _inside() -> Column:
@@ -52,7 +76,8 @@ def candidates(deals: DataFrame, owners: DataFrame, as_of: Column) -> DataFrame:
     Deals meet rows by state and month; rows without a date fit any window of
     a deal with states. Deals without states meet all dated rows by month.
     """
-    return _by_month(windows(deals, as_of)).join(_keyed(owners), ["skey", "month"]).filter(_inside()).select("deal_id", *OWNER)
+    w, rows = _spread(windows(deals, as_of), owners)
+    return w.join(rows, ["skey", "month", "part"]).filter(_inside()).select("deal_id", *OWNER)
 
 
 def _most(deals: DataFrame) -> DataFrame:
@@ -60,20 +85,36 @@ def _most(deals: DataFrame) -> DataFrame:
     return deals.select(F.col("id").alias("deal_id"), F.when(large, CANDIDATES_LARGE).otherwise(CANDIDATES).alias("most"))
 
 
+def _running(counts: DataFrame, by: str) -> DataFrame:
+    """``counts`` (deal_id, most, n, ...) of the newest down: upto and before, the rows up to and before each; those where the cap is reached."""
+    upto = F.sum("n").over(W.partitionBy("deal_id").orderBy(F.col(by).desc()))
+    return counts.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("n")).filter((F.col("upto") >= F.col("most")) & (F.col("before") < F.col("most")))
+
+
 def capped(deals: DataFrame, owners: DataFrame, as_of: Column) -> DataFrame:
     """``windows`` with the last candidate that the deal's cap lets in: last_day, last_place (null: no end).
 
-    The day where the cap is reached comes from rows counted by state and day.
-    Rows are looked at only on that day, once for all deals that end alike
-    there. Rows equal in date, ccn and owner count as one place in the order.
+    Rows are counted by state and month and by state and day. A deal takes
+    whole months at once; days are looked up in the months where its window
+    begins and ends, and in the one where the cap is reached. Rows themselves
+    are looked at only on the day where it is reached, once for all deals that
+    end alike there. Rows equal in date, ccn and owner count as one place in
+    the order.
     """
     w, rows = windows(deals, as_of), _keyed(owners)
     per_day = rows.groupBy("skey", "month", "day").agg(F.count("*").alias("n"))
-    days = _by_month(w).join(per_day, ["skey", "month"]).filter(_inside()).groupBy("deal_id", "day").agg(F.sum("n").alias("n")).join(_most(deals), "deal_id")
-    upto = F.sum("n").over(W.partitionBy("deal_id").orderBy(F.col("day").desc()))
-    last = days.withColumn("upto", upto).filter((F.col("upto") >= F.col("most")) & (F.col("upto") - F.col("n") < F.col("most")))
+    per_month = per_day.groupBy("skey", "month").agg(F.sum("n").alias("n"))
+    edge = (F.col("month") == F.trunc("low", "month")) | (F.col("month") == F.trunc("high", "month"))
+    months = _by_month(w)
+    whole = months.filter(~edge).join(per_month, ["skey", "month"]).select("deal_id", "month", "n")
+    part = months.filter(edge).join(per_day, ["skey", "month"]).filter(_inside()).select("deal_id", "month", "n")
+    most = _most(deals)
+    counted = whole.union(part).groupBy("deal_id", "month").agg(F.sum("n").alias("n")).join(most, "deal_id")
+    reached = _running(counted, "month").select("deal_id", "month", (F.col("most") - F.col("before")).alias("most"))
+    days = w.join(reached, "deal_id").join(per_day, ["skey", "month"]).filter(_inside()).groupBy("deal_id", "most", "day").agg(F.sum("n").alias("n"))
+    last = _running(days, "day")
     keys = w.groupBy("deal_id").agg(F.array_sort(F.collect_set("skey")).alias("skeys"))
-    last = last.join(keys, "deal_id").select("deal_id", F.col("day").alias("last_day"), (F.col("most") - (F.col("upto") - F.col("n"))).alias("left"), "skeys")
+    last = last.join(keys, "deal_id").select("deal_id", F.col("day").alias("last_day"), (F.col("most") - F.col("before")).alias("left"), "skeys")
     ends = last.select("last_day", "left", "skeys").distinct()
     there = ends.withColumn("skey", F.explode("skeys")).join(rows.withColumnRenamed("day", "last_day"), ["skey", "last_day"])
     place = _place("ccn", "owner_name")
@@ -93,7 +134,8 @@ def _let_in() -> Column:
 
 def newest_candidates(deals: DataFrame, owners: DataFrame, as_of: Column) -> DataFrame:
     """``candidates``, of each deal the first 2000 or 5000 in the order of ``top_candidates``, without sorting them all."""
-    return _by_month(capped(deals, owners, as_of)).join(_keyed(owners), ["skey", "month"]).filter(_let_in()).select("deal_id", *OWNER)
+    w, rows = _spread(capped(deals, owners, as_of), owners)
+    return w.join(rows, ["skey", "month", "part"]).filter(_let_in()).select("deal_id", *OWNER)
 
 
 def top_candidates(deals: DataFrame, found: DataFrame) -> DataFrame:
@@ -104,22 +146,31 @@ def top_candidates(deals: DataFrame, found: DataFrame) -> DataFrame:
     return ranked.join(_most(deals), "deal_id").filter(F.col("seq") <= F.col("most")).drop("most")
 
 
-def score_pairs(names: DataFrame, targets: DataFrame) -> DataFrame:
+def score_pairs(names: DataFrame, targets: DataFrame, threshold: int = MATCH_THRESHOLD) -> DataFrame:
     """name, target, word, score of the distinct pairs that could reach the threshold.
 
     A name of n words must share ``WORD_FLOOR`` * n of them, so it shares one
     of the rarest others + 1: pairs meet by these words only, a common word
-    being none of them. What stays above the floor goes to the Python scorer.
+    being none of them. Of these, pairs whose letters alone rule out the
+    character ratio that the threshold still needs are left out; the others go
+    to the Python scorer.
     """
-    n = names.select("name").distinct().withColumn("words", name_words(F.col("name"))).filter("size(words) > 0")
-    t = targets.select("target").distinct().withColumn("others", name_words(F.col("target")))
-    b = t.select("target", "others", F.explode("others").alias("w"))
+    return possible_pairs(names, targets, threshold).withColumn("score", fuzzy_score("name", "target"))
+
+
+def possible_pairs(names: DataFrame, targets: DataFrame, threshold: int) -> DataFrame:
+    """name, target, word of the pairs that ``score_pairs`` has to score. A threshold of 0 leaves the letters out."""
+    n = names.select("name").distinct().withColumn("words", name_words(F.col("name"))).filter("size(words) > 0").withColumn("own", letters(F.col("name")))
+    t = targets.select("target").distinct().withColumn("others", name_words(F.col("target"))).withColumn("theirs", letters(F.col("target")))
+    b = t.select("target", "others", "theirs", F.explode("others").alias("w"))
     often = b.groupBy("w").agg(F.count("*").alias("often"))
-    a = n.select("name", "words", F.explode("words").alias("w")).join(often, "w", "left")
+    a = n.select("name", "words", "own", F.explode("words").alias("w")).join(often, "w", "left")
     rare = F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "w"))), 1, (F.size(F.first("words")) - F.ceil(F.size(F.first("words")) * F.lit(WORD_FLOOR) - 1e-9) + 1).cast("int"))
-    a = a.groupBy("name").agg(F.first("words").alias("words"), rare.alias("rare")).select("name", "words", F.explode("rare.w").alias("w"))
+    a = a.groupBy("name").agg(F.first("words").alias("words"), F.first("own").alias("own"), rare.alias("rare")).select("name", "words", "own", F.explode("rare.w").alias("w"))
     met = a.join(b, "w").withColumn("word", F.size(F.array_intersect("words", "others")) / F.size("words")).filter(F.col("word") >= WORD_FLOOR)
-    return met.select("name", "target", "word").distinct().withColumn("score", fuzzy_score("name", "target"))
+    if threshold:
+        met = met.filter(most_score(F.col("word"), F.col("own"), F.col("theirs")) >= threshold - 1e-6)
+    return met.select("name", "target", "word").distinct()
 
 
 def substring_pairs(names: DataFrame, targets: DataFrame) -> DataFrame:
@@ -161,7 +212,8 @@ def _hits(deals: DataFrame, known: DataFrame, threshold: int, empty_owner_matche
     """
     names = deal_names(deals)
     owners, providers = (known.select(F.coalesce(c, F.lit("")).alias("target")).distinct() for c in ("owner_name", "provider_name"))
-    scored = score_pairs(names, owners.union(providers)).filter(F.col("score") >= threshold).select("name", "target", "score")
+    # scored once for both rules: few distinct names pass
+    scored = cut(score_pairs(names, owners.union(providers), threshold).filter(F.col("score") >= threshold).select("name", "target", "score"))
     held = substring_pairs(names, owners)
     held = (held if empty_owner_matches else held.filter("target <> ''")).select("name", "target", F.lit(SUBSTRING_SCORE).alias("score"))
     rule = lambda df, n, method: df.withColumn("rule", F.lit(-n)).withColumn("method", F.lit(method))
