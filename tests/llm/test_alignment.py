@@ -101,6 +101,15 @@ def test_pieces():
         assert "".join(cut) == " " + text and all(p[0] == " " and not p[1:2].isspace() for p in cut)
 
 
+def test_quick_encoding_is_the_same():
+    t = token_alignment.Tokenizers(open(A).read(), open(B, "rb").read())
+    assert t.quick
+    rnd = random.Random(2)
+    odd = [chr(c) for c in range(0x250)] + list("''  \n\n\t12 aAzZ")
+    some = [" " + "".join(rnd.choice(odd) for _ in range(rnd.randint(0, 60))) for _ in range(3000)] + [" " + x for x in texts() if x] + [" " + "ab" * 2000, " " * 3000 + "x"]
+    assert t._encode_a(some) == [e.ids for e in t.a.encode_batch(some, add_special_tokens=False)]
+
+
 def test_edges(spark):
     assert token_alignment.alignment_digests(frame(spark, []), A, B).count() == 0
     rows = [(None, "a text"), (2**53 + 1, "a text"), (2**63 - 1, None), (-1, ""), (-1, "")]
