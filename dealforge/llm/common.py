@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a run of bytes other than ASCII space and the controls \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -62,5 +63,20 @@ def lower_az_col(c: Column) -> Column:
     return F.translate(c, _AZ, _AZ.lower())
 
 
+def as_text(df: DataFrame) -> DataFrame:
+    """``df`` with its columns of whole numbers as text. On the way to pandas a column of numbers that holds nulls becomes doubles, and large numbers others; ``as_before`` takes the text back."""
+    return df.withColumns({f.name: F.col(f.name).cast("string") for f in df.schema if isinstance(f.dataType, T.IntegralType)})
+
+
+def text_schema(schema: T.StructType) -> T.StructType:
+    """``schema`` as it is after ``as_text``."""
+    return T.StructType([T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.IntegralType) else f.dataType) for f in schema])
+
+
+def as_before(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """The columns that ``schema`` names with its types again."""
+    return df.withColumns({f.name: F.col(f.name).cast(f.dataType) for f in schema if isinstance(f.dataType, T.IntegralType)})
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

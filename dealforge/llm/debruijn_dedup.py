@@ -129,10 +129,10 @@ def _digests(k: int):
 
 
 def rows_of(docs: DataFrame) -> DataFrame:
-    """doc_id, key (doc_id, or a largest value), row (a hash of the text) and body."""
+    """doc_id (as text, as pandas would make numbers beside nulls doubles), key (doc_id, or a largest value), row (a hash of the text) and body."""
     body = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body.alias("body"))
-    return base.select("doc_id", F.coalesce("doc_id", F.lit(int(NO_ID))).alias("key"), F.xxhash64("body").alias("row"), "body")
+    return base.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("doc_id", F.lit(int(NO_ID))).alias("key"), F.xxhash64("body").alias("row"), "body")
 
 
 def _first(at: Column) -> Column:
@@ -234,7 +234,7 @@ def digests(docs: DataFrame, *, k: int = 50) -> DataFrame:
             out.insert(0, "doc_id", b["doc_id"].to_numpy())
             yield out
 
-    return _with_gone(docs, k).mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _with_gone(docs, k).mapInPandas(run, "doc_id string, n_words long, n_removed long, kept_sha256 string").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def deduplicate(docs: DataFrame, *, k: int = 50) -> DataFrame:
@@ -250,7 +250,7 @@ def deduplicate(docs: DataFrame, *, k: int = 50) -> DataFrame:
             out.insert(0, "doc_id", b["doc_id"].to_numpy())
             yield out
 
-    return _with_gone(docs, k).mapInPandas(run, "doc_id long, kept string, spans array<struct<start: long, end: long>>")
+    return _with_gone(docs, k).mapInPandas(run, "doc_id string, kept string, spans array<struct<start: long, end: long>>").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 ORACLE = """

@@ -260,7 +260,7 @@ def blocks(benchmark: DataFrame, size: int, min_bytes: int) -> Iterator[tuple[li
 def leaks(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.1, min_bytes: int = Q, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """A row for each document and item it holds: doc_id, item_id, n_edits, from_byte (of the normal form, at least)."""
     schema = "doc_id long, item_id long, n_edits int, from_byte long"
-    rows = docs.filter("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("body"))
+    rows = docs.filter("text IS NOT NULL").select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.encode("text", "UTF-8").alias("body"))
 
     def look(ids: list[int], items: list[bytes]) -> DataFrame:
         name = uuid.uuid4().hex
@@ -275,7 +275,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.1, min_bytes
                 doc = b["doc_id"].to_numpy()
                 yield pd.DataFrame([(doc[t], block.ids[x], e, at) for t, x, at, e in hits], columns=["doc_id", "item_id", "n_edits", "from_byte"])
 
-        return rows.mapInPandas(run, schema)
+        # ids go as text: with a null among them pandas would make them doubles
+        return rows.mapInPandas(run, schema.replace("doc_id long", "doc_id string")).withColumn("doc_id", F.col("doc_id").cast("long"))
 
     every = blocks(benchmark, block_bytes, min_bytes)
     first, second = next(every, None), next(every, None)

@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_dir
+from .common import as_before, as_text, fresh_dir, text_schema
 from .shared_files import SharedFiles
 from .windows import mix, pair
 from .words import WordArrays, parts
@@ -306,8 +306,9 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
             yield b[list(keep)].reset_index(drop=True).assign(**model.score(b["body"].tolist()))
 
     kept = docs.select(*keep)
-    schema = kept.schema.add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("score", "double")
-    return docs.select(*keep, F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("body")).mapInPandas(run, schema)
+    schema = text_schema(kept.schema).add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("score", "double")
+    rows = as_text(docs.select(*keep, F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("body")))
+    return as_before(rows.mapInPandas(run, schema), kept.schema)
 
 
 def held_out_scores(docs: DataFrame, *, folds: int = 7, held: int = 2) -> DataFrame:

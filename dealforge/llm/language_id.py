@@ -189,7 +189,7 @@ def identify(rows: DataFrame, model: TextModel, *, markup: bool = False) -> Data
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            own = [said if key in model.sampled else None for key, said in zip(b["key"], b["said"], strict=True)]
+            own = [said if key is not None and int(key) in model.sampled else None for key, said in zip(b["key"], b["said"], strict=True)]
             got = [model.loglik(visible_text(x) if markup else x, o, said) for x, o, said in zip(b["text"], own, b["declared"], strict=True)]
             n = np.array([n for _, n, _ in got], np.int64)
             like = np.array([ll for ll, *_ in got]).reshape(-1, k) * np.minimum(1.0, EVIDENCE / np.maximum(n, 1))[:, None]
@@ -197,8 +197,9 @@ def identify(rows: DataFrame, model: TextModel, *, markup: bool = False) -> Data
 
     known = langs[:-1]
     named = F.when(F.col("declared").isNull(), "").when(F.lower("declared").isin(known), F.lower("declared")).otherwise("other")
-    base = rows.select("id", "key", F.col("declared").alias("said"), *(F.coalesce(x, F.lit("")).alias(x) for x in ("host", "domain", "suffix")), named.alias("declared"), F.coalesce("text", F.lit("")).alias("text"))
-    liked = cut(base.mapInPandas(score, "id long, host string, domain string, suffix string, declared string, n_trigrams long, like array<double>, own array<double>, claim_found boolean"))
+    # ids and keys go as text: with a null among them pandas would make them doubles
+    base = rows.select(F.col("id").cast("string").alias("id"), F.col("key").cast("string").alias("key"), F.col("declared").alias("said"), *(F.coalesce(x, F.lit("")).alias(x) for x in ("host", "domain", "suffix")), named.alias("declared"), F.coalesce("text", F.lit("")).alias("text"))
+    liked = cut(base.mapInPandas(score, "id string, host string, domain string, suffix string, declared string, n_trigrams long, like array<double>, own array<double>, claim_found boolean"))
 
     sums = [F.sum(F.col("own")[i]).alias(f"n{i}") for i in range(k)]
 
@@ -221,7 +222,8 @@ def identify(rows: DataFrame, model: TextModel, *, markup: bool = False) -> Data
             out = {"id": b["id"], "lang": [langs[i] for i in post.argmax(1)], "posterior": np.round(post.max(1), 6), "text_lang": [langs[i] for i in text_lang], "declared": declared, "host": b["host"], "n_trigrams": b["n_trigrams"], "claim_found": b["claim_found"]}
             yield pd.DataFrame(out)
 
-    return joined.mapInPandas(fuse, "id long, lang string, posterior double, text_lang string, declared string, host string, n_trigrams long, claim_found boolean")
+    fused = joined.mapInPandas(fuse, "id string, lang string, posterior double, text_lang string, declared string, host string, n_trigrams long, claim_found boolean")
+    return fused.withColumn("id", F.col("id").cast("long"))
 
 
 def identify_pages(pages: DataFrame, model: TextModel) -> DataFrame:

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import as_before, as_text, text_schema
+
 MARK = "▁"
 _CHUNKS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Distinct words that a worker keeps segmented. Reaching it only means segmenting again.
@@ -91,7 +93,8 @@ def encode(docs: DataFrame, model_path: str, *, keep: tuple[str, ...] = ("doc_id
     fixed size of about half a megabyte.
     """
     model = Path(model_path).read_bytes()
-    schema = docs.select(*keep).schema.add(ids, T.ArrayType(T.IntegerType()))
+    kept = docs.select(*keep).schema
+    schema = text_schema(kept).add(ids, T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = ChunkCodec(model)
@@ -101,13 +104,15 @@ def encode(docs: DataFrame, model_path: str, *, keep: tuple[str, ...] = ("doc_id
                 out[ids] = list(codec.encode_batch(part["__text"].tolist()))
                 yield out
 
-    return docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text")).mapInPandas(run, schema)
+    rows = as_text(docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text")))
+    return as_before(rows.mapInPandas(run, schema), kept)
 
 
 def decode(encoded: DataFrame, model_path: str, *, keep: tuple[str, ...] = ("doc_id",), ids: str = "token_ids", text: str = "text") -> DataFrame:
     """``keep`` columns, and ``ids`` decoded into ``text``."""
     model = Path(model_path).read_bytes()
-    schema = encoded.select(*keep).schema.add(text, "string")
+    kept = encoded.select(*keep).schema
+    schema = text_schema(kept).add(text, "string")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = ChunkCodec(model)
@@ -116,7 +121,7 @@ def decode(encoded: DataFrame, model_path: str, *, keep: tuple[str, ...] = ("doc
             out[text] = [codec.decode([] if x is None else list(map(int, x))) for x in b["__ids"]]
             yield out
 
-    return encoded.select(*keep, F.col(ids).alias("__ids")).mapInPandas(run, schema)
+    return as_before(as_text(encoded.select(*keep, F.col(ids).alias("__ids"))).mapInPandas(run, schema), kept)
 
 
 def roundtrip_digests(docs: DataFrame, model_path: str) -> DataFrame:
@@ -136,14 +141,16 @@ def roundtrip_digests(docs: DataFrame, model_path: str) -> DataFrame:
             out.insert(0, "doc_id", b["doc_id"].to_numpy())
             yield out
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, schema)
+    schema = "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def encode_and_decode(docs: DataFrame, model_path: str, *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, n_tokens, token_ids (end id last) and text, which is decoded from the ids; one worker does both."""
     model = Path(model_path).read_bytes()
-    schema = docs.select(*keep).schema.add("n_tokens", T.LongType()).add("token_ids", T.ArrayType(T.IntegerType())).add("text", T.StringType())
+    kept = docs.select(*keep).schema
+    schema = text_schema(kept).add("n_tokens", T.LongType()).add("token_ids", T.ArrayType(T.IntegerType())).add("text", T.StringType())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = ChunkCodec(model)
@@ -156,4 +163,4 @@ def encode_and_decode(docs: DataFrame, model_path: str, *, keep: tuple[str, ...]
                 out["token_ids"] = [np.array(x, np.int32) for x in ids]
                 yield out
 
-    return docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("__text")).mapInPandas(run, schema)
+    return as_before(as_text(docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("__text"))).mapInPandas(run, schema), kept)

@@ -203,7 +203,7 @@ def repeated_bytes(docs: DataFrame, finish: Callable[[Batch, np.ndarray, pd.Data
         raise ValueError(f"length must be {GRAM + 8} at least")
     spark = docs.sparkSession
     body = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("key"), body.alias("body"))
+    base = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("key"), body.alias("body"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_batches, n_buckets = layout(spark, total, BATCH_BYTES, BUCKET_BYTES)
     # The text is part of the hash: many rows with one doc_id don't meet in one batch.
@@ -242,7 +242,9 @@ def repeated_bytes(docs: DataFrame, finish: Callable[[Batch, np.ndarray, pd.Data
     with_docs = lambda so_far, f, kind: by_batch.cogroup(so_far.groupBy("batch")).applyInPandas(f, kind)
     second = with_docs(first, send2, "batch long, bucket long, low binary, s binary, check binary, d_lo binary, d_hi binary").groupBy("bucket").applyInPandas(_round2, told)
     third = with_docs(first.union(second), send3, "batch long, bucket long, w binary, check binary, d_lo binary, d_hi binary").groupBy("bucket").applyInPandas(_round3, told)
-    return with_docs(first.union(second).union(third), last, schema)
+    # ids go as text: with a null among them pandas would make them doubles
+    done = with_docs(first.union(second).union(third), last, schema.replace("doc_id long", "doc_id string"))
+    return done.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _kept(b: Batch, gone: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:

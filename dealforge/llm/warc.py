@@ -114,7 +114,8 @@ def write_archives(marked: DataFrame, to: str, *, archive_bytes: int = ARCHIVE_B
         if count:
             yield close()
 
-    return marked.select("page_id", "url", "payload", "digest", "refers_to").mapInPandas(run, "file string, n_records long, n_bytes long")
+    # most rows refer to none, and numbers beside nulls would come as doubles
+    return marked.select("page_id", "url", "payload", "digest", F.col("refers_to").cast("string").alias("refers_to")).mapInPandas(run, "file string, n_records long, n_bytes long")
 
 
 class WarcError(ValueError):
