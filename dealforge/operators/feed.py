@@ -57,10 +57,13 @@ FEED = ["id", "acquiring_entity", "seller_entity", "states", "facility_count", "
 PAGE_ROWS = 100
 
 
-def feed_page(deals: DataFrame, articles: DataFrame, sources: DataFrame, matches: DataFrame, f: FeedFilter) -> DataFrame:
-    """One page, newest first. It is taken first: ``PAGE_ROWS`` at most go through the driver, and only they meet matches and equal deals."""
+def feed_page(deals: DataFrame, articles: DataFrame, sources: DataFrame, matches: DataFrame, f: FeedFilter, among: DataFrame | None = None) -> DataFrame:
+    """One page, newest first. It is taken first: ``PAGE_ROWS`` at most go through the driver, and only they meet matches and equal deals.
+
+    ``among``: those of ``deals`` that the page is looked for in, as from ``search.narrowed``.
+    """
     order = [F.coalesce("acquisition_date", F.col("created_at").cast("date")).desc(), F.col("created_at").desc(), F.col("id")]
-    rows = with_article(deals, articles, sources).filter(conditions(f)).orderBy(*order).offset(f.offset).limit(min(f.limit, PAGE_ROWS))
+    rows = with_article(deals if among is None else among, articles, sources).filter(conditions(f)).orderBy(*order).offset(f.offset).limit(min(f.limit, PAGE_ROWS))
     page = F.broadcast(deals.sparkSession.createDataFrame(rows.collect(), rows.schema))
     keys = ["acquiring_entity", "states", "acquisition_date"]
     known = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))

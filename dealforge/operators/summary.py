@@ -14,16 +14,20 @@ SIDES = {"matches": "cms_match_count", "annotations": "annotation_count"}
 
 
 def ones(rows: DataFrame, side: str, one: int = 1) -> DataFrame:
-    """id and both counts: ``one`` for each row (id, deal_id) of a side. Rows without a deal count nowhere."""
+    """id and both counts: ``one`` for each distinct (id, deal_id) of a side. Rows without a deal count nowhere."""
     own = [F.lit(one if c == SIDES[side] else 0).cast("long").alias(c) for c in SIDES.values()]
-    return rows.filter("deal_id IS NOT NULL").select(F.col("deal_id").alias("id"), *own)
+    return rows.filter("deal_id IS NOT NULL").select("id", "deal_id").distinct().select(F.col("deal_id").alias("id"), *own)
 
 
 def difference(before: DataFrame, after: DataFrame, side: str) -> DataFrame:
     """What changed from one version of a side to another: rows that came count one, rows that went or left their deal one less."""
-    b, a = (t.select("id", "deal_id") for t in (before, after))
-    gone, new = (x.join(y, (x["id"] == y["id"]) & x["deal_id"].eqNullSafe(y["deal_id"]), "left_anti") for x, y in ((b, a), (a, b)))
-    return ones(gone, side, -1).unionByName(ones(new, side))
+
+    def without(rows: DataFrame, others: DataFrame) -> DataFrame:
+        # renamed, as both may come from one table
+        o = others.select(F.col("id").alias("_id"), F.col("deal_id").alias("_deal_id"))
+        return rows.select("id", "deal_id").join(o, (F.col("id") == F.col("_id")) & F.col("deal_id").eqNullSafe(F.col("_deal_id")), "left_anti")
+
+    return ones(without(before, after), side, -1).unionByName(ones(without(after, before), side))
 
 
 def summed(deltas: list[DataFrame]) -> DataFrame:
@@ -33,7 +37,7 @@ def summed(deltas: list[DataFrame]) -> DataFrame:
 
 
 class SummaryCounts:
-    """Stored counts of each deal that has, or had, matches or notes. An id is one row of its side."""
+    """Stored counts of each deal that has, or had, matches or notes; an id counts once for a deal."""
 
     def __init__(self, spark: SparkSession, path: str, *, buckets: int = 256) -> None:
         self.table = BucketedTable(spark, path, ["id"], buckets=buckets)

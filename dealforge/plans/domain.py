@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import search
+
 AS_OF = "1998-01-01"
 CHEAP = 1.5
 
@@ -55,6 +57,11 @@ class Domain:
     def owners(self) -> DataFrame:
         return self._stored("owners", self._owners)
 
+    @property
+    def name_grams(self) -> DataFrame:
+        """The trigram table that searches look up."""
+        return self._stored("grams", lambda: search.gram_table(self.deals))
+
     def _deals(self) -> DataFrame:
         nation, supplier = self.raw("nation"), self.raw("supplier")
         s = supplier.join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_name", "n_name")
