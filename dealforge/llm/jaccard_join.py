@@ -12,8 +12,10 @@ D = a * (1 / t - 1) n-grams at most (t: the threshold). The n-grams of a set
 are dealt by hash into more than D parts, so one part at least is the same
 in both. Equal parts are found by hash; the smallest set that shares a part
 leads the others, and all sets with one leader form a *cell*. The parts only
-say which sets must meet: an R-tree joins those of a cell. Large cells are cut
-into blocks, and each pair of blocks is a task. Only links that join two components of a cell are returned, so a
+say which sets must meet: an R-tree joins those of a cell. At first a set
+meets the smallest of its leaders only; cells that lie in one component after
+that are done, so a family of near copies isn't sent once a cell. Large cells
+are cut into blocks, and each pair of blocks is a task. Only links that join two components of a cell are returned, so a
 cell of m sets gives fewer than m rows.
 
 Equal sets count once. Null and empty texts, and texts without words, have
@@ -165,13 +167,14 @@ class RTree:
 
 
 class Cell:
-    """Joins the sets of a cell: an R-tree of their points, then the sets themselves."""
+    """Joins the sets of a cell: an R-tree of their points, then the sets themselves. ``known``: their components so far."""
 
-    def __init__(self, ids: list[int], sets: list[np.ndarray], threshold: Fraction) -> None:
+    def __init__(self, ids: list[int], sets: list[np.ndarray], threshold: Fraction, known: np.ndarray | None = None) -> None:
         self.ids, self.sets, self.t = ids, sets, threshold
         self.size = np.array([len(s) for s in sets], np.int64)
         self.point = np.stack([np.bincount((mix(s) >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS) for s in sets]).astype(np.int32)
-        self.top = list(range(len(ids)))
+        first: dict[int, int] = {}
+        self.top = list(range(len(ids))) if known is None else [first.setdefault(c, i) for i, c in enumerate(known.tolist())]
 
     def _find(self, x: int) -> int:
         while self.top[x] != x:
@@ -277,40 +280,53 @@ def linked_components(docs: DataFrame, *, n: int = 3, threshold: Fraction = Frac
     leaders = cut(found.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("c")).filter("c > 1").select("key", "lead"))
     cells = cut(found.join(leaders.hint("merge"), "key").select("lead", "id", "batch", "f1", "n").distinct())
 
-    # blocks of large cells meet pairwise; a block's number comes from a hash, so blocks are even
-    sizes = cells.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    placed = cells.join(small_or_merged(cut(sizes.filter("blocks > 1"))), "lead", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("id", "f1", "lead"), F.col("blocks")))
-    pairs = placed.select("lead", "id", "batch", "f1", "n", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    asked = pairs.select("id", "batch", "f1", "n", "lead", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own").distinct()
+    # most near copies are linked to the smallest of their leaders: one copy of each set tells
+    least = cells.groupBy("id", "f1").agg(F.min("lead").alias("lead"))
+    followers = cells.join(least.hint("merge"), ["id", "f1", "lead"]).filter("id <> lead")
+    sizes = cut(followers.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")))
+    whole = F.lit(0).cast("long")
+    mine = followers.join(sizes.hint("merge"), "lead").select("id", "batch", "f1", "n", "lead", F.pmod(F.xxhash64("id", "f1", "lead"), F.col("blocks")).alias("p"))
+    heads = cells.filter("id = lead").join(sizes.hint("merge"), "lead").select("id", "batch", "f1", "n", "lead", F.explode(F.sequence(whole, F.col("blocks") - 1)).alias("p"))
+    star = mine.withColumn("own", F.lit(-1).cast("long")).unionByName(heads.withColumn("own", F.col("p"))).withColumns({"q": F.lit(-1).cast("long"), "c": F.col("id")})
 
     def fetch(df: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
         if not len(df) or not len(want):
-            return pd.DataFrame({"id": [], "lead": [], "p": [], "q": [], "own": [], "grams": []})
+            return pd.DataFrame({"id": [], "lead": [], "p": [], "q": [], "own": [], "c": [], "grams": []})
         df = df[df["doc_id"].isin(want["id"])].drop_duplicates(["doc_id", "body"])
         # rows of one doc_id may hold different sets
         sets = {(i, fingerprint(s)[0]): s.tobytes() for i, s in zip(df["doc_id"], ngram_sets(df["body"].tolist(), n), strict=True)}
-        return want[["id", "lead", "p", "q", "own"]].assign(grams=[sets[x] for x in zip(want["id"], want["f1"], strict=True)])
-
-    # few texts are wanted: they are picked before the shuffle
-    wanted = cut(asked.select(F.col("id").alias("doc_id")).distinct())
-    few = base.join(F.broadcast(wanted), "doc_id", "left_semi") if wanted.count() <= BROADCAST_ROWS else base
-    filled = few.withColumn("batch", batch).groupBy("batch").cogroup(asked.groupBy("batch")).applyInPandas(fetch, "id long, lead long, p long, q long, own long, grams binary")
-    n_groups = -(-8 * (asked.agg(F.sum("n")).first()[0] or 0) // GROUP_BYTES)
-    group = F.pmod(F.xxhash64("lead", "p", "q"), F.lit(max(n_groups, n_batches)))
+        return want[["id", "lead", "p", "q", "own", "c"]].assign(grams=[sets[x] for x in zip(want["id"], want["f1"], strict=True)])
 
     def join(df: pd.DataFrame) -> pd.DataFrame:
         out = []
         for (_, p, q), cell in df.groupby(["lead", "p", "q"], sort=False):
             if len(cell) < 2:
                 continue
-            c = Cell(cell["id"].tolist(), [np.frombuffer(x, np.uint64) for x in cell["grams"]], how.threshold)
+            c = Cell(cell["id"].tolist(), [np.frombuffer(x, np.uint64) for x in cell["grams"]], how.threshold, cell["c"].to_numpy())
             own = cell["own"].to_numpy()
             out += c.links(np.flatnonzero(own == p), np.flatnonzero(own == q))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    links = filled.withColumn("g", group).groupBy("g").applyInPandas(join, "a long, b long")
-    reached = cut(components(links).select("id", "component"))
+    def verified(asked: DataFrame) -> DataFrame:
+        """Links of sets that are to meet: in (lead, p, q) those that are p's own meet those that are q's own; c: components known before."""
+        # few texts are wanted: they are picked before the shuffle
+        wanted = cut(asked.select(F.col("id").alias("doc_id")).distinct())
+        few = base.join(F.broadcast(wanted), "doc_id", "left_semi") if wanted.count() <= BROADCAST_ROWS else base
+        filled = few.withColumn("batch", batch).groupBy("batch").cogroup(asked.groupBy("batch")).applyInPandas(fetch, "id long, lead long, p long, q long, own long, c long, grams binary")
+        n_groups = -(-8 * (asked.agg(F.sum("n")).first()[0] or 0) // GROUP_BYTES)
+        group = F.pmod(F.xxhash64("lead", "p", "q"), F.lit(max(n_groups, n_batches)))
+        return cut(filled.withColumn("g", group).groupBy("g").applyInPandas(join, "a long, b long"))
+
+    first = verified(star)
+    known = cut(components(first))
+
+    # cells that lie in one component by now are done; of the others, blocks of large ones meet pairwise, and a block's number comes from a hash, so blocks are even
+    told = cells.join(known.hint("merge"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    open_ = cut(told.groupBy("lead").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.ceil(F.count("*") / BLOCK).alias("blocks")).filter("x < y").select("lead", "blocks"))
+    placed = told.join(small_or_merged(open_), "lead").withColumn("own", F.pmod(F.xxhash64("id", "f1", "lead"), F.col("blocks")))
+    pairs = placed.select("lead", "id", "batch", "f1", "n", "c", "own", F.explode(F.sequence(whole, F.col("blocks") - 1)).alias("other"))
+    rest = verified(pairs.select("id", "batch", "f1", "n", "lead", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "c").distinct())
+    reached = cut(components(first.union(rest)).select("id", "component"))
     out = named.join(reached.hint("merge"), "id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
