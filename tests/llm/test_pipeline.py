@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import random
+from fractions import Fraction
 
 import corpus_pipeline as pipeline
+from dealforge.llm import jaccard_join
 
 SF = "/root/testdata/sf0.001"
 
@@ -74,3 +76,16 @@ def test_run_takes_out_what_was_planted(spark, tmp_path):
     assert left["near_duplicates"] == left["line_dedup"] - {900_003}
     assert left["decontaminate"] == {900_001, 900_004}
     assert left["tokenize"] == {900_001, 900_004}
+
+
+def test_copies_are_gone_after_both_stages(spark, tmp_path):
+    """Of the documents that near copies of smaller ones are in the table as it came, nine in ten at least are gone after line dedup and near duplicates together."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    linked = jaccard_join.linked_components(docs, n=5, threshold=Fraction(4, 5))
+    copies = {r.doc_id for r in linked.filter("component_id < doc_id").collect()}
+    for name, stage in pipeline.STAGES[:3]:
+        stage(spark, docs, sf).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+    left = copies & {r.doc_id for r in docs.select("doc_id").collect()}
+    assert len(copies) > 50 and len(left) <= 0.1 * len(copies)
