@@ -9,6 +9,7 @@ WINDOW_DAYS, LOOKBACK_DAYS = 180, 365
 RECHECK_DAYS, RECHECK_LIMIT = 7, 12
 CANDIDATES, CANDIDATES_LARGE = 2000, 5000
 ARTICLE_CAP, ARTICLE_AGE_DAYS = 50, 7
+MAIL_MESSAGES, MAIL_DAYS = 50, 2
 CHOW_DAYS, CHOW_BACKFILL_DAYS = 90, 365
 MIN_CHARS, MIN_WORDS, MAX_CHARS, MAX_PAGE_CHARS = 150, 100, 8000, 10000
 CSV_ROWS, DIGEST_ROWS, TOP_STATES = 5000, 50, 10

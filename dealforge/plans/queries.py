@@ -16,7 +16,7 @@ from ..operators.buckets import BucketedTable
 from ..params import ACQUISITION_STEMS, DISPLAY_NAMES, FeedFilter, GENERIC_OPERATORS, KEY_SUFFIXES, LARGE_STATES, NAME_SUFFIXES
 from ..shared import fresh_dir
 from ..sources import chow, feeds, mail, registry
-from ..streaming import known, poll
+from ..streaming import known, landing, poll
 from . import daily
 from .domain import AS_OF, SQL, Domain
 
@@ -557,6 +557,21 @@ def poll_counts(d):
     return _polled(d).counts().agg(F.count("*").cast("int").alias("n_batches"), F.sum("n_rows").alias("n_rows"), F.sum("n_new").alias("n_new"))
 
 
+@query("""SELECT 'article' AS lane, 'https://n.example/' || page_id AS url, 'Sale of page ' || page_id AS title FROM pages WHERE page_id // 50 % 10 <> 3
+    UNION ALL SELECT 'reject', NULL, 'malformed' FROM (SELECT DISTINCT page_id // 50 FROM pages WHERE page_id // 50 % 10 = 3)""", domain=False)
+def landed_feeds(d):
+    """Feed files made from the pages table, fifty entries each and one in ten cut off, as a stream: articles, and a reject for each broken file."""
+    at, i = fresh_dir(d.spark, "feeds"), F.col("page_id")
+    item = F.concat(F.lit("<item><link> https://n.example/"), i.cast("string"), F.lit("</link><title>Sale of page "), i.cast("string"), F.lit("</title></item>"))
+    made = d.raw("pages").groupBy(F.floor(i / 50).alias("file")).agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list(item), ""), F.lit("</channel></rss>")).alias("value"))
+    broken = F.when(F.col("file") % 10 == 3, F.expr("left(value, length(value) - 30)")).otherwise(F.col("value"))
+    made.select(broken.alias("value")).write.option("maxRecordsPerFile", 1).text(f"{at}/landed")
+    landing.land(landing.whole_files(d.spark, f"{at}/landed", "*.txt"), landing.feed_entries, f"{at}/table", f"{at}/state").start().awaitTermination()
+    entries = d.spark.read.parquet(f"{at}/table").withColumn("feed_url", F.col("file"))
+    articles = feeds.feed_articles(entries, d.as_of).select(F.lit("article").alias("lane"), "url", "title")
+    return articles.union(d.spark.read.parquet(f"{at}/table-rejects").select(F.lit("reject"), F.lit(None).cast("string"), "reason"))
+
+
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts)::DATE AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2", domain=False)
 def events_per_day(d):
     """Windowed counts of a stream over two landings, started again for the second: closed windows and those still open."""

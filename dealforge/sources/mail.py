@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import stripped
 from ..operators.dedup import first_by
+from ..params import MAIL_DAYS, MAIL_MESSAGES
 from ..schemas import MESSAGES
 
 # The patterns of redirect links decide the results.
@@ -69,10 +70,20 @@ def html_links(messages: DataFrame, body: str = "body") -> DataFrame:
     return found.filter("url <> '' AND NOT contains(url, 'google.com')").withColumn("url", stripped(F.col("url")))
 
 
+def recent(messages: DataFrame, as_of: Column, *, days: int = MAIL_DAYS, most: int = MAIL_MESSAGES) -> DataFrame:
+    """What one scan looks at: the newest ``most`` messages since the day ``days`` before; undated ones come last."""
+    at = mail_date(_header("Date"), as_of)
+    since = F.date_sub(as_of.cast("date"), days).cast("timestamp")
+    return messages.withColumn("_at", at).filter(F.col("_at").isNull() | (F.col("_at") >= since)).orderBy(F.col("_at").desc_nulls_last(), "id").limit(most).drop("_at")
+
+
+def _header(name: str) -> Column:
+    return F.get(F.filter("payload.headers", lambda h: h["name"] == name), F.lit(0))["value"]
+
+
 def alert_articles(messages: DataFrame, as_of: Column) -> DataFrame:
     """Articles of all messages, each url once: of the plain body, or of the HTML body where that has none."""
-    day = F.get(F.filter("payload.headers", lambda h: h["name"] == "Date"), F.lit(0))["value"]
-    base = messages.select("id", mail_date(day, as_of).alias("published_at"), body_of("text/plain").alias("plain"), body_of("text/html").alias("html"))
+    base = messages.select("id", mail_date(_header("Date"), as_of).alias("published_at"), body_of("text/plain").alias("plain"), body_of("text/html").alias("html"))
     plain = plain_links(base, "plain")
     html = html_links(base.join(plain.select("id").distinct(), "id", "left_anti"), "html")
     both = reduce(DataFrame.unionByName, [plain, html]).join(base.select("id", "published_at"), "id")
