@@ -321,6 +321,42 @@ def daily_run(d):
     return daily.new_deals(answered, dedup.with_hash(d.deals)).select("article_id", "dedup_hash")
 
 
+def _owner_named(text: str) -> str:
+    """A stand-in for the extractor: a deal of an owner in the registry, without states."""
+    n = len(text)
+    return json.dumps({"acquiring_entity": f"Supplier#{n % 50 + 1:09d}", "states": [], "facility_count": n % 3 + 1, "acquisition_date": f"1997-{n % 12 + 1:02d}-01"})
+
+
+def _written(d: Domain, rows: DataFrame, name: str) -> DataFrame:
+    at = fresh_dir(d.spark, f"daily-{name}")
+    rows.write.parquet(at)
+    return d.spark.read.parquet(at)
+
+
+@query(f""", sized AS (SELECT id AS article_id, least(length(raw_text), 8000) AS n FROM articles WHERE length(trim(raw_text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')) >= 150),
+found AS (SELECT article_id, 'Supplier#' || lpad((n % 50 + 1)::VARCHAR, 9, '0') AS acquiring_entity, []::VARCHAR[] AS states, (n % 3 + 1)::INTEGER AS facility_count, make_date(1997, n % 12 + 1, 1) AS acquisition_date, NULL::DOUBLE AS deal_value_m, []::VARCHAR[] AS operator_names FROM sized),
+fresh AS (SELECT min(article_id) AS id, any_value(acquiring_entity) AS name, any_value(acquisition_date) AS day FROM (SELECT *, {_key_sql()} AS dedup_hash FROM found) WHERE dedup_hash NOT IN (SELECT {_key_sql()} FROM deals) GROUP BY dedup_hash),
+cand AS (SELECT f.id, name, o.owner_name, o.ccn, row_number() OVER (PARTITION BY f.id ORDER BY o.ownership_start_date DESC, o.ccn, o.owner_name) AS seq FROM fresh f JOIN owners o ON o.ownership_start_date BETWEEN f.day - 180 AND f.day + 180),
+hit AS (SELECT c.id, count(*) AS n, count(*) FILTER (f.sff_flag) AS flagged FROM cand c LEFT JOIN facilities f ON f.ccn = c.ccn WHERE seq <= 2000 AND owner_name = name GROUP BY c.id)
+SELECT fresh.id AS article_id, CASE WHEN n > 0 THEN 'confirmed' ELSE 'detected' END AS stage, CASE WHEN n > 0 THEN 'high' END AS confidence, CASE WHEN n > 0 THEN NULL ELSE DATE '{AS_OF}' + 7 END AS recheck_after,
+    coalesce(n, 0) AS n_matches, coalesce(flagged, 0) AS n_flagged, 0 AS n_errors FROM fresh LEFT JOIN hit USING (id)
+UNION ALL SELECT -1, 'articles', NULL, NULL, count(*), 0, count(*) FILTER (coalesce(raw_text, '') = '') FROM articles""")
+def daily_matched(d):
+    """A run from all articles to stored deals, their matches, stages and the articles' state; each is written before the next, as in use.
+
+    The deals' names are owners', so words alone decide the scores.
+    """
+    answered = _written(d, extract.replies(d.articles, _owner_named), "replies")
+    new = _written(d, daily.new_deals(answered, dedup.with_hash(d.deals)), "deals")
+    run = daily.run(d.articles, answered, new, d.owners, d.facilities, d.as_of)
+    n = run.matches.groupBy(F.col("deal_id").alias("id")).agg(F.count("*").alias("n_matches"), F.count_if("sff_flag").alias("n_flagged"))
+    none = F.lit(0).cast("long")
+    deals = run.deals.join(n, "id", "left").select("article_id", "stage", "confidence", "recheck_after", F.coalesce("n_matches", none).alias("n_matches"), F.coalesce("n_flagged", none).alias("n_flagged"), none.alias("n_errors"))
+    state = run.articles.filter("extraction_done").agg(F.count("*").alias("n"), F.count("extraction_error").alias("e"))
+    null = lambda kind: F.lit(None).cast(kind)
+    return deals.union(state.select(F.lit(-1).cast("long"), F.lit("articles"), null("string"), null("date"), "n", none, "e"))
+
+
 _CAND = f"""spans AS (SELECT *, coalesce(acquisition_date - 180, DATE '{AS_OF}' - 365) AS low, coalesce(acquisition_date + 180, DATE '{AS_OF}' + 180) AS high FROM due),
 cand AS (SELECT d.id AS deal_id, o.* FROM (SELECT *, unnest(states) AS state FROM spans) d JOIN owners o ON o.provider_state = d.state AND (o.ownership_start_date IS NULL OR o.ownership_start_date BETWEEN low AND high)
     UNION ALL SELECT d.id AS deal_id, o.* FROM spans d JOIN owners o ON len(states) = 0 AND o.ownership_start_date BETWEEN low AND high)"""
