@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import clean, display, names, score
 from ..functions.keys import dedup_hash
 from ..functions.text import about_acquisitions, html_text, text_gate
-from ..operators import dedup, extract, feed, match, search, summary
+from ..operators import dedup, extract, feed, match, pages, search, summary
 from ..operators.buckets import BucketedTable
 from ..params import ACQUISITION_STEMS, DISPLAY_NAMES, FeedFilter, GENERIC_OPERATORS, KEY_SUFFIXES, LARGE_STATES, NAME_SUFFIXES
 from ..shared import fresh_dir
@@ -83,6 +83,16 @@ def feed_search(d):
     return _page(d, FeedFilter(search="#00000001", limit=100))
 
 
+@query("""SELECT id, acquiring_entity, source_url, total FROM (SELECT id, acquiring_entity, source_url, row_number() OVER (ORDER BY coalesce(acquisition_date, created_at::DATE) DESC, created_at DESC, id) - 1 AS place, count(*) OVER () AS total
+    FROM full_deals WHERE stage <> 'dismissed') WHERE place >= 1000 AND place < 1100""")
+def feed_deep_page(d):
+    """A page far down, read alone from the stored feed, with the total."""
+    stored = pages.FeedPages(d.spark, fresh_dir(d.spark, "feed"), block_rows=1000)
+    stored.create(feed.with_article(d.deals, d.articles, d.sources).filter("stage <> 'dismissed'"))
+    # one row beside a page's rows
+    return stored.page(1000, 100).join(F.broadcast(stored.total())).select("id", "acquiring_entity", "source_url", "total")
+
+
 @query("SELECT count(DISTINCT id) AS total FROM full_deals WHERE stage <> 'dismissed' AND source_type = 'rss'")
 def feed_total(d):
     return feed.feed_total(d.deals, d.articles, d.sources, FeedFilter(source_type="rss"))
