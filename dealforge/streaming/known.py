@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import cut, exists
+from ..shared import exists
 
 BATCH = "_batch"
 BLOCK_BITS, BITS_A_KEY = 1 << 15, 20
@@ -50,9 +50,8 @@ def filters_of(rows: DataFrame, key: str, file: str = "file") -> DataFrame:
     return spread.groupBy(file, "level", "block").agg(F.bitmap_construct_agg("_at").alias("bits"))
 
 
-def passing(keys: DataFrame, key: str, filters: DataFrame) -> DataFrame:
-    """key, file: the files that may have the key, all that have it among them."""
-    levels = sorted(r[0] for r in filters.select("level").distinct().collect())  # ``_TOP_LEVEL`` + 1 numbers at most
+def passing(keys: DataFrame, key: str, filters: DataFrame, levels: list[int]) -> DataFrame:
+    """key, file: the files that may have the key, all that have it among them. ``levels``: those of the filters."""
     own = F.explode(F.array(*(F.struct(F.lit(n).alias("level"), F.xxhash64(key).bitwiseAND(F.lit((1 << n) - 1)).alias("block")) for n in levels))) if levels else F.explode(F.array().cast("array<struct<level: int, block: long>>"))
     asked = keys.select(key).distinct().select(key, own.alias("_x")).select(key, "_x.level", "_x.block")
     met = asked.join(filters, ["level", "block"])
@@ -82,13 +81,14 @@ class KnownRows:
         return [f for f in self.spark.read.parquet(self.table).inputFiles() if f"/{BATCH}={but}/" not in f]
 
     def candidates(self, rows: DataFrame, but: int | None = None) -> tuple[DataFrame | None, list[str]]:
-        """key, file of what passes the filters (stored), and the paths of the files to read: those that something passes, and those without a filter."""
+        """key, file of what passes the filters, and the paths of the files to read: those that something passes, and those without a filter."""
         files = {f.rsplit("/", 1)[1]: f for f in self.files(but)}
         if not files or not exists(self.spark, self._at("-filters")):
             return None, sorted(files.values())
         filters = self.spark.read.parquet(self._at("-filters")).filter(F.col(BATCH) != (-1 if but is None else but))
-        covered = {r[0] for r in filters.select("file").distinct().collect()}
-        passed = cut(passing(rows, self.key, filters))
+        # a row a file
+        covered = {r["file"]: r["level"] for r in filters.select("file", "level").distinct().collect()}
+        passed = passing(rows, self.key, filters, sorted(set(covered.values())))
         met = {r[0] for r in passed.select("file").distinct().collect()}
         return passed, sorted(f for n, f in files.items() if n in met or n not in covered)
 

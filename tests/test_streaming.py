@@ -36,7 +36,7 @@ def test_no_stored_key_is_missed(spark, tmp_path):
     keys = spark.range(60_000).select(F.concat(F.lit("u"), "id").alias("url"), F.when(F.col("id") < 100, "small").otherwise("large").alias("file"))
     filters = known.filters_of(keys, "url")
     assert {(r.file, r.level) for r in filters.collect()} == {("small", 0), ("large", 6)}
-    hits = known.passing(keys, "url", filters).join(keys.withColumnRenamed("file", "own"), "url")
+    hits = known.passing(keys, "url", filters, [0, 6]).join(keys.withColumnRenamed("file", "own"), "url")
     own, other = hits.filter("file = own").count(), hits.filter("file <> own").count()
     assert own == 60_000 and other < 60
 
