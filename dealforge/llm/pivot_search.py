@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Rows from which the pivots and the first thresholds are taken: those with the smallest hash of vec_id among a thinned part.
 SAMPLE_ROWS = 2000
 N_PIVOTS = 32
@@ -141,9 +143,8 @@ def _reachable(q: dict, known: dict) -> np.ndarray:
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, *, n_pivots: int = N_PIVOTS) -> DataFrame:
     """For each row of ``usable`` vectors that ``is_query`` holds for: query_id, rank, vec_id, score.
 
-    Blocks of queries meet blocks of candidates by an equi-join on the
-    candidate block's number: the smaller side, the queries, is repeated for
-    the blocks that it can't do without. A sample of fixed size comes to the
+    Blocks of queries are sent to the blocks of candidates that they can't do
+    without, and go past them one after the other. A sample of fixed size comes to the
     driver, to choose pivots.
     """
     spark = vectors.sparkSession
@@ -191,7 +192,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, *, n_pivots: int =
 
     read = lambda b, shape=-1: np.frombuffer(b).reshape(shape)
     schema = "block long, ids binary, v binary, far binary, lo binary, hi binary, sq double"
-    cands = numbered(vectors, n, CANDIDATE_BLOCK).groupBy("block").applyInPandas(pack, schema)
+    cands = cut(numbered(vectors, n, CANDIDATE_BLOCK).groupBy("block").applyInPandas(pack, schema))
     asks = numbered(vectors.filter(is_query), n_q, QUERY_BLOCK).groupBy("block").applyInPandas(seeded, schema + ", seed binary")
     met = cands.select("block", "lo", "hi", "sq") if n <= KNOWN_BLOCKS * CANDIDATE_BLOCK else cands.select("block", F.lit(None).cast("binary").alias("lo"), F.lit(None).cast("binary").alias("hi"), "sq")
     blocks = met.toPandas()
@@ -208,19 +209,25 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, *, n_pivots: int =
                 to = [known["block"]] * len(b)
             yield pd.DataFrame({"q_ids": b["ids"], "q_v": b["v"], "q_far": b["far"], "q_seed": b["seed"], "to": to})
 
-    asks = asks.mapInPandas(choose, "q_ids binary, q_v binary, q_far binary, q_seed binary, to array<long>").select("q_ids", "q_v", "q_far", "q_seed", F.explode("to").alias("block"))
+    asked = asks.mapInPandas(choose, "q_ids binary, q_v binary, q_far binary, q_seed binary, to array<long>")
+    asked = asked.select(F.explode("to").alias("block"), F.lit(1).alias("kind"), F.col("q_ids").alias("ids"), F.col("q_v").alias("v"), F.col("q_far").alias("far"), F.col("q_seed").alias("seed"))
+    rows = cands.select("block", F.lit(0).alias("kind"), "ids", "v", "far", F.lit(None).cast("binary").alias("seed")).unionByName(asked)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each block of candidates is held while the queries that need it go past."""
+        at, held = None, None
         for b in batches:
             for r in b.itertuples():
-                side = []
-                for ids, v, far in ((r.q_ids, r.q_v, r.q_far), (r.ids, r.v, r.far)):
-                    v = read(v, (-1, dim))
-                    side.append({"ids": np.frombuffer(ids, np.int64), "v": v, "far": read(far, (len(v), -1)), "sq": (v**2).sum(1)})
-                yield _search(side[0] | {"seed": read(r.q_seed)}, side[1], k, most < 2.0**24)[0]
-
-    n_pairs = len(known["block"]) * -(-n_q // QUERY_BLOCK)
-    pairs = asks.join(cands.select("block", "ids", "v", "far").hint("merge"), "block").repartition(int(min(n_pairs, 4096)), "block", F.xxhash64("q_ids"))
-    hits = pairs.mapInPandas(search, "query_id long, vec_id long, score long")
+                v = read(r.v, (-1, dim))
+                side = {"ids": np.frombuffer(r.ids, np.int64), "v": v, "far": read(r.far, (len(v), -1)), "sq": (v**2).sum(1)}
+                if r.kind == 0:
+                    at, held = r.block, side
+                elif r.block == at:
+                    yield _search(side | {"seed": read(r.seed)}, held, k, most < 2.0**24)[0]
+
+    # a block of candidates is shuffled once; the queries, fewer, once for each block that they can't do without
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(int(max(tasks, min(len(known["block"]), 4096))), "block").sortWithinPartitions("block", "kind")
+    hits = dealt.mapInPandas(search, "query_id long, vec_id long, score long")
     best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
