@@ -21,30 +21,36 @@ each k + 1 offsets, shared grams are counted ``HITS`` at a time, and bands are
 judged and dropped when the scan has passed them.
 
 The benchmark is the stated query set: it goes through the driver in blocks
-of ``BLOCK_BYTES`` at most, one held at a time, and the documents are read
-once a block. With several blocks each one's rows are written to the shared
-folder. No document leaves its task before it is known to hold an item.
+of ``BLOCK_BYTES`` at most, one held at a time. Several blocks are written to
+the shared folder, and a task that has read ``HELD_BYTES`` of texts takes one
+block after the other through them, so the documents are read once however
+many there are. No document leaves its task before it is known to hold an
+item.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 import uuid
 from collections import defaultdict
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh_dir
+from .shared_files import SharedFiles
 from .windows import bytes8
 from .words import parts
 
 Q = 8
 BLOCK_BYTES = 4 << 20
+#: Bytes of texts that a task holds while it takes the blocks through them; a longer text is held alone.
+HELD_BYTES = 32 << 20
 #: Shared grams that are counted at a time, and cells of alignments that are filled at a time.
 HITS, CELLS = 1 << 20, 1 << 20
 _BITS = 20
@@ -260,34 +266,53 @@ def blocks(benchmark: DataFrame, size: int, min_bytes: int) -> Iterator[tuple[li
 def leaks(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.1, min_bytes: int = Q, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """A row for each document and item it holds: doc_id, item_id, n_edits, from_byte (of the normal form, at least)."""
     schema = "doc_id long, item_id long, n_edits int, from_byte long"
+    # ids go as text: with a null among them pandas would make them doubles
     rows = docs.filter("text IS NOT NULL").select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.encode("text", "UTF-8").alias("body"))
 
-    def look(ids: list[int], items: list[bytes]) -> DataFrame:
-        name = uuid.uuid4().hex
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            if name not in _LAST:
-                _LAST.clear()
-                _LAST[name] = Block(ids, items, rate)
-            block = _LAST[name]
-            for b in parts(batches):
-                hits = block.search([normal(x.decode("utf-8", "replace")) for x in b["body"]])
-                doc = b["doc_id"].to_numpy()
-                yield pd.DataFrame([(doc[t], block.ids[x], e, at) for t, x, at, e in hits], columns=["doc_id", "item_id", "n_edits", "from_byte"])
-
-        # ids go as text: with a null among them pandas would make them doubles
-        return rows.mapInPandas(run, schema.replace("doc_id long", "doc_id string")).withColumn("doc_id", F.col("doc_id").cast("long"))
+    def hits(name: str, load: Callable[[], tuple[list[int], list[bytes]]], held: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if name not in _LAST:
+            _LAST.clear()
+            _LAST[name] = Block(*load(), rate)
+        block = _LAST[name]
+        for b in held:
+            found = block.search([normal(x.decode("utf-8", "replace")) for x in b["body"]])
+            doc = b["doc_id"].to_numpy()
+            yield pd.DataFrame([(doc[t], block.ids[x], e, at) for t, x, at, e in found], columns=["doc_id", "item_id", "n_edits", "from_byte"])
 
     every = blocks(benchmark, block_bytes, min_bytes)
     first, second = next(every, None), next(every, None)
     if first is None:
         return docs.sparkSession.createDataFrame([], schema)
+    name = uuid.uuid4().hex
     if second is None:
-        return look(*first)
-    found = [cut(look(*first)), cut(look(*second))]
-    del first, second
-    found += (cut(look(*block)) for block in every)
-    return reduce(DataFrame.unionAll, found)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in parts(batches):
+                yield from hits(name, lambda: first, [b])
+
+    else:
+        at, n = fresh_dir(docs.sparkSession, "benchmark"), 0
+        for block in chain([first, second], every):
+            SharedFiles(at).put(str(n), pickle.dumps(block))
+            n += 1
+        first = second = None
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            files, held, size = SharedFiles(at), [], 0
+
+            def walk() -> Iterator[pd.DataFrame]:
+                for i in range(n) if held else ():
+                    yield from hits(f"{name}-{i}", lambda i=i: pickle.loads(files.read(str(i))), held)
+
+            for b in parts(batches):
+                held.append(b)
+                size += int(b["body"].str.len().sum())
+                if size >= HELD_BYTES:
+                    yield from walk()
+                    held, size = [], 0
+            yield from walk()
+
+    return rows.mapInPandas(run, schema.replace("doc_id long", "doc_id string")).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 #: Ids of leaking documents up to which they are broadcast; beyond it the join shuffles.
