@@ -18,6 +18,7 @@ from __future__ import annotations
 import html as htmllib
 import math
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,13 +47,14 @@ def visible_text(page: str) -> str:
     return htmllib.unescape(_MARKUP.sub(" ", page))
 
 
-_LETTER = np.array([chr(i).isalpha() for i in range(1 << 16)])
+#: Letters, and marks, which belong to the letters before them; no planes beyond these have any.
+_LETTER = np.array([unicodedata.category(chr(i))[0] in "LM" for i in range(4 << 16)])
 
 
 def trigrams(text: str) -> np.ndarray:
-    """Hashed trigrams of lower-cased letters and single spaces between them."""
+    """Hashed trigrams of lower-cased letters with their marks, and single spaces between them."""
     cp = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-    cp = np.concatenate([[32], np.where(_LETTER[np.minimum(cp, 0xFFFF)], cp, 32), [32]]).astype(np.uint32)
+    cp = np.concatenate([[32], np.where(_LETTER[np.minimum(cp, len(_LETTER) - 1)], cp, 32), [32]]).astype(np.uint32)
     cp = cp[np.concatenate([[True], (cp[1:] != 32) | (cp[:-1] != 32)])]
     if len(cp) < 3:
         return np.empty(0, np.uint32)
