@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from dealforge.operators import buckets, upsert
 
 
-def table(spark, at, n=2000, number=256):
+def table(spark, at, n=2000, number=64):
     t = buckets.BucketedTable(spark, f"file://{at}/owners", ["ccn", "owner"], buckets=number)
     t.create(spark.range(n).select(F.col("id").cast("string").alias("ccn"), F.when(F.col("id") % 10 != 0, F.concat(F.lit("o"), "id")).alias("owner"), F.lit("old").alias("name"), F.lit(1).alias("stars"), F.lit(None).cast("string").alias("updated_at")))
     return t
@@ -32,12 +32,12 @@ def change(spark, *new):
 def test_one_row_rewrites_one_bucket(spark, tmp_path):
     t = table(spark, tmp_path)
     before = files(tmp_path)
-    assert len(before) == 256
+    assert len(before) == 64
     met = t.upsert("c1", change(spark, ("7", "o7", "new", 9, None)), ["name"], ("updated_at", F.lit("now")))
     after = files(tmp_path)
-    assert len(met) == 1 and len(after) == 256
+    assert len(met) == 1 and len(after) == 64
     assert [p.parent.name for p in set(after) - set(before)] == [f"_bucket={met[0]}"]
-    assert all(after[p] == before[p] for p in set(after) & set(before)) and len(set(after) & set(before)) == 255
+    assert all(after[p] == before[p] for p in set(after) & set(before)) and len(set(after) & set(before)) == 63
     got = {r.ccn: r for r in t.read().collect()}
     assert len(got) == 2000 and tuple(got["7"]) == ("7", "o7", "new", 1, "now") and got["8"].name == "old"
 
