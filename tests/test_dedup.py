@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dealforge.operators import dedup
+from dealforge.plans import queries as plans
 
 
 def loop(rows):
@@ -67,3 +68,10 @@ def test_deals(spark):
     want = loop([((n, i), h, k or f"null {h}") for (i, n, h, *_), k in zip(rows, keys, strict=True)])
     assert sorted(r.id for r in dedup.greedy_unique(df, ["n"]).collect()) == sorted(i for _, i in want)
     assert dedup.greedy_unique(df.limit(0), ["n"]).count() == 0
+
+
+def test_coarse_deals_of_the_sql_keep_empty_states():
+    """A deal without states has an empty list in the SQL too, not a list of one null, whose key would equal nothing."""
+    duckdb = pytest.importorskip("duckdb")
+    deals = "SELECT 1 AS id, 1 AS article_id, 'a' AS seller_entity, []::VARCHAR[] AS states, DATE '1997-05-05' AS acquisition_date, 1 AS facility_count"
+    assert duckdb.sql(f"WITH deals AS ({deals}), c AS ({plans._COARSE}) SELECT states, {plans._SEMANTIC} FROM c").fetchall() == [([], "a||1997-01-01|1")]
