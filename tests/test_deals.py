@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from dealforge.functions import clean, names
 from dealforge.functions.keys import dedup_hash, dedup_key
 from dealforge.operators import dedup, extract
+from dealforge.params import NAME_SUFFIXES
 
 DEAL = "id long, acquiring_entity string, seller_entity string, operator_names array<string>, states array<string>, facility_count int, deal_value_m double, acquisition_date date"
 D = dt.date
@@ -141,3 +142,9 @@ def test_greedy_unique_hot_group_and_long_chain(spark):
 def test_latest_by(spark):
     df = spark.createDataFrame([(1, "a", 1), (1, "b", 3), (1, None, 2), (2, "c", 1), (None, "d", 1)], "k long, v string, n int")
     assert sorted((tuple(r) for r in dedup.latest_by(df, ["k"], F.col("n")).collect()), key=str) == [(1, "b", 3), (2, "c", 1), (None, "d", 1)]
+
+
+def test_entity_name_works_its_name_out_once(spark):
+    """Each suffix is cut once a name: the plan holds as many cuts as suffixes, and one for blanks."""
+    plan = spark.createDataFrame([("ACME LLC",)], "n string").select(names.entity_name(F.col("n")).alias("d"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == len(NAME_SUFFIXES) + 1
