@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .blobs import answer, gather, layout, rows
 from .common import BROADCAST_ROWS, cut, small_or_merged
-from .components import components
+from .components import stars
 from .windows import mix
 from .words import WordArrays, parts
 
@@ -250,7 +250,7 @@ def linked_components(docs: DataFrame, *, n: int = 3, threshold: Fraction = Frac
     # equal sets: the smallest doc_id stands for all
     named = cut(_set_rows(base, n))
     same = cut(named.filter("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")).filter("copies > 1").select("f1", "f2", "n", "id"))
-    named = named.join(same.hint("merge"), ["f1", "f2", "n"], "left").select("doc_id", "n", F.coalesce("id", "doc_id").alias("id"))
+    named = named.join(small_or_merged(same), ["f1", "f2", "n"], "left").select("doc_id", "n", F.coalesce("id", "doc_id").alias("id"))
 
     # parts that more than one set has
     def send(df: pd.DataFrame) -> pd.DataFrame:
@@ -281,12 +281,11 @@ def linked_components(docs: DataFrame, *, n: int = 3, threshold: Fraction = Frac
     cells = cut(found.join(leaders.hint("merge"), "key").select("lead", "id", "batch", "f1", "n").distinct())
 
     # most near copies are linked to the smallest of their leaders: one copy of each set tells
-    least = cells.groupBy("id", "f1").agg(F.min("lead").alias("lead"))
-    followers = cells.join(least.hint("merge"), ["id", "f1", "lead"]).filter("id <> lead")
-    sizes = cut(followers.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")))
+    followers = cells.groupBy("id", "f1").agg(F.min(F.struct("lead", "batch", "n")).alias("x")).select("id", "f1", "x.*").filter("id <> lead")
+    sizes = small_or_merged(cut(followers.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))))
     whole = F.lit(0).cast("long")
-    mine = followers.join(sizes.hint("merge"), "lead").select("id", "batch", "f1", "n", "lead", F.pmod(F.xxhash64("id", "f1", "lead"), F.col("blocks")).alias("p"))
-    heads = cells.filter("id = lead").join(sizes.hint("merge"), "lead").select("id", "batch", "f1", "n", "lead", F.explode(F.sequence(whole, F.col("blocks") - 1)).alias("p"))
+    mine = followers.join(sizes, "lead").select("id", "batch", "f1", "n", "lead", F.pmod(F.xxhash64("id", "f1", "lead"), F.col("blocks")).alias("p"))
+    heads = cells.filter("id = lead").join(sizes, "lead").select("id", "batch", "f1", "n", "lead", F.explode(F.sequence(whole, F.col("blocks") - 1)).alias("p"))
     star = mine.withColumn("own", F.lit(-1).cast("long")).unionByName(heads.withColumn("own", F.col("p"))).withColumns({"q": F.lit(-1).cast("long"), "c": F.col("id")})
 
     def fetch(df: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
@@ -309,25 +308,29 @@ def linked_components(docs: DataFrame, *, n: int = 3, threshold: Fraction = Frac
 
     def verified(asked: DataFrame) -> DataFrame:
         """Links of sets that are to meet: in (lead, p, q) those that are p's own meet those that are q's own; c: components known before."""
+        # what is asked is worked out once for its ids and n-grams, and once more to be sent
+        wanted = cut(asked.groupBy(F.col("id").alias("doc_id")).agg(F.sum("n").alias("grams")))
+        n_ids, grams = wanted.agg(F.count("*"), F.sum("grams")).first()
+        if not n_ids:
+            return spark.createDataFrame([], "a long, b long")
         # few texts are wanted: they are picked before the shuffle
-        wanted = cut(asked.select(F.col("id").alias("doc_id")).distinct())
-        few = base.join(F.broadcast(wanted), "doc_id", "left_semi") if wanted.count() <= BROADCAST_ROWS else base
+        few = base.join(F.broadcast(wanted.select("doc_id")), "doc_id", "left_semi") if n_ids <= BROADCAST_ROWS else base
         filled = few.withColumn("batch", batch).groupBy("batch").cogroup(asked.groupBy("batch")).applyInPandas(fetch, "id long, lead long, p long, q long, own long, c long, grams binary")
-        n_groups = -(-8 * (asked.agg(F.sum("n")).first()[0] or 0) // GROUP_BYTES)
+        n_groups = -(-8 * grams // GROUP_BYTES)
         group = F.pmod(F.xxhash64("lead", "p", "q"), F.lit(max(n_groups, n_batches)))
         return cut(filled.withColumn("g", group).groupBy("g").applyInPandas(join, "a long, b long"))
 
     first = verified(star)
-    known = cut(components(first))
+    known = stars(first)
 
     # cells that lie in one component by now are done; of the others, blocks of large ones meet pairwise, and a block's number comes from a hash, so blocks are even
-    told = cells.join(known.hint("merge"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    told = cells.join(small_or_merged(known), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
     open_ = cut(told.groupBy("lead").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.ceil(F.count("*") / BLOCK).alias("blocks")).filter("x < y").select("lead", "blocks"))
     placed = told.join(small_or_merged(open_), "lead").withColumn("own", F.pmod(F.xxhash64("id", "f1", "lead"), F.col("blocks")))
     pairs = placed.select("lead", "id", "batch", "f1", "n", "c", "own", F.explode(F.sequence(whole, F.col("blocks") - 1)).alias("other"))
     rest = verified(pairs.select("id", "batch", "f1", "n", "lead", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "c").distinct())
-    reached = cut(components(first.union(rest)).select("id", "component"))
-    out = named.join(reached.hint("merge"), "id", "left")
+    reached = stars(known.select(F.col("id").alias("a"), F.col("component").alias("b")).union(rest))
+    out = named.join(small_or_merged(reached), "id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 

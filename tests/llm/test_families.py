@@ -100,3 +100,42 @@ def test_letters_of_all_planes(spark):
     rows = [(i, " ".join(words[(i + j) % 12] for j in range(20)) if i % 2 else "the quick brown fox jumps over lazy dogs again and again", "ff" if i % 2 else "en", "s", 1) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert language_id.keep_identified(docs, language_id.fit(docs)).count() == 60
+
+
+def tasks(spark):
+    """Tasks of all stages so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    jvm = sc._jvm
+    nothing = sc._gateway.new_array(jvm.double, 0)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, nothing, jvm.java.util.ArrayList())
+    return sum(stages.apply(i).numCompleteTasks() for i in range(stages.size()))
+
+
+def test_a_join_over_many_partitions_takes_few_tasks(spark):
+    """Each task leaves files and a place in the driver's log: a chain of families takes below 110 tasks a shuffle partition."""
+    rnd = random.Random(2)
+    base = [f"{rnd.randrange(16**7):x}" for _ in range(200)]
+    rows = []
+    for i in range(60):
+        if i % 12 == 0:
+            w = [f"{rnd.randrange(16**7):x}" for _ in range(200)]
+        w = [*w[: 3 * (i % 12)], f"{rnd.randrange(16**7):x}", *w[3 * (i % 12) + 1 :]]
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, " ".join(base)) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    docs.count()
+    n = 16
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        before = tasks(spark)
+        got = {r.doc_id: r.component_id for r in jaccard_join.linked_components(docs).collect()}
+        taken = tasks(spark) - before
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+        docs.unpersist()
+    assert got == {i: 100 if i >= 100 else i - i % 12 for i, _ in rows}
+    assert taken < 110 * n, taken / n
